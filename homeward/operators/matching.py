@@ -157,12 +157,24 @@ def judge(scored: DataFrame, config: MatchConfig) -> DataFrame:
     })
 
 
-def rank(pairs: DataFrame, column: str = "match_rank") -> DataFrame:
-    """Position of every pair of a query by combined score, then face similarity, then id."""
-    best_first = Window.partitionBy("query_id").orderBy(
-        F.desc("combined_score"), F.desc("face_similarity"), F.asc("candidate_id")
-    )
-    return pairs.withColumn(column, F.row_number().over(best_first))
+def rank(pairs: DataFrame, first: Column | None = None) -> DataFrame:
+    """Add ``match_rank``: position within the query by combined score, face similarity, id."""
+    order = [F.desc("combined_score"), F.desc("face_similarity"), F.asc("candidate_id")]
+    if first is not None:
+        order.insert(0, first.desc())
+    best_first = Window.partitionBy("query_id").orderBy(*order)
+    return pairs.withColumn("match_rank", F.row_number().over(best_first))
+
+
+def keep_best(judged: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best accepted, plausible pairs of every query, with ``match_rank``.
+
+    The verdict is the first sort key and is filtered after ranking: a filter in front would be
+    pushed below the scoring and evaluate all of it a second time.
+    """
+    passed = F.col("reject_rule").isNull() & F.col("accepted")
+    ranked = rank(judged.withColumn("_kept", passed), F.col("_kept"))
+    return ranked.filter((F.col("match_rank") <= limit) & F.col("_kept")).drop("_kept")
 
 
 def with_confidence(
@@ -217,8 +229,7 @@ def match(
 ) -> DataFrame:
     """Ranked, accepted matches of ``queries`` (records of ``side``) among the other side."""
     judged = judge(score(candidates(queries, base, side, config, carry), config), config)
-    kept = judged.filter(F.col("reject_rule").isNull() & F.col("accepted"))
-    limited = rank(kept).filter(F.col("match_rank") <= config.limit)
+    limited = keep_best(judged, config.limit)
     c = F.col("candidate")
     contact = contact_of(c["contact"], F.lit(None)) if side == FOUND else contact_of(
         F.lit(None), c["finder_contact"]

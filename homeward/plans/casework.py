@@ -206,7 +206,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "cast(l_linenumber as string)",
             "x": "cast(l_partkey as int)",
             "y": "cast(l_suppkey as int)",
-            "w": "cast(l_quantity as int)",
+            "w": "cast(floor(l_quantity) as int)",
             "h": "cast(l_linenumber * 20 as int)",
             "confidence": "l_discount * 10",
         },
@@ -220,8 +220,8 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "sharpness": "l_extendedprice / 100",
             "brightness": "l_quantity * 5",
             "contrast": "l_tax * 1000",
-            "width": "cast(l_quantity * 4 as int)",
-            "height": "cast(l_extendedprice / 500 as int)",
+            "width": "cast(floor(l_quantity * 4) as int)",
+            "height": "cast(floor(l_extendedprice / 500) as int)",
             "channels": "case when l_returnflag = 'R' then 1 else 3 end",
         },
     ),
@@ -304,9 +304,9 @@ _FOLDED_SQL = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, condition, columns = TABLES[name]
-    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+def derive(rows: DataFrame, name: str) -> DataFrame:
+    """Apply the projection of a derived table to rows of its source table."""
+    _, condition, columns = TABLES[name]
     if condition:
         rows = rows.filter(condition)
     return rows.select(*[
@@ -315,6 +315,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ])
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return derive(spark.read.parquet(f"{sf_dir}/{TABLES[name][0]}.parquet"), name)
+
+
 def _spark(text: str) -> str:
     return text.replace("LIST(", "array(").replace("BYTES(", "binary(")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +21,16 @@ def get_spark(app_name: str = "homeward", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package() -> None:
+    """Send this package's functions to the workers by value.
+
+    For programs that run from a source tree; an installed package or ``--py-files`` needs none.
+    """
+    import homeward
+
+    cloudpickle.register_pickle_by_value(homeward)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster for checkpoints and intermediate tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,6 +49,4 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run below the shared folder."""
-    import uuid
-
     return os.path.join(shared_dir(spark), "homeward", f"{name}-{uuid.uuid4().hex}")
