@@ -16,7 +16,7 @@ class KnnConfig:
     block_rows: int = 8192  # most rows of either side in one block-pair task, on average
     max_pivots: int = 1024
     rows_per_pivot: int = 65_536
-    score_chunk: int = 256  # query rows scored at once; bounds the score matrix
+    score_chunk: int = 64  # query rows scored at once; bounds the score matrix
 
 
 @dataclass(frozen=True)

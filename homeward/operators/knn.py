@@ -138,44 +138,42 @@ class _Job(NamedTuple):
             T.StructField("candidate", self.base.schema["row"].dataType),
         ])
 
-    def _scorer(self):
-        k, threshold, chunk = self.k, self.threshold, self.config.score_chunk
-        prefiltered = self.prefiltered
-
-        def score(queries: pa.Table, base: pa.Table) -> pa.Table:
-            return kernels.score_tables(queries, base, k, threshold, chunk, prefiltered)
-
-        return score
+    def _options(self) -> dict:
+        return {
+            "k": self.k,
+            "threshold": self.threshold,
+            "chunk": self.config.score_chunk,
+            "prefilter": self.prefiltered,
+        }
 
     # Small base side
 
     def broadcast_base(self, table: pa.Table) -> DataFrame:
         shipped = self.base.sparkSession.sparkContext.broadcast(table)
-        score = self._scorer()
+        options = self._options()
 
-        def each_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base = shipped.value
+        def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base = kernels.Side.of(shipped.value)
+            if not options["prefilter"]:
+                base = kernels.without_spare_copies(base, options["k"])
             for batch in batches:
-                pairs = score(pa.Table.from_batches([batch]), base)
-                yield from pairs.combine_chunks().to_batches()
+                queries = kernels.Side.of(pa.Table.from_batches([batch]))
+                yield from kernels.score_sides(queries, base, **options).to_batches()
 
-        return self.queries.mapInArrow(each_batch, self._schema())
+        return self.queries.mapInArrow(each_partition, self._schema())
 
     # Small query side
 
     def broadcast_queries(self, table: pa.Table) -> DataFrame:
         shipped = self.base.sparkSession.sparkContext.broadcast(table)
-        score, k = self._scorer(), self.k
+        options = self._options()
 
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
+            best = kernels.RunningBest(kernels.Side.of(shipped.value), **options)
             for batch in batches:
-                pairs = score(shipped.value, pa.Table.from_batches([batch]))
-                if best is not None:
-                    pairs = kernels.best_rows(pa.concat_tables([best, pairs]), k)
-                best = pairs
-            if best is not None:
-                yield from best.combine_chunks().to_batches()
+                best.add(pa.Table.from_batches([batch]))
+            if best.pairs is not None:
+                yield from best.pairs.to_batches()
 
         return self._final_cut(self.base.mapInArrow(each_partition, self._schema()))
 
@@ -199,6 +197,8 @@ class _Job(NamedTuple):
         spark = self.base.sparkSession
         pivots = self._pivots()
         n_cells = len(pivots)
+        if not n_cells:
+            return spark.createDataFrame([], self._schema())
 
         @F.arrow_udf("struct<cell:int,angle:double>")
         def nearest_pivot(vectors: pa.Array) -> pa.Array:
@@ -263,9 +263,17 @@ class _Job(NamedTuple):
             .withColumn("query_block", copies("query_blocks"))
             .drop("base_blocks", "query_blocks")
         )
+        options = self._options()
+
+        def block_pair(queries: pa.Table, base: pa.Table) -> pa.Table:
+            right = kernels.Side.of(base)
+            if not options["prefilter"]:
+                right = kernels.without_spare_copies(right, options["k"])
+            return kernels.score_sides(kernels.Side.of(queries), right, **options)
+
         pairs = (
             left.groupBy(*_KEYS)
             .cogroup(right.groupBy(*_KEYS))
-            .applyInArrow(self._scorer(), self._schema())
+            .applyInArrow(block_pair, self._schema())
         )
         return self._final_cut(pairs)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Scores are rounded to this many decimals before they are compared.
 SCORE_DIGITS = 9
@@ -15,6 +17,10 @@ SCORE_DIGITS = 9
 SLACK = 1e-6
 
 
+# Pairs scored in double precision at a time.
+_EXACT_ROWS = 16_384
+
+
 def _array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -32,7 +38,21 @@ def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def id_order(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Position of every id in ascending id order; equal ids share one."""
-    return np.unique(np.asarray(ids.to_pylist(), dtype=object), return_inverse=True)[1]
+    return pc.rank(_array(ids), tiebreaker="dense").to_numpy()
+
+
+class Side(NamedTuple):
+    """One side of the join, prepared once per task: rows, unit vectors, id order."""
+
+    table: pa.Table
+    unit: np.ndarray
+    rough: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Side:
+        unit = unit_rows(table["vector"])
+        return cls(table, unit, unit.astype(np.float32), id_order(table["id"]))
 
 
 def best_of_group(
@@ -49,69 +69,100 @@ def best_of_group(
     return ranked[position - first < k]
 
 
+def without_spare_copies(side: Side, k: int) -> Side:
+    """Keep the k lowest ids of every group of identical vectors; no more of them can be used.
+
+    Copies score the same against every query, so beyond k of them ids decide.
+    """
+    if len(side.unit) <= k:
+        return side
+    whole_rows = np.ascontiguousarray(side.unit).view(
+        np.dtype((np.void, side.unit.dtype.itemsize * side.unit.shape[1]))
+    )
+    _, group, size = np.unique(whole_rows.ravel(), return_inverse=True, return_counts=True)
+    if size.max() <= k:
+        return side
+    keep = np.sort(best_of_group(group, np.zeros(len(group)), side.order, k))
+    return Side(
+        side.table.take(pa.array(keep)), side.unit[keep], side.rough[keep], side.order[keep]
+    )
+
+
+def exact_scores(queries: np.ndarray, base: np.ndarray, q: np.ndarray, b: np.ndarray):
+    """Rounded cosines of listed pairs, a bounded number at a time."""
+    scores = np.empty(len(q))
+    for start in range(0, len(q), _EXACT_ROWS):
+        part = slice(start, start + _EXACT_ROWS)
+        scores[part] = np.einsum("ij,ij->i", queries[q[part]], base[b[part]])
+    return np.round(scores, SCORE_DIGITS)
+
+
 def top_pairs(
-    queries: np.ndarray,
-    base: np.ndarray,
-    base_order: np.ndarray,
+    queries: Side,
+    base: Side,
     k: int,
     threshold: float,
     chunk: int,
     allowed: Callable[[slice], np.ndarray] | None = None,
+    floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, base row, score) of each query's k best base rows at or above the threshold."""
+    """(query row, base row, score) of each query's k best base rows at or above the threshold.
+
+    A single-precision product finds every pair that can be among the best, allowing for its
+    rounding; those pairs are then scored in double precision. ``floor`` is a score per query
+    below which pairs are of no use.
+    """
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    for start in range(0, len(queries) if len(base) else 0, chunk):
+    n_base = len(base.unit)
+    margin = np.float32(queries.unit.shape[1] * 1.2e-7 + 1e-6)
+    for start in range(0, len(queries.unit) if n_base else 0, chunk):
         rows = slice(start, start + chunk)
-        scores = np.round(queries[rows] @ base.T, SCORE_DIGITS)
+        rough = queries.rough[rows] @ base.rough.T
         if allowed is not None:
-            scores = np.where(allowed(rows), scores, -np.inf)
-        cut = np.full(len(scores), threshold)
-        if scores.shape[1] > k:
-            kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-            cut = np.maximum(cut, kth)
-        q, b = np.nonzero(scores >= cut[:, None])
-        s = scores[q, b]
-        keep = best_of_group(q, s, base_order[b], k)
-        found.append((q[keep] + start, b[keep], s[keep]))
+            rough[~allowed(rows)] = -np.inf
+        cut = np.full(len(rough), threshold, np.float32)
+        if floor is not None:
+            cut = np.maximum(cut, floor[rows].astype(np.float32))
+        cut -= margin
+        passing = rough >= cut[:, None]
+        crowded = np.flatnonzero(np.count_nonzero(passing, axis=1) > k)
+        if len(crowded):
+            some = rough[crowded]
+            kth = np.partition(some, n_base - k, axis=1)[:, n_base - k] - 2 * margin
+            passing[crowded] = some >= np.maximum(cut[crowded], kth)[:, None]
+        q, b = np.divmod(np.flatnonzero(passing), n_base)
+        q += start
+        score = exact_scores(queries.unit, base.unit, q, b)
+        enough = score >= threshold
+        q, b, score = q[enough], b[enough], score[enough]
+        keep = best_of_group(q, score, base.order[b], k)
+        found.append((q[keep], b[keep], score[keep]))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def wanted_mask(query_rows, base_rows) -> Callable[[slice], np.ndarray]:
+def wanted_mask(queries: pa.Table, base: pa.Table) -> Callable[[slice], np.ndarray]:
     """Per-query prefilter: equal gender where one is wanted, inclusive age range where given."""
 
-    def values(rows, name):
-        return np.asarray(_array(rows).field(name).to_pylist(), dtype=object)
+    def numbers(rows: pa.Array, name: str) -> np.ndarray:
+        return rows.field(name).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
 
-    want = values(query_rows, "want_gender")
-    low, high = values(query_rows, "want_age_low"), values(query_rows, "want_age_high")
-    gender = values(base_rows, "gender")
-    age = np.asarray([np.nan if a is None else a for a in values(base_rows, "age")], float)
+    wanted, traits = _array(queries["wanted"]), _array(base["traits"])
+    genders = pa.concat_arrays([wanted.field("want_gender"), traits.field("gender")])
+    codes = genders.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    want, gender = codes[: len(wanted)], codes[len(wanted) :]
+    low, high = numbers(wanted, "want_age_low"), numbers(wanted, "want_age_high")
+    age = numbers(traits, "age")
 
     def mask(rows: slice) -> np.ndarray:
-        free_gender = np.equal(want[rows], None)[:, None]
-        free_age = np.equal(low[rows], None)[:, None]
-        lo = np.where(free_age[:, 0], np.nan, low[rows]).astype(float)[:, None]
-        hi = np.where(free_age[:, 0], np.nan, high[rows]).astype(float)[:, None]
-        same = want[rows][:, None] == gender[None, :]
-        return (free_gender | same) & (free_age | ((age >= lo) & (age <= hi)))
+        w, lo, hi = want[rows, None], low[rows, None], high[rows, None]
+        return ((w == -1) | (w == gender)) & (np.isnan(lo) | ((age >= lo) & (age <= hi)))
 
     return mask
 
 
-def score_tables(
-    queries: pa.Table, base: pa.Table, k: int, threshold: float, chunk: int, prefilter: bool
+def pair_table(
+    queries: pa.Table, base: pa.Table, q: np.ndarray, b: np.ndarray, score: np.ndarray
 ) -> pa.Table:
-    """Best pairs of two tables with columns id, vector, row (and wanted / filter)."""
-    allowed = wanted_mask(queries["wanted"], base["traits"]) if prefilter else None
-    q, b, score = top_pairs(
-        unit_rows(queries["vector"]),
-        unit_rows(base["vector"]),
-        id_order(base["id"]),
-        k,
-        threshold,
-        chunk,
-        allowed,
-    )
     q, b = pa.array(q), pa.array(b)
     return pa.table({
         "query_id": queries["id"].take(q),
@@ -122,15 +173,43 @@ def score_tables(
     })
 
 
-def best_rows(pairs: pa.Table, k: int) -> pa.Table:
-    """Cut a table of pairs to the k best of every query."""
-    keep = best_of_group(
-        id_order(pairs["query_id"]),
-        pairs["face_similarity"].to_numpy(),
-        id_order(pairs["candidate_id"]),
-        k,
-    )
-    return pairs.take(pa.array(keep))
+def score_sides(
+    queries: Side, base: Side, k: int, threshold: float, chunk: int, prefilter: bool
+) -> pa.Table:
+    """Best pairs of two sides as a table."""
+    allowed = wanted_mask(queries.table, base.table) if prefilter else None
+    found = top_pairs(queries, base, k, threshold, chunk, allowed)
+    return pair_table(queries.table, base.table, *found)
+
+
+class RunningBest:
+    """The k best pairs per query over a sequence of base batches."""
+
+    def __init__(self, queries: Side, k: int, threshold: float, chunk: int, prefilter: bool):
+        self.queries, self.k, self.threshold, self.chunk = queries, k, threshold, chunk
+        self.prefilter = prefilter
+        self.floor = np.full(len(queries.unit), threshold)
+        self.query, self.pairs = np.empty(0, np.int64), None
+
+    def add(self, batch: pa.Table) -> None:
+        base, allowed = Side.of(batch), None
+        if self.prefilter:
+            allowed = wanted_mask(self.queries.table, batch)
+        else:
+            base = without_spare_copies(base, self.k)
+        q, b, score = top_pairs(
+            self.queries, base, self.k, self.threshold, self.chunk, allowed, self.floor
+        )
+        pairs = pair_table(self.queries.table, base.table, q, b, score)
+        if self.pairs is not None:
+            q, pairs = np.r_[self.query, q], pa.concat_tables([self.pairs, pairs])
+        score = pairs["face_similarity"].to_numpy()
+        keep = best_of_group(q, score, id_order(pairs["candidate_id"]), self.k)
+        self.query, self.pairs = q[keep], pairs.take(pa.array(keep))
+        # The k-th score of a full query is what later rows have to reach.
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.floor)) >= self.k)
+        last = np.searchsorted(self.query, full, side="right") - 1
+        self.floor[full] = score[keep][last]
 
 
 def angles_to(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
