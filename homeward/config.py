@@ -13,6 +13,7 @@ class KnnConfig:
     broadcast_bytes: int = 64 << 20  # the most that is shipped to every worker
     payload_row_bytes: int = 1024  # allowance per row for columns carried beside the vector
     broadcast_query_results: int = 1_000_000  # queries x k held by one task at a time
+    spread_below: int = 1_000_000  # query rows up to which they are spread over all cores
     block_rows: int = 8192  # most rows of either side in one block-pair task, on average
     max_pivots: int = 1024
     rows_per_pivot: int = 65_536

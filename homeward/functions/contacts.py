@@ -25,8 +25,8 @@ def is_phone(text: Column) -> Column:
 def email_in(contact: Column) -> Column:
     """The e-mail address a contact consists of or contains, else NULL."""
     whole = strip(contact)
-    inside = F.regexp_extract(contact, "(?U)" + EMAIL_INSIDE, 0)
-    return F.when(is_email(whole), whole).otherwise(F.nullif(inside, F.lit("")))
+    inside = F.nullif(F.regexp_extract(contact, "(?U)" + EMAIL_INSIDE, 0), F.lit(""))
+    return F.when(contact.contains("@"), F.when(is_email(whole), whole).otherwise(inside))
 
 
 def contact_of(contact: Column, finder_contact: Column) -> Column:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators (FS, GS, RS, US).
-_SPACE = r"[\s\x1c-\x1f]"
+# Every character that counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def words(text: Column) -> Column:
     """Distinct white-space separated tokens."""
-    parts = F.split(text, rf"(?U){_SPACE}+")
+    parts = F.split(text, r"(?U)[\s\x1c-\x1f]+")
     return F.array_distinct(F.filter(parts, lambda p: p != ""))
 
 

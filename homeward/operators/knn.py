@@ -83,7 +83,7 @@ def knn_join(
         )
     left = _side(queries, query_id, vector, query_columns or [], dim, "wanted", wanted)
     right = _side(base, base_id, vector, base_columns or [], dim, "traits", traits)
-    job = _Job(left, right, k, threshold, dim, prefilter is not None, config)
+    job = _Job(left, right, (queries, base), k, threshold, dim, prefilter is not None, config)
     return job.plan()
 
 
@@ -101,6 +101,7 @@ def _side(df, id_col, vector, columns, dim, extra_name, extra) -> DataFrame:
 class _Job(NamedTuple):
     queries: DataFrame
     base: DataFrame
+    counted: tuple[DataFrame, DataFrame]  # the sides as given, cheaper to count
     k: int
     threshold: float
     dim: int
@@ -112,20 +113,27 @@ class _Job(NamedTuple):
         row_bytes = 8 * self.dim + self.config.payload_row_bytes
         small = max(1, self.config.broadcast_bytes // row_bytes)
         few = max(1, min(small, self.config.broadcast_query_results // self.k))
-        if strategy in ("auto", "broadcast_base"):
-            table = self._collect_small(self.base, small)
+        n_queries, n_base = self._counts()
+        if strategy in ("auto", "broadcast_base") and n_base <= small:
+            table = self._collect_small(self.base)
             if table is not None:
-                return self.broadcast_base(table)
-        if strategy in ("auto", "broadcast_queries"):
-            table = self._collect_small(self.queries, few)
+                return self.broadcast_base(table, n_queries)
+        if strategy in ("auto", "broadcast_queries") and n_queries <= few:
+            table = self._collect_small(self.queries)
             if table is not None:
                 return self.broadcast_queries(table)
-        return self.blocked()
+        return self.blocked(n_base)
 
-    def _collect_small(self, side: DataFrame, rows: int) -> pa.Table | None:
-        """The side as one table, or None when it is too large to ship to every worker."""
-        if side.select("id").limit(rows + 1).count() > rows:
-            return None
+    def _counts(self) -> tuple[int, int]:
+        """Rows of both sides in one job that reads no vectors."""
+        counted = self.counted[0].select(F.lit(0).alias("side")).unionByName(
+            self.counted[1].select(F.lit(1).alias("side"))
+        )
+        found = {r["side"]: r["count"] for r in counted.groupBy("side").count().collect()}
+        return found.get(0, 0), found.get(1, 0)
+
+    def _collect_small(self, side: DataFrame) -> pa.Table | None:
+        """A side of checked row count as one table, unless its rows turn out too wide to ship."""
         table = side.toArrow()
         return table if table.nbytes <= 2 * self.config.broadcast_bytes else None
 
@@ -148,9 +156,14 @@ class _Job(NamedTuple):
 
     # Small base side
 
-    def broadcast_base(self, table: pa.Table) -> DataFrame:
-        shipped = self.base.sparkSession.sparkContext.broadcast(table)
+    def broadcast_base(self, table: pa.Table, n_queries: int) -> DataFrame:
+        context = self.base.sparkSession.sparkContext
+        shipped = context.broadcast(table)
         options = self._options()
+        queries = self.queries
+        if n_queries <= self.config.spread_below:
+            # Few rows come in few partitions, but each makes up to k rows.
+            queries = queries.repartition(context.defaultParallelism, "id")
 
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = kernels.Side.of(shipped.value)
@@ -160,7 +173,7 @@ class _Job(NamedTuple):
                 queries = kernels.Side.of(pa.Table.from_batches([batch]))
                 yield from kernels.score_sides(queries, base, **options).to_batches()
 
-        return self.queries.mapInArrow(each_partition, self._schema())
+        return queries.mapInArrow(each_partition, self._schema())
 
     # Small query side
 
@@ -186,16 +199,16 @@ class _Job(NamedTuple):
 
     # Two large sides
 
-    def _pivots(self) -> np.ndarray:
+    def _pivots(self, n_base: int) -> np.ndarray:
         """Unit vectors of a bounded, repeatable pick of base rows: those of lowest id hash."""
-        wanted = math.ceil(self.base.count() / self.config.rows_per_pivot)
+        wanted = math.ceil(n_base / self.config.rows_per_pivot)
         wanted = max(1, min(self.config.max_pivots, wanted))
         picked = self.base.select("vector", F.xxhash64("id").alias("h")).orderBy("h", "vector")
         return kernels.unit_rows(picked.limit(wanted).select("vector").toArrow()["vector"])
 
-    def blocked(self) -> DataFrame:
+    def blocked(self, n_base: int) -> DataFrame:
         spark = self.base.sparkSession
-        pivots = self._pivots()
+        pivots = self._pivots(n_base)
         n_cells = len(pivots)
         if not n_cells:
             return spark.createDataFrame([], self._schema())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from homeward.functions.vectors import NORM_EPSILON
-from homeward.operators.skew import lookup_join
+from homeward.operators.skew import HOT_ROWS, hot_keys, lookup_join
 
 # Thresholds of the gates.
 MIN_CONFIDENCE = 0.70
@@ -96,9 +96,13 @@ def duplicate_groups(images: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_members(images: DataFrame) -> DataFrame:
-    """Every image of a duplicate group with the group's size and first image."""
-    return lookup_join(images, duplicate_groups(images), "hash", spread="image_id")
+def duplicate_members(images: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every image of a duplicate group with the group's size and first image.
+
+    ``images`` is read three times; pass a stored table. Hashes with very many copies are salted.
+    """
+    hot = hot_keys(images, "hash", hot_rows)
+    return lookup_join(images, duplicate_groups(images), "hash", spread="image_id", hot=hot)
 
 
 _COMPARED = T.StructType([
@@ -122,22 +126,35 @@ def _compare(left: pa.Array, right: pa.Array) -> pa.Array:
     )
 
 
-def verify_pairs(
-    pairs: DataFrame, vectors: DataFrame, pair_id: str, threshold: float = SAME_PERSON
+def with_vectors(
+    pairs: DataFrame,
+    vectors: DataFrame,
+    pair_id: str,
+    names: tuple[str, str] = ("left", "right"),
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Cosine, distance and verdict of listed pairs (img1, img2); pairs without vectors drop out.
+    """Add the vectors of both images of listed pairs (img1, img2); others drop out.
 
-    Vectors are looked up with hot images salted, since one image may be in very many pairs.
+    Hot images are salted, since one image may be in very many pairs.
     """
     usable = vectors.filter(F.size("embedding") > 0)
+    for key, name in zip(("img1", "img2"), names):
+        side = usable.select(F.col("image_id").alias(key), F.col("embedding").alias(name))
+        hot = hot_keys(pairs.select("img1", "img2"), key, hot_rows)
+        joined = pairs if key == "img1" else joined
+        joined = lookup_join(joined, side, key, spread=pair_id, hot=hot)
+    return joined
 
-    def side(i: int) -> DataFrame:
-        return usable.select(
-            F.col("image_id").alias(f"img{i}"), F.col("embedding").alias(f"_v{i}")
-        )
 
-    first = lookup_join(pairs, side(1), "img1", spread=pair_id)
-    both = lookup_join(first, side(2), "img2", spread=pair_id)
+def verify_pairs(
+    pairs: DataFrame,
+    vectors: DataFrame,
+    pair_id: str,
+    threshold: float = SAME_PERSON,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Cosine, distance and verdict of listed pairs."""
+    both = with_vectors(pairs, vectors, pair_id, ("_v1", "_v2"), hot_rows)
     compared = both.withColumn("_c", _compare("_v1", "_v2"))
     return compared.withColumns({
         "cosine_similarity": F.col("_c.cosine"),

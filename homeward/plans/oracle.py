@@ -354,6 +354,20 @@ _HASH = (
     "::uhugeint))"
 )
 
+_GRAY = (
+    "list_transform(embedding, lambda v: cast(round((cast(v as double) + 1.0) * 127.5) as bigint))"
+)
+
+
+def _around(down: int, right: int) -> str:
+    """Neighbour of pixel i of an 8x8 image, mirrored at the borders."""
+
+    def mirrored(position: str, step: int) -> str:
+        return f"(7 - abs(7 - abs({position} + {step})))"
+
+    return f"pixels[{mirrored('(i // 8)', down)} * 8 + {mirrored('(i % 8)', right)} + 1]"
+
+
 _DOC_HASH = f"""{cte("document_prints")},
 thumbs as (select image_id, list_transform(range(64),
   lambda i: (strpos('0123456789abcdef', substr(digits, i + 1, 1)) - 1) * 17) as pixels
@@ -516,6 +530,7 @@ select qid as query_id, cid as candidate_id, round(conf, 6) as confidence_score,
         "explain": M.explain(),
         "ingest_missing": _ingest("missing"),
         "ingest_found": _ingest("found"),
+        "stored_missing": _ingest("missing"),
         "ingest_rejects": _ingest_rejects(),
         "prepare_forms": f"""{cte("missing_forms")}
 select point_id, case when height_cm is not null then case_id
@@ -632,9 +647,17 @@ select *, is_sharp and is_bright_enough and is_contrasted as is_good_quality fro
 select image_id, width, height, channels, channels = 3 and width >= 50 and height >= 50 as is_valid
 from face_metrics""",
         "avg_hash": f"""{cte("face_thumbs")},
-thumbs as (select image_id, list_transform(embedding,
-  lambda v: cast(round((cast(v as double) + 1.0) * 127.5) as bigint)) as pixels from face_thumbs)
+thumbs as (select image_id, {_GRAY} as pixels from face_thumbs)
 select image_id, {_HASH} as hash from thumbs""",
+        "image_audit": f"""{cte("face_thumbs")},
+thumbs as (select image_id, {_GRAY} as pixels from face_thumbs),
+measured as (select image_id, pixels, list_transform(range(64), lambda i:
+  {_around(-1, 0)} + {_around(1, 0)} + {_around(0, -1)} + {_around(0, 1)} - 4 * pixels[i + 1]) as edges
+  from thumbs)
+select image_id as origin, 8 as width, 8 as height, 1 as channels, 64 as size_bytes,
+  round(list_avg(pixels), 6) as brightness, round(list_stddev_pop(pixels), 6) as contrast,
+  round(list_var_pop(edges), 6) as sharpness, list_var_pop(edges) < 100 as is_blurry,
+  {_HASH} as hash from measured""",
         "dup_hash": f"{_DOC_HASH} select * from groups",
         "dup_members": f"{_DOC_HASH} select image_id, hash, n_copies, first_image "
         "from hashed join groups using (hash)",
@@ -651,6 +674,7 @@ select image_id, {_HASH} as hash from thumbs""",
         "fg_same_pairs": f"{_FILES} select * from same",
         "fg_diff_pairs": f"{_FILES} select * from diff",
         "fg_all_pairs": f"{_FILES} select * from same union all select * from diff",
+        "fg_pair_file": f"{_FILES} select * from same union all select * from diff",
         "fg_pair_counts": f"{_FILES} select label, count(*) as pairs from "
         "(select label from same union all select label from diff) group by label",
     }

@@ -14,6 +14,7 @@ from homeward.functions import contacts, identifiers, text, vectors
 from homeward.operators import (
     agepairs,
     embedding,
+    imageaudit,
     matching,
     notifications,
     records,
@@ -25,6 +26,8 @@ from homeward.operators import (
 from homeward.operators.knn import knn_join
 from homeward.plans import casework as cw
 from homeward.session import checkpointed, run_dir
+from homeward.sources import tables
+from homeward.sources.files import read_pairs, write_pairs
 from homeward.streaming.arrivals import match_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +256,20 @@ def _ingest(side: str) -> Query:
     return query
 
 
+def stored_missing(spark, sf):
+    """Intake appended to the stored table, which is then read back."""
+    root = run_dir(spark, "tables")
+    tables.initialize_tables(spark, root)
+    form = cw.table(spark, sf, "missing_uploads").withColumn("gender", F.lower("gender"))
+    stored = records.ingest(form, "missing", cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR)
+    tables.append_rows(stored, root, "missing")
+    back = tables.read_table(spark, root, "missing")
+    return back.withColumn("vector_size", F.size("embedding")).select(
+        "point_id", "case_id", "name", "age_at_disappearance", "year_disappeared", "gender",
+        "collection_type", "upload_timestamp", "estimated_current_age", "vector_size",
+    )
+
+
 def ingest_rejects(spark, sf):
     parts = [
         records.ingest_rejects(cw.table(spark, sf, f"{side}_uploads"), side, cw.VECTOR_DIM)
@@ -453,12 +470,8 @@ def vec_normalize(spark, sf):
 
 def _paired_vectors(spark, sf) -> DataFrame:
     """Every listed pair of lineitem keys that are both in the vector table."""
-    whole = cw.table(spark, sf, "vectors")
-    pairs = cw.table(spark, sf, "vector_pairs")
-    left = whole.select(F.col("image_id").alias("img1"), F.col("embedding").alias("left"))
-    right = whole.select(F.col("image_id").alias("img2"), F.col("embedding").alias("right"))
-    first = vision.lookup_join(pairs, left, "img1", spread="pair_id")
-    return vision.lookup_join(first, right, "img2", spread="pair_id")
+    pairs, whole = cw.table(spark, sf, "vector_pairs"), cw.table(spark, sf, "vectors")
+    return vision.with_vectors(pairs, whole, "pair_id")
 
 
 def _of_pairs(name: str, value: Callable[[Column, Column], Column]) -> Query:
@@ -543,13 +556,15 @@ def image_valid(spark, sf):
     return images.select("image_id", "width", "height", "channels", "is_valid")
 
 
+def _gray(vector: str) -> Column:
+    """Vector components as gray levels."""
+    return F.transform(vector, lambda v: F.round((v.cast("double") + 1.0) * 127.5).cast("int"))
+
+
 def _face_hashes(spark, sf) -> DataFrame:
     """Whole vectors as 8x8 gray thumbnails, hashed."""
-    gray = F.transform(
-        "embedding", lambda v: F.round((v.cast("double") + 1.0) * 127.5).cast("int")
-    )
     return cw.table(spark, sf, "face_thumbs").select(
-        "image_id", vision.average_hash(gray).alias("hash")
+        "image_id", vision.average_hash(_gray("embedding")).alias("hash")
     )
 
 
@@ -562,6 +577,23 @@ def _document_hashes(spark, sf) -> DataFrame:
     )
 
 
+def image_audit(spark, sf):
+    """Whole vectors as decoded 8x8 gray images: pixel statistics and hash of each."""
+    digits = F.transform(_gray("embedding"), lambda p: F.lpad(F.hex(p), 2, "0"))
+    image = F.struct(
+        F.col("image_id").alias("origin"),
+        F.lit(8).alias("height"),
+        F.lit(8).alias("width"),
+        F.lit(1).alias("nChannels"),
+        F.lit(0).alias("mode"),
+        F.unhex(F.array_join(digits, "")).alias("data"),
+    )
+    images = cw.table(spark, sf, "face_thumbs").select(image.alias("image"))
+    audit = imageaudit.image_audit(images)
+    hashed = audit.withColumn("hash", vision.average_hash(F.col("thumbnail")))
+    return _six(hashed.drop("thumbnail"), "brightness", "contrast", "sharpness")
+
+
 def dup_hash(spark, sf):
     return vision.duplicate_groups(_document_hashes(spark, sf))
 
@@ -582,6 +614,13 @@ def _of_files(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: operator(_files(spark, sf))
 
 
+def fg_pair_file(spark, sf):
+    """Pairs written as a CSV data set with header and read back."""
+    path = run_dir(spark, "pairs")
+    write_pairs(agepairs.all_pairs(_files(spark, sf)), path)
+    return read_pairs(spark, path)
+
+
 def fg_overall_stats(spark, sf):
     return _six(agepairs.overall_stats(_files(spark, sf)), "avg_images", "avg_span")
 
@@ -614,6 +653,7 @@ QUERIES: dict[str, Query] = {
     # Tables
     "ingest_missing": _ingest("missing"),
     "ingest_found": _ingest("found"),
+    "stored_missing": stored_missing,
     "ingest_rejects": ingest_rejects,
     "prepare_forms": prepare_forms,
     "list_page": list_page,
@@ -662,6 +702,7 @@ QUERIES: dict[str, Query] = {
     "quality_gate": quality_gate,
     "image_valid": image_valid,
     "avg_hash": _face_hashes,
+    "image_audit": image_audit,
     "dup_hash": dup_hash,
     "dup_members": dup_members,
     "fg_parse": _of_files(agepairs.parse_files),
@@ -674,5 +715,6 @@ QUERIES: dict[str, Query] = {
     "fg_same_pairs": _of_files(agepairs.same_pairs),
     "fg_diff_pairs": _of_files(agepairs.different_pairs),
     "fg_all_pairs": _of_files(lambda f: agepairs.shuffled(agepairs.all_pairs(f))),
+    "fg_pair_file": fg_pair_file,
     "fg_pair_counts": _of_files(lambda f: agepairs.pair_counts(agepairs.all_pairs(f))),
 }

@@ -54,7 +54,7 @@ def test_duplicates(spark):
     images = spark.createDataFrame(rows, "image_id string, hash string")
     groups = {r.hash: r.n_copies for r in vision.duplicate_groups(images).collect()}
     assert groups["hot"] == 1000
-    members = vision.duplicate_members(images).collect()
+    members = vision.duplicate_members(images, hot_rows=50).collect()
     assert len(members) == sum(groups.values())
     assert len({r.image_id for r in members}) == len(members)
 
@@ -67,7 +67,7 @@ def test_verify_pairs_with_a_hot_image(spark):
     )
     rows = [(str(i), "0" if i % 2 else str(i % 40), str(i % 41)) for i in range(4000)]
     pairs = spark.createDataFrame(rows, "pair_id string, img1 string, img2 string")
-    got = vision.verify_pairs(pairs, whole, "pair_id").collect()
+    got = vision.verify_pairs(pairs, whole, "pair_id", hot_rows=100).collect()
     assert len(got) == sum(1 for r in rows if r[2] in data)
     for r in got[:200]:
         a, b = data[r.img1].astype(float), data[r.img2].astype(float)
