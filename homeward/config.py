@@ -14,10 +14,12 @@ class KnnConfig:
     payload_row_bytes: int = 1024  # allowance per row for columns carried beside the vector
     broadcast_query_results: int = 1_000_000  # queries x k held by one task at a time
     spread_below: int = 1_000_000  # query rows up to which they are spread over all cores
-    block_rows: int = 8192  # most rows of either side in one block-pair task, on average
+    block_bytes: int = 32 << 20  # vectors of one side in one block pair, on average
+    block_rows: int | None = None  # rows of either side in one block pair, instead of the above
+    task_bytes: int = 256 << 20  # vectors one block-pair task should read
     max_pivots: int = 1024
     rows_per_pivot: int = 65_536
-    score_chunk: int = 64  # query rows scored at once; bounds the score matrix
+    tile: tuple[int, int] = (256, 4096)  # rows of both sides scored in one matrix product
 
 
 @dataclass(frozen=True)

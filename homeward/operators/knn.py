@@ -146,32 +146,25 @@ class _Job(NamedTuple):
             T.StructField("candidate", self.base.schema["row"].dataType),
         ])
 
-    def _options(self) -> dict:
-        return {
-            "k": self.k,
-            "threshold": self.threshold,
-            "chunk": self.config.score_chunk,
-            "prefilter": self.prefiltered,
-        }
+    def _search(self) -> kernels.Search:
+        return kernels.Search(self.k, self.threshold, self.config.tile, self.prefiltered)
 
     # Small base side
 
     def broadcast_base(self, table: pa.Table, n_queries: int) -> DataFrame:
         context = self.base.sparkSession.sparkContext
         shipped = context.broadcast(table)
-        options = self._options()
+        search = self._search()
         queries = self.queries
         if n_queries <= self.config.spread_below:
             # Few rows come in few partitions, but each makes up to k rows.
             queries = queries.repartition(context.defaultParallelism, "id")
 
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            base = kernels.Side.of(shipped.value)
-            if not options["prefilter"]:
-                base = kernels.without_spare_copies(base, options["k"])
+            base = search.base_side(shipped.value)
             for batch in batches:
                 queries = kernels.Side.of(pa.Table.from_batches([batch]))
-                yield from kernels.score_sides(queries, base, **options).to_batches()
+                yield from search.pairs(queries, base).to_batches()
 
         return queries.mapInArrow(each_partition, self._schema())
 
@@ -179,10 +172,10 @@ class _Job(NamedTuple):
 
     def broadcast_queries(self, table: pa.Table) -> DataFrame:
         shipped = self.base.sparkSession.sparkContext.broadcast(table)
-        options = self._options()
+        search = self._search()
 
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = kernels.RunningBest(kernels.Side.of(shipped.value), **options)
+            best = kernels.RunningBest(kernels.Side.of(shipped.value), search)
             for batch in batches:
                 best.add(pa.Table.from_batches([batch]))
             if best.pairs is not None:
@@ -206,6 +199,19 @@ class _Job(NamedTuple):
         picked = self.base.select("vector", F.xxhash64("id").alias("h")).orderBy("h", "vector")
         return kernels.unit_rows(picked.limit(wanted).select("vector").toArrow()["vector"])
 
+    def _block_rows(self, n_queries: float, n_base: float) -> tuple[int, int]:
+        """Rows per query block and per base block.
+
+        Base blocks are as large as a task can hold, since a query returns up to k pairs per base
+        block. Query blocks are smaller where that is needed to keep all cores busy.
+        """
+        if self.config.block_rows is not None:
+            return self.config.block_rows, self.config.block_rows
+        largest = max(1024, min(65_536, self.config.block_bytes // (8 * self.dim)))
+        cores = self.base.sparkSession.sparkContext.defaultParallelism
+        base_blocks = math.ceil(n_base / largest)
+        return max(256, min(largest, math.ceil(n_queries * base_blocks / (4 * cores)))), largest
+
     def blocked(self, n_base: int) -> DataFrame:
         spark = self.base.sparkSession
         pivots = self._pivots(n_base)
@@ -222,6 +228,8 @@ class _Job(NamedTuple):
                 [pa.array(cell, pa.int32()), pa.array(angle)], ["cell", "angle"]
             )
 
+        # Declared nondeterministic so that inferred filters do not evaluate it a second time.
+        nearest_pivot = nearest_pivot.asNondeterministic()
         placed = self.base.withColumn("_place", nearest_pivot("vector")).select(
             "*", F.col("_place.cell").alias("cell"), F.col("_place.angle").alias("angle")
         ).drop("_place")
@@ -244,19 +252,28 @@ class _Job(NamedTuple):
                 pa.array(offsets, pa.int32()), pa.array(np.nonzero(reach)[1], pa.int32())
             )
 
+        cells_in_reach = cells_in_reach.asNondeterministic()
         routed = self.queries.withColumn("cell", F.explode(cells_in_reach("vector")))
         asked = {
             c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()
         }  # one row per pivot
 
-        size = self.config.block_rows
+        query_rows, base_rows = self._block_rows(sum(asked.values()), sum(rows[c] for c in asked))
         plan = [
-            (cell, math.ceil(rows[cell] / size), math.ceil(n / size)) for cell, n in asked.items()
+            (cell, math.ceil(rows[cell] / base_rows), math.ceil(n / query_rows))
+            for cell, n in asked.items()
         ]
         blocks = F.broadcast(
             spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int")
         )
 
+        # Enough tasks that none has to read much more than task_bytes of replicated vectors.
+        copied = sum(rows[cell] * q + asked[cell] * b for cell, b, q in plan)
+        tasks = max(
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            math.ceil(copied * 4 * self.dim / self.config.task_bytes),
+        )
+
         def share(count: str) -> Column:
             return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
 
@@ -268,6 +285,7 @@ class _Job(NamedTuple):
             .withColumn("query_block", share("query_blocks"))
             .withColumn("base_block", copies("base_blocks"))
             .drop("base_blocks", "query_blocks")
+            .repartition(tasks, *_KEYS)
         )
         right = (
             placed.drop("angle")
@@ -275,14 +293,12 @@ class _Job(NamedTuple):
             .withColumn("base_block", share("base_blocks"))
             .withColumn("query_block", copies("query_blocks"))
             .drop("base_blocks", "query_blocks")
+            .repartition(tasks, *_KEYS)
         )
-        options = self._options()
+        search = self._search()
 
         def block_pair(queries: pa.Table, base: pa.Table) -> pa.Table:
-            right = kernels.Side.of(base)
-            if not options["prefilter"]:
-                right = kernels.without_spare_copies(right, options["k"])
-            return kernels.score_sides(kernels.Side.of(queries), right, **options)
+            return search.pairs(kernels.Side.of(queries), search.base_side(base))
 
         pairs = (
             left.groupBy(*_KEYS)

@@ -76,6 +76,11 @@ def without_spare_copies(side: Side, k: int) -> Side:
     """
     if len(side.unit) <= k:
         return side
+    # Cheap test first: identical vectors have identical hashes.
+    bits = np.ascontiguousarray(side.unit).view(np.uint64)
+    odd = np.arange(bits.shape[1], dtype=np.uint64) * np.uint64(2_654_435_762) + np.uint64(1)
+    if np.unique((bits * odd).sum(axis=1), return_counts=True)[1].max() <= k:
+        return side
     whole_rows = np.ascontiguousarray(side.unit).view(
         np.dtype((np.void, side.unit.dtype.itemsize * side.unit.shape[1]))
     )
@@ -97,50 +102,71 @@ def exact_scores(queries: np.ndarray, base: np.ndarray, q: np.ndarray, b: np.nda
     return np.round(scores, SCORE_DIGITS)
 
 
+def _tile_pairs(
+    queries: Side, base: Side, rows: slice, part: slice, k: int, low: np.ndarray, allowed
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one tile that can be among the k best: (row in tile, base row, exact score).
+
+    A single-precision product picks them, allowing for its rounding; double precision scores
+    them. ``low`` is the score each query has to reach.
+    """
+    rough = queries.rough[rows] @ base.rough[part].T
+    margin = np.float32(queries.unit.shape[1] * 1.2e-7 + 1e-6)
+    if allowed is not None:
+        rough[~allowed(rows, part)] = -np.inf
+    cut = low.astype(np.float32) - margin
+    passing = rough >= cut[:, None]
+    width = rough.shape[1]
+    crowded = np.flatnonzero(np.count_nonzero(passing, axis=1) > k)
+    if len(crowded):
+        some = rough[crowded]
+        kth = np.partition(some, width - k, axis=1)[:, width - k] - 2 * margin
+        passing[crowded] = some >= np.maximum(cut[crowded], kth)[:, None]
+    q, b = np.divmod(np.flatnonzero(passing), width)
+    score = exact_scores(queries.unit[rows], base.unit[part], q, b)
+    enough = score >= low[q]
+    return q[enough], b[enough] + part.start, score[enough]
+
+
 def top_pairs(
     queries: Side,
     base: Side,
     k: int,
     threshold: float,
-    chunk: int,
-    allowed: Callable[[slice], np.ndarray] | None = None,
+    tile: tuple[int, int],
+    allowed: Callable[[slice, slice], np.ndarray] | None = None,
     floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, score) of each query's k best base rows at or above the threshold.
 
-    A single-precision product finds every pair that can be among the best, allowing for its
-    rounding; those pairs are then scored in double precision. ``floor`` is a score per query
-    below which pairs are of no use.
+    Works through tiles of (query rows, base rows) that fit a processor cache; the k-th best
+    score so far is what the next tile has to reach. ``floor`` are such scores to begin with.
     """
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-    n_base = len(base.unit)
-    margin = np.float32(queries.unit.shape[1] * 1.2e-7 + 1e-6)
-    for start in range(0, len(queries.unit) if n_base else 0, chunk):
-        rows = slice(start, start + chunk)
-        rough = queries.rough[rows] @ base.rough.T
-        if allowed is not None:
-            rough[~allowed(rows)] = -np.inf
-        cut = np.full(len(rough), threshold, np.float32)
-        if floor is not None:
-            cut = np.maximum(cut, floor[rows].astype(np.float32))
-        cut -= margin
-        passing = rough >= cut[:, None]
-        crowded = np.flatnonzero(np.count_nonzero(passing, axis=1) > k)
-        if len(crowded):
-            some = rough[crowded]
-            kth = np.partition(some, n_base - k, axis=1)[:, n_base - k] - 2 * margin
-            passing[crowded] = some >= np.maximum(cut[crowded], kth)[:, None]
-        q, b = np.divmod(np.flatnonzero(passing), n_base)
-        q += start
-        score = exact_scores(queries.unit, base.unit, q, b)
-        enough = score >= threshold
-        q, b, score = q[enough], b[enough], score[enough]
-        keep = best_of_group(q, score, base.order[b], k)
-        found.append((q[keep], b[keep], score[keep]))
+    for start in range(0, len(queries.unit), tile[0]):
+        rows = slice(start, start + tile[0])
+        low = np.full(len(queries.unit[rows]), threshold) if floor is None else floor[rows].copy()
+        q, b, score = found[0]
+        for first in range(0, len(base.unit), tile[1]):
+            part = slice(first, first + tile[1])
+            new = _tile_pairs(queries, base, rows, part, k, low, allowed)
+            if not len(new[0]):
+                continue
+            q, b, score = np.r_[q, new[0]], np.r_[b, new[1]], np.r_[score, new[2]]
+            keep = best_of_group(q, score, base.order[b], k)
+            q, b, score = q[keep], b[keep], score[keep]
+            raise_to_kth(low, q, score, k)
+        found.append((q + start, b, score))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def wanted_mask(queries: pa.Table, base: pa.Table) -> Callable[[slice], np.ndarray]:
+def raise_to_kth(low: np.ndarray, query: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Set ``low`` of every query that has k pairs (grouped, best first) to its last score."""
+    full = np.flatnonzero(np.bincount(query, minlength=len(low)) >= k)
+    low[full] = score[np.searchsorted(query, full, side="right") - 1]
+
+
+def wanted_mask(queries: pa.Table, base: pa.Table) -> Callable[[slice, slice], np.ndarray]:
     """Per-query prefilter: equal gender where one is wanted, inclusive age range where given."""
 
     def numbers(rows: pa.Array, name: str) -> np.ndarray:
@@ -153,9 +179,10 @@ def wanted_mask(queries: pa.Table, base: pa.Table) -> Callable[[slice], np.ndarr
     low, high = numbers(wanted, "want_age_low"), numbers(wanted, "want_age_high")
     age = numbers(traits, "age")
 
-    def mask(rows: slice) -> np.ndarray:
+    def mask(rows: slice, part: slice) -> np.ndarray:
         w, lo, hi = want[rows, None], low[rows, None], high[rows, None]
-        return ((w == -1) | (w == gender)) & (np.isnan(lo) | ((age >= lo) & (age <= hi)))
+        g, a = gender[part], age[part]
+        return ((w == -1) | (w == g)) & (np.isnan(lo) | ((a >= lo) & (a <= hi)))
 
     return mask
 
@@ -173,43 +200,45 @@ def pair_table(
     })
 
 
-def score_sides(
-    queries: Side, base: Side, k: int, threshold: float, chunk: int, prefilter: bool
-) -> pa.Table:
-    """Best pairs of two sides as a table."""
-    allowed = wanted_mask(queries.table, base.table) if prefilter else None
-    found = top_pairs(queries, base, k, threshold, chunk, allowed)
-    return pair_table(queries.table, base.table, *found)
+class Search(NamedTuple):
+    """What is looked for, and how."""
+
+    k: int
+    threshold: float
+    tile: tuple[int, int]
+    prefilter: bool
+
+    def base_side(self, table: pa.Table) -> Side:
+        side = Side.of(table)
+        return side if self.prefilter else without_spare_copies(side, self.k)
+
+    def best(self, queries: Side, base: Side, floor: np.ndarray | None = None):
+        """(query row, base row, score) of the best pairs, grouped by query, best first."""
+        allowed = wanted_mask(queries.table, base.table) if self.prefilter else None
+        return top_pairs(queries, base, self.k, self.threshold, self.tile, allowed, floor)
+
+    def pairs(self, queries: Side, base: Side) -> pa.Table:
+        return pair_table(queries.table, base.table, *self.best(queries, base))
 
 
 class RunningBest:
     """The k best pairs per query over a sequence of base batches."""
 
-    def __init__(self, queries: Side, k: int, threshold: float, chunk: int, prefilter: bool):
-        self.queries, self.k, self.threshold, self.chunk = queries, k, threshold, chunk
-        self.prefilter = prefilter
-        self.floor = np.full(len(queries.unit), threshold)
+    def __init__(self, queries: Side, search: Search):
+        self.queries, self.search = queries, search
+        self.floor = np.full(len(queries.unit), search.threshold)
         self.query, self.pairs = np.empty(0, np.int64), None
 
     def add(self, batch: pa.Table) -> None:
-        base, allowed = Side.of(batch), None
-        if self.prefilter:
-            allowed = wanted_mask(self.queries.table, batch)
-        else:
-            base = without_spare_copies(base, self.k)
-        q, b, score = top_pairs(
-            self.queries, base, self.k, self.threshold, self.chunk, allowed, self.floor
-        )
+        base = self.search.base_side(batch)
+        q, b, score = self.search.best(self.queries, base, self.floor)
         pairs = pair_table(self.queries.table, base.table, q, b, score)
         if self.pairs is not None:
             q, pairs = np.r_[self.query, q], pa.concat_tables([self.pairs, pairs])
         score = pairs["face_similarity"].to_numpy()
-        keep = best_of_group(q, score, id_order(pairs["candidate_id"]), self.k)
+        keep = best_of_group(q, score, id_order(pairs["candidate_id"]), self.search.k)
         self.query, self.pairs = q[keep], pairs.take(pa.array(keep))
-        # The k-th score of a full query is what later rows have to reach.
-        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.floor)) >= self.k)
-        last = np.searchsorted(self.query, full, side="right") - 1
-        self.floor[full] = score[keep][last]
+        raise_to_kth(self.floor, self.query, score[keep], self.search.k)
 
 
 def angles_to(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -10,8 +10,10 @@ STRATEGIES = {
     "broadcast_base": KnnConfig(strategy="broadcast_base"),
     "broadcast_queries": KnnConfig(strategy="broadcast_queries"),
     "blocked": KnnConfig(strategy="blocked", rows_per_pivot=20, block_rows=16),
-    "blocked_small_chunks": KnnConfig(
-        strategy="blocked", rows_per_pivot=7, block_rows=5, score_chunk=3
+    "base_in_small_tiles": KnnConfig(strategy="broadcast_base", tile=(7, 11)),
+    "queries_in_small_tiles": KnnConfig(strategy="broadcast_queries", tile=(7, 11)),
+    "blocked_small_tiles": KnnConfig(
+        strategy="blocked", rows_per_pivot=7, block_rows=5, tile=(3, 2)
     ),
 }
 
