@@ -21,13 +21,15 @@ SAME_PERSON = 0.6
 
 
 def detections(faces: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Confident faces (x, y, w, h, confidence) with corner box and area."""
+    """Confident faces (x, y, w, h, confidence) with corner box and area; keypoints if given."""
+    extra = [c for c in ("keypoints",) if c in faces.columns]
     return faces.filter(F.col("confidence") >= min_confidence).select(
         "image_id",
         "face_id",
         F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("bbox"),
         "confidence",
         (F.col("w") * F.col("h")).alias("area"),
+        *extra,
     )
 
 
@@ -39,9 +41,10 @@ def best_face(found: DataFrame, by: str = "confidence") -> DataFrame:
     if by not in ("confidence", "area"):
         raise ValueError("by must be 'confidence' or 'area'")
     second = "area" if by == "confidence" else "confidence"
-    key = F.struct(by, second, "face_id", "bbox")
+    rest = [c for c in found.columns if c not in ("image_id", by, second, "face_id")]
+    key = F.struct(by, second, "face_id", *rest)
     return found.groupBy("image_id").agg(F.max(key).alias("_b")).select(
-        "image_id", "_b.face_id", "_b.bbox", "_b.confidence", "_b.area"
+        "image_id", *[F.col("_b")[c].alias(c) for c in found.columns if c != "image_id"]
     )
 
 

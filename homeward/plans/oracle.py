@@ -6,7 +6,14 @@ from homeward.functions.contacts import EMAIL, EMAIL_INSIDE, PHONE
 from homeward.operators.agepairs import SEED
 from homeward.operators.notifications import LABELS, SUBJECTS
 from homeward.plans import match_sql as M
-from homeward.plans.casework import AS_OF_YEAR, UPLOADED_AT, VECTOR_DIM, cte
+from homeward.plans.casework import (
+    AS_OF_YEAR,
+    FOLDED_DIM,
+    TABLES,
+    UPLOADED_AT,
+    VECTOR_DIM,
+    cte,
+)
 
 _BY_SIDE = {
     "missing": ("case_id", "contact"),
@@ -34,12 +41,9 @@ def _common(side: str) -> str:
 
 
 def _arrivals() -> str:
-    """Only arrivals that can be stored are matched."""
-    storable = (
-        "select point_id from found where found_id is not null and gender is not null "
-        "and current_age_estimate is not null and finder_contact is not null"
-    )
-    return f"{_common('found')} where qid in ({storable})"
+    """Only arrivals without errors are matched."""
+    good = f"select point_id from found where {_upload_errors('found')} = ''"
+    return f"{_common('found')} where qid in ({good})"
 
 
 def _prefiltered() -> str:
@@ -73,7 +77,7 @@ def _uuid(side: str, key: str) -> str:
     return " || '-' || ".join(f"substr({digest}, {a}, {n})" for a, n in parts)
 
 
-def _intake_error(side: str) -> str:
+def _intake_error(side: str, dim: int = VECTOR_DIM) -> str:
     required = {
         "missing": ["case_id", "name", "age_at_disappearance", "year_disappeared", "gender"],
         "found": ["found_id", "current_age_estimate", "gender", "finder_contact"],
@@ -84,7 +88,7 @@ def _intake_error(side: str) -> str:
     return (
         "case when embedding is null or len(embedding) = 0 then "
         "'Embedding cannot be None or empty' "
-        f"when len(embedding) <> {VECTOR_DIM} then 'Embedding must be {VECTOR_DIM}-dimensional, "
+        f"when len(embedding) <> {dim} then 'Embedding must be {dim}-dimensional, "
         f"got ' || len(embedding) {cases} end"
     )
 
@@ -134,107 +138,140 @@ def _bad_contact(name: str) -> str:
     )
 
 
-def _validation(side: str, strict: bool) -> str:
+def _form_rules(side: str) -> list[tuple[str, str]]:
+    """(column, error or NULL) of the form rules in order."""
     genders = "('male', 'female', 'other', 'unknown')"
-    gender = _field("gender", (f"lower(gender) not in {genders}", _GENDER_ERROR))
+    gender = ("gender", _field("gender", (f"lower(gender) not in {genders}", _GENDER_ERROR)))
+
+    def field(name: str, broken: str, message: str) -> tuple[str, str]:
+        return name, _field(name, (broken, message))
+
     if side == "missing":
-        marks = "birthmarks"
-        rules = [
-            _field("name", ("length(trim(name)) < 2", "Name must be at least 2 characters")),
-            _field(
+        return [
+            field("name", "length(trim(name)) < 2", "Name must be at least 2 characters"),
+            field(
                 "age_at_disappearance",
-                (
-                    "age_at_disappearance not between 0 and 120",
-                    "Age at disappearance must be between 0 and 120",
-                ),
+                "age_at_disappearance not between 0 and 120",
+                "Age at disappearance must be between 0 and 120",
             ),
-            _field(
+            field(
                 "year_disappeared",
-                (
-                    f"year_disappeared not between 1900 and {AS_OF_YEAR}",
-                    f"Year disappeared must be between 1900 and {AS_OF_YEAR}",
-                ),
+                f"year_disappeared not between 1900 and {AS_OF_YEAR}",
+                f"Year disappeared must be between 1900 and {AS_OF_YEAR}",
             ),
             gender,
-            _field(
+            field(
                 "location_last_seen",
-                ("length(trim(location_last_seen)) < 3", "Location must be at least 3 characters"),
+                "length(trim(location_last_seen)) < 3",
+                "Location must be at least 3 characters",
             ),
-            _field(
+            field(
                 "contact",
-                (_bad_contact("contact"), "Contact must be a valid email or phone number"),
+                _bad_contact("contact"),
+                "Contact must be a valid email or phone number",
+            ),
+            (
+                "height_cm",
+                "case when height_cm not between 50 and 250 "
+                "then 'Height must be between 50 and 250 cm' end",
+            ),
+            (
+                "birthmarks",
+                "case when len(birthmarks) > 10 then 'Maximum 10 birthmarks allowed' end",
             ),
-            "case when height_cm not between 50 and 250 "
-            "then 'Height must be between 50 and 250 cm' end",
-            "case when len(birthmarks) > 10 then 'Maximum 10 birthmarks allowed' end",
         ]
-        needed = ["name", "location_last_seen", "contact"]
-        texts = {"name": (2, 100), "additional_info": (0, 1000), "location_last_seen": (3, 200)}
+    return [
+        field(
+            "current_age_estimate",
+            "current_age_estimate not between 0 and 120",
+            "Current age estimate must be between 0 and 120",
+        ),
+        gender,
+        field(
+            "current_location",
+            "length(trim(current_location)) < 3",
+            "Current location must be at least 3 characters",
+        ),
+        field(
+            "finder_contact",
+            _bad_contact("finder_contact"),
+            "Finder contact must be a valid email or phone number",
+        ),
+        (
+            "visible_marks",
+            "case when len(visible_marks) > 10 then 'Maximum 10 visible marks allowed' end",
+        ),
+        (
+            "current_condition",
+            "case when length(current_condition) > 500 "
+            "then 'Current condition must be less than 500 characters' end",
+        ),
+    ]
+
+
+def _declared_rules(side: str) -> list[tuple[str, str]]:
+    """(column, error or NULL) of the declared constraints in order."""
+    genders = "('male', 'female', 'other', 'unknown')"
+    texts = {"name": (2, 100), "additional_info": (0, 1000)}
+    if side == "missing":
+        needed, marks = ["name", "location_last_seen", "contact"], "birthmarks"
+        texts["location_last_seen"] = (3, 200)
         numbers = {
             "age_at_disappearance": (0, 120),
             "year_disappeared": (1900, AS_OF_YEAR),
             "height_cm": (50, 250),
         }
     else:
-        marks = "visible_marks"
-        rules = [
-            _field(
-                "current_age_estimate",
-                (
-                    "current_age_estimate not between 0 and 120",
-                    "Current age estimate must be between 0 and 120",
-                ),
-            ),
-            gender,
-            _field(
-                "current_location",
-                (
-                    "length(trim(current_location)) < 3",
-                    "Current location must be at least 3 characters",
-                ),
-            ),
-            _field(
-                "finder_contact",
-                (
-                    _bad_contact("finder_contact"),
-                    "Finder contact must be a valid email or phone number",
-                ),
-            ),
-            "case when len(visible_marks) > 10 then 'Maximum 10 visible marks allowed' end",
-            "case when length(current_condition) > 500 "
-            "then 'Current condition must be less than 500 characters' end",
-        ]
-        needed = ["current_location", "finder_contact"]
-        texts = {
-            "name": (2, 100),
-            "additional_info": (0, 1000),
-            "current_location": (3, 200),
-            "current_condition": (0, 500),
-        }
+        needed, marks = ["current_location", "finder_contact"], "visible_marks"
+        texts |= {"current_location": (3, 200), "current_condition": (0, 500)}
         numbers = {"current_age_estimate": (0, 120)}
-    if strict:
-        rules += [f"case when {n} is null then '{n}: required' end" for n in needed]
-        rules += [
-            f"case when length({n}) not between {a} and {b} "
-            f"then '{n}: length must be {a} to {b}' end"
-            for n, (a, b) in texts.items()
-        ]
-        rules += [
-            f"case when {n} not between {a} and {b} then '{n}: must be {a} to {b}' end"
-            for n, (a, b) in numbers.items()
-        ]
-        rules.append(f"case when len({marks}) > 10 then '{marks}: at most 10 items' end")
+    rules = [(n, f"case when {n} is null then '{n}: required' end") for n in needed]
+    for n, (a, b) in texts.items():
+        error = f"'{n}: length must be {a} to {b}'"
+        rules.append((n, f"case when length({n}) not between {a} and {b} then {error} end"))
+    for n, (a, b) in numbers.items():
         rules.append(
-            f"case when gender is null or gender not in {genders} "
-            "then 'gender: one of male, female, other, unknown' end"
+            (n, f"case when {n} not between {a} and {b} then '{n}: must be {a} to {b}' end")
         )
-    errors = f"concat_ws(' | ', {', '.join(rules)})"
+    rules.append((marks, f"case when len({marks}) > 10 then '{marks}: at most 10 items' end"))
+    rules.append((
+        "gender",
+        f"case when gender is null or gender not in {genders} "
+        "then 'gender: one of male, female, other, unknown' end",
+    ))
+    return rules
+
+
+def _joined(rules: list[tuple[str, str]], columns=None) -> str:
+    picked = [error for name, error in rules if columns is None or name in columns]
+    return f"concat_ws(' | ', {', '.join(picked)})"
+
+
+def _validation(side: str, strict: bool) -> str:
+    marks = "birthmarks" if side == "missing" else "visible_marks"
+    rules = _form_rules(side) + (_declared_rules(side) if strict else [])
     return f"""{cte(f"{side}_forms")},
 listed as (select *, {_list(marks + "_text")} as {marks} from {side}_forms),
-checked as (select point_id, {errors} as errors from listed)
+checked as (select point_id, {_joined(rules)} as errors from listed)
 select point_id, errors = '' as is_valid, errors from checked"""
 
 
+def _upload_errors(side: str) -> str:
+    columns = TABLES[side][2]
+    rules = _declared_rules(side) + _form_rules(side)
+    return _joined(
+        [*((n, e) for n, e in rules if n in columns), ("", _intake_error(side, FOLDED_DIM))]
+    )
+
+
+def _upload(side: str) -> str:
+    key = _BY_SIDE[side][0]
+    return f"""{cte(side)},
+checked as (select *, {_upload_errors(side)} as all_errors from {side})
+select {key}, case when all_errors = '' then {_uuid(side, key)} end as point_id,
+  nullif(all_errors, '') as errors from checked"""
+
+
 def _validate_searches() -> str:
     rules = [
         "case when max_results not between 1 and 100 "
@@ -532,6 +569,8 @@ select qid as query_id, cid as candidate_id, round(conf, 6) as confidence_score,
         "ingest_found": _ingest("found"),
         "stored_missing": _ingest("missing"),
         "ingest_rejects": _ingest_rejects(),
+        "upload_missing": _upload("missing"),
+        "upload_found": _upload("found"),
         "prepare_forms": f"""{cte("missing_forms")}
 select point_id, case when height_cm is not null then case_id
     else 'MISS_' || epoch_ms(timestamp '{UPLOADED_AT}') end as case_id,

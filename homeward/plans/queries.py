@@ -20,6 +20,7 @@ from homeward.operators import (
     records,
     search,
     stats,
+    uploads,
     validation,
     vision,
 )
@@ -279,6 +280,24 @@ def ingest_rejects(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _upload(side: str) -> Query:
+    """Outcome of uploading every record of a side: stored, or rejected with its errors."""
+
+    def query(spark, sf):
+        forms = cw.table(spark, sf, side)
+        done = uploads.upload(forms, side, CONFIG, cw.UPLOADED_AT)
+        key = "case_id" if side == "missing" else "found_id"
+        stored = done.stored.select(
+            key, F.col("point_id"), F.lit(None).cast("string").alias("errors")
+        )
+        rejected = done.rejected.select(
+            key, F.lit(None).cast("string").alias("point_id"), F.array_join("errors", " | ")
+        )
+        return stored.union(rejected)
+
+    return query
+
+
 def prepare_forms(spark, sf):
     moment = F.lit(cw.UPLOADED_AT).cast("timestamp_ntz")
     form = cw.table(spark, sf, "missing_forms").withColumn(
@@ -655,6 +674,8 @@ QUERIES: dict[str, Query] = {
     "ingest_found": _ingest("found"),
     "stored_missing": stored_missing,
     "ingest_rejects": ingest_rejects,
+    "upload_missing": _upload("missing"),
+    "upload_found": _upload("found"),
     "prepare_forms": prepare_forms,
     "list_page": list_page,
     "delete_points": delete_points,

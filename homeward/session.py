@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -34,10 +35,17 @@ def ship_package() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster for checkpoints and intermediate tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder every executor can reach, for checkpoints and intermediate tables.
+
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session without one gets its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="homeward-")
+        context.setCheckpointDir(folder)
     return folder
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from homeward.config import ConfidenceConfig, MatchConfig
 from homeward.operators.matching import COMMON, match
-from homeward.operators.records import intake_error
+from homeward.operators.uploads import check_uploads
 
 
 def match_arrivals(
@@ -30,7 +30,7 @@ def match_arrivals(
 ) -> StreamingQuery:
     """Start matching a stream of records of ``side``; ``other_table`` reads the current snapshot.
 
-    ``output/records`` receives the stored records, ``output/rejects`` the others with ``error``,
+    ``output/records`` receives the stored records, ``output/rejects`` the others with ``errors``,
     ``output/matches`` the matches. ``trigger`` is passed on, e.g. ``availableNow=True``.
     """
 
@@ -38,11 +38,10 @@ def match_arrivals(
         def target(name: str) -> str:
             return f"{output}/{name}/batch_id={batch_id}"
 
-        checked = batch.withColumn("error", intake_error(side, config.dim))
-        checked.filter(F.col("error").isNotNull()).write.mode("overwrite").parquet(
-            target("rejects")
-        )
-        accepted = checked.filter(F.col("error").isNull()).drop("error")
+        checked = check_uploads(batch, side, config)
+        rejected = checked.filter(~F.col("is_valid")).drop("is_valid")
+        rejected.write.mode("overwrite").parquet(target("rejects"))
+        accepted = checked.filter(F.col("is_valid")).drop("errors", "is_valid")
         accepted.write.mode("overwrite").parquet(target("records"))
         # Match what was stored: the batch is not computed again.
         spark = batch.sparkSession

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from homeward.config import MatchConfig
 from homeward.operators import matching, records, stats
+from homeward.operators.uploads import check_uploads, upload
 from homeward.plans import casework as cw
 from homeward.schemas import FOUND_TABLE, MISSING_TABLE
 from homeward.sources import tables
@@ -61,7 +62,8 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, arrivals):
     columns = ["query_id", "candidate_id", "match_rank", "combined_score"]
     streamed = spark.read.parquet(f"{out}/matches")
     assert streamed.select("batch_id").distinct().count() > 1
-    storable = found.filter(records.intake_error("found", 4).isNull())
+    checked = check_uploads(found, "found", CONFIG)
+    storable = checked.filter("is_valid").drop("errors", "is_valid")
     missing = cw.table(spark, sf_dir, "missing")
     batch = matching.match_found_to_missing(missing, storable, CONFIG, explain=False)
     want = sorted(map(tuple, batch.select(*columns).collect()))
@@ -75,6 +77,17 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, arrivals):
     assert sorted(map(tuple, spark.read.parquet(f"{out}/matches").select(*columns).collect())) == want
 
 
+def test_upload_splits_whole_tables(spark, sf_dir):
+    missing = cw.table(spark, sf_dir, "missing")
+    done = upload(missing, "missing", CONFIG, "2024-06-01")
+    assert done.stored.count() + done.rejected.count() == missing.count()
+    assert done.stored.filter("collection_type = 'missing'").count() == done.stored.count() > 0
+    errors = {e for r in done.rejected.collect() for e in r.errors}
+    assert "Contact must be a valid email or phone number" in errors
+    assert "Missing required field: gender" in errors
+    assert "Missing required metadata field: gender" in errors
+
+
 def test_confidence_histogram(spark):
     df = spark.createDataFrame(
         [("found", "LOW", 0.4, 0.5), ("found", "LOW", 0.6, 0.7), ("missing", "HIGH", 0.8, 0.9)],

@@ -115,11 +115,10 @@ def test_thumbnail_of_an_8x8_image_is_the_image():
     assert (imageaudit.thumbnail(gray) == gray).all()
 
 
-def make_model():
-    return lambda batch: batch[:, ::-1] * 3.0
-
-
 def test_embedding_hook(spark):
+    def make_model():
+        return lambda batch: batch[:, ::-1] * 3.0
+
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [1.0])], "id int, t array<float>")
     (row,) = embed(df, "t", [2], make_model).collect()
     assert row.id == 1 and row.embedding == pytest.approx([0.8, 0.6])
