@@ -10,8 +10,8 @@ class KnnConfig:
     """Physical choices of the nearest-neighbour join; none of them changes its result."""
 
     strategy: str = "auto"  # auto | broadcast_base | broadcast_queries | blocked
-    broadcast_bytes: int = 64 << 20  # the most that is shipped to every worker
-    payload_row_bytes: int = 1024  # allowance per row for columns carried beside the vector
+    # Most bytes of vectors, and of columns carried beside them, shipped to every worker.
+    broadcast_bytes: int = 64 << 20
     broadcast_query_results: int = 1_000_000  # queries x k held by one task at a time
     spread_below: int = 1_000_000  # query rows up to which they are spread over all cores
     block_bytes: int = 32 << 20  # vectors of one side in one block pair, on average

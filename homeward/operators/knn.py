@@ -19,8 +19,9 @@ Three physical strategies give the same rows:
     cell.
 
 Scores are cosines rounded to nine decimals, ties go to the smaller id. Rounding
-makes the order independent of how a matrix product was blocked. Base ids must
-be unique.
+makes the order independent of how a matrix product was blocked. Ids must be
+unique on either side. Both sides are read more than once, so pass stored tables
+rather than results that are expensive to compute.
 """
 
 from __future__ import annotations
@@ -110,18 +111,15 @@ class _Job(NamedTuple):
 
     def plan(self) -> DataFrame:
         strategy = self.config.strategy
-        row_bytes = 8 * self.dim + self.config.payload_row_bytes
-        small = max(1, self.config.broadcast_bytes // row_bytes)
+        small = max(1, self.config.broadcast_bytes // (8 * self.dim))
         few = max(1, min(small, self.config.broadcast_query_results // self.k))
         n_queries, n_base = self._counts()
         if strategy in ("auto", "broadcast_base") and n_base <= small:
-            table = self._collect_small(self.base)
-            if table is not None:
-                return self.broadcast_base(table, n_queries)
+            if self._is_narrow(self.base):
+                return self.broadcast_base(self.base.toArrow(), n_queries)
         if strategy in ("auto", "broadcast_queries") and n_queries <= few:
-            table = self._collect_small(self.queries)
-            if table is not None:
-                return self.broadcast_queries(table)
+            if self._is_narrow(self.queries):
+                return self.broadcast_queries(self.queries.toArrow())
         return self.blocked(n_base)
 
     def _counts(self) -> tuple[int, int]:
@@ -132,10 +130,10 @@ class _Job(NamedTuple):
         found = {r["side"]: r["count"] for r in counted.groupBy("side").count().collect()}
         return found.get(0, 0), found.get(1, 0)
 
-    def _collect_small(self, side: DataFrame) -> pa.Table | None:
-        """A side of checked row count as one table, unless its rows turn out too wide to ship."""
-        table = side.toArrow()
-        return table if table.nbytes <= 2 * self.config.broadcast_bytes else None
+    def _is_narrow(self, side: DataFrame) -> bool:
+        """Whether the carried columns of a side of few rows fit the limit, measured as text."""
+        carried = F.sum(F.length(F.col("row").cast("string")))
+        return (side.agg(carried).first()[0] or 0) <= self.config.broadcast_bytes
 
     def _schema(self) -> T.StructType:
         return T.StructType([

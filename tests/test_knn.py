@@ -105,7 +105,7 @@ def test_unusable_vectors_take_no_part(spark):
 
 
 def test_auto_never_ships_a_side_above_the_limit(spark):
-    tiny = KnnConfig(broadcast_bytes=4096, payload_row_bytes=64, block_rows=16, rows_per_pivot=30)
+    tiny = KnnConfig(broadcast_bytes=4096, block_rows=16, rows_per_pivot=30)
     queries, base = people(1, 80, 8), people(2, 90, 8)
     q, b = [spark.createDataFrame(r, SCHEMA) for r in (queries, base)]
     plan = knn_join(q, b, 5, 0.45, 8, config=tiny)
@@ -115,6 +115,21 @@ def test_auto_never_ships_a_side_above_the_limit(spark):
     assert got == brute_force(queries, base, 5, 0.45)
 
 
+def test_wide_rows_are_not_shipped(spark):
+    config = KnnConfig(broadcast_bytes=20_000)
+    q, b = [spark.createDataFrame(people(s, 30, 8), SCHEMA) for s in (1, 2)]
+    wide = b.withColumn("gender", F.repeat(F.lit("x"), 2000))
+    plans = [
+        knn_join(q, side, 5, 0.45, 8, base_columns=["gender"], config=config)
+        for side in (b, wide)
+    ]
+    shipped = ["MapInArrow" in p._jdf.queryExecution().toString() for p in plans]
+    scanned = ["WindowGroupLimit" in p._jdf.queryExecution().toString() for p in plans]
+    assert shipped == [True, True] and scanned == [False, True]
+    rows = [sorted((r[0], r[1]) for r in p.collect()) for p in plans]
+    assert rows[0] == rows[1]
+
+
 def test_carried_columns(spark):
     rows = people(1, 10, 6)
     q = spark.createDataFrame(rows, SCHEMA)
