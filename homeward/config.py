@@ -12,13 +12,14 @@ class KnnConfig:
     strategy: str = "auto"  # auto | broadcast_base | broadcast_queries | blocked
     # Most bytes of vectors, and of columns carried beside them, shipped to every worker.
     broadcast_bytes: int = 64 << 20
-    broadcast_query_results: int = 1_000_000  # queries x k held by one task at a time
     spread_below: int = 1_000_000  # query rows up to which they are spread over all cores
-    block_bytes: int = 32 << 20  # vectors of one side in one block pair, on average
-    block_rows: int | None = None  # rows of either side in one block pair, instead of the above
-    task_bytes: int = 256 << 20  # vectors one block-pair task should read
+    task_results: int = 1_000_000  # queries x k held by one task
+    block_bytes: int = 64 << 20  # vectors of one query block, held by a task
+    task_bytes: int = 1 << 30  # vectors of one base block, streamed through a task
+    stream_bytes: int = 32 << 20  # vectors of base rows scored at a time while streaming
+    block_rows: int | None = None  # rows of either block, instead of the above
     max_pivots: int = 1024
-    rows_per_pivot: int = 65_536
+    rows_per_pivot: int = 500_000
     tile: tuple[int, int] = (256, 4096)  # rows of both sides scored in one matrix product
 
 

@@ -15,8 +15,8 @@ Three physical strategies give the same rows:
     cannot rule out, given the score threshold and an upper bound on the
     distance of its k-th neighbour (compare the Voronoi-partitioned kNN join of
     Lu et al., PVLDB 2012). Cells are cut into blocks of bounded size, so a cell
-    that holds a third of all rows becomes many tasks and no task holds a whole
-    cell.
+    that holds a third of all rows becomes many tasks. A task keeps one query
+    block in memory and streams one base block past it.
 
 Scores are cosines rounded to nine decimals, ties go to the smaller id. Rounding
 makes the order independent of how a matrix product was blocked. Ids must be
@@ -26,6 +26,7 @@ rather than results that are expensive to compute.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -112,7 +113,7 @@ class _Job(NamedTuple):
     def plan(self) -> DataFrame:
         strategy = self.config.strategy
         small = max(1, self.config.broadcast_bytes // (8 * self.dim))
-        few = max(1, min(small, self.config.broadcast_query_results // self.k))
+        few = max(1, min(small, self.config.task_results // self.k))
         n_queries, n_base = self._counts()
         if strategy in ("auto", "broadcast_base") and n_base <= small:
             if self._is_narrow(self.base):
@@ -147,6 +148,10 @@ class _Job(NamedTuple):
     def _search(self) -> kernels.Search:
         return kernels.Search(self.k, self.threshold, self.config.tile, self.prefiltered)
 
+    def _stream_rows(self) -> int:
+        """Base rows scored between two updates of the running result."""
+        return max(4096, self.config.stream_bytes // (8 * self.dim))
+
     # Small base side
 
     def broadcast_base(self, table: pa.Table, n_queries: int) -> DataFrame:
@@ -161,8 +166,7 @@ class _Job(NamedTuple):
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = search.base_side(shipped.value)
             for batch in batches:
-                queries = kernels.Side.of(pa.Table.from_batches([batch]))
-                yield from search.pairs(queries, base).to_batches()
+                yield from search.batches(pa.Table.from_batches([batch]), base)
 
         return queries.mapInArrow(each_partition, self._schema())
 
@@ -170,14 +174,14 @@ class _Job(NamedTuple):
 
     def broadcast_queries(self, table: pa.Table) -> DataFrame:
         shipped = self.base.sparkSession.sparkContext.broadcast(table)
-        search = self._search()
+        search, stream_rows = self._search(), self._stream_rows()
 
         def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = kernels.RunningBest(kernels.Side.of(shipped.value), search)
-            for batch in batches:
-                best.add(pa.Table.from_batches([batch]))
-            if best.pairs is not None:
-                yield from best.pairs.to_batches()
+            best = kernels.RunningBest(shipped.value, search)
+            tables = (pa.Table.from_batches([batch]) for batch in batches)
+            for table in kernels.gathered(tables, stream_rows):
+                best.add(table)
+            yield from best.batches()
 
         return self._final_cut(self.base.mapInArrow(each_partition, self._schema()))
 
@@ -200,15 +204,17 @@ class _Job(NamedTuple):
     def _block_rows(self, n_queries: float, n_base: float) -> tuple[int, int]:
         """Rows per query block and per base block.
 
-        Base blocks are as large as a task can hold, since a query returns up to k pairs per base
-        block. Query blocks are smaller where that is needed to keep all cores busy.
+        A task holds one query block and streams base blocks past it, so base blocks may be large;
+        they are, since a query returns up to k pairs per base block. Query blocks are as large as
+        memory allows, or smaller where that is needed to keep all cores busy.
         """
         if self.config.block_rows is not None:
             return self.config.block_rows, self.config.block_rows
-        largest = max(1024, min(65_536, self.config.block_bytes // (8 * self.dim)))
+        base_rows = max(1, self.config.task_bytes // (4 * self.dim))
+        most = min(self.config.block_bytes // (8 * self.dim), self.config.task_results // self.k)
         cores = self.base.sparkSession.sparkContext.defaultParallelism
-        base_blocks = math.ceil(n_base / largest)
-        return max(256, min(largest, math.ceil(n_queries * base_blocks / (4 * cores)))), largest
+        even = math.ceil(n_queries * math.ceil(n_base / base_rows) / (4 * cores))
+        return max(1, min(most, max(256, even))), base_rows
 
     def blocked(self, n_base: int) -> DataFrame:
         spark = self.base.sparkSession
@@ -282,25 +288,36 @@ class _Job(NamedTuple):
             routed.join(blocks, "cell")
             .withColumn("query_block", share("query_blocks"))
             .withColumn("base_block", copies("base_blocks"))
-            .drop("base_blocks", "query_blocks")
-            .repartition(tasks, *_KEYS)
+            .withColumnRenamed("row", "query")
         )
         right = (
             placed.drop("angle")
             .join(blocks, "cell")
             .withColumn("base_block", share("base_blocks"))
             .withColumn("query_block", copies("query_blocks"))
-            .drop("base_blocks", "query_blocks")
-            .repartition(tasks, *_KEYS)
+            .withColumnRenamed("row", "candidate")
         )
-        search = self._search()
-
-        def block_pair(queries: pa.Table, base: pa.Table) -> pa.Table:
-            return search.pairs(kernels.Side.of(queries), search.base_side(base))
+        both = left.withColumn("is_base", F.lit(False)).unionByName(
+            right.withColumn("is_base", F.lit(True)), allowMissingColumns=True
+        )
+        search, stream_rows = self._search(), self._stream_rows()
+
+        def block_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The queries of the block come first, then base rows stream past them."""
+            mine, first = kernels.leading_queries(batches)
+            if mine is None or first is None:
+                return
+            best = kernels.RunningBest(mine, search)
+            rest = (kernels.as_side(pa.Table.from_batches([b]), "candidate") for b in batches)
+            for table in kernels.gathered(itertools.chain([first], rest), stream_rows):
+                best.add(table)
+            yield from best.batches()
 
         pairs = (
-            left.groupBy(*_KEYS)
-            .cogroup(right.groupBy(*_KEYS))
+            both.drop("base_blocks", "query_blocks")
+            .repartition(tasks, *_KEYS)
+            .sortWithinPartitions(*_KEYS, "is_base")
+            .groupBy(*_KEYS)
             .applyInArrow(block_pair, self._schema())
         )
         return self._final_cut(pairs)

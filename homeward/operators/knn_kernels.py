@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,8 +17,9 @@ SCORE_DIGITS = 9
 SLACK = 1e-6
 
 
-# Pairs scored in double precision at a time.
+# Pairs scored in double precision at a time, and pairs returned at a time.
 _EXACT_ROWS = 16_384
+_OUTPUT_ROWS = 20_000
 
 
 def _array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -55,11 +56,8 @@ class Side(NamedTuple):
         return cls(table, unit, unit.astype(np.float32), id_order(table["id"]))
 
 
-def best_of_group(
-    group: np.ndarray, score: np.ndarray, order: np.ndarray, k: int
-) -> np.ndarray:
-    """Indices of the k best entries of every group: highest score, then lowest order."""
-    ranked = np.lexsort((order, -score, group))
+def first_of_group(group: np.ndarray, ranked: np.ndarray, k: int) -> np.ndarray:
+    """First k of every group of an order ``ranked`` that keeps groups together."""
     if not len(ranked):
         return ranked
     by_group = group[ranked]
@@ -69,6 +67,13 @@ def best_of_group(
     return ranked[position - first < k]
 
 
+def best_of_group(
+    group: np.ndarray, score: np.ndarray, order: np.ndarray, k: int
+) -> np.ndarray:
+    """Indices of the k best entries of every group: highest score, then lowest order."""
+    return first_of_group(group, np.lexsort((order, -score, group)), k)
+
+
 def without_spare_copies(side: Side, k: int) -> Side:
     """Keep the k lowest ids of every group of identical vectors; no more of them can be used.
 
@@ -217,28 +222,101 @@ class Search(NamedTuple):
         allowed = wanted_mask(queries.table, base.table) if self.prefilter else None
         return top_pairs(queries, base, self.k, self.threshold, self.tile, allowed, floor)
 
-    def pairs(self, queries: Side, base: Side) -> pa.Table:
-        return pair_table(queries.table, base.table, *self.best(queries, base))
+    def batches(self, queries: pa.Table, base: Side) -> Iterator[pa.RecordBatch]:
+        """Best pairs of a batch of queries, a bounded number of rows at a time."""
+        rows = max(1, _OUTPUT_ROWS // self.k)
+        for start in range(0, len(queries), rows):
+            some = Side.of(queries.slice(start, rows))
+            pairs = pair_table(some.table, base.table, *self.best(some, base))
+            yield from pairs.combine_chunks().to_batches()
+
+
+def as_side(table: pa.Table, row: str) -> pa.Table:
+    """Rename the column of carried values to the name both sides use."""
+    return table.rename_columns(["row" if c == row else c for c in table.column_names])
+
+
+def leading_queries(
+    batches: Iterator[pa.RecordBatch],
+) -> tuple[pa.Table | None, pa.Table | None]:
+    """Read the query rows that open a block pair, and the base rows of the last batch read.
+
+    Either is None when there are none, and then nothing can match.
+    """
+    queries = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        n = len(table) - pc.sum(table["is_base"]).as_py()
+        if n:
+            queries.append(as_side(table.slice(0, n), "query"))
+        if n < len(table):
+            mine = pa.concat_tables(queries).combine_chunks() if queries else None
+            return mine, as_side(table.slice(n), "candidate")
+    return (pa.concat_tables(queries) if queries else None), None
+
+
+def gathered(tables: Iterable[pa.Table], rows: int) -> Iterator[pa.Table]:
+    """The same rows in fewer, larger tables of about ``rows`` rows."""
+    held: list[pa.Table] = []
+    for table in tables:
+        held.append(table)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_tables(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
 
 class RunningBest:
-    """The k best pairs per query over a sequence of base batches."""
+    """The k best base rows per query over a stream of base batches.
+
+    Holds index and score of the current pairs and, once each, the base rows they refer to.
+    """
 
-    def __init__(self, queries: Side, search: Search):
-        self.queries, self.search = queries, search
-        self.floor = np.full(len(queries.unit), search.threshold)
-        self.query, self.pairs = np.empty(0, np.int64), None
+    def __init__(self, queries: pa.Table, search: Search):
+        self.queries, self.search = Side.of(queries), search
+        self.floor = np.full(len(self.queries.unit), search.threshold)
+        self.query, self.row = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.score = np.empty(0)
+        self.rows: pa.Table | None = None
 
     def add(self, batch: pa.Table) -> None:
         base = self.search.base_side(batch)
         q, b, score = self.search.best(self.queries, base, self.floor)
-        pairs = pair_table(self.queries.table, base.table, q, b, score)
-        if self.pairs is not None:
-            q, pairs = np.r_[self.query, q], pa.concat_tables([self.pairs, pairs])
-        score = pairs["face_similarity"].to_numpy()
-        keep = best_of_group(q, score, id_order(pairs["candidate_id"]), self.search.k)
-        self.query, self.pairs = q[keep], pairs.take(pa.array(keep))
-        raise_to_kth(self.floor, self.query, score[keep], self.search.k)
+        if not len(q):
+            return
+        used, position = np.unique(b, return_inverse=True)
+        new = base.table.select(["id", "row"]).take(pa.array(used))
+        known = 0 if self.rows is None else len(self.rows)
+        self.rows = new if self.rows is None else pa.concat_tables([self.rows, new])
+        self.query = np.r_[self.query, q]
+        self.row = np.r_[self.row, known + position]
+        self.score = np.r_[self.score, score]
+        self._cut()
+
+    def _cut(self) -> None:
+        ranked = np.lexsort((-self.score, self.query))
+        q, s = self.query[ranked], self.score[ranked]
+        same = (q[1:] == q[:-1]) & (s[1:] == s[:-1])
+        if same.any():  # only now do ids matter
+            tied = ranked[np.r_[False, same] | np.r_[same, False]]
+            order = np.zeros(len(q), np.int64)
+            order[tied] = id_order(self.rows["id"].take(pa.array(self.row[tied])))
+            ranked = np.lexsort((order, -self.score, self.query))
+        keep = first_of_group(self.query, ranked, self.search.k)
+        self.query, self.row, self.score = self.query[keep], self.row[keep], self.score[keep]
+        raise_to_kth(self.floor, self.query, self.score, self.search.k)
+        if len(self.rows) > 2 * len(self.row) + 10_000 or self.rows["id"].num_chunks > 100:
+            used, self.row = np.unique(self.row, return_inverse=True)
+            self.rows = self.rows.take(pa.array(used)).combine_chunks()
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(self.query), _OUTPUT_ROWS):
+            part = slice(start, start + _OUTPUT_ROWS)
+            pairs = pair_table(
+                self.queries.table, self.rows, self.query[part], self.row[part], self.score[part]
+            )
+            yield from pairs.combine_chunks().to_batches()
 
 
 def angles_to(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -110,7 +110,7 @@ def test_auto_never_ships_a_side_above_the_limit(spark):
     q, b = [spark.createDataFrame(r, SCHEMA) for r in (queries, base)]
     plan = knn_join(q, b, 5, 0.45, 8, config=tiny)
     text = plan._jdf.queryExecution().toString()
-    assert "FlatMapCoGroupsInArrow" in text
+    assert "FlatMapGroupsInArrow" in text
     got = {(r[0], r[1], round(r[2], 6)) for r in plan.collect()}
     assert got == brute_force(queries, base, 5, 0.45)
 
