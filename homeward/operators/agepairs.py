@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homeward.session import checkpointed
+
 # File name layout and target layout.
 FILE_NAME = r"^(\d{3})([AB])(\d{2})"
 TARGET = "person_%s/age_%02d.jpg"
@@ -99,10 +101,14 @@ def _pairs_of(people: DataFrame, min_age_gap: int) -> DataFrame:
     })
 
 
+def _same_pairs(people: DataFrame, min_age_gap: int) -> DataFrame:
+    pairs = _pairs_of(people, min_age_gap)
+    return pairs.select("img1", "img2", F.lit(1).alias("label"), "age_gap")
+
+
 def same_pairs(files: DataFrame, min_age_gap: int = 10) -> DataFrame:
     """All pairs of one person at least ``min_age_gap`` years apart, at most 4,950 per person."""
-    pairs = _pairs_of(persons(files), min_age_gap)
-    return pairs.select("img1", "img2", F.lit(1).alias("label"), "age_gap")
+    return _same_pairs(persons(files), min_age_gap)
 
 
 def _draw(role: str, seed: int) -> Column:
@@ -118,8 +124,12 @@ def different_pairs(files: DataFrame, min_age_gap: int = 10, seed: int = SEED) -
     seeded hashes of its own paths. That gives the wanted number without counting first, and the
     same pairs again when a task is repeated. Draws may repeat.
     """
+    return _different_pairs(checkpointed(persons(files)), min_age_gap, seed)
+
+
+def _different_pairs(people: DataFrame, min_age_gap: int, seed: int) -> DataFrame:
     everyone = Window.orderBy("person_id")  # at most 1,000 rows
-    people = persons(files).withColumns({
+    people = people.withColumns({
         "place": (F.row_number().over(everyone) - 1).cast("bigint"),
         "n_people": F.count("*").over(Window.partitionBy()).cast("bigint"),
     })
@@ -158,7 +168,11 @@ def different_pairs(files: DataFrame, min_age_gap: int = 10, seed: int = SEED) -
 
 
 def all_pairs(files: DataFrame, min_age_gap: int = 10, seed: int = SEED) -> DataFrame:
-    return same_pairs(files, min_age_gap).unionByName(different_pairs(files, min_age_gap, seed))
+    """Same-person and different-person pairs; the file list is read once."""
+    people = checkpointed(persons(files))
+    return _same_pairs(people, min_age_gap).unionByName(
+        _different_pairs(people, min_age_gap, seed)
+    )
 
 
 def shuffled(pairs: DataFrame, seed: int = SEED) -> DataFrame:
