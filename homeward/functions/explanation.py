@@ -45,12 +45,13 @@ def _alert_cases(parts: Parts, texts: dict[str, str]) -> list[tuple[Column, Colu
     """A near-perfect face on contradicting metadata is suspicious."""
     face, metadata = parts["face_similarity"], parts["metadata_consistency"]
     return [
-        ((face > 0.95) & (metadata < 0.3), F.lit(texts["warning"])),
-        ((face > 0.90) & (metadata < 0.4), F.lit(texts["caution"])),
+        ((face > above) & (metadata < below), F.lit(texts[name]))
+        for name, (above, below) in W.ALERTS.items()
     ]
 
 
-def _high_low(score: Column, high: float, low: float, name: str) -> Column:
+def _high_low(name: str, score: Column) -> Column:
+    high, low = W.HIGH_LOW[name]
     return _pick([
         (score >= high, F.lit(W.REASONS[f"{name}_high"])),
         (score < low, F.lit(W.REASONS[f"{name}_low"])),
@@ -59,12 +60,12 @@ def _high_low(score: Column, high: float, low: float, name: str) -> Column:
 
 def reasons(parts: Parts, gender_match: Column) -> Column:
     face = parts["face_similarity"]
+    strength = {
+        name: F.format_string(text, face) for name, text in W.FACE_REASONS.items()
+    }
     face_text = _pick(
-        [
-            (face >= 0.8, F.format_string(W.FACE_REASONS["strong"], face)),
-            (face >= 0.6, F.format_string(W.FACE_REASONS["moderate"], face)),
-        ],
-        F.format_string(W.FACE_REASONS["weak"], face),
+        [(face >= W.FACE_STRONG, strength["strong"]), (face >= W.FACE_MODERATE, strength["moderate"])],
+        strength["weak"],
     )
     gender_text = _pick([
         (gender_match == 1.0, F.lit(W.REASONS["gender_same"])),
@@ -72,25 +73,20 @@ def reasons(parts: Parts, gender_match: Column) -> Column:
     ])
     return F.array_compact(F.array(
         face_text,
-        _high_low(parts["age_plausibility"], 0.8, 0.5, "age"),
-        _high_low(parts["location_proximity"], 0.7, 0.3, "location"),
-        _high_low(parts["distinctive_features"], 0.7, 0.3, "features"),
+        _high_low("age", parts["age_plausibility"]),
+        _high_low("location", parts["location_proximity"]),
+        _high_low("features", parts["distinctive_features"]),
         gender_text,
         _pick(_alert_cases(parts, W.REASONS)),
     ))
 
 
 def summary(level: Column, parts: Parts) -> Column:
-    face, age = parts["face_similarity"], parts["age_plausibility"]
+    face = parts["face_similarity"] >= W.SUPPORT_FROM
+    age = parts["age_plausibility"] >= W.SUPPORT_FROM
     opening = _pick([(level == name, F.lit(text)) for name, text in W.SUMMARIES.items()])
-    support = _pick(
-        [
-            ((face >= 0.8) & (age >= 0.8), F.lit(W.SUMMARY_SUPPORT["both"])),
-            (face >= 0.8, F.lit(W.SUMMARY_SUPPORT["face"])),
-            (age >= 0.8, F.lit(W.SUMMARY_SUPPORT["age"])),
-        ],
-        F.lit(""),
-    )
+    cases = {"both": face & age, "face": face, "age": age}
+    support = _pick([(case, F.lit(W.SUMMARY_SUPPORT[n])) for n, case in cases.items()], F.lit(""))
     return F.concat(opening, support, _pick(_alert_cases(parts, W.SUMMARY_ALERT), F.lit("")))
 
 
@@ -99,12 +95,15 @@ def recommendations(level: Column, parts: Parts) -> Column:
         (level == name, F.array(*[F.lit(text) for text in texts]))
         for name, texts in W.RECOMMENDATIONS.items()
     ])
-    checks = {
-        "face": parts["face_similarity"] < 0.6,
-        "age": parts["age_plausibility"] < 0.5,
-        "location": parts["location_proximity"] < 0.3,
+    checked = {
+        "face": parts["face_similarity"],
+        "age": parts["age_plausibility"],
+        "location": parts["location_proximity"],
     }
-    extra = [F.when(check, F.lit(W.EXTRA_RECOMMENDATIONS[k])) for k, check in checks.items()]
+    extra = [
+        F.when(score < W.CHECK_BELOW[name], F.lit(W.EXTRA_RECOMMENDATIONS[name]))
+        for name, score in checked.items()
+    ]
     return F.concat(by_level, F.array_compact(F.array(*extra)))
 
 

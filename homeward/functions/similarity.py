@@ -14,6 +14,23 @@ from pyspark.sql import functions as F
 from homeward.functions.text import strip, words
 
 
+# Scores of fields that cannot be compared, and the age curve.
+NEUTRAL = 0.5
+MARKS_ON_ONE_SIDE = 0.3
+AGE_SLOPE = 0.3
+AGE_OUTSIDE = 0.7
+AGE_DECAY_YEARS = 5.0
+
+# A pair is implausible when its face similarity is above "face" and everything
+# else a rule names holds: genders in conflict, metadata or age agreement below the bound.
+REJECT_RULES = [
+    {"face": 0.85, "gender_conflict": True},
+    {"face": 0.92, "metadata": 0.35},
+    {"face": 0.90, "age": 0.1},
+    {"face": 0.88, "age": 0.05, "metadata": 0.4},
+]
+
+
 def _none_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -55,7 +72,7 @@ def age_now(age_at_disappearance: Column, year_disappeared: Column, as_of_year:
 
 def gender_match(left: Column, right: Column) -> Column:
     return (
-        F.when(left.isNull() | right.isNull(), F.lit(0.5))
+        F.when(left.isNull() | right.isNull(), F.lit(NEUTRAL))
         .when(left == right, F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
@@ -65,9 +82,10 @@ def age_consistency(current: Column, expected: Column, tolerance: int) -> Column
     """Linear from 1.0 to 0.7 inside the tolerance, exponential decay from 0.7 outside."""
     gap = F.abs(current - expected).cast("double")
     limit = F.lit(float(tolerance))
-    inside = F.lit(1.0) - (gap / limit) * F.lit(0.3) if tolerance else F.lit(0.5)
-    outside = F.greatest(F.lit(0.0), F.lit(0.7) * F.exp(-(gap - limit) / F.lit(5.0)))
-    return F.when(gap.isNull(), F.lit(0.5)).when(gap <= limit, inside).otherwise(outside)
+    inside = F.lit(1.0) - (gap / limit) * F.lit(AGE_SLOPE) if tolerance else F.lit(NEUTRAL)
+    decay = F.exp(-(gap - limit) / F.lit(AGE_DECAY_YEARS))
+    outside = F.greatest(F.lit(0.0), F.lit(AGE_OUTSIDE) * decay)
+    return F.when(gap.isNull(), F.lit(NEUTRAL)).when(gap <= limit, inside).otherwise(outside)
 
 
 def _jaccard(left: Column, right: Column) -> Column:
@@ -79,7 +97,9 @@ def marks_similarity(left: Column, right: Column) -> Column:
     neither = (F.size(left) == 0) & (F.size(right) == 0)
     either = (F.size(left) == 0) | (F.size(right) == 0)
     return (
-        F.when(neither, F.lit(0.5)).when(either, F.lit(0.3)).otherwise(_jaccard(left, right))
+        F.when(neither, F.lit(NEUTRAL))
+        .when(either, F.lit(MARKS_ON_ONE_SIDE))
+        .otherwise(_jaccard(left, right))
     )
 
 
@@ -87,7 +107,7 @@ def location_plausibility(
     left: Column, left_words: Column, right: Column, right_words: Column
 ) -> Column:
     return (
-        F.when(left.isNull() | right.isNull(), F.lit(0.5))
+        F.when(left.isNull() | right.isNull(), F.lit(NEUTRAL))
         .when(left == right, F.lit(1.0))
         .when((F.size(left_words) == 0) & (F.size(right_words) == 0), F.lit(0.0))
         .otherwise(_jaccard(left_words, right_words))
@@ -118,12 +138,17 @@ def combined_score(face: Column, metadata: Column, config) -> Column:
 
 def reject_rule(face: Column, metadata: Column, gender: Column, age: Column) -> Column:
     """Number of the first implausibility rule a pair breaks, NULL when it breaks none."""
-    return (
-        F.when((gender == 0.0) & (face > 0.85), F.lit(1))
-        .when((face > 0.92) & (metadata < 0.35), F.lit(2))
-        .when((face > 0.90) & (age < 0.1), F.lit(3))
-        .when((face > 0.88) & (age < 0.05) & (metadata < 0.4), F.lit(4))
-    )
+    numbers = []
+    for number, rule in enumerate(REJECT_RULES, start=1):
+        broken = face > rule["face"]
+        if "gender_conflict" in rule:
+            broken = broken & (gender == 0.0)
+        if "metadata" in rule:
+            broken = broken & (metadata < rule["metadata"])
+        if "age" in rule:
+            broken = broken & (age < rule["age"])
+        numbers.append(F.when(broken, F.lit(number)))
+    return F.coalesce(*numbers)
 
 
 def accepted(face: Column, metadata: Column, combined: Column, config) -> Column:

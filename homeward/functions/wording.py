@@ -42,6 +42,20 @@ DESCRIPTIONS = {
     ],
 }
 
+# From which factor value on a sentence is used. "high" and "low" bound the
+# reasons, "support" the additions to the summary, "check" the extra recommendations.
+FACE_STRONG, FACE_MODERATE = 0.8, 0.6
+HIGH_LOW = {
+    "age": (0.8, 0.5),
+    "location": (0.7, 0.3),
+    "features": (0.7, 0.3),
+}
+SUPPORT_FROM = 0.8
+CHECK_BELOW = {"face": 0.6, "age": 0.5, "location": 0.3}
+
+# A face above the first bound with metadata below the second is suspicious.
+ALERTS = {"warning": (0.95, 0.3), "caution": (0.90, 0.4)}
+
 # Reasons.
 FACE_REASONS = {
     "strong": "Strong facial similarity (%.2f)",

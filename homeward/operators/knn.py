@@ -150,7 +150,7 @@ class _Job(NamedTuple):
 
     def _stream_rows(self) -> int:
         """Base rows scored between two updates of the running result."""
-        return max(4096, self.config.stream_bytes // (8 * self.dim))
+        return max(1, self.config.stream_bytes // (8 * self.dim))
 
     # Small base side
 

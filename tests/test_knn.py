@@ -10,6 +10,7 @@ STRATEGIES = {
     "broadcast_base": KnnConfig(strategy="broadcast_base"),
     "broadcast_queries": KnnConfig(strategy="broadcast_queries"),
     "blocked": KnnConfig(strategy="blocked", rows_per_pivot=20, block_rows=16),
+    "one_cell_streamed": KnnConfig(strategy="blocked", stream_bytes=1),
     "base_in_small_tiles": KnnConfig(strategy="broadcast_base", tile=(7, 11)),
     "queries_in_small_tiles": KnnConfig(strategy="broadcast_queries", tile=(7, 11)),
     "blocked_small_tiles": KnnConfig(
@@ -90,6 +91,20 @@ def test_prefilter_equals_brute_force(spark, name):
     assert run(spark, queries, base, 4, 0.2, 6, STRATEGIES[name], prefilter=True) == want
 
 
+@pytest.mark.parametrize("name", STRATEGIES)
+def test_many_small_batches(spark, name):
+    """A block's queries and base rows arrive in several batches, some of them mixed."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    queries, base = people(1, 50, 6, copies=11), people(2, 130, 6, copies=17)
+    spark.conf.set(setting, "4")
+    try:
+        got = run(spark, queries, base, 6, 0.3, 6, STRATEGIES[name])
+    finally:
+        spark.conf.set(setting, before)
+    assert got == brute_force(queries, base, 6, 0.3)
+
+
 @pytest.mark.parametrize("name", STRATEGIES)
 def test_empty_sides(spark, name):
     rows = people(1, 10, 6)
