@@ -38,11 +38,12 @@ def match_arrivals(
         def target(name: str) -> str:
             return f"{output}/{name}/batch_id={batch_id}"
 
-        checked = check_uploads(batch, side, config)
+        checked = check_uploads(batch, side, config).persist()
         rejected = checked.filter(~F.col("is_valid")).drop("is_valid")
         rejected.write.mode("overwrite").parquet(target("rejects"))
         accepted = checked.filter(F.col("is_valid")).drop("errors", "is_valid")
         accepted.write.mode("overwrite").parquet(target("records"))
+        checked.unpersist()
         # Match what was stored: the batch is not computed again.
         spark = batch.sparkSession
         stored = spark.read.schema(accepted.schema).parquet(target("records"))
