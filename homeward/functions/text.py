@@ -33,4 +33,4 @@ def sanitize(text: Column, max_length: int = 1000) -> Column:
 def form_list(text: Column) -> Column:
     """Comma-separated form field to a list; empty items are dropped, an empty list is NULL."""
     items = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
-    return F.when(F.size(items) > 0, items)
+    return F.nullif(items, F.array().cast("array<string>"))
