@@ -2,6 +2,8 @@ import pytest
 
 import check_queries
 from __spark_entry__ import entry, oracle_sql, queries
+from homeward.plans.oracle import ORACLE
+from homeward.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -10,10 +12,12 @@ def connection(sf_dir):
 
 
 def test_every_query_has_checking_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries())
+    assert set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, connection, name):
     df = queries()[name](spark, sf_dir)
     cursor = connection.execute(oracle_sql()[name])
