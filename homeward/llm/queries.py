@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import bpe
+from homeward.llm import bpe, mixing, shards
 from homeward.llm.common import table
 
 
@@ -32,7 +32,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
+
+
+def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shuffled(table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        "doc_id",
+        shards.n_bytes(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        "place.law",
+        "place.shard",
+        "place.slot",
+        "place.grown_shard",
+    )
+
+
 QUERIES = {
+    "op2_budget_mix": op2_budget_mix,
+    "op8_external_shuffle": op8_external_shuffle,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
