@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain, product
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from homeward.llm.common import SLICE_BYTES, text_slices
+from homeward.llm.common import text_slices
 
 # Characters of the White_Space property, a fixed value.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
@@ -38,7 +39,8 @@ END, LETTER, NUMBER, OTHER, SHORT, LONG, BLANK, SPACE, GAP = range(9)
 # States: at a start, in letters, in numbers, in others, after a blank, in a gap, one or two
 # letters of a contraction to come, contraction complete.
 AT_START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_BLANK, IN_GAP, ONE_LEFT, TWO_LEFT, DONE = range(9)
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 100_000
+_SLICE = 512 << 10
 
 
 def _step(state: int, symbol: int) -> int:
@@ -151,15 +153,15 @@ class Encoder:
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.of_byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int64)
         self.size = len(vocabulary)
-        pairs = [
-            (self.rank[token[:i]] * self.size + self.rank[token[i:]], n)
-            for n, token in enumerate(vocabulary)
-            for i in range(1, len(token))
-            if token[:i] in self.rank and token[i:] in self.rank
-        ]
-        pairs.sort()
-        self.keys = np.array([k for k, _ in pairs] + [_NEVER], np.int64)
-        self.to = np.array([n for _, n in pairs] + [_NEVER], np.int64)
+        keys, to = array("q"), array("q")
+        for n, token in enumerate(vocabulary):
+            for i in range(1, len(token)):
+                if token[:i] in self.rank and token[i:] in self.rank:
+                    keys.append(self.rank[token[:i]] * self.size + self.rank[token[i:]])
+                    to.append(n)
+        order = np.argsort(np.frombuffer(keys, np.int64))
+        self.keys = np.append(np.frombuffer(keys, np.int64)[order], _NEVER)
+        self.to = np.append(np.frombuffer(to, np.int64)[order], _NEVER)
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank, which is the id, of what two neighbours merge into."""
@@ -286,7 +288,7 @@ def _added(docs: DataFrame, *names: str) -> T.StructType:
 def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     """Add ``ids`` and ``offsets``: token ids and the byte in the text at which each starts.
 
-    Both are packed little-endian numbers, of 32 and 64 bits. ``ranks_path`` is read by the
+    Both are packed little-endian numbers of 32 bits. ``ranks_path`` is read by the
     caller's process; the vocabulary, 50,256 entries or as many as the file has, goes to the
     tasks with the function.
     """
@@ -298,12 +300,12 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
         lengths = np.array([len(t) for t in vocabulary], np.int64)
         schema = None
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch, column, SLICE_BYTES):
+            for first, end, data, offsets in text_slices(batch, column, _SLICE):
                 ids, places = [], []
                 for found in _encode_slice(scanner, encoder, data.tobytes(), offsets):
                     stops = np.cumsum(lengths[found])
                     ids.append(found.tobytes())
-                    places.append((stops - lengths[found]).astype("<u8").tobytes())
+                    places.append((stops - lengths[found]).astype("<u4").tobytes())
                 rows = batch.slice(first, end - first)
                 if schema is None:
                     schema = pa.schema([
@@ -317,6 +319,12 @@ def encode(docs: DataFrame, ranks_path: str, column: str = "text") -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Add ``decoded``: the bytes that ``ids`` stand for. Null ids decode to null.
 
@@ -327,7 +335,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
-        for batch in batches:
+        for batch in pieces_of(batches, 500):
             decoded = []
             for ids, offsets in zip(batch.column("ids"), batch.column("offsets")):
                 if not ids.is_valid:
@@ -335,7 +343,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                     continue
                 found = np.frombuffer(ids.as_buffer(), "<u4").tolist()
                 text = b"".join(map(vocabulary.__getitem__, found))
-                places = np.frombuffer(offsets.as_buffer(), "<u8")
+                places = np.frombuffer(offsets.as_buffer(), "<u4")
                 if len(places) != len(found) or (
                     found and places[-1] + len(vocabulary[found[-1]]) != len(text)
                 ):
