@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import bpe, mixing, shards
+from homeward.llm import bpe, mixing, quality_rules, secrets, shards
 from homeward.llm.common import table
 
 
@@ -37,6 +37,24 @@ def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
 
 
+def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+               "kept", "score")
+    return judged.select("doc_id", *[F.col(f"quality.{c}") for c in columns])
+
+
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("secrets.base", lambda s: s["rank"] == rank)).cast("long")
+    return scanned.select(
+        "doc_id",
+        *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(secrets.KINDS[:3])],
+        F.sha2(secrets.listed(F.col("secrets.base")), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets.spans")).alias("spans"),
+    )
+
+
 def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shuffled(table(spark, sf_dir, "documents"), 24)
     return placed.select(
@@ -52,6 +70,8 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_budget_mix": op2_budget_mix,
+    "op4_ngram_ratio": op4_ngram_ratio,
+    "op6_markov_secrets": op6_markov_secrets,
     "op8_external_shuffle": op8_external_shuffle,
     "op7_byte_bpe": op7_byte_bpe,
 }
