@@ -132,3 +132,28 @@ def windows(first_word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(counts)), counts)
     before = np.cumsum(counts) - counts
     return np.arange(int(counts.sum())) - before[owner] + first_word[:-1][owner], owner
+
+
+def byte_grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the runs of ``n`` bytes from each place, and which of them count.
+
+    A blank inside a run, or a text's end, makes it void; at its ends a blank marks a word's edge.
+    """
+    size = len(data)
+    codes = np.zeros(size, np.uint64)
+    valid = np.ones(size, bool)
+    for i in range(n):
+        codes[: size - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+        if 0 < i < n - 1:
+            valid[: size - i] &= data[i:] != 32
+    for i in range(1, n):
+        ends = offsets[1:] - i
+        valid[ends[ends >= 0]] = False
+    return codes | np.uint64(n << 56), valid
+
+
+def sums_by_text(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring ``cuts``."""
+    running = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=running[1:])
+    return running[cuts[1:]] - running[cuts[:-1]]

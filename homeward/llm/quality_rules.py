@@ -25,7 +25,7 @@ BUCKETS = 1 << 14
 # Trusted documents taken as the target sample, drawn by a seeded hash of the id.
 TARGET_DOCS = 20_000
 # Mean log ratio that a document needs.
-THRESHOLD = -0.5
+THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50

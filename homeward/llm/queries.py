@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import bpe, mixing, quality_rules, secrets, shards
+from homeward.llm import bpe, language, mixing, quality_model, quality_rules, secrets, shards
 from homeward.llm.common import table
+from homeward.llm.quality_model import remainder
 
 
 def ranks_path() -> str:
@@ -44,6 +45,28 @@ def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}") for c in columns])
 
 
+def op5_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    model = quality_model.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality_model.score(docs, model).select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    filters = language.learn(docs.select("doc_id", "text", "lang").filter(~held_out))
+    return language.predict(docs, filters).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda rank: F.size(F.filter("secrets.base", lambda s: s["rank"] == rank)).cast("long")
@@ -71,8 +94,10 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_budget_mix": op2_budget_mix,
     "op4_ngram_ratio": op4_ngram_ratio,
+    "op5_subword_classifier": op5_subword_classifier,
     "op6_markov_secrets": op6_markov_secrets,
     "op8_external_shuffle": op8_external_shuffle,
+    "op10_language_filters": op10_language_filters,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
