@@ -1,7 +1,8 @@
 """Quality classifier: vectors of hashed words and character n-grams, averaged per document.
 
 Every word and every run of three or four bytes within a word (with its edge) is hashed to a
-row of an embedding table. A document is the average of its rows, a softmax layer on top gives
+row of an embedding table; pairs of neighbouring words have two rows of their own, for equal
+and for different ones. A document is the average of its rows, a softmax layer on top gives
 the probability of each label. Embeddings and layer are learned together by stochastic gradient
 descent in numpy, from at most about ``TRAIN_DOCS`` labelled documents drawn by a seeded hash.
 A sample document goes to the driver as counts of hashed features, never more than the table
@@ -30,6 +31,9 @@ from homeward.llm.common import (
 
 TRAIN_DOCS = 3_000
 WORD_ROWS = CHAR_ROWS = 1 << 15
+# Two rows for neighbouring words that differ, or are the same.
+SAME_WORD = WORD_ROWS + CHAR_ROWS
+ROWS = SAME_WORD + 2
 GRAMS = (3, 4)
 DIM = 16
 EPOCHS = 12
@@ -49,6 +53,10 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
     starts, ends, first = word_spans(data, offsets)
     hashed = span_hashes(data, starts, ends)
     yield (hashed % np.uint64(WORD_ROWS)).astype(np.int64), np.ones(len(hashed), bool), first
+    again = np.append(False, hashed[1:] == hashed[:-1]) if len(hashed) else np.zeros(0, bool)
+    follows = np.ones(len(hashed), bool)
+    follows[first[:-1][first[:-1] < len(hashed)]] = False  # a text's first word follows none
+    yield SAME_WORD + again.astype(np.int64), follows, first
     blanked = np.where((data >= 9) & (data <= 13), np.uint8(32), data)
     for n in GRAMS:
         codes, valid = byte_grams(blanked, offsets, n)
@@ -66,10 +74,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
                 keys = []
                 for rows, valid, cuts in _features(data, offsets):
                     owner = np.repeat(np.arange(end - start), np.diff(cuts))
-                    keys.append((owner * (WORD_ROWS + CHAR_ROWS) + rows)[valid])
+                    keys.append((owner * ROWS + rows)[valid])
                 keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-                cuts = np.searchsorted(keys, np.arange(end - start + 1) * (WORD_ROWS + CHAR_ROWS))
-                rows = (keys % (WORD_ROWS + CHAR_ROWS)).astype("<i4")
+                cuts = np.searchsorted(keys, np.arange(end - start + 1) * ROWS)
+                rows = (keys % ROWS).astype("<i4")
                 counts = counts.astype("<i4")
                 part = batch.slice(start, end - start)
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
@@ -95,13 +103,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
     draw = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 20))
     sample = _sample(docs, clean.filter(draw < int(share * (1 << 20))))
     rng = np.random.default_rng(seed)
-    total_rows = WORD_ROWS + CHAR_ROWS
     target = np.array([r.label for r in sample])
     if len(set(target.tolist())) < 2:
         good = target.mean() if len(target) else 0.5
         odds = np.log((good * len(target) + 1e-9) / ((1 - good) * len(target) + 1e-9)) if len(target) else 0.0
-        return Model(np.zeros(total_rows, np.float32), float(np.clip(odds, -20, 20)))
-    embedding = rng.uniform(-1 / DIM, 1 / DIM, (total_rows, DIM))
+        return Model(np.zeros(ROWS, np.float32), float(np.clip(odds, -20, 20)))
+    embedding = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.log(np.bincount(target, minlength=2) / len(target))
     features = []
     for r in sample:

@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeward.llm import bpe, language, mixing, quality_model, quality_rules, secrets, shards
+from homeward.llm import (
+    bpe, language, mixing, quality_model, quality_rules, secrets, shards, substrings,
+)
 from homeward.llm.common import table
 from homeward.llm.quality_model import remainder
 
@@ -38,6 +40,11 @@ def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
 
 
+def op3_count_min_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -93,6 +100,7 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_budget_mix": op2_budget_mix,
+    "op3_count_min_repeats": op3_count_min_repeats,
     "op4_ngram_ratio": op4_ngram_ratio,
     "op5_subword_classifier": op5_subword_classifier,
     "op6_markov_secrets": op6_markov_secrets,
