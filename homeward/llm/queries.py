@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homeward.llm import (
-    bpe, language, mixing, quality_model, quality_rules, secrets, shards, substrings,
+    bpe, chosen_path, language, mixing, quality_model, quality_rules, secrets, shards, substrings,
 )
 from homeward.llm.common import table
 from homeward.llm.quality_model import remainder
@@ -65,6 +65,10 @@ def op5_subword_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -105,6 +109,7 @@ QUERIES = {
     "op5_subword_classifier": op5_subword_classifier,
     "op6_markov_secrets": op6_markov_secrets,
     "op8_external_shuffle": op8_external_shuffle,
+    "op9_chosen_path": op9_chosen_path,
     "op10_language_filters": op10_language_filters,
     "op7_byte_bpe": op7_byte_bpe,
 }
