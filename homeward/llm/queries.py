@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from homeward.llm import (
-    bpe, chosen_path, language, mixing, quality_model, quality_rules, secrets, shards, substrings,
+    bpe, chosen_path, language, mixing, nn_descent, quality_model, quality_rules, secrets, shards, substrings,
 )
 from homeward.llm.common import table
 from homeward.llm.quality_model import remainder
@@ -35,6 +35,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", *[F.col(f"mix.{c}") for c in ("size", "source_size", "target", "taken")])
@@ -103,6 +107,7 @@ def op8_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_budget_mix": op2_budget_mix,
     "op3_count_min_repeats": op3_count_min_repeats,
     "op4_ngram_ratio": op4_ngram_ratio,
