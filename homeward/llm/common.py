@@ -43,6 +43,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def filtered_after(df: DataFrame, condition: str) -> DataFrame:
+    """Rows where boolean column ``condition`` holds, tested after the columns are computed.
+
+    A plain filter is pushed below the projections and repeats their expressions once per use,
+    which multiplies with nested ones. It is not pushed past a column that is not deterministic.
+    """
+    (place,) = fresh(df, "place")
+    numbered = df.withColumn(place, F.monotonically_increasing_id())
+    return numbered.filter(F.col(condition) & (F.col(place) >= 0)).drop(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there."""
     path = run_dir(df.sparkSession, name)

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homeward.llm.common import WORD, fresh, words
+from homeward.llm.common import WORD, filtered_after, fresh, words
 
 BUCKETS = 1 << 14
 # Trusted documents taken as the target sample, drawn by a seeded hash of the id.
@@ -160,4 +160,4 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, out:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with the columns they came with."""
     (out,) = fresh(docs, "quality")
-    return judge(docs, labels, threshold, out).filter(F.col(f"{out}.kept")).select(*docs.columns)
+    return filtered_after(judge(docs, labels, threshold, out), f"{out}.kept").select(*docs.columns)
