@@ -2,7 +2,8 @@
 
 Per source, documents are counted by their exact length. The target is met by whole rounds over
 the source, then by the same share of every length, then by dynamic programming over the lengths
-that are left (bounded knapsack, as many items of a length as documents remain). Which documents
+that are left (bounded knapsack, as many items of a length as documents remain). A source too
+small for that to fit may have documents taken more or less often than the others. Which documents
 of a length are taken is decided by a seeded hash.
 
 Sources by code point, the null source last, get the weights 1, 2, 3 in turn. Targets share the
@@ -33,15 +34,26 @@ DP_WORDS = 1 << 16
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Documents to take of each length (ascending, positive) so that their words come to ``budget``.
 
-    The sum is the budget or, where no choice among the last items reaches it, the closest below.
+    The same share of every length is taken first, and the rest fitted exactly. Where no choice
+    fits, less is taken first and more left to fit, in the end everything; the closest sum below
+    the budget wins.
     """
     total = int((lengths * counts).sum())
     budget = max(0, min(budget, total))
-    if not total:
-        return np.zeros(len(counts), np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
-    left = counts - take
+    best, best_sum = np.zeros(len(counts), np.int64), 0
+    for parts in (4, 3, 2, 1, 0):
+        if best_sum == budget:
+            break
+        first = np.array([int(c) * budget * parts // (4 * total) for c in counts], np.int64)
+        take = _fit_rest(lengths, counts, first, budget - int((lengths * first).sum()))
+        if int((lengths * take).sum()) > best_sum:
+            best, best_sum = take, int((lengths * take).sum())
+    return best
+
+
+def _fit_rest(lengths: np.ndarray, counts: np.ndarray, first: np.ndarray, rest: int) -> np.ndarray:
+    """``first`` and what else comes closest to ``rest`` words, by bounded-knapsack programming."""
+    take, left = first.copy(), counts - first
     for i in range(len(lengths) - 1, -1, -1):
         if rest <= DP_WORDS:
             break
@@ -49,26 +61,26 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         take[i] += more
         left[i] -= more
         rest -= more * int(lengths[i])
-    rest_now = min(rest, DP_WORDS)
+    goal = min(rest, DP_WORDS)
     # Sums that can be reached, with the item that reached each first; items are powers of two
     # of a length's documents, so that any number of them can be put together.
-    reached = np.zeros(rest_now + 1, bool)
+    reached = np.zeros(goal + 1, bool)
     reached[0] = True
-    by = np.zeros(rest_now + 1, np.int64)
+    by = np.zeros(goal + 1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in np.flatnonzero((left > 0) & (lengths <= rest_now)).tolist():
-        remaining = min(int(left[i]), rest_now // int(lengths[i]))
+    for i in np.flatnonzero((left > 0) & (lengths <= goal)).tolist():
+        remaining = min(int(left[i]), goal // int(lengths[i]))
         chunk = 1
-        while remaining and not reached[rest_now]:
+        while remaining and not reached[goal]:
             n = min(chunk, remaining)
             step = n * int(lengths[i])
-            new = np.flatnonzero(reached[: rest_now + 1 - step] & ~reached[step:]) + step
+            new = np.flatnonzero(reached[: goal + 1 - step] & ~reached[step:]) + step
             reached[new] = True
             by[new] = len(items)
             items.append((i, n))
             remaining -= n
             chunk *= 2
-        if reached[rest_now]:
+        if reached[goal]:
             break
     at = int(np.flatnonzero(reached)[-1])
     while at:
@@ -171,13 +183,23 @@ def mix(
         group = group.sort_values("size")
         total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         rounds = min(int(target // total), max_rounds) if total else 0
-        budget = round(target - rounds * total) if rounds < max_rounds else 0
-        group["rounds"] = rounds
-        group["extra"] = 0
-        full = group["size"] > 0
-        group.loc[full, "extra"] = fit_budget(
-            group.loc[full, "size"].to_numpy(np.int64), group.loc[full, "n"].to_numpy(np.int64), budget
-        )
+        full = (group["size"] > 0).to_numpy()
+        lengths, counts = (group.loc[full, c].to_numpy(np.int64) for c in ("size", "n"))
+        # Whole rounds and at most one copy more; where that does not fit, a freer choice.
+        choices = [(rounds, more) for more in range(min(1, max_rounds - rounds), max_rounds - rounds + 1)]
+        choices += [(less, max_rounds - less) for less in range(rounds - 1, -1, -1)]
+        best, best_gap = (rounds, np.zeros(len(lengths), np.int64)), None
+        for base, more in choices if total else ():
+            budget = round(target) - base * total
+            take = fit_budget(lengths, counts * more, budget)
+            gap = budget - int((take * lengths).sum())
+            if best_gap is None or gap < best_gap:
+                best, best_gap = (base, take), gap
+            if not gap:
+                break
+        group["rounds"], group["extra"] = best[0], 0
+        group.loc[full, "rounds"] += best[1] // np.maximum(counts, 1)
+        group.loc[full, "extra"] = best[1] % np.maximum(counts, 1)
         return group[[*source, "size", "source_size", "target", "rounds", "extra"]]
 
     # A source has no more distinct lengths than the root of twice its words, so a group is small.

@@ -24,6 +24,8 @@ from homeward.llm.common import WORD, filtered_after, fresh, words
 BUCKETS = 1 << 14
 # Trusted documents taken as the target sample, drawn by a seeded hash of the id.
 TARGET_DOCS = 20_000
+# N-grams that the raw distribution is worth as the target's prior.
+PRIOR = 4.0 * BUCKETS
 # Mean log ratio that a document needs.
 THRESHOLD = -0.1
 SYMBOLS = "#*$%&|<>"
@@ -54,11 +56,12 @@ def _grams(hashes: Column, buckets: int) -> Column:
 
 
 def log_ratios(
-    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0
+    docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR
 ) -> list[float]:
     """Log ratio of target to raw probability for each bucket; all documents are counted.
 
-    ``trusted`` is the bounded sample of ids, so it may be broadcast.
+    The target starts from the raw distribution with a weight of ``prior`` n-grams, so a small
+    target sample says little against a text. ``trusted`` is the bounded sample of ids, so it may be broadcast.
     """
     marked = F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted")).distinct())
     hashed = docs.select("doc_id", _hashes(words(F.col("text"))).alias("hashes")).join(
@@ -70,13 +73,13 @@ def log_ratios(
         .agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
         .collect()  # as many rows as there are buckets
     )
-    raw_total = sum(r.raw for r in counts) + smoothing * buckets
-    target_total = sum(r.target for r in counts) + smoothing * buckets
+    raw_total, target_total = sum(r.raw for r in counts), sum(r.target for r in counts)
     ratios = [0.0] * buckets
-    if target_total > smoothing * buckets:
+    if target_total:
         for r in counts:
-            target = (r.target + smoothing) / target_total
-            ratios[r.bucket] = math.log(target / ((r.raw + smoothing) / raw_total))
+            raw = r.raw / raw_total
+            target = (r.target + prior * raw) / (target_total + prior)
+            ratios[r.bucket] = math.log(target / raw)
     return ratios
 
 
