@@ -65,11 +65,11 @@ def shuffled(
         .sortWithinPartitions(shard, bucket, order, "doc_id")
         .groupBy(shard, bucket)
         .agg(F.collect_list(F.struct(*kept)).alias(rows))
+        # Before the join: the seed goes with the partition, which must not depend on its plan.
+        .withColumn(rows, F.shuffle(rows, seed))
         .join(offsets, [shard, bucket])
     )
-    dealt = buckets.select(
-        shard, order, F.posexplode(F.shuffle(rows, seed)).alias(bucket, rows)
-    )
+    dealt = buckets.select(shard, order, F.posexplode(rows).alias(bucket, rows))
     return dealt.select(
         *[F.col(rows)[c].alias(c) for c in kept],
         F.struct(
