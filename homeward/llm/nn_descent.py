@@ -3,7 +3,7 @@
 A neighbour graph is started from random hyperplanes: vectors of one label that fall on the same
 side of all planes of a table are compared in parts of bounded size, and each keeps its best few.
 Then it is refined: the neighbours of a node, forward and backward, are compared with each other
-in the node's place (Dong et al., 2011), until few lists change. A list all of whose entries
+in the node's place (Dong et al., 2011), until hardly any entry at the threshold is new. A list all of whose entries
 reach the threshold is saturated and may lack others: it is refined again at twice the length,
 and again, up to ``LONGEST``. What is still saturated is completed exactly: edges at the threshold
 are joined to components, and within a component all vectors are compared in pairs of blocks and
@@ -163,9 +163,10 @@ def _descend(nodes: DataFrame, start: DataFrame, n: int) -> DataFrame:
     lists = stored(_best(start, LIST), "neighbours")
     for _ in range(ROUNDS):
         better = stored(_refine(lists, nodes, LIST), "neighbours")
-        changed = better.join(lists, ["x", "y"], "left_anti").count()
+        near = better.filter(F.col("sim") >= SIMILARITY)
+        changed = near.join(lists, ["x", "y"], "left_anti").count()
         lists = better
-        if changed <= SETTLED * n * LIST:
+        if changed <= SETTLED * near.count():
             break
     k = LIST
     while k < LONGEST:
