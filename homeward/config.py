@@ -14,9 +14,10 @@ class KnnConfig:
     broadcast_bytes: int = 64 << 20
     spread_below: int = 1_000_000  # query rows up to which they are spread over all cores
     task_results: int = 1_000_000  # queries x k held by one task
-    block_bytes: int = 64 << 20  # vectors of one query block, held by a task
+    block_bytes: int = 256 << 20  # vectors of one query block, held by a task
     task_bytes: int = 1 << 30  # vectors of one base block, streamed through a task
     stream_bytes: int = 32 << 20  # vectors of base rows scored at a time while streaming
+    merge_fan_in: int = 64  # base partitions whose results are merged at a time
     block_rows: int | None = None  # rows of either block, instead of the above
     max_pivots: int = 1024
     rows_per_pivot: int = 500_000

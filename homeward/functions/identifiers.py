@@ -1,7 +1,8 @@
 """Record identifiers.
 
-They are derived from the record's own key and time stamp rather than drawn at
-random, so a recomputed task gives the same identifiers again.
+They are derived from a key that is unique per input row (a source key, or file
+and position) and the time stamp rather than drawn at random: two rows never share
+one, and a recomputed task gives the same identifiers again.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def point_id(collection: str, business_id: Column, moment: Column) -> Column:
-    """UUID-shaped digest of collection, business id and arrival time."""
-    digest = F.md5(F.concat_ws("|", F.lit(collection), business_id, moment.cast("string")))
+def point_id(collection: str, row_key: Column, moment: Column) -> Column:
+    """UUID-shaped digest of collection, row key and arrival time."""
+    digest = F.md5(F.concat_ws("|", F.lit(collection), row_key.cast("string"), moment.cast("string")))
     groups = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, size) for start, size in groups])
 
@@ -23,8 +24,12 @@ def dated_id(prefix: str, key: Column, moment: Column) -> Column:
     return F.concat_ws("_", F.lit(prefix), F.date_format(moment, "yyyyMMddHHmmss"), suffix)
 
 
-def millis_id(prefix: str, moment: Column) -> Column:
-    """``PREFIX_<milliseconds since 1970>``; ``moment`` is taken as UTC wall-clock time."""
+def millis_id(prefix: str, moment: Column, row_key: Column) -> Column:
+    """``PREFIX_<milliseconds since 1970>_<12HEX of the row key>``.
+
+    ``moment`` is taken as UTC wall-clock time; the rows of a batch may share it.
+    """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     millis = F.timestamp_diff("MILLISECOND", epoch, moment.cast("timestamp_ntz"))
-    return F.concat_ws("_", F.lit(prefix), millis.cast("string"))
+    suffix = F.upper(F.substring(F.sha2(row_key.cast("string"), 256), 1, 12))
+    return F.concat_ws("_", F.lit(prefix), millis.cast("string"), suffix)

@@ -38,6 +38,25 @@ def image_path(person: Column, age: Column) -> Column:
     return F.format_string(TARGET, person, age)
 
 
+def files_by_person(files: DataFrame) -> DataFrame:
+    """Every file with its ``position`` among the person's files, by age.
+
+    Files of one age are ordered by a hash of the path and the path. They are numbered within
+    (person, age, slice of the hash) and shifted by the counts of the earlier slices, of which
+    there are at most 256 an age, so a person with a third of all files is no hot group.
+    """
+    keys = ["person_id", "age", "slice"]
+    parsed = parse_files(files).withColumn("slice", F.substring(F.md5("path"), 1, 2))
+    before = Window.partitionBy("person_id").orderBy("age", "slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    counts = parsed.groupBy(*keys).agg(F.count("*").alias("n"))
+    earlier = counts.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy("path"))
+    return parsed.join(earlier, keys).select(
+        "person_id", "age", "path", (F.col("earlier") + within).alias("position")
+    )
+
+
 def by_person(files: DataFrame) -> DataFrame:
     """One row per person and age: number of files, and the file that is kept (last by path)."""
     return (

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from homeward.operators.vision import MIN_SHARPNESS
 
 SCHEMA = (
     "origin string, width int, height int, channels int, size_bytes long, brightness double, "
-    "contrast double, sharpness double, is_blurry boolean, thumbnail array<int>"
+    "contrast double, sharpness double, is_blurry boolean, thumbnail array<int>, error string"
 )
 
 _ARROW = pa.schema([
@@ -27,14 +26,17 @@ _ARROW = pa.schema([
     ("sharpness", pa.float64()),
     ("is_blurry", pa.bool_()),
     ("thumbnail", pa.list_(pa.int32())),
+    ("error", pa.string()),
 ])
 
+UNREADABLE = "image could not be decoded"
+
 # Gray weights of blue, green and red in 1/16384, and the bicubic coefficient.
 GRAY_WEIGHTS = (1868, 9617, 4899)
 CUBIC = -0.75
 
 
-def gray_image(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+def gray_image(data, height: int, width: int, channels: int) -> np.ndarray:
     pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     if channels == 1:
         return pixels[:, :, 0]
@@ -71,16 +73,18 @@ def thumbnail(gray: np.ndarray, size: int = 8) -> np.ndarray:
     return np.clip(np.rint(rows @ gray.astype(np.float64) @ columns.T), 0, 255).astype(np.int32)
 
 
-def _measure(image: dict) -> dict:
-    height, width, channels = image["height"], image["width"], image["nChannels"]
-    gray = gray_image(image["data"], height, width, channels)
+def _measure(origin: str, data, height: int, width: int, channels: int) -> dict:
+    sound = height is not None and height > 0 and data is not None
+    if not sound or len(data) != height * width * channels:
+        return {"origin": origin, "error": UNREADABLE}
+    gray = gray_image(data, height, width, channels)
     sharpness = laplacian_variance(gray)
     return {
-        "origin": image["origin"],
+        "origin": origin,
         "width": width,
         "height": height,
         "channels": channels,
-        "size_bytes": len(image["data"]),
+        "size_bytes": len(data),
         "brightness": float(gray.mean()),
         "contrast": float(gray.std()),
         "sharpness": sharpness,
@@ -90,16 +94,21 @@ def _measure(image: dict) -> dict:
 
 
 def image_audit(images: DataFrame) -> DataFrame:
-    """Size, brightness, contrast, sharpness and 8x8 thumbnail of every decoded image.
+    """Size, brightness, contrast, sharpness and 8x8 thumbnail of every image.
 
-    ``images`` has the ``image`` column of ``spark.read.format('image')``. The hash for duplicate
-    search is ``vision.average_hash`` of the thumbnail.
+    ``images`` has the ``image`` column of ``spark.read.format('image')``. An image that could not
+    be decoded, or whose bytes do not fit its size, keeps its row with ``error`` and NULL figures.
+    The hash for duplicate search is ``vision.average_hash`` of the thumbnail.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_measure(image) for image in batch.column("image").to_pylist()]
+            image = batch.column("image")
+            small = [image.field(n).to_pylist() for n in ("origin", "height", "width", "nChannels")]
+            rows = []
+            for data, origin, height, width, channels in zip(image.field("data"), *small):
+                view = memoryview(data.as_buffer()) if data.is_valid else None  # not copied
+                rows.append(_measure(origin, view, height, width, channels))
             yield from pa.Table.from_pylist(rows, schema=_ARROW).to_batches()
 
-    decoded = images.filter(F.col("image.height") > 0).select("image")
-    return decoded.mapInArrow(measure, SCHEMA)
+    return images.select("image").mapInArrow(measure, SCHEMA)

@@ -7,8 +7,8 @@ Three physical strategies give the same rows:
     and each query batch is scored against it in one matrix product. No shuffle.
 ``broadcast_queries``
     The query side is small. The base table is scanned where it lies; each task
-    keeps its own top k per query, so only ``queries x k`` rows per task are
-    shuffled for the final cut.
+    keeps its own top k per query, so only ``queries x k`` ids and scores per
+    task are shuffled, and cut in stages of ``merge_fan_in`` tasks each.
 ``blocked``
     Neither side is small. Base rows are put into the cell of their nearest
     pivot. A query meets only the cells that the triangle inequality on angles
@@ -69,8 +69,9 @@ def knn_join(
 ) -> DataFrame:
     """Candidates (query_id, candidate_id, face_similarity, query, candidate).
 
-    ``query`` and ``candidate`` are structs of the id and the listed columns. Carrying them
-    through the join saves two joins afterwards, whose keys could be hot.
+    ``query`` and ``candidate`` are structs of the id and the listed columns. A small base side
+    carries them through the join; otherwise only ids and vectors are exchanged and the columns
+    are joined to the ``k`` survivors of each query.
     Rows whose vector is NULL or not of length ``dim`` take no part.
     """
     wanted = traits = None
@@ -89,6 +90,11 @@ def knn_join(
     return job.plan()
 
 
+def _only_id(side: DataFrame) -> DataFrame:
+    """The side with ``row`` cut down to the id."""
+    return side.withColumn("row", F.struct(F.col("id")))
+
+
 def _side(df, id_col, vector, columns, dim, extra_name, extra) -> DataFrame:
     picked = [
         F.col(id_col).cast("string").alias("id"),
@@ -120,8 +126,25 @@ class _Job(NamedTuple):
                 return self.broadcast_base(self.base.toArrow(), n_queries)
         if strategy in ("auto", "broadcast_queries") and n_queries <= few:
             if self._is_narrow(self.queries):
-                return self.broadcast_queries(self.queries.toArrow())
-        return self.blocked(n_base)
+                slim = self._slim()
+                return self._with_rows(slim.broadcast_queries(slim.queries.toArrow()))
+        return self._with_rows(self._slim().blocked(n_base))
+
+    def _slim(self) -> _Job:
+        return self._replace(queries=_only_id(self.queries), base=_only_id(self.base))
+
+    def _with_rows(self, pairs: DataFrame) -> DataFrame:
+        """Put the carried columns of both sides in place of the ids.
+
+        Ids are unique on either side. A base row that is near to very many queries is a hot key
+        of a plain join, which adaptive execution splits.
+        """
+        for key, name, side in (
+            ("query_id", "query", self.queries), ("candidate_id", "candidate", self.base)
+        ):
+            rows = side.select(F.col("id").alias(key), F.col("row").alias(name))
+            pairs = pairs.drop(name).join(rows, key)
+        return pairs.select("query_id", "candidate_id", "face_similarity", "query", "candidate")
 
     def _counts(self) -> tuple[int, int]:
         """Rows of both sides in one job that reads no vectors."""
@@ -183,10 +206,19 @@ class _Job(NamedTuple):
                 best.add(table)
             yield from best.batches()
 
-        return self._final_cut(self.base.mapInArrow(each_partition, self._schema()))
-
-    def _final_cut(self, pairs: DataFrame) -> DataFrame:
-        best_first = Window.partitionBy("query_id").orderBy(
+        pairs = self.base.mapInArrow(each_partition, self._schema())
+        # One query has up to k rows from every base partition: merge a few of them at a time.
+        numbers = self.base.select(F.spark_partition_id().alias("part"))
+        parts = 1 + (numbers.agg(F.max("part")).first()[0] or 0)
+        merged = pairs.withColumn("_part", F.spark_partition_id())
+        while parts > self.config.merge_fan_in:
+            parts = math.ceil(parts / self.config.merge_fan_in)
+            merged = merged.withColumn("_part", F.floor(F.col("_part") / self.config.merge_fan_in))
+            merged = self._final_cut(merged, "_part")
+        return self._final_cut(merged.drop("_part"))
+
+    def _final_cut(self, pairs: DataFrame, *within: str) -> DataFrame:
+        best_first = Window.partitionBy("query_id", *within).orderBy(
             F.desc("face_similarity"), F.asc("candidate_id")
         )
         ranked = pairs.withColumn("_rank", F.row_number().over(best_first))
@@ -308,7 +340,14 @@ class _Job(NamedTuple):
             if mine is None or first is None:
                 return
             best = kernels.RunningBest(mine, search)
-            rest = (kernels.as_side(pa.Table.from_batches([b]), "candidate") for b in batches)
+
+            def base_rows_only() -> Iterator[pa.Table]:
+                for batch in batches:
+                    table = pa.Table.from_batches([batch])
+                    kernels.check_order(table["is_base"], 0)
+                    yield kernels.as_side(table, "candidate")
+
+            rest = base_rows_only()
             for table in kernels.gathered(itertools.chain([first], rest), stream_rows):
                 best.add(table)
             yield from best.batches()

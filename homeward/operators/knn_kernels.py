@@ -236,6 +236,13 @@ def as_side(table: pa.Table, row: str) -> pa.Table:
     return table.rename_columns(["row" if c == row else c for c in table.column_names])
 
 
+def check_order(is_base: pa.ChunkedArray, n_queries: int) -> None:
+    """Raise unless ``n_queries`` query rows open the batch and only base rows follow."""
+    flags = is_base.to_numpy()
+    if flags[:n_queries].any() or not flags[n_queries:].all():
+        raise ValueError("query rows must precede the base rows of their block pair")
+
+
 def leading_queries(
     batches: Iterator[pa.RecordBatch],
 ) -> tuple[pa.Table | None, pa.Table | None]:
@@ -247,6 +254,7 @@ def leading_queries(
     for batch in batches:
         table = pa.Table.from_batches([batch])
         n = len(table) - pc.sum(table["is_base"]).as_py()
+        check_order(table["is_base"], n)
         if n:
             queries.append(as_side(table.slice(0, n), "query"))
         if n < len(table):

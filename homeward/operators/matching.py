@@ -16,6 +16,7 @@ from homeward.functions.contacts import contact_of
 from homeward.functions.explanation import explanation
 from homeward.operators.knn import Prefilter, knn_join
 from homeward.schemas import AGE_COLUMN, BUSINESS_ID
+from homeward.session import checkpointed
 
 MISSING, FOUND = "missing", "found"
 
@@ -290,6 +291,10 @@ def records_by_business_id(df: DataFrame, side: str, ids: list[str] | DataFrame)
     )
 
 
+# Outcomes of a lookup.
+UNKNOWN_ID, NO_MATCH, MATCHED = "unknown id", "no match", "matched"
+
+
 def search_by_id(
     missing: DataFrame,
     found: DataFrame,
@@ -298,7 +303,32 @@ def search_by_id(
     config: MatchConfig,
     **options,
 ) -> DataFrame:
-    """Look records up by business id and match each against the other side."""
-    queries = records_by_business_id(missing if side == MISSING else found, side, ids)
-    base = found if side == MISSING else missing
-    return match(queries, base, side, config, **options)
+    """Look records up by business id and match each against the other side.
+
+    Every id that was asked for has at least one row: ``business_id``, ``status``, the ``record``
+    itself (NULL for an unknown id) and the columns of its matches (NULL without any).
+    """
+    own, base = (missing, found) if side == MISSING else (found, missing)
+    if isinstance(ids, DataFrame):
+        asked = ids.select(F.col(ids.columns[0]).cast("string").alias("business_id")).distinct()
+    else:
+        rows = [(i,) for i in dict.fromkeys(ids)]
+        asked = own.sparkSession.createDataFrame(rows, "business_id string")
+    # Written once: the join counts, measures and scores its queries.
+    queries = checkpointed(records_by_business_id(own, side, ids))
+    matches = match(queries, base, side, config, **options)
+    records = queries.select(
+        F.col(BUSINESS_ID[side]).alias("business_id"),
+        F.col("point_id").alias("_point"),
+        F.struct(*[c for c in queries.columns if c != "embedding"]).alias("record"),
+    )
+    status = (
+        F.when(F.col("_point").isNull(), UNKNOWN_ID)
+        .when(F.col("query_id").isNull(), NO_MATCH)
+        .otherwise(MATCHED)
+    )
+    return (
+        asked.join(records, "business_id", "left")
+        .join(matches, F.col("_point") == F.col("query_id"), "left")
+        .select("business_id", status.alias("status"), "record", *matches.columns)
+    )

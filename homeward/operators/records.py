@@ -20,17 +20,19 @@ REQUIRED = {
 ID_PREFIX = {"missing": "MISS", "found": "FOUND"}
 
 
-def prepare_form(form: DataFrame, side: str, arrived_at: Column) -> DataFrame:
+def prepare_form(
+    form: DataFrame, side: str, arrived_at: Column, row_key: Column
+) -> DataFrame:
     """What the upload step does to a raw form.
 
     Gender is lower-cased, comma-separated mark fields (``*_text``) become lists, and a record
-    without a business id gets one from its arrival time.
+    without a business id gets one from its arrival time and ``row_key``, which is unique per row.
     """
     key = BUSINESS_ID[side]
     given = F.col(key) if key in form.columns else F.lit(None).cast("string")
     changes = {
         "gender": F.lower("gender"),
-        key: F.coalesce(given, millis_id(ID_PREFIX[side], arrived_at)),
+        key: F.coalesce(given, millis_id(ID_PREFIX[side], arrived_at, row_key)),
     }
     marks = "birthmarks" if side == "missing" else "visible_marks"
     if f"{marks}_text" in form.columns:
@@ -56,14 +58,22 @@ def intake_error(side: str, dim: int, vector: str = "embedding") -> Column:
 
 
 def ingest(
-    records: DataFrame, side: str, dim: int, uploaded_at: str | Column, as_of_year: int
+    records: DataFrame,
+    side: str,
+    dim: int,
+    uploaded_at: str | Column,
+    as_of_year: int,
+    row_key: Column,
 ) -> DataFrame:
-    """Storable records with their system columns."""
+    """Storable records with their system columns.
+
+    ``row_key`` is unique per input row and gives each its own point id; business ids may repeat.
+    """
     moment = F.lit(uploaded_at) if isinstance(uploaded_at, str) else uploaded_at
     stored = records.filter(intake_error(side, dim).isNull()).withColumns({
         "collection_type": F.lit(side),
         "upload_timestamp": moment.cast("string"),
-        "point_id": point_id(side, F.col(BUSINESS_ID[side]), moment),
+        "point_id": point_id(side, row_key, moment),
     })
     if side == "missing":
         stored = stored.withColumn(

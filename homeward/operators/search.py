@@ -59,7 +59,10 @@ def list_page(table: DataFrame, limit: int = 100, offset: str | None = None) ->
 def list_cases(
     missing: DataFrame, found: DataFrame, limit: int = 100, case_type: str | None = None
 ) -> DataFrame:
-    """Up to ``limit`` cases (at most 500) of each side, or of one side."""
+    """Up to ``limit`` cases (at most 500) of each side, or of one side.
+
+    ``metadata`` is the stored record without its vector, as JSON.
+    """
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
     if case_type not in (None, "missing", "found"):
@@ -82,6 +85,8 @@ def list_cases(
             F.lit(1.0).alias("metadata_similarity"),
             F.lit(1.0).alias("combined_score"),
             F.lit("VERY_HIGH").alias("confidence_level"),
+            F.lit(1.0).alias("confidence_score"),
+            F.to_json(F.struct(*[c for c in table.columns if c != "embedding"])).alias("metadata"),
         )
 
     sides = [("missing", missing), ("found", found)]

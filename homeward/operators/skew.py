@@ -21,9 +21,14 @@ def hot_keys(facts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, key: str, spread: str, hot: DataFrame | None = None
+    facts: DataFrame,
+    dim: DataFrame,
+    key: str,
+    spread: str,
+    hot: DataFrame | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join to ``dim``, whose ``key`` is unique, with hot keys spread over many tasks.
+    """Inner or left join to ``dim``, whose ``key`` is unique, hot keys spread over many tasks.
 
     Rows of a hot key get one of ``_salts`` salts by the hash of column ``spread`` and the key's
     single row in ``dim`` is repeated once per salt. The list of hot keys is bounded by
@@ -40,6 +45,6 @@ def lookup_join(
     )
     return (
         salted_facts.drop("_salts")
-        .join(salted_dim.drop("_salts"), [key, "_salt"])
+        .join(salted_dim.drop("_salts"), [key, "_salt"], how)
         .drop("_salt")
     )

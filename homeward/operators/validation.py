@@ -226,6 +226,13 @@ def with_errors(df: DataFrame, checks: list[Column]) -> DataFrame:
     )
 
 
+def with_first_errors(df: DataFrame, stages: list[list[Column]]) -> DataFrame:
+    """Add ``errors`` of the first stage that finds some, and ``is_valid``."""
+    found = [F.array_compact(F.array(*checks)) for checks in stages]
+    first = F.coalesce(*[F.when(F.size(e) > 0, e) for e in found[:-1]], found[-1])
+    return df.withColumn("errors", first).withColumn("is_valid", F.size("errors") == 0)
+
+
 def validate_missing(df: DataFrame, as_of_year: int, strict: bool = False) -> DataFrame:
     checks = missing_errors(df, as_of_year)
     if strict:

@@ -116,19 +116,32 @@ _COMPARED = T.StructType([
 
 @F.arrow_udf(_COMPARED)
 def _compare(left: pa.Array, right: pa.Array) -> pa.Array:
-    def matrix(vectors):
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(len(vectors), -1)
-
-    a, b = matrix(left), matrix(right)
-    length = [np.sqrt((m * m).sum(axis=1)) + NORM_EPSILON for m in (a, b)]
-    cosine = (a * b).sum(axis=1) / (length[0] * length[1])
-    distance = np.sqrt(((a - b) ** 2).sum(axis=1))
+    """Null where either vector is null or their lengths differ."""
+    lengths = [v.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) for v in (left, right)]
+    usable = (lengths[0] == lengths[1]) & (lengths[0] > 0)
+    cosine, distance = np.full(len(left), np.nan), np.full(len(left), np.nan)
+    for size in np.unique(lengths[0][usable]).tolist():
+        rows = np.flatnonzero(usable & (lengths[0] == size))
+
+        def matrix(vectors):
+            flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+            return flat.astype(np.float64).reshape(len(rows), size)
+
+        a, b = matrix(left), matrix(right)
+        norm = [np.sqrt((m * m).sum(axis=1)) + NORM_EPSILON for m in (a, b)]
+        cosine[rows] = (a * b).sum(axis=1) / (norm[0] * norm[1])
+        distance[rows] = np.sqrt(((a - b) ** 2).sum(axis=1))
     return pa.StructArray.from_arrays(
-        [pa.array(cosine), pa.array(distance)], ["cosine", "distance"]
+        [pa.array(cosine, mask=~usable), pa.array(distance, mask=~usable)], ["cosine", "distance"]
     )
 
 
+# Outcomes of looking up the vectors of a listed pair.
+COMPARED = "compared"
+NO_VECTOR = ("no vector for img1", "no vector for img2", "no vectors")
+OTHER_LENGTH = "vectors differ in length"
+
+
 def with_vectors(
     pairs: DataFrame,
     vectors: DataFrame,
@@ -136,17 +149,27 @@ def with_vectors(
     names: tuple[str, str] = ("left", "right"),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the vectors of both images of listed pairs (img1, img2); others drop out.
+    """Every listed pair (img1, img2) with the vectors of both images and a ``status``.
 
-    Hot images are salted, since one image may be in very many pairs.
+    An image without a stored vector, or with an empty one, leaves its vector NULL. Only a pair of
+    status ``compared`` has two vectors of one length. Hot images are salted, since one image may
+    be in very many pairs.
     """
     usable = vectors.filter(F.size("embedding") > 0)
+    joined = pairs
     for key, name in zip(("img1", "img2"), names):
         side = usable.select(F.col("image_id").alias(key), F.col("embedding").alias(name))
         hot = hot_keys(pairs.select("img1", "img2"), key, hot_rows)
-        joined = pairs if key == "img1" else joined
-        joined = lookup_join(joined, side, key, spread=pair_id, hot=hot)
-    return joined
+        joined = lookup_join(joined, side, key, spread=pair_id, hot=hot, how="left")
+    first, second = (F.col(n).isNull() for n in names)
+    status = (
+        F.when(first & second, NO_VECTOR[2])
+        .when(first, NO_VECTOR[0])
+        .when(second, NO_VECTOR[1])
+        .when(F.size(names[0]) != F.size(names[1]), OTHER_LENGTH)
+        .otherwise(COMPARED)
+    )
+    return joined.withColumn("status", status)
 
 
 def verify_pairs(
@@ -156,7 +179,7 @@ def verify_pairs(
     threshold: float = SAME_PERSON,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Cosine, distance and verdict of listed pairs."""
+    """Cosine, distance and verdict of listed pairs; NULL, with a ``status``, if not comparable."""
     both = with_vectors(pairs, vectors, pair_id, ("_v1", "_v2"), hot_rows)
     compared = both.withColumn("_c", _compare("_v1", "_v2"))
     return compared.withColumns({

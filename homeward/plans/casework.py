@@ -76,6 +76,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "embeddings",
         None,
         {
+            "upload_key": "cast(vec_id as string)",
             "embedding": "case when vec_id % 19 = 0 then null "
             "when vec_id % 23 = 0 then LIST(cast(1 as float)) else embedding end",
             "case_id": "case when vec_id % 29 = 0 then null "
@@ -93,6 +94,7 @@ TABLES: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "embeddings",
         None,
         {
+            "upload_key": "cast(vec_id as string)",
             "embedding": "case when vec_id % 17 = 0 then null "
             "when vec_id % 13 = 0 then LIST(cast(1 as float)) else embedding end",
             "found_id": "case when vec_id % 29 = 0 then null "

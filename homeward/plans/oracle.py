@@ -41,9 +41,60 @@ def _common(side: str) -> str:
 
 
 def _arrivals() -> str:
-    """Only arrivals without errors are matched."""
-    good = f"select point_id from found where {_upload_errors('found')} = ''"
-    return f"{_common('found')} where qid in ({good})"
+    """Valid forms of both sides are stored, vectors as floats; the found ones are matched."""
+    given = cte("missing", "found")
+    text = _common("found")
+    assert given in text
+    raw = given.replace("missing as (", "raw_missing as (").replace("found as (", "raw_found as (")
+    stored = ", ".join(
+        f"{side} as (select * replace ({_uuid(side, 'point_id')} as point_id, "
+        f"embedding::float[]::double[] as embedding) from raw_{side} "
+        f"where ({_upload_errors(side)}) is null)"
+        for side in ("missing", "found")
+    )
+    return text.replace(given, f"{raw}, {stored}")
+
+
+def _lookup(side: str) -> str:
+    """Every id asked for, with what was found."""
+    key = _BY_SIDE[side][0]
+    return f"""{cte("missing", "found")}, m as ({M.match(side, limit=1)}),
+asked as (select {key} as business_id from {side} union select {key} || '_gone' from {side}),
+known as (select {key}, min(point_id) as point_id, arg_min(image_url, point_id) as image_url
+  from {side} group by {key})
+select business_id, case when k.point_id is null then 'unknown id' when m.query_id is null
+    then 'no match' else 'matched' end as status,
+  (select r.image_url from {side} r where r.point_id = k.point_id) as own_image_url, m.*
+from asked left join known k on business_id = k.{key} left join m on m.query_id = k.point_id"""
+
+
+def _other_weights() -> str:
+    text = M.match("missing")
+    changes = {
+        "g_m * 0.3::double + a_c * 0.3::double + m_s * 0.25::double + l_p * 0.15::double":
+        "g_m * 0.4::double + a_c * 0.2::double + m_s * 0.1::double + l_p * 0.3::double",
+        "0.7::double * face + 0.3::double * meta": "0.6::double * face + 0.4::double * meta",
+    }
+    for old, new in changes.items():
+        assert old in text
+        text = text.replace(old, new)
+    return text
+
+
+def _reset() -> str:
+    counts = [
+        f"select 'stored' as moment, '{side}' as side, count(distinct upload_key) as records "
+        f"from {side}_uploads where ({_intake_error(side)}) is null "
+        f"union all select 'reset', '{side}', 0"
+        for side in ("missing", "found")
+    ]
+    return f"{cte('missing_uploads', 'found_uploads')} " + " union all ".join(counts)
+
+
+_COLOUR = (
+    "list_transform(range(64), lambda j: (1868 * p[((3 * j) % 64) + 1] + "
+    "9617 * p[((3 * j + 1) % 64) + 1] + 4899 * p[((3 * j + 2) % 64) + 1] + 8192) >> 14)"
+)
 
 
 def _prefiltered() -> str:
@@ -94,7 +145,6 @@ def _intake_error(side: str, dim: int = VECTOR_DIM) -> str:
 
 
 def _ingest(side: str) -> str:
-    key = _BY_SIDE[side][0]
     fields = {
         "missing": "case_id, name, age_at_disappearance, year_disappeared, lower(gender) as gender, "
         f"age_at_disappearance + ({AS_OF_YEAR} - year_disappeared) as estimated_current_age",
@@ -102,7 +152,7 @@ def _ingest(side: str) -> str:
     }[side]
     return f"""{cte(f"{side}_uploads")}
 select {fields}, '{side}' as collection_type, '{UPLOADED_AT}' as upload_timestamp,
-  {_uuid(side, key)} as point_id, cast(len(embedding) as int) as vector_size
+  {_uuid(side, 'upload_key')} as point_id, cast(len(embedding) as int) as vector_size
 from {side}_uploads where ({_intake_error(side)}) is null"""
 
 
@@ -258,18 +308,19 @@ select point_id, errors = '' as is_valid, errors from checked"""
 
 def _upload_errors(side: str) -> str:
     columns = TABLES[side][2]
-    rules = _declared_rules(side) + _form_rules(side)
-    return _joined(
-        [*((n, e) for n, e in rules if n in columns), ("", _intake_error(side, FOLDED_DIM))]
-    )
+    stages = [
+        f"nullif({_joined([(n, e) for n, e in rules if n in columns])}, '')"
+        for rules in (_declared_rules(side), _form_rules(side))
+    ]
+    return f"coalesce({', '.join(stages)}, {_intake_error(side, FOLDED_DIM)})"
 
 
 def _upload(side: str) -> str:
     key = _BY_SIDE[side][0]
     return f"""{cte(side)},
 checked as (select *, {_upload_errors(side)} as all_errors from {side})
-select {key}, case when all_errors = '' then {_uuid(side, key)} end as point_id,
-  nullif(all_errors, '') as errors from checked"""
+select {key}, case when all_errors is null then {_uuid(side, 'point_id')} end as point_id,
+  all_errors as errors from checked"""
 
 
 def _validate_searches() -> str:
@@ -373,7 +424,8 @@ _SPACES = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x
 
 _PAIRS = (
     "vp as (select p.*, a.embedding::double[] as l, b.embedding::double[] as r "
-    "from vector_pairs p join vectors a on a.image_id = img1 join vectors b on b.image_id = img2)"
+    "from vector_pairs p left join vectors a on a.image_id = img1 "
+    "left join vectors b on b.image_id = img2)"
 )
 _COSINE = (
     "list_dot_product(l, r) / ((sqrt(list_dot_product(l, l)) + 1e-8) "
@@ -381,8 +433,14 @@ _COSINE = (
 )
 
 
+_STATUS = (
+    "case when l is null and r is null then 'no vectors' when l is null then "
+    "'no vector for img1' when r is null then 'no vector for img2' else 'compared' end as status"
+)
+
+
 def _pairs(select: str) -> str:
-    return f"{cte('vector_pairs', 'vectors')}, {_PAIRS} select {select} from vp"
+    return f"{cte('vector_pairs', 'vectors')}, {_PAIRS} select {select}, {_STATUS} from vp"
 
 
 _HASH = (
@@ -474,7 +532,7 @@ diff as (
 
 _CASE_COLUMNS = (
     "1.0 as face_similarity, 1.0 as metadata_similarity, 1.0 as combined_score, "
-    "'VERY_HIGH' as confidence_level"
+    "'VERY_HIGH' as confidence_level, 1.0 as confidence_score, name as metadata_name"
 )
 _MISSING_CASES = (
     "(select 'missing' as collection_type, point_id as id, case_id, name, gender, "
@@ -530,8 +588,18 @@ def build() -> dict[str, str]:
         "match_bilateral": _match_bilateral(),
         "match_arrivals": _arrivals(),
         "match_prefiltered": _prefiltered(),
-        "search_by_case": M.match("missing", limit=1),
-        "search_by_found": M.match("found", limit=1),
+        "search_by_case": _lookup("missing"),
+        "search_by_found": _lookup("found"),
+        "match_other_weights": _other_weights(),
+        "knn_merged": _knn(),
+        "knn_filtered": f"""{cte("missing", "found")},
+pairs as (
+  select m.point_id as query_id, f.point_id as candidate_id,
+    round(list_cosine_similarity(m.embedding, f.embedding), 9) as s from missing m, found f
+  where f.gender = 'female' and f.current_age_estimate between 18 and 60)
+select query_id, candidate_id, round(s, 6) as face_similarity from pairs where s >= 0.45
+qualify row_number() over (partition by query_id order by s desc, candidate_id) <= 10""",
+        "reset_roundtrip": _reset(),
         "knn_topk": _knn(),
         "knn_broadcast_queries": _knn(),
         "knn_blocked": _knn(),
@@ -573,7 +641,8 @@ select qid as query_id, cid as candidate_id, round(conf, 6) as confidence_score,
         "upload_found": _upload("found"),
         "prepare_forms": f"""{cte("missing_forms")}
 select point_id, case when height_cm is not null then case_id
-    else 'MISS_' || epoch_ms(timestamp '{UPLOADED_AT}') end as case_id,
+    else 'MISS_' || epoch_ms(timestamp '{UPLOADED_AT}') || '_' ||
+      upper(substr(sha256(point_id), 1, 12)) end as case_id,
   lower(gender) as gender, array_to_string({_list("birthmarks_text")}, '|') as marks
 from missing_forms""",
         "list_page": f"""{cte("found_forms")},
@@ -649,7 +718,8 @@ from listed""",
         "make_ids": f"""{cte("arrivals_log")}
 select event_id, 'MISS_' || strftime(ts, '%Y%m%d%H%M%S') || '_' ||
   upper(substr(sha256(cast(event_id as varchar)), 1, 6)) as dated_id,
-  'FOUND_' || {epoch} as millis_id from arrivals_log""",
+  'FOUND_' || {epoch} || '_' ||
+  upper(substr(sha256(cast(event_id as varchar)), 1, 12)) as millis_id from arrivals_log""",
         "vec_normalize": f"""{cte("vectors")},
 d as (select image_id, embedding::double[] as e from vectors),
 n as (select image_id, e, sqrt(list_dot_product(e, e)) as norm from d),
@@ -689,19 +759,26 @@ from face_metrics""",
 thumbs as (select image_id, {_GRAY} as pixels from face_thumbs)
 select image_id, {_HASH} as hash from thumbs""",
         "image_audit": f"""{cte("face_thumbs")},
-thumbs as (select image_id, {_GRAY} as pixels from face_thumbs),
-measured as (select image_id, pixels, list_transform(range(64), lambda i:
+given as (select image_id, {_GRAY} as p, cast(image_id as bigint) % 3 = 1 as colour
+  from face_thumbs where cast(image_id as bigint) % 5 <> 0),
+thumbs as (select image_id, colour, case when colour then {_COLOUR} else p end as pixels from given),
+measured as (select image_id, colour, pixels, list_transform(range(64), lambda i:
   {_around(-1, 0)} + {_around(1, 0)} + {_around(0, -1)} + {_around(0, 1)} - 4 * pixels[i + 1]) as edges
   from thumbs)
-select image_id as origin, 8 as width, 8 as height, 1 as channels, 64 as size_bytes,
+select image_id as origin, 8 as width, 8 as height, case when colour then 3 else 1 end as channels,
+  case when colour then 192 else 64 end as size_bytes,
   round(list_avg(pixels), 6) as brightness, round(list_stddev_pop(pixels), 6) as contrast,
   round(list_var_pop(edges), 6) as sharpness, list_var_pop(edges) < 100 as is_blurry,
-  {_HASH} as hash from measured""",
+  {_HASH} as hash, null as error from measured
+union all
+select image_id, null, null, null, null, null, null, null, null, null,
+  'image could not be decoded' from face_thumbs where cast(image_id as bigint) % 5 = 0""",
         "dup_hash": f"{_DOC_HASH} select * from groups",
         "dup_members": f"{_DOC_HASH} select image_id, hash, n_copies, first_image "
         "from hashed join groups using (hash)",
         "fg_parse": f"{_FILES} select * from parsed",
-        "fg_by_person": f"{_FILES} select * from kept",
+        "fg_by_person": f"{_FILES} select person_id, age, path, row_number() over (partition by "
+        "person_id order by age, substr(md5(path), 1, 2), path) as position from parsed",
         "fg_dedup": f"{_FILES} select person_id, age, path from kept",
         "fg_manifest": f"{_FILES} select path, {_TARGET.format('person_id', 'age')} as target, "
         "person_id, age from kept",

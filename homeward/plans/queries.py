@@ -57,13 +57,13 @@ def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 # Matching
 
 
-def _flat(matches: DataFrame) -> DataFrame:
+def _flat(matches: DataFrame, *more: str) -> DataFrame:
     ages = [
         f"match_details.{f.name}"
         for f in matches.schema["match_details"].dataType.fields
         if f.name not in matches.columns
     ]
-    return _six(matches.select(*matching.COMMON, *ages), *SCORES)
+    return _six(matches.selectExpr(*more, *matching.COMMON, *ages), *SCORES)
 
 
 def match_missing_to_found(spark, sf):
@@ -82,16 +82,16 @@ def match_bilateral(spark, sf):
 
 
 def _lookup(side: str) -> Query:
-    """Look up every business id of a side, with the lookup's limit of one match."""
+    """Look up every business id of a side, and as many unknown ones; at most one match each."""
 
     def query(spark, sf):
         missing, found = _sides(spark, sf)
         own = missing if side == "missing" else found
-        ids = own.select("case_id" if side == "missing" else "found_id")
+        known = own.select(F.col("case_id" if side == "missing" else "found_id").alias("id"))
+        ids = known.unionByName(known.select(F.concat("id", F.lit("_gone")).alias("id")))
         one = MatchConfig(as_of_year=cw.AS_OF_YEAR, dim=cw.FOLDED_DIM, limit=1)
-        return _flat(
-            matching.search_by_id(missing, found, side, ids, one, explain=False)
-        )
+        looked_up = matching.search_by_id(missing, found, side, ids, one, explain=False)
+        return _flat(looked_up, "business_id", "status", "record.image_url AS own_image_url")
 
     return query
 
@@ -116,6 +116,25 @@ def _knn(strategy: str, **options) -> Query:
     return query
 
 
+def knn_filtered(spark, sf):
+    """Nearest neighbours among the base records that meet metadata filters."""
+    missing, found = _sides(spark, sf)
+    women = search.filter_records(found, "found", {"gender": "female", "age_range": [18, 60]})
+    pairs = knn_join(missing, women, k=10, threshold=0.45, dim=cw.FOLDED_DIM)
+    return _six(pairs.select("query_id", "candidate_id", "face_similarity"), *SCORES)
+
+
+OTHER_WEIGHTS = MatchConfig(
+    as_of_year=cw.AS_OF_YEAR, dim=cw.FOLDED_DIM, metadata_weight=0.4,
+    gender_weight=0.4, age_weight=0.2, marks_weight=0.1, location_weight=0.3,
+)
+
+
+def match_other_weights(spark, sf):
+    missing, found = _sides(spark, sf)
+    return _flat(matching.match_missing_to_found(missing, found, OTHER_WEIGHTS, explain=False))
+
+
 def _judged(spark, sf) -> DataFrame:
     missing, found = _sides(spark, sf)
     pairs = matching.candidates(missing, found, "missing", CONFIG)
@@ -222,26 +241,37 @@ def confidence_hist(spark, sf):
     )
 
 
-def match_stream(spark, sf):
-    """Every found record arrives on a stream and is matched against the missing table."""
-    source = spark.read.parquet(f"{sf}/embeddings.parquet").schema
+def _raw_forms(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    """A stream of the side's records as their senders would give them: no ids, any case."""
     stream = (
-        spark.readStream.schema(source)
+        spark.readStream.schema(spark.read.parquet(f"{sf}/embeddings.parquet").schema)
         .option("pathGlobFilter", "embeddings.parquet")
         .parquet(sf)
     )
-    out = run_dir(spark, "arrivals")
-    query = match_arrivals(
-        cw.derive(stream, "found"),
-        "found",
-        lambda: cw.table(spark, sf, "missing"),
-        output=out,
-        checkpoint=f"{out}/checkpoint",
-        config=CONFIG,
-        availableNow=True,
+    forms = cw.derive(stream, side).withColumn("gender", F.upper("gender"))
+    return forms.withColumnRenamed("point_id", "form_key").drop(
+        "case_id", "found_id", "estimated_current_age"
     )
-    query.awaitTermination()
-    return _six(spark.read.parquet(f"{out}/matches").select(*matching.COMMON), *SCORES)
+
+
+def match_stream(spark, sf):
+    """Raw forms of both sides arrive on streams; found ones meet the stored missing ones."""
+    root = run_dir(spark, "arrivals")
+    tables.initialize_tables(spark, root)
+    for side in ("missing", "found"):
+        match_arrivals(
+            _raw_forms(spark, sf, side),
+            side,
+            root,
+            output=f"{root}/{side}_out",
+            checkpoint=f"{root}/{side}_checkpoint",
+            config=CONFIG,
+            row_key=F.col("form_key"),
+            arrived_at=F.lit(cw.UPLOADED_AT),
+            availableNow=True,
+        ).awaitTermination()
+    matches = spark.read.parquet(f"{root}/found_out/matches")
+    return _six(matches.select(*matching.COMMON), *SCORES)
 
 
 # Tables
@@ -251,8 +281,10 @@ def _ingest(side: str) -> Query:
     def query(spark, sf):
         form = cw.table(spark, sf, f"{side}_uploads")
         prepared = form.withColumn("gender", F.lower("gender"))
-        stored = records.ingest(prepared, side, cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR)
-        return stored.withColumn("vector_size", F.size("embedding")).drop("embedding")
+        stored = records.ingest(
+            prepared, side, cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR, F.col("upload_key")
+        )
+        return stored.withColumn("vector_size", F.size("embedding")).drop("embedding", "upload_key")
 
     return query
 
@@ -262,7 +294,9 @@ def stored_missing(spark, sf):
     root = run_dir(spark, "tables")
     tables.initialize_tables(spark, root)
     form = cw.table(spark, sf, "missing_uploads").withColumn("gender", F.lower("gender"))
-    stored = records.ingest(form, "missing", cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR)
+    stored = records.ingest(
+        form, "missing", cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR, F.col("upload_key")
+    )
     tables.append_rows(stored, root, "missing")
     back = tables.read_table(spark, root, "missing")
     return back.withColumn("vector_size", F.size("embedding")).select(
@@ -271,6 +305,33 @@ def stored_missing(spark, sf):
     )
 
 
+def reset_roundtrip(spark, sf):
+    """Rows of both tables after the intake and after the tables were emptied."""
+    root = run_dir(spark, "reset")
+    tables.initialize_tables(spark, root)
+    sides = ("missing", "found")
+    for side in sides:
+        form = cw.table(spark, sf, f"{side}_uploads").withColumn("gender", F.lower("gender"))
+        stored = records.ingest(
+            form, side, cw.VECTOR_DIM, cw.UPLOADED_AT, cw.AS_OF_YEAR, F.col("upload_key")
+        )
+        tables.append_rows(stored, root, side)
+
+    def counted(moment: str) -> DataFrame:
+        parts = [
+            tables.read_table(spark, root, side).agg(
+                F.lit(moment).alias("moment"), F.lit(side).alias("side"),
+                F.countDistinct("point_id").alias("records"),
+            )
+            for side in sides
+        ]
+        return checkpointed(parts[0].unionByName(parts[1]))
+
+    before = counted("stored")
+    tables.reset_tables(spark, root)
+    return before.unionByName(counted("reset"))
+
+
 def ingest_rejects(spark, sf):
     parts = [
         records.ingest_rejects(cw.table(spark, sf, f"{side}_uploads"), side, cw.VECTOR_DIM)
@@ -285,7 +346,7 @@ def _upload(side: str) -> Query:
 
     def query(spark, sf):
         forms = cw.table(spark, sf, side)
-        done = uploads.upload(forms, side, CONFIG, cw.UPLOADED_AT)
+        done = uploads.upload(forms, side, CONFIG, cw.UPLOADED_AT, F.col("point_id"))
         key = "case_id" if side == "missing" else "found_id"
         stored = done.stored.select(
             key, F.col("point_id"), F.lit(None).cast("string").alias("errors")
@@ -303,7 +364,7 @@ def prepare_forms(spark, sf):
     form = cw.table(spark, sf, "missing_forms").withColumn(
         "case_id", F.when(F.col("height_cm").isNotNull(), F.col("case_id"))
     )
-    done = records.prepare_form(form, "missing", moment)
+    done = records.prepare_form(form, "missing", moment, F.col("point_id"))
     return done.select(
         "point_id", "case_id", "gender", F.array_join("birthmarks", "|").alias("marks")
     )
@@ -358,13 +419,19 @@ def search_metadata(spark, sf):
     return hits.select("point_id", "case_id", "gender", "score")
 
 
+def _with_case_name(cases: DataFrame) -> DataFrame:
+    """The name as the metadata has it, in place of the JSON text."""
+    named = F.get_json_object("metadata", "$.name").alias("metadata_name")
+    return cases.select("*", named).drop("metadata")
+
+
 def list_cases(spark, sf):
-    return search.list_cases(*_stored(spark, sf), limit=100)
+    return _with_case_name(search.list_cases(*_stored(spark, sf), limit=100))
 
 
 def _cases_of(side: str) -> Query:
     def query(spark, sf):
-        return search.list_cases(*_stored(spark, sf), limit=20, case_type=side)
+        return _with_case_name(search.list_cases(*_stored(spark, sf), limit=20, case_type=side))
 
     return query
 
@@ -471,7 +538,7 @@ def make_ids(spark, sf):
     return log.select(
         "event_id",
         identifiers.dated_id("MISS", F.col("event_id"), F.col("ts")).alias("dated_id"),
-        identifiers.millis_id("FOUND", F.col("ts")).alias("millis_id"),
+        identifiers.millis_id("FOUND", F.col("ts"), F.col("event_id")).alias("millis_id"),
     )
 
 
@@ -488,25 +555,28 @@ def vec_normalize(spark, sf):
 
 
 def _paired_vectors(spark, sf) -> DataFrame:
-    """Every listed pair of lineitem keys that are both in the vector table."""
+    """Every listed pair of lineitem keys, with the vectors there are."""
     pairs, whole = cw.table(spark, sf, "vector_pairs"), cw.table(spark, sf, "vectors")
     return vision.with_vectors(pairs, whole, "pair_id")
 
 
+def _of_compared(value: Column) -> Column:
+    return F.when(F.col("status") == vision.COMPARED, value)
+
+
 def _of_pairs(name: str, value: Callable[[Column, Column], Column]) -> Query:
     def query(spark, sf):
         pairs = _paired_vectors(spark, sf)
-        return _six(
-            pairs.select("pair_id", value(F.col("left"), F.col("right")).alias(name)), name
-        )
+        result = _of_compared(value(F.col("left"), F.col("right")))
+        return _six(pairs.select("pair_id", "status", result.alias(name)), name)
 
     return query
 
 
 def sim_dist(spark, sf):
     pairs = _paired_vectors(spark, sf)
-    cosine = vectors.cosine(F.col("left"), F.col("right"))
-    df = pairs.select("pair_id", cosine.alias("similarity")).withColumn(
+    cosine = _of_compared(vectors.cosine(F.col("left"), F.col("right")))
+    df = pairs.select("pair_id", "status", cosine.alias("similarity")).withColumn(
         "distance", vectors.to_distance(F.col("similarity"))
     )
     return _six(
@@ -597,15 +667,20 @@ def _document_hashes(spark, sf) -> DataFrame:
 
 
 def image_audit(spark, sf):
-    """Whole vectors as decoded 8x8 gray images: pixel statistics and hash of each."""
+    """Whole vectors as decoded 8x8 images, gray or in colour, some cut short."""
     digits = F.transform(_gray("embedding"), lambda p: F.lpad(F.hex(p), 2, "0"))
+    number = F.col("image_id").cast("long")
+    colour, whole = number % 3 == 1, F.array_join(digits, "")
+    data = F.when(number % 5 == 0, F.substring(whole, 1, 100)).otherwise(
+        F.when(colour, F.repeat(whole, F.lit(3))).otherwise(whole)
+    )
     image = F.struct(
         F.col("image_id").alias("origin"),
         F.lit(8).alias("height"),
         F.lit(8).alias("width"),
-        F.lit(1).alias("nChannels"),
-        F.lit(0).alias("mode"),
-        F.unhex(F.array_join(digits, "")).alias("data"),
+        F.when(colour, 3).otherwise(1).alias("nChannels"),
+        F.when(colour, 16).otherwise(0).alias("mode"),
+        F.unhex(data).alias("data"),
     )
     images = cw.table(spark, sf, "face_thumbs").select(image.alias("image"))
     audit = imageaudit.image_audit(images)
@@ -656,6 +731,9 @@ QUERIES: dict[str, Query] = {
     "knn_topk": _knn("auto"),
     "knn_broadcast_queries": _knn("broadcast_queries"),
     "knn_blocked": _knn("blocked", rows_per_pivot=100, block_rows=64),
+    "knn_merged": _knn("broadcast_queries", merge_fan_in=2),
+    "knn_filtered": knn_filtered,
+    "match_other_weights": match_other_weights,
     "rerank": rerank,
     "accept": accept,
     "reject_rules": reject_rules,
@@ -673,6 +751,7 @@ QUERIES: dict[str, Query] = {
     "ingest_missing": _ingest("missing"),
     "ingest_found": _ingest("found"),
     "stored_missing": stored_missing,
+    "reset_roundtrip": reset_roundtrip,
     "ingest_rejects": ingest_rejects,
     "upload_missing": _upload("missing"),
     "upload_found": _upload("found"),
@@ -727,7 +806,7 @@ QUERIES: dict[str, Query] = {
     "dup_hash": dup_hash,
     "dup_members": dup_members,
     "fg_parse": _of_files(agepairs.parse_files),
-    "fg_by_person": _of_files(agepairs.by_person),
+    "fg_by_person": _of_files(agepairs.files_by_person),
     "fg_dedup": _of_files(lambda f: agepairs.by_person(f).drop("n_files")),
     "fg_manifest": _of_files(agepairs.manifest),
     "fg_person_stats": _of_files(lambda f: _ages_text(agepairs.person_stats(f))),

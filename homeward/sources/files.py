@@ -22,8 +22,8 @@ def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded images; unreadable files are dropped."""
-    return spark.read.format("image").option("dropInvalid", True).load(folder)
+    """Decoded images; an unreadable file is a row of height -1 without data."""
+    return spark.read.format("image").option("dropInvalid", False).load(folder)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:

@@ -13,7 +13,9 @@ def _path(root: str, side: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, side: str) -> DataFrame:
-    return spark.read.schema(TABLES[side]).parquet(_path(root, side))
+    """The table with all parts that batches have added."""
+    reader = spark.read.schema(TABLES[side]).option("recursiveFileLookup", True)
+    return reader.parquet(_path(root, side))
 
 
 def conform(records: DataFrame, side: str) -> DataFrame:
@@ -30,6 +32,13 @@ def append_rows(records: DataFrame, root: str, side: str) -> None:
     conform(records, side).write.mode("append").parquet(_path(root, side))
 
 
+def write_batch(records: DataFrame, root: str, side: str, batch_id: int) -> DataFrame:
+    """Add a streamed batch as a part of its own and read it back; a repeat replaces the part."""
+    path = f"{_path(root, side)}/batch_id={batch_id}"
+    conform(records, side).write.mode("overwrite").parquet(path)
+    return records.sparkSession.read.schema(TABLES[side]).parquet(path)
+
+
 def write_table(records: DataFrame, root: str, side: str) -> None:
     """Write a changed table (after a deletion or patches) to a new root."""
     conform(records, side).write.mode("errorifexists").parquet(_path(root, side))

@@ -1,56 +1,58 @@
-"""Matching records as they arrive.
+"""Matching forms as they arrive.
 
-Each micro-batch is checked, stored, and matched against the current table of
-the other side. Both outputs go to a folder named after the batch, so a batch
-that is repeated after a failure replaces its own rows and nothing else.
+Each micro-batch of raw forms goes through what an upload does: the form rules, the checks, the
+system columns. What can be stored becomes a part of the side's table, named after the batch, and
+is matched against the current table of the other side, which may be fed by a stream of its own.
+All outputs of a batch replace those of an earlier attempt, and identifiers derive from the
+form's key and arrival time, so a repeated batch changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from homeward.config import ConfidenceConfig, MatchConfig
-from homeward.operators.matching import COMMON, match
-from homeward.operators.uploads import check_uploads
+from homeward.operators.matching import COMMON, match, other_side
+from homeward.operators.records import prepare_form
+from homeward.operators.uploads import upload
+from homeward.sources.tables import read_table, write_batch
 
 
 def match_arrivals(
-    arrivals: DataFrame,
+    forms: DataFrame,
     side: str,
-    other_table: Callable[[], DataFrame],
+    root: str,
     output: str,
     checkpoint: str,
     config: MatchConfig,
+    row_key: Column,
+    arrived_at: Column,
     confidence: ConfidenceConfig = ConfidenceConfig(),
     **trigger,
 ) -> StreamingQuery:
-    """Start matching a stream of records of ``side``; ``other_table`` reads the current snapshot.
+    """Start storing and matching a stream of raw forms of ``side``.
 
-    ``output/records`` receives the stored records, ``output/rejects`` the others with ``errors``,
-    ``output/matches`` the matches. ``trigger`` is passed on, e.g. ``availableNow=True``.
+    ``root`` holds the two person tables. ``row_key`` is unique per form and ``arrived_at`` is its
+    arrival time. ``output/rejects`` receives the forms with ``errors``, ``output/matches`` the
+    matches. ``trigger`` is passed on, e.g. ``availableNow=True``.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         def target(name: str) -> str:
             return f"{output}/{name}/batch_id={batch_id}"
 
-        checked = check_uploads(batch, side, config).persist()
-        rejected = checked.filter(~F.col("is_valid")).drop("is_valid")
-        rejected.write.mode("overwrite").parquet(target("rejects"))
-        accepted = checked.filter(F.col("is_valid")).drop("errors", "is_valid")
-        accepted.write.mode("overwrite").parquet(target("records"))
-        checked.unpersist()
+        prepared = prepare_form(batch, side, arrived_at, row_key).persist()
+        done = upload(prepared, side, config, arrived_at, row_key)
+        done.rejected.write.mode("overwrite").parquet(target("rejects"))
         # Match what was stored: the batch is not computed again.
-        spark = batch.sparkSession
-        stored = spark.read.schema(accepted.schema).parquet(target("records"))
-        matches = match(stored, other_table(), side, config, confidence, explain=False)
+        stored = write_batch(done.stored, root, side, batch_id)
+        prepared.unpersist()
+        base = read_table(batch.sparkSession, root, other_side(side))
+        matches = match(stored, base, side, config, confidence, explain=False)
         matches.select(*COMMON).write.mode("overwrite").parquet(target("matches"))
 
-    writer = arrivals.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    writer = forms.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()

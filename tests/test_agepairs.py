@@ -25,6 +25,15 @@ def test_one_image_per_age(files):
     assert "person_001/age_02.jpg" in targets
 
 
+def test_every_file_has_a_position(files):
+    rows = A.files_by_person(files).collect()
+    assert len(rows) == A.parse_files(files).count()
+    for person in {r.person_id for r in rows}:
+        own = sorted((r for r in rows if r.person_id == person), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1))
+        assert [r.age for r in own] == sorted(r.age for r in own)
+
+
 def test_statistics(files):
     stats = {r.person_id: (r.n_images, r.ages, r.age_span) for r in A.person_stats(files).collect()}
     assert stats["001"] == (3, [2, 14, 22], 20)

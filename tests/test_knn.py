@@ -152,3 +152,20 @@ def test_carried_columns(spark):
     for r in out.collect():
         assert r.query.point_id == r.query_id and r.candidate.point_id == r.candidate_id
         assert r.query.age is not None and "gender" in r.candidate.asDict()
+
+
+def test_block_pairs_refuse_a_wrong_order():
+    import pyarrow as pa
+
+    from homeward.operators import knn_kernels as kernels
+
+    def batch(flags):
+        columns = {"id": [str(i) for i in range(len(flags))], "is_base": flags}
+        columns |= {"query": [None] * len(flags), "candidate": [None] * len(flags)}
+        return pa.RecordBatch.from_pydict(columns)
+
+    assert len(kernels.leading_queries(iter([batch([False, False, True])]))[0]) == 2
+    with pytest.raises(ValueError, match="precede"):
+        kernels.leading_queries(iter([batch([True, False])]))
+    with pytest.raises(ValueError, match="precede"):
+        kernels.leading_queries(iter([batch([False]), batch([True, False])]))

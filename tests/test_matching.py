@@ -103,8 +103,12 @@ def test_lookup(golden_sides):
     config = MatchConfig(as_of_year=2024, dim=4, limit=1)
     got = M.search_by_id(missing, found, "missing", ["MISS_2", "NONEXISTENT_ID_12345"], config)
     rows = got.collect()
-    assert {r.query_id for r in rows} <= {"2"} and len(rows) <= 1
-    assert M.search_by_id(missing, found, "missing", ["NONEXISTENT"], config).count() == 0
+    assert {r.business_id for r in rows} == {"MISS_2", "NONEXISTENT_ID_12345"} and len(rows) == 2
+    known, unknown = sorted(rows, key=lambda r: r.business_id)
+    assert known.record.case_id == "MISS_2" and known.status in ("matched", "no match")
+    assert (unknown.status, unknown.record, unknown.query_id) == ("unknown id", None, None)
+    gone = M.search_by_id(missing, found, "missing", ["NONEXISTENT"], config).collect()
+    assert [r.status for r in gone] == ["unknown id"]
 
 
 def test_lookup_takes_the_lowest_point_of_a_repeated_id(spark):

@@ -26,7 +26,8 @@ def forms(spark):
 
 
 def test_ingest_and_rejects(forms):
-    stored = records.ingest(forms, "missing", 2, "2024-06-01T00:00:00", 2024).collect()
+    key = F.monotonically_increasing_id()
+    stored = records.ingest(forms, "missing", 2, "2024-06-01T00:00:00", 2024, key).collect()
     assert [r.estimated_current_age for r in stored] == [30]
     assert stored[0].collection_type == "missing" and len(stored[0].point_id) == 36
     errors = [r.error for r in records.ingest_rejects(forms, "missing", 2).collect()]
@@ -45,11 +46,27 @@ def test_prepare_form(spark):
         "case_id string, gender string, birthmarks_text string",
     )
     moment = F.lit("2024-12-20 22:40:00.123").cast("timestamp_ntz")
-    first, second = records.prepare_form(form, "missing", moment).collect()
-    assert (first.case_id, first.gender, first.birthmarks) == ("MISS_1734734400123", "male", ["a", "b"])
+    first, second = records.prepare_form(form, "missing", moment, F.lit("k")).collect()
+    assert first.case_id == "MISS_1734734400123_8254C329A928"
+    assert (first.gender, first.birthmarks) == ("male", ["a", "b"])
     assert (second.case_id, second.birthmarks) == ("MISS_9", None)
 
 
+def test_rows_of_a_batch_get_ids_of_their_own(spark):
+    form = spark.range(1000).selectExpr(
+        "cast(null as string) as case_id", "'MALE' as gender", "cast(id as string) as key",
+        "array(1f, 2f) as embedding", "'Ann' as name", "20 as age_at_disappearance",
+        "2014 as year_disappeared",
+    )
+    moment = F.lit("2024-12-20 22:40:00")
+    prepared = records.prepare_form(form, "missing", moment, F.col("key"))
+    same_case = prepared.withColumn("case_id", F.lit("MISS_1"))
+    for forms in (prepared, same_case):
+        stored = records.ingest(forms, "missing", 2, moment, 2024, F.col("key"))
+        assert stored.select("point_id").distinct().count() == 1000
+    assert prepared.select("case_id").distinct().count() == 1000
+
+
 def test_identifiers(one):
     moment = F.lit("2024-01-02 03:04:05").cast("timestamp_ntz")
     dated = one(identifiers.dated_id("MISS", F.lit("k"), moment))

@@ -68,14 +68,35 @@ def test_verify_pairs_with_a_hot_image(spark):
     rows = [(str(i), "0" if i % 2 else str(i % 40), str(i % 41)) for i in range(4000)]
     pairs = spark.createDataFrame(rows, "pair_id string, img1 string, img2 string")
     got = vision.verify_pairs(pairs, whole, "pair_id", hot_rows=100).collect()
-    assert len(got) == sum(1 for r in rows if r[2] in data)
-    for r in got[:200]:
+    assert len(got) == len(rows)
+    assert all((r.status == "compared") == (r.img2 in data) for r in got)
+    assert {(r.status, r.is_match) for r in got if r.img2 not in data} == {("no vector for img2", None)}
+    for r in [r for r in got if r.status == "compared"][:200]:
         a, b = data[r.img1].astype(float), data[r.img2].astype(float)
         cosine = a @ b / ((np.linalg.norm(a) + 1e-8) * (np.linalg.norm(b) + 1e-8))
         assert r.cosine_similarity == pytest.approx(cosine) and r.is_match == (cosine >= 0.6)
         assert r.euclidean_distance == pytest.approx(np.linalg.norm(a - b))
 
 
+def test_vectors_of_other_length_or_none(spark):
+    whole = spark.createDataFrame(
+        [("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [0.0, 2.0]), ("d", []), ("e", None),
+         ("f", [0.0, 0.0, 3.0])],
+        "image_id string, embedding array<float>",
+    )
+    listed = [("a", "b"), ("a", "c"), ("a", "d"), ("x", "a"), ("e", "y"), ("b", "f"), (None, "a")]
+    pairs = spark.createDataFrame(
+        [(str(n), *p) for n, p in enumerate(listed)], "pair_id string, img1 string, img2 string"
+    )
+    got = {r.pair_id: r for r in vision.verify_pairs(pairs, whole, "pair_id").collect()}
+    assert [got[str(n)].status for n in range(7)] == [
+        "vectors differ in length", "compared", "no vector for img2", "no vector for img1",
+        "no vectors", "compared", "no vector for img1",
+    ]
+    assert got["1"].cosine_similarity == pytest.approx(0) and not got["5"].is_match
+    assert got["0"].cosine_similarity is None and got["0"].is_match is None
+
+
 def bitmap(pixels: np.ndarray) -> bytes:
     """24-bit BMP of a (height, width, 3) BGR array."""
     height, width, _ = pixels.shape
@@ -96,7 +117,9 @@ def test_image_audit(spark, tmp_path):
     audit = imageaudit.image_audit(read_images(spark, str(tmp_path)))
     audit = audit.withColumn("hash", vision.average_hash(F.col("thumbnail")))
     rows = {r.origin.rsplit("/", 1)[1].split(".")[0]: r for r in audit.collect()}
-    assert set(rows) == {"noisy", "flat", "copy"}
+    broken = rows.pop("broken")
+    assert broken.error == imageaudit.UNREADABLE and broken.brightness is None
+    assert set(rows) == {"noisy", "flat", "copy"} and all(r.error is None for r in rows.values())
     assert (rows["noisy"].width, rows["noisy"].height, rows["noisy"].channels) == (55, 60, 3)
     assert rows["noisy"].size_bytes == 55 * 60 * 3
     gray = np.rint(noisy @ np.array([0.114, 0.587, 0.299]))
