@@ -39,6 +39,8 @@ RECALL = 0.99999
 HASHES = 128
 # How far an estimate of HASHES minima may lie below the threshold: about four deviations.
 MARGIN = 0.14
+# Nodes compared all with all by their minima, and by their shingle sets.
+LEAF = 2048
 LIMIT = 512
 MAX_DEPTH = 3
 _SLICE = 1 << 20
@@ -174,11 +176,11 @@ def candidates(signatures: DataFrame, similarity: float, recall: float) -> DataF
     for depth in range(1, MAX_DEPTH + 1):
         members = stored(_sized(parts).join(signatures, "node"), f"paths-{depth}")
         last = depth == MAX_DEPTH
-        small = members if last else members.filter(F.col("n") <= LIMIT)
-        found = _leaves(in_blocks(small, "path", "node", "n", LIMIT), similarity - MARGIN)
+        small = members if last else members.filter(F.col("n") <= LEAF)
+        found = _leaves(in_blocks(small, "path", "node", "n", LEAF), similarity - MARGIN)
         found = stored(found.distinct(), f"leaves-{depth}")
         edges = found if edges is None else edges.unionByName(found)
-        large = members.filter(F.col("n") > LIMIT)
+        large = members.filter(F.col("n") > LEAF)
         if last or large.isEmpty():
             break
         parts = _split(large, 2)

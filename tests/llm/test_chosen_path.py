@@ -81,6 +81,7 @@ def test_groups_around_the_threshold(spark):
 
 def test_deep_paths_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "LIMIT", 16)
+    monkeypatch.setattr(chosen_path, "LEAF", 24)
     rng = np.random.default_rng(12)
     words = [f"v{i}" for i in range(120)]
     rows = list(near_copies(rng, words, 90, 1)) + [" ".join(words)] * 30
