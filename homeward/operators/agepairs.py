@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.session import checkpointed
 
 # File name layout and target layout.
 FILE_NAME = r"^(\d{3})([AB])(\d{2})"
@@ -143,7 +142,7 @@ def different_pairs(files: DataFrame, min_age_gap: int = 10, seed: int = SEED) -
     seeded hashes of its own paths. That gives the wanted number without counting first, and the
     same pairs again when a task is repeated. Draws may repeat.
     """
-    return _different_pairs(checkpointed(persons(files)), min_age_gap, seed)
+    return _different_pairs(persons(files), min_age_gap, seed)
 
 
 def _different_pairs(people: DataFrame, min_age_gap: int, seed: int) -> DataFrame:
@@ -188,7 +187,7 @@ def _different_pairs(people: DataFrame, min_age_gap: int, seed: int) -> DataFram
 
 def all_pairs(files: DataFrame, min_age_gap: int = 10, seed: int = SEED) -> DataFrame:
     """Same-person and different-person pairs; the file list is read once."""
-    people = checkpointed(persons(files))
+    people = persons(files)
     return _same_pairs(people, min_age_gap).unionByName(
         _different_pairs(people, min_age_gap, seed)
     )
