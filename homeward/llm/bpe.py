@@ -108,13 +108,12 @@ class Scanner:
         closed = (following == SPACE) | (following == END)
         symbols[space & closed] = GAP
         symbols[space & ~closed & (points == 32)] = BLANK
-        for at in np.flatnonzero((points == 39) & (symbols == OTHER) & (following == LETTER)):
-            one = points[at + 1]
-            two = points[at + 2] if at + 2 < len(points) and symbols[at + 2] == LETTER else 0
-            if one in (115, 116, 109, 100):  # s t m d
-                symbols[at] = SHORT
-            elif (one, two) in ((114, 101), (118, 101), (108, 108)):  # re ve ll
-                symbols[at] = LONG
+        at = np.flatnonzero((points == 39) & (symbols == OTHER) & (following == LETTER))
+        one, third = points[at + 1], np.minimum(at + 2, len(points) - 1)
+        two = np.where((symbols[third] == LETTER) & (third > at + 1), points[third], 0)
+        symbols[at[np.isin(one, [ord(c) for c in "stmd"])]] = SHORT
+        for pair in ("re", "ve", "ll"):
+            symbols[at[(one == ord(pair[0])) & (two == ord(pair[1]))]] = LONG
         return symbols
 
     def boundaries(self, symbols: np.ndarray) -> np.ndarray:
