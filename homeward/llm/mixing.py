@@ -153,7 +153,7 @@ def mix(
         no: F.col("source").isNull(),
         name: F.coalesce(F.col("source").cast("string"), F.lit("")),
         size: n_words(F.col("text")),
-        draw: F.xxhash64(F.lit(seed), F.col("doc_id")),
+        draw: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
     })
     lengths = stored(
         sized.groupBy(F.col(no).alias("no_source"), F.col(name).alias("source_name"),

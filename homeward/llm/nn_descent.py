@@ -158,7 +158,7 @@ def _refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _best(found.unionByName(lists), k)
 
 
-def _descend(nodes: DataFrame, start: DataFrame, n: int) -> DataFrame:
+def _descend(nodes: DataFrame, start: DataFrame) -> DataFrame:
     """The refined neighbour graph (x, y, sim)."""
     lists = stored(_best(start, LIST), "neighbours")
     for _ in range(ROUNDS):
@@ -292,7 +292,7 @@ def near_duplicates(
     for tables in range(TABLE_SETS):
         more = _start(nodes, most, tables * TABLES)
         start = more if start is None else lists.unionByName(more)
-        lists = _descend(nodes, start, n)
+        lists = _descend(nodes, start)
         near = lists.filter(F.col("sim") >= similarity)
         likely = stored(components(near.select(F.col("x").alias("a"), F.col("y").alias("b")), "near"), "near")
         recall = audited(nodes, likely, n, similarity)
