@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from homeward.llm.common import fresh
 
 BUCKET_BYTES = 32 << 20
+TASK_BYTES = 256 << 20
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -45,6 +46,9 @@ def shuffled(
     shard, bucket, order, rows = fresh(docs, "shard", "bucket", "order", "rows")
     total = docs.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
+    # A task shuffles its buckets one after the other.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(n_shards * n_buckets, max(usual, math.ceil(total / TASK_BYTES)))
     crc = F.coalesce(F.crc32("text"), F.lit(0))
     scattered = docs.drop(out).withColumns({
         shard: shard_of(F.col("doc_id"), n_shards, seed),
@@ -61,7 +65,7 @@ def shuffled(
     )
     offsets = counts.select(shard, bucket, offset.alias(order))
     buckets = (
-        scattered.repartition(n_shards * n_buckets, shard, bucket)
+        scattered.repartition(parts, shard, bucket)
         .sortWithinPartitions(shard, bucket, order, "doc_id")
         .groupBy(shard, bucket)
         .agg(F.collect_list(F.struct(*kept)).alias(rows))

@@ -26,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,18 +102,34 @@ def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
                     pa.array([counts[a:b].tobytes()], pa.binary()),
                 ], names=["row", "chunk", "cells", "counts"])
 
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(chunk, np.int64)
-        for at, counts in zip(parts["cells"], parts["counts"]):
-            total[np.frombuffer(at, "<i4")] += np.frombuffer(counts, np.uint8)
-        bits = np.packbits(total >= 2, bitorder="little").tobytes()
-        return pd.DataFrame({"row": parts["row"][:1], "chunk": parts["chunk"][:1], "bits": [bits]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Add up sorted parts one after the other; holds one chunk however many tasks there are."""
+
+        def marked(place: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+            bits = np.packbits(total >= 2, bitorder="little").tobytes()
+            columns = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([bits])], names=["row", "chunk", "bits"])
+
+        place, total = None, np.zeros(chunk, np.uint8)
+        for batch in batches:
+            keys = zip(batch.column("row").to_pylist(), batch.column("chunk").to_pylist())
+            for key, at, counts in zip(keys, batch.column("cells"), batch.column("counts")):
+                if key != place:
+                    if place is not None:
+                        yield marked(place, total)
+                    place, total = key, np.zeros(chunk, np.uint8)
+                at = np.frombuffer(at.as_buffer(), "<i4")
+                # Two is as good as more.
+                total[at] = np.minimum(total[at] + np.frombuffer(counts.as_buffer(), np.uint8), 2)
+        if place is not None:
+            yield marked(place, total)
 
     merged = (
         docs.select("text")
         .mapInArrow(count, "row int, chunk int, cells binary, counts binary")
-        .groupBy("row", "chunk")
-        .applyInPandas(merge, "row int, chunk int, bits binary")
+        .repartition("row", "chunk")
+        .sortWithinPartitions("row", "chunk")
+        .mapInArrow(merge, "row int, chunk int, bits binary")
         .collect()  # the marked cells: at most two bits for each of MAX_CELLS
     )
     marked = np.zeros((DEPTH, cells // 8 if cells >= 8 else 1), np.uint8)
