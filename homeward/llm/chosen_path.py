@@ -17,7 +17,8 @@ neither rows nor memory by the square of its size.
 A shingle is five consecutive words; a text of one to four words has one shingle of all of them.
 Null and blank texts have none: no links, a class of their own. Rows with equal shingle sets are
 linked with each other. Rows with a null id have a null class and no links and count for no other
-row. Shingles are compared by 64-bit hashes.
+row. Ids are expected to name a text: of rows that share an id, ``one_of_each`` keeps one. Shingles
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
