@@ -70,6 +70,9 @@ def _has(df: DataFrame, rules: list[tuple[str, Column]]) -> list[Column]:
     return [check for name, check in rules if name in df.columns]
 
 
+# The messages of all checks below.
+
+
 def missing_errors(df: DataFrame, as_of_year: int) -> list[Column]:
     required = [
         _required("name", (_shorter("name", 2), "Name must be at least 2 characters")),
