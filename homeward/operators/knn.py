@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from homeward.config import KnnConfig
 from homeward.operators import knn_kernels as kernels
+from homeward.session import checkpointed
 
 _KEYS = ["cell", "base_block", "query_block"]
 
@@ -266,9 +267,12 @@ class _Job(NamedTuple):
 
         # Declared nondeterministic so that inferred filters do not evaluate it a second time.
         nearest_pivot = nearest_pivot.asNondeterministic()
-        placed = self.base.withColumn("_place", nearest_pivot("vector")).select(
-            "*", F.col("_place.cell").alias("cell"), F.col("_place.angle").alias("angle")
-        ).drop("_place")
+        # Written once: the cells are counted first and joined afterwards.
+        placed = checkpointed(
+            self.base.withColumn("_place", nearest_pivot("vector")).select(
+                "*", F.col("_place.cell").alias("cell"), F.col("_place.angle").alias("angle")
+            ).drop("_place")
+        )
         rows, near, far = np.zeros(n_cells), np.full(n_cells, np.pi), np.zeros(n_cells)
         for c in (  # one row per pivot
             placed.groupBy("cell")
@@ -289,7 +293,8 @@ class _Job(NamedTuple):
             )
 
         cells_in_reach = cells_in_reach.asNondeterministic()
-        routed = self.queries.withColumn("cell", F.explode(cells_in_reach("vector")))
+        reached = checkpointed(self.queries.withColumn("cells", cells_in_reach("vector")))
+        routed = reached.withColumn("cell", F.explode("cells")).drop("cells")
         asked = {
             c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()
         }  # one row per pivot
