@@ -776,6 +776,8 @@ select image_id, null, null, null, null, null, null, null, null, null,
         "dup_hash": f"{_DOC_HASH} select * from groups",
         "dup_members": f"{_DOC_HASH} select image_id, hash, n_copies, first_image "
         "from hashed join groups using (hash)",
+        "list_images": f"{cte('age_files')} select extension, count(*) as rows from age_files, "
+        "(values ('JPG'), ('jpg')) as kinds(extension) group by extension",
         "fg_parse": f"{_FILES} select * from parsed",
         "fg_by_person": f"{_FILES} select person_id, age, path, row_number() over (partition by "
         "person_id order by age, substr(md5(path), 1, 2), path) as position from parsed",

@@ -28,7 +28,7 @@ from homeward.operators.knn import knn_join
 from homeward.plans import casework as cw
 from homeward.session import checkpointed, run_dir
 from homeward.sources import tables
-from homeward.sources.files import read_pairs, write_pairs
+from homeward.sources.files import list_images, read_pairs, write_pairs
 from homeward.streaming.arrivals import match_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,6 +715,21 @@ def fg_pair_file(spark, sf):
     return read_pairs(spark, path)
 
 
+def listed_images(spark, sf):
+    """Rows of the files that a folder's image listing finds; the ``txt`` files are not listed."""
+    folder = run_dir(spark, "images")
+    rows = _files(spark, sf).repartition("path")
+    for extension in ("JPG", "jpg", "txt"):
+        rows.write.mode("append").option("extension", extension).csv(folder)
+    listed = list_images(spark, folder).withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+    lines = spark.read.text(folder).select(F.col("_metadata.file_name").alias("file"))
+    return (
+        lines.join(listed, "file")
+        .groupBy(F.substring_index("file", ".", -1).alias("extension"))
+        .agg(F.count("*").alias("rows"))
+    )
+
+
 def fg_overall_stats(spark, sf):
     return _six(agepairs.overall_stats(_files(spark, sf)), "avg_images", "avg_span")
 
@@ -805,6 +820,7 @@ QUERIES: dict[str, Query] = {
     "image_audit": image_audit,
     "dup_hash": dup_hash,
     "dup_members": dup_members,
+    "list_images": listed_images,
     "fg_parse": _of_files(agepairs.parse_files),
     "fg_by_person": _of_files(agepairs.files_by_person),
     "fg_dedup": _of_files(lambda f: agepairs.by_person(f).drop("n_files")),
