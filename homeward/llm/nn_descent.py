@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by NN-descent.
 
 A neighbour graph is started from random hyperplanes: vectors of one label that fall on the same
-side of all planes of a table are compared in parts of bounded size, and each keeps its best few.
+side of all planes of a table are compared, many of them in pairs of blocks of bounded size, and
+each keeps its best few.
 Then it is refined: the neighbours of a node, forward and backward, are compared with each other
 in the node's place (Dong et al., 2011), until hardly any entry at the threshold is new. A list all of whose entries
 reach the threshold is saturated and may lack others: it is refined again at twice the length,
@@ -101,7 +102,7 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _start(nodes: DataFrame, most: int, first_table: int) -> DataFrame:
-    """Best neighbours within parts of hyperplane buckets."""
+    """Best neighbours within hyperplane buckets; large ones are compared in pairs of blocks."""
     bits = max(0, min(30, math.ceil(math.log2(max(1, most / BUCKET)))))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +130,8 @@ def _start(nodes: DataFrame, most: int, first_table: int) -> DataFrame:
         buckets, "t long, space long, code long, node long"
     ).select(F.xxhash64("t", "space", "code").alias("bucket"), "node")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = placed.join(sizes, "bucket").select(
-        F.xxhash64(
-            "bucket", F.pmod(F.xxhash64(F.lit(23), "node"), F.ceil(F.col("n") / PART))
-        ).alias("key"),
-        "node",
+    parts = in_blocks(placed.join(sizes, "bucket"), "bucket", "node", "n", PART).select(
+        F.col("block_key").alias("key"), "node"
     )
     return _compare(parts.join(nodes.select("node", "vector"), "node"), LIST)
 

@@ -93,6 +93,16 @@ def test_saturated_lists_and_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_large_buckets_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "PART", 16)
+    monkeypatch.setattr(nn_descent, "LIST", 2)
+    monkeypatch.setattr(nn_descent, "LONGEST", 2)
+    rng = np.random.default_rng(5)
+    center = rng.normal(size=8)
+    rows = [(i, f32(center + 0.01 * rng.normal(size=8)), 0) for i in range(150)]
+    check(spark, rows)
+
+
 def test_query(run, spark, sf_dir):
     got = run("op1_nn_descent", "vec_id")
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
