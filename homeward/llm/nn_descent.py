@@ -6,10 +6,10 @@ each keeps its best few.
 Then it is refined: the neighbours of a node, forward and backward, are compared with each other
 in the node's place (Dong et al., 2011), until hardly any entry at the threshold is new. A list all of whose entries
 reach the threshold is saturated and may lack others: it is refined again at twice the length,
-and again, up to ``LONGEST``. What is still saturated is completed exactly: edges at the threshold
-are joined to components, and within a component all vectors are compared in pairs of blocks and
-their links counted. So nothing is cut off in a dense group, no list of pairs is written, and a
-node's work is bounded whatever its group.
+and again, up to ``LONGEST``. Besides the lists, every comparison gives a spanning forest of all its
+pairs at the threshold, so none that was seen is lost to a full list. These edges are joined to
+components, and within a component all vectors are compared in pairs of blocks and their links
+counted. So nothing is cut off in a dense group and no list of pairs is written.
 
 The result is audited: about ``AUDIT`` vectors drawn by a seeded hash are compared with all others,
 and if fewer than ``RECALL`` of their links lie within components, another set of tables is added, up
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ SETTLED = 0.002
 AUDIT = 256
 RECALL = 0.99
 
-_EDGE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sim", pa.float64())])
-_EDGES = "x long, y long, sim double"
+_EDGE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sim", pa.float64()), ("joined", pa.bool_())])
+_EDGES = "x long, y long, sim double, joined boolean"
 
 
 def _matrix(vectors: pa.Array, start: int, end: int) -> np.ndarray:
@@ -61,26 +62,36 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
 
 
-def _nearest(node: np.ndarray, sim: np.ndarray, k: int) -> dict:
-    """The best ``k`` others of each row."""
+def _nearest(node: np.ndarray, sim: np.ndarray, k: int, similarity: float) -> dict:
+    """The best ``k`` others of each row, and ``joined`` a spanning forest of all at the threshold."""
     np.fill_diagonal(sim, -np.inf)
     sim[node[:, None] == node[None, :]] = -np.inf
+    linked = sim >= similarity
+    near = np.flatnonzero(linked.any(axis=1) | linked.any(axis=0))
+    linked = linked[np.ix_(near, near)]
+    root = forest(linked | linked.T)
+    far = np.flatnonzero(root != np.arange(len(near)))
     k = min(k, len(node) - 1)
     best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
     score = np.take_along_axis(sim, best, 1).ravel()
     kept = np.isfinite(score)
-    return {"x": np.repeat(node, k)[kept], "y": node[best.ravel()][kept], "sim": score[kept]}
+    return {
+        "x": np.append(np.repeat(node, k)[kept], node[near[far]]),
+        "y": np.append(node[best.ravel()][kept], node[near[root[far]]]),
+        "sim": np.append(score[kept], np.ones(len(far))),
+        "joined": np.repeat([False, True], [kept.sum(), len(far)]),
+    }
 
 
-def _compare(rows: DataFrame, k: int) -> DataFrame:
-    """Edges of the best ``k`` within each group (key, node, vector)."""
+def _compare(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges of the best ``k``, and of the forest, within each group (key, node, vector)."""
 
     def work(arrays, start, end):
         node, vectors = arrays
         if end - start < 2:
             return None
         x = _matrix(vectors, start, end)
-        return _nearest(node[start:end], cosines(x, x), k)
+        return _nearest(node[start:end], cosines(x, x), k, similarity)
 
     return (
         rows.select("key", "node", "vector")
@@ -91,17 +102,25 @@ def _compare(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("x").orderBy(F.col("sim").desc(), "y")
+    """The best ``k`` of each node, and every edge of the forests."""
+    order = Window.partitionBy("x").orderBy("joined", F.col("sim").desc(), "y")
     return (
-        edges.groupBy("x", "y")
+        edges.groupBy("x", "y", "joined")
         .agg(F.max("sim").alias("sim"))
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .drop("rank")
+        .filter(F.col("joined") | (F.col("rank") <= k))
+        .select("x", "y", "sim", "joined")
     )
 
 
-def _start(nodes: DataFrame, most: int, first_table: int) -> DataFrame:
+def _kept(edges: DataFrame, joined: list[DataFrame]) -> DataFrame:
+    """The lists of a stored result of ``_best``; its forest edges are added to ``joined``."""
+    found = stored(edges, "neighbours")
+    joined.append(found.filter("joined").select("x", "y"))
+    return found.filter("not joined")
+
+
+def _start(nodes: DataFrame, most: int, first_table: int, similarity: float) -> DataFrame:
     """Best neighbours within hyperplane buckets; large ones are compared in pairs of blocks."""
     bits = max(0, min(30, math.ceil(math.log2(max(1, most / BUCKET)))))
 
@@ -133,10 +152,10 @@ def _start(nodes: DataFrame, most: int, first_table: int) -> DataFrame:
     parts = in_blocks(placed.join(sizes, "bucket"), "bucket", "node", "n", PART).select(
         F.col("block_key").alias("key"), "node"
     )
-    return _compare(parts.join(nodes.select("node", "vector"), "node"), LIST)
+    return _compare(parts.join(nodes.select("node", "vector"), "node"), LIST, similarity)
 
 
-def _refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _refine(lists: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
     """Compare the neighbours of each node with each other; the best ``k`` of old and new."""
     backward = (
         lists.withColumn(
@@ -152,16 +171,18 @@ def _refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         .unionByName(lists.select(F.col("x").alias("key"), F.col("x").alias("node")))
         .distinct()
     )
-    found = _compare(around.join(nodes.select("node", "vector"), "node"), k)
+    found = _compare(around.join(nodes.select("node", "vector"), "node"), k, similarity)
     return _best(found.unionByName(lists), k)
 
 
-def _descend(nodes: DataFrame, start: DataFrame) -> DataFrame:
-    """The refined neighbour graph (x, y, sim)."""
-    lists = stored(_best(start, LIST), "neighbours")
+def _descend(
+    nodes: DataFrame, start: DataFrame, similarity: float, joined: list[DataFrame]
+) -> DataFrame:
+    """The refined neighbour graph; forests of all edges at the threshold go to ``joined``."""
+    lists = _kept(_best(start, LIST), joined)
     for _ in range(ROUNDS):
-        better = stored(_refine(lists, nodes, LIST), "neighbours")
-        near = better.filter(F.col("sim") >= SIMILARITY)
+        better = _kept(_refine(lists, nodes, LIST, similarity), joined)
+        near = better.filter(F.col("sim") >= similarity)
         changed = near.join(lists, ["x", "y"], "left_anti").count()
         lists = better
         if changed <= SETTLED * near.count():
@@ -169,7 +190,7 @@ def _descend(nodes: DataFrame, start: DataFrame) -> DataFrame:
     k = LIST
     while k < LONGEST:
         full = (
-            lists.filter(F.col("sim") >= SIMILARITY)
+            lists.filter(F.col("sim") >= similarity)
             .groupBy("x")
             .agg(F.count("*").alias("reached"))
             .filter(F.col("reached") >= k)
@@ -179,8 +200,8 @@ def _descend(nodes: DataFrame, start: DataFrame) -> DataFrame:
         if saturated.isEmpty():
             break
         k *= 2
-        longer = _refine(saturated, nodes, k)
-        lists = stored(lists.join(full, "x", "left_anti").unionByName(longer), "neighbours")
+        longer = _refine(saturated, nodes, k, similarity)
+        lists = _kept(lists.join(full, "x", "left_anti").unionByName(longer), joined)
     return lists
 
 
@@ -286,13 +307,14 @@ def near_duplicates(
     )
     n = nodes.count()
     most = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
-    start, recall = None, 1.0
+    start, recall, joined = None, 1.0, []
     for tables in range(TABLE_SETS):
-        more = _start(nodes, most, tables * TABLES)
+        more = _start(nodes, most, tables * TABLES, similarity)
         start = more if start is None else lists.unionByName(more)
-        lists = _descend(nodes, start)
-        near = lists.filter(F.col("sim") >= similarity)
-        likely = stored(components(near.select(F.col("x").alias("a"), F.col("y").alias("b")), "near"), "near")
+        lists = _descend(nodes, start, similarity, joined)
+        near = lists.filter(F.col("sim") >= similarity).select("x", "y")
+        edges = reduce(DataFrame.unionByName, joined, near)
+        likely = stored(components(edges.toDF("a", "b"), "near"), "near")
         recall = audited(nodes, likely, n, similarity)
         if recall >= RECALL:
             break

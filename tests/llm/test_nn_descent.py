@@ -103,6 +103,17 @@ def test_large_buckets_are_compared_whole(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_close_groups_are_joined_though_their_lists_are_full(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for size in (40, 12):
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        for center in (a, 0.985 * a + np.sqrt(1 - 0.985**2) * b):
+            for _ in range(size):
+                rows.append((len(rows), f32(center + 0.0005 * rng.normal(size=16)), size))
+    check(spark, rows)
+
+
 def test_query(run, spark, sf_dir):
     got = run("op1_nn_descent", "vec_id")
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
