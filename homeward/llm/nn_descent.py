@@ -24,7 +24,6 @@ Repeated rows are rows like others.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +41,7 @@ LONGEST = 32
 TABLES = 5
 TABLE_SETS = 3
 BUCKET = 64
+PLANES = 30
 PART = 512
 BLOCK = 1024
 ROUNDS = 4
@@ -120,15 +120,20 @@ def _kept(edges: DataFrame, joined: list[DataFrame]) -> DataFrame:
     return found.filter("not joined")
 
 
-def _start(nodes: DataFrame, most: int, first_table: int, similarity: float) -> DataFrame:
-    """Best neighbours within hyperplane buckets; large ones are compared in pairs of blocks."""
-    bits = max(0, min(30, math.ceil(math.log2(max(1, most / BUCKET)))))
+def _start(nodes: DataFrame, sizes: DataFrame, first_table: int, similarity: float) -> DataFrame:
+    """Best neighbours within hyperplane buckets; large ones are compared in pairs of blocks.
+
+    The number of planes follows from the number of vectors in the space (space, of).
+    """
+    planes_of = F.ceil(F.log2(F.col("of") / BUCKET)).cast("long")
+    bits = sizes.select("space", F.greatest(F.lit(0), F.least(F.lit(PLANES), planes_of)).alias("bits"))
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = {}
         for batch in batches:
             node = batch.column("node").to_numpy()
             space = batch.column("space").to_numpy()
+            bits = batch.column("bits").to_numpy()
             vectors = batch.column("vector")
             lengths = vectors.value_lengths().to_numpy()
             for width in np.unique(lengths).tolist():
@@ -137,19 +142,21 @@ def _start(nodes: DataFrame, most: int, first_table: int, similarity: float) ->
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 for t in range(first_table, first_table + TABLES):
                     if (width, t) not in planes:
-                        planes[width, t] = np.random.default_rng([width, t]).normal(size=(width, bits))
-                    sides = (x @ planes[width, t] > 0) @ (1 << np.arange(bits, dtype=np.int64))
+                        planes[width, t] = np.random.default_rng([width, t]).normal(size=(PLANES, width)).T
+                    most = int(bits[rows].max())
+                    sides = (x @ planes[width, t][:, :most] > 0) @ (1 << np.arange(most, dtype=np.int64))
+                    sides &= (1 << bits[rows]) - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), t)), pa.array(space[rows]),
                          pa.array(sides.astype(np.int64)), pa.array(node[rows])],
                         names=["t", "space", "code", "node"],
                     )
 
-    placed = nodes.select("node", "space", "vector").mapInArrow(
+    placed = nodes.join(bits, "space").select("node", "space", "bits", "vector").mapInArrow(
         buckets, "t long, space long, code long, node long"
     ).select(F.xxhash64("t", "space", "code").alias("bucket"), "node")
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = in_blocks(placed.join(sizes, "bucket"), "bucket", "node", "n", PART).select(
+    busy = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = in_blocks(placed.join(busy, "bucket"), "bucket", "node", "n", PART).select(
         F.col("block_key").alias("key"), "node"
     )
     return _compare(parts.join(nodes.select("node", "vector"), "node"), LIST, similarity)
@@ -306,10 +313,10 @@ def near_duplicates(
         "vectors",
     )
     n = nodes.count()
-    most = nodes.groupBy("space").count().agg(F.max("count")).first()[0] or 0
+    sizes = stored(nodes.groupBy("space").agg(F.count("*").alias("of")), "spaces")
     start, recall, joined = None, 1.0, []
     for tables in range(TABLE_SETS):
-        more = _start(nodes, most, tables * TABLES, similarity)
+        more = _start(nodes, sizes, tables * TABLES, similarity)
         start = more if start is None else lists.unionByName(more)
         lists = _descend(nodes, start, similarity, joined)
         near = lists.filter(F.col("sim") >= similarity).select("x", "y")

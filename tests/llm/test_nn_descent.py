@@ -114,6 +114,20 @@ def test_close_groups_are_joined_though_their_lists_are_full(spark):
     check(spark, rows)
 
 
+def test_planes_follow_from_the_label_itself(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BUCKET", 2)
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "RECALL", 0.0)  # one set of tables
+    rng = np.random.default_rng(7)
+    rows = [(i, f32(v), 0) for i, v in enumerate(rng.normal(size=(4096, 16)))]
+    for label in range(1, 41):  # small labels with one pair at 0.985 each
+        a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+        for v in (a, 0.985 * a + np.sqrt(1 - 0.985**2) * b):
+            rows.append((len(rows), f32(v), label))
+    got = nn_descent.near_duplicates(frame(spark, rows)).filter("vec_id >= 4096")
+    assert [r.n_links for r in got.collect()] == [1] * 80
+
+
 def test_query(run, spark, sf_dir):
     got = run("op1_nn_descent", "vec_id")
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
