@@ -4,7 +4,8 @@ A neighbour graph is started from random hyperplanes: vectors of one label that
 side of all planes of a table are compared, many of them in pairs of blocks of bounded size, and
 each keeps its best few.
 Then it is refined: the neighbours of a node, forward and backward, are compared with each other
-in the node's place (Dong et al., 2011), until hardly any entry at the threshold is new. A list all of whose entries
+in the node's place (Dong et al., 2011), until outside dense groups hardly any entry is new, and
+none at the threshold. A list all of whose entries
 reach the threshold is saturated and may lack others: it is refined again at twice the length,
 and again, up to ``LONGEST``. Besides the lists, every comparison gives a spanning forest of all its
 pairs at the threshold, so none that was seen is lost to a full list. These edges are joined to
@@ -12,8 +13,8 @@ components, and within a component all vectors are compared in pairs of blocks a
 counted. So nothing is cut off in a dense group and no list of pairs is written.
 
 The result is audited: about ``AUDIT`` vectors drawn by a seeded hash are compared with all others,
-and if fewer than ``RECALL`` of their links lie within components, another set of tables is added, up
-to ``TABLE_SETS`` in all.
+and as long as less than ``RECALL`` of a vector's links lie within its component, on average over
+those with few links or those with many, another set of tables is added.
 
 Only vectors of equal label and length are compared, by cosine in double precision. A vector that
 is null, zero, or has null or non-finite components, or a null label, links with nothing: it has
@@ -39,15 +40,15 @@ SIMILARITY = 0.98
 LIST = 8
 LONGEST = 32
 TABLES = 5
-TABLE_SETS = 3
 BUCKET = 64
 PLANES = 30
 PART = 512
 BLOCK = 1024
-ROUNDS = 4
 SETTLED = 0.002
 AUDIT = 256
 RECALL = 0.99
+# Links this close to the threshold are not audited: rounding alone decides whether they are there.
+ROUNDING = 1e-9
 
 _EDGE = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sim", pa.float64()), ("joined", pa.bool_())])
 _EDGES = "x long, y long, sim double, joined boolean"
@@ -182,18 +183,35 @@ def _refine(lists: DataFrame, nodes: DataFrame, k: int, similarity: float) -> Da
     return _best(found.unionByName(lists), k)
 
 
+def _settled(better: DataFrame, lists: DataFrame, k: int, similarity: float) -> bool:
+    """Whether hardly any entry, and none at the threshold, is new in the lists that are not saturated.
+
+    Those of dense groups hold most entries at the threshold and would hide what others still gain.
+    """
+    near = F.col("sim") >= similarity
+    reached = F.sum(near.cast("int")).over(Window.partitionBy("x"))
+    before = lists.select("x", "y", F.lit(True).alias("known"))
+    new = F.col("known").isNull()
+    n, changed, gained = (
+        better.withColumn("reached", reached)
+        .filter(F.col("reached") < k)
+        .join(before, ["x", "y"], "left")
+        .agg(F.count("*"), F.count_if(new), F.count_if(new & near))
+        .first()
+    )
+    return gained == 0 and changed <= SETTLED * n
+
+
 def _descend(
     nodes: DataFrame, start: DataFrame, similarity: float, joined: list[DataFrame]
 ) -> DataFrame:
     """The refined neighbour graph; forests of all edges at the threshold go to ``joined``."""
     lists = _kept(_best(start, LIST), joined)
-    for _ in range(ROUNDS):
+    done = False
+    while not done:  # lists only get better, so they settle
         better = _kept(_refine(lists, nodes, LIST, similarity), joined)
-        near = better.filter(F.col("sim") >= similarity)
-        changed = near.join(lists, ["x", "y"], "left_anti").count()
+        done = _settled(better, lists, LIST, similarity)
         lists = better
-        if changed <= SETTLED * near.count():
-            break
     k = LIST
     while k < LONGEST:
         full = (
@@ -245,7 +263,11 @@ def _counted(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def audited(nodes: DataFrame, roots: DataFrame, n: int, similarity: float) -> float:
-    """Part of a sample's links, found by comparing it with all vectors, that lie in components."""
+    """Recall of a sample of vectors, whose links are found by comparing it with all vectors.
+
+    Of each sampled vector with links, the part of them that lies within its component; the mean of
+    those with few links or of those with many, whichever is less.
+    """
     share = min(1.0, AUDIT / max(1, n))
     draw = F.pmod(F.xxhash64(F.lit(31), "node"), F.lit(1 << 30))
     rooted = nodes.join(roots, "node", "left").select(
@@ -266,21 +288,31 @@ def audited(nodes: DataFrame, roots: DataFrame, n: int, similarity: float) -> fl
         }
         for batch in batches:
             space, node, root = (batch.column(c).to_numpy() for c in ("space", "node", "root"))
-            there = within = 0
+            found = []
             for s in np.unique(space).tolist():
                 if s not in known:
                     continue
                 rows = np.flatnonzero(space == s)
                 x = _matrix(batch.column("vector").take(pa.array(rows)), 0, len(rows))
                 vectors, roots_known, nodes_known = known[s]
-                linked = cosines(vectors, x) >= similarity
+                linked = cosines(vectors, x) >= similarity + ROUNDING
                 linked &= nodes_known[:, None] != node[rows][None, :]
-                there += int(linked.sum())
-                within += int((linked & (roots_known[:, None] == root[rows][None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([there]), pa.array([within])], names=["there", "within"])
-
-    sums = rooted.mapInArrow(look, "there long, within long").agg(F.sum("there"), F.sum("within")).first()
-    return (sums[1] or 0) / sums[0] if sums[0] else 1.0
+                within = linked & (roots_known[:, None] == root[rows][None, :])
+                found.append((nodes_known, linked.sum(1), within.sum(1)))
+            if found:
+                columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "there", "within"])
+
+    means = (
+        rooted.mapInArrow(look, "node long, there long, within long")
+        .groupBy("node")
+        .agg(F.sum("there").alias("there"), F.sum("within").alias("within"))
+        .filter("there > 0")
+        .groupBy(F.col("there") <= LIST)
+        .agg(F.avg(F.col("within") / F.col("there")).alias("recall"))
+        .collect()  # two rows at most
+    )
+    return min((r.recall for r in means), default=1.0)
 
 
 def near_duplicates(
@@ -314,8 +346,8 @@ def near_duplicates(
     )
     n = nodes.count()
     sizes = stored(nodes.groupBy("space").agg(F.count("*").alias("of")), "spaces")
-    start, recall, joined = None, 1.0, []
-    for tables in range(TABLE_SETS):
+    start, recall, joined, tables = None, 0.0, [], 0
+    while tables == 0 or recall < RECALL:
         more = _start(nodes, sizes, tables * TABLES, similarity)
         start = more if start is None else lists.unionByName(more)
         lists = _descend(nodes, start, similarity, joined)
@@ -323,8 +355,7 @@ def near_duplicates(
         edges = reduce(DataFrame.unionByName, joined, near)
         likely = stored(components(edges.toDF("a", "b"), "near"), "near")
         recall = audited(nodes, likely, n, similarity)
-        if recall >= RECALL:
-            break
+        tables += 1
     sizes = likely.groupBy("root").agg(F.count("*").alias("n"))
     members = likely.join(sizes, "root").join(nodes.select("node", "vector", "copies"), "node")
     found = stored(_counted(members, similarity), "links")

@@ -150,3 +150,24 @@ def test_audit_finds_what_components_miss(spark):
     all_one = nodes.selectExpr("node", "cast(0 as bigint) as root")
     assert nn_descent.audited(nodes, none, 10, 0.98) == 0.0
     assert nn_descent.audited(nodes, all_one, 10, 0.98) == pytest.approx(1.0)
+
+
+def test_audit_counts_each_vector_not_each_link(spark):
+    rows = [(i, [1.0, 0.001 * i], 0) for i in range(60)]
+    rows += [(60 + i, [0.01 * i, 1.0], 0) for i in range(2)]
+    nodes = frame(spark, rows).selectExpr(
+        "vec_id as node", "cast(0 as bigint) as space", "embedding as vector"
+    )
+    group = nodes.filter("node < 60").selectExpr("node", "cast(0 as bigint) as root")
+    assert nn_descent.audited(nodes, group, 62, 0.98) == 0.0
+
+
+def test_descent_goes_on_for_few_new_pairs_beside_a_dense_group(spark):
+    dense = [(x, y, 0.999) for x in range(1000) for y in range(x + 1, x + 9)]
+    columns = "x long, y long, sim double"
+    lists = spark.createDataFrame([*dense, (5000, 5001, 0.5)], columns)
+    better = spark.createDataFrame([*dense, (5000, 5002, 0.99)], columns)
+    assert not nn_descent._settled(better, lists, 8, 0.98)
+    assert nn_descent._settled(better, better, 8, 0.98)
+    moved = spark.createDataFrame([(x, y + 100, s) for x, y, s in dense], columns)
+    assert nn_descent._settled(moved, lists, 8, 0.98)  # saturated lists are completed otherwise
