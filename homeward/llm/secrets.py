@@ -5,8 +5,8 @@ models add spans of kind ``markov``: runs of at least ``MIN_RUN`` key characters
 letter that overlap no base span and whose characters follow each other as in random strings
 rather than as in ordinary ones. Both models are first-order chains over ASCII. The labelled
 samples come from the corpus: values of base matches are random strings, runs of key characters
-elsewhere are ordinary; they are read from about ``TRAIN_DOCS`` documents drawn by a seeded hash
-and, of both kinds, counted whole. Without a sample of either kind there are no added spans.
+elsewhere are ordinary; both are counted over all documents. Without any of either kind there are
+no added spans.
 
 Only DataFrame functions. Places are code points, ends exclusive. Null texts count as empty and
 have no spans. Every text is searched whole. Repeated rows are rows like others.
@@ -36,7 +36,6 @@ MIN_RUN = 20
 KEY = "A-Za-z0-9+/_=-"
 RUN = rf"(?<![{KEY}])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[{KEY}]{{{MIN_RUN},}}"
 ORDINARY = rf"[{KEY}]{{8,}}"
-TRAIN_DOCS = 20_000
 # Mean log-likelihood ratio per step, random over ordinary.
 THRESHOLD = 0.5
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -71,11 +70,16 @@ def base_spans(text: Column) -> Column:
     return F.concat(_found(text, ASSIGN, 0, 2), _found(text, ACCESS, 1), _found(text, HEX, 2))
 
 
-def markov_ratios(docs: DataFrame, rows: int, bound: int = TRAIN_DOCS) -> list[float] | None:
-    """Log ratio, random over ordinary, of each step between two ASCII characters."""
+def markov_ratios(docs: DataFrame, bound: int | None = None) -> list[float] | None:
+    """Log ratio, random over ordinary, of each step between two ASCII characters.
+
+    All documents are counted unless the caller asks for a sample of about ``bound``.
+    """
+    if bound is not None:
+        docs = docs.filter(F.col("doc_id").isNotNull() & sample_share(bound, docs.count()))
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.regexp_replace(text, "|".join([ASSIGN, ACCESS, HEX]), " ")
-    sample = docs.filter(F.col("doc_id").isNotNull() & sample_share(bound, rows)).select(
+    labelled = docs.select(
         F.explode(F.concat(
             *[F.transform(F.filter(F.regexp_extract_all(text, F.lit(p), F.lit(g)), lambda v: F.length(v) >= n),
                           lambda v: F.struct(F.lit(True).alias("random"), v.alias("run")))
@@ -84,10 +88,12 @@ def markov_ratios(docs: DataFrame, rows: int, bound: int = TRAIN_DOCS) -> list[f
                         lambda v: F.struct(F.lit(False).alias("random"), v.alias("run"))),
         )).alias("labelled")
     ).select("labelled.*")
+    # Equal runs are counted first: a corpus repeats its words far more often than it has new ones.
+    runs = labelled.groupBy("random", "run").agg(F.count("*").alias("n"))
     steps = (
-        sample.select("random", F.explode(_steps(F.col("run"))).alias("step"))
+        runs.select("random", "n", F.explode(_steps(F.col("run"))).alias("step"))
         .groupBy("random", "step")
-        .count()
+        .agg(F.sum("n").alias("count"))
         .filter("step is not null")
         .collect()  # at most two rows for each pair of ASCII characters
     )
@@ -116,11 +122,11 @@ def _steps(run: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, out: str = "secrets", threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS
+    docs: DataFrame, out: str = "secrets", threshold: float = THRESHOLD, train_docs: int | None = None
 ) -> DataFrame:
     """Add struct ``out`` (base, spans): sorted spans (start, rank of the kind, end)."""
     source, base, runs = fresh(docs, "source_text", "base", "runs")
-    ratios = markov_ratios(docs, docs.count(), train_docs)
+    ratios = markov_ratios(docs, train_docs)
     found = docs.drop(out).withColumn(source, F.coalesce(F.col("text"), F.lit(""))).withColumn(
         base, F.array_sort(base_spans(F.col(source)))
     )

@@ -70,6 +70,23 @@ def test_markov_finds_random_keys_among_ordinary_words(spark):
     assert cleaned[1000] == f"see [SECRET] and {ordinary} end"
 
 
+def test_rare_secrets_are_learned_from_the_whole_corpus(spark):
+    rng = random.Random(2)
+    token = lambda n: "".join(rng.choice("ABCDEFGHJKQVWXZ0123456789bcdfgkqvwxz") for _ in range(n))
+    plain = spark.range(60_000).selectExpr(
+        "id as doc_id", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789' as text"
+    )
+    bare = token(40)
+    # The one labelled secret stands where a seeded sample of 20,000 documents does not look.
+    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20))
+    unseen = spark.range(60_000, 61_000).toDF("doc_id").filter(draw > 1 << 19).first().doc_id
+    secret = spark.createDataFrame(
+        [(unseen, f"token={token(600)}"), (70_000, f"see {bare} end")], "doc_id long, text string"
+    )
+    found = secrets.scan(plain.unionByName(secret)).filter("doc_id = 70000").first()
+    assert [(s.start, s.rank, s.end) for s in found.secrets.spans] == [(4, 3, 44)]
+
+
 def test_redaction_merges_overlaps(spark):
     value = "0123456789abcdef" * 2
     docs = spark.createDataFrame([(1, f"ß token={value} x {value}", 7)], "doc_id long, text string, n_chars long")
