@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -127,3 +128,15 @@ def test_components(spark, edges):
             root[high] = low
     want = {x: find(x) for x in list(root)}
     assert {r.node: r.root for r in graph.components(frame, "test").collect()} == want
+
+
+def test_runs_and_margin_together_keep_the_promise():
+    p, n = chosen_path.SIMILARITY, chosen_path.HASHES
+    least = math.ceil((p - chosen_path.MARGIN) * n)
+    unlike = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(least))
+    for depth in range(1, chosen_path.MAX_DEPTH + 1):
+        reach = 1.0
+        for _ in range(depth - 1):
+            reach = 1 - (1 - p * reach) ** 2
+        apart = (1 - p * reach) ** chosen_path.runs_needed(p, chosen_path.RECALL, depth)
+        assert apart + unlike < 1 - chosen_path.RECALL
