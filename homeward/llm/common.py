@@ -61,11 +61,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sample_share(bound: int, rows: int) -> Column:
-    """Filter that keeps about ``bound`` of ``rows`` rows by a seeded hash of the document id."""
-    share = min(1.0, bound / max(rows, 1))
-    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20))
-    return draw < F.lit(int(share * (1 << 20)))
+_DRAW_BITS = 62
+
+
+def drawn(share: Column | float, seed: int, *keys: str) -> Column:
+    """Whether a row falls into a share of all, by 62 bits of a seeded hash of its ``keys``.
+
+    A share of one draws every row; shares of one in 1e18 still draw some.
+    """
+    share = F.lit(share) if isinstance(share, float) else share
+    limit = (F.least(share, F.lit(1.0)) * F.lit(float(1 << _DRAW_BITS))).cast("long")
+    return F.xxhash64(F.lit(seed), *keys).bitwiseAND((1 << _DRAW_BITS) - 1) < limit
+
+
+# Kinds, labels or languages that a stratified sample is drawn of; the list of them is broadcast.
+MAX_GROUPS = 4096
+
+
+def stratified(df: DataFrame, group: str, bound: int, seed: int, *keys: str) -> DataFrame:
+    """About ``bound`` rows of each value of ``group``, all rows of values that have fewer.
+
+    Rows are drawn by a seeded hash of ``keys``; rows without a value are not drawn. More than
+    ``MAX_GROUPS`` values are an error.
+    """
+    share, value = fresh(df, "share", "value")
+    counts = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias(value)).count()
+    found = [(r[0], bound / r[1]) for r in counts.limit(MAX_GROUPS + 1).collect()]
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} different values of {group}")
+    kind = df.schema[group].dataType.simpleString()
+    shares = df.sparkSession.createDataFrame(found, f"{value} {kind}, {share} double")
+    return (
+        df.join(F.broadcast(shares), F.col(group) == F.col(value))
+        .filter(drawn(F.col(share), seed, *keys))
+        .drop(share, value)
+    )
 
 
 # ---- arrays inside tasks ----------------------------------------------------------------------

@@ -6,12 +6,13 @@ the mask of all languages that contain an n-gram. The set bits of a document's m
 per language, the count that false positives alone would give is taken off, and the language
 with the largest corrected share of n-grams wins (ties: the first by name).
 
-Learned from about ``TRAIN_DOCS`` documents at most, drawn by a seeded hash: an n-gram is typical
-of a language if it makes up ``MIN_SHARE`` of its n-grams (hence 1 / ``MIN_SHARE`` n-grams a
+Learned from about ``TRAIN_DOCS`` documents of each language at most, drawn by a seeded hash, so that a
+rare language is learned at any size of the table: an n-gram is typical of a language if it makes up ``MIN_SHARE`` of its n-grams (hence 1 / ``MIN_SHARE`` n-grams a
 language at most, the bound of what is collected) and ``RELATIVE`` of its share in the language
 where it is most frequent. Texts are read whole: runs of two to four bytes of letters, ASCII in
 lower case, with word edges. A null text, or one without a letter, is ``und`` with score zero, and
-so is every text if there is nothing to learn from.
+so is every text if there is nothing to learn from. Repeated rows are learned from and judged like
+others; columns beside the three that are read may have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import byte_grams, mixed, sample_share, sums_by_text, text_slices
+from homeward.llm.common import byte_grams, mixed, stored, stratified, sums_by_text, text_slices
 
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 5_000
 GRAMS = (2, 3, 4)
 MIN_SHARE = 1e-5
 RELATIVE = 0.2
@@ -61,7 +62,7 @@ def _places(codes: np.ndarray) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
     """Filters from (doc_id, text, lang); rows with null in any of them are left out."""
     known = docs.filter("doc_id is not null and text is not null and lang is not null")
-    sample = known.filter(sample_share(train_docs, known.count())).select("text", "lang")
+    sample = stratified(known.select("doc_id", "text", "lang"), "lang", train_docs, 7, "doc_id").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +81,11 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Filters:
                         names=["lang", "gram", "n"],
                     )
 
-    counted = (
+    counted = stored(
         sample.mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n")),
+        "language-grams",
     )
     totals = {r.lang: r.total for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     names = sorted(totals)

@@ -4,7 +4,7 @@ Every word and every run of three or four bytes within a word (with its edge) is
 row of an embedding table; pairs of neighbouring words have two rows of their own, for equal
 and for different ones. A document is the average of its rows, a softmax layer on top gives
 the probability of each label. Embeddings and layer are learned together by stochastic gradient
-descent in numpy, from at most about ``TRAIN_DOCS`` labelled documents drawn by a seeded hash.
+descent in numpy, from about ``TRAIN_DOCS`` documents of each label at most, drawn by a seeded hash.
 A sample document goes to the driver as counts of hashed features, never more than the table
 has rows, so its size is bounded too; documents to score stay in their tasks.
 
@@ -12,7 +12,8 @@ Because the layer is linear, the layer's output of an average is the average of
 so scoring looks up one number per feature. Texts are scored whole. Null and empty texts have no
 features and get the score of the layer's bias. With labels of one kind only, or none, every
 score is that kind's share (one half without labels). A document labelled repeatedly counts
-once, with its lowest label; null ids and null labels are not learned from.
+once, with its lowest label; null ids and null labels are not learned from. Of rows with one id the
+least text is learned from; all are scored. Columns beside id and text may have any name.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from homeward.llm.common import (
-    byte_grams, mixed, span_hashes, sums_by_text, text_slices, word_spans,
+    byte_grams, mixed, span_hashes, stratified, sums_by_text, text_slices, word_spans,
 )
 
-TRAIN_DOCS = 3_000
+TRAIN_DOCS = 1_500
 WORD_ROWS = CHAR_ROWS = 1 << 15
 # Two rows for neighbouring words that differ, or are the same.
 SAME_WORD = WORD_ROWS + CHAR_ROWS
@@ -87,7 +88,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
                     pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
                 ], names=["doc_id", "label", "rows", "counts"])
 
+    # At most about TRAIN_DOCS ids of each label, and one row of each of them.
     picked = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     found = picked.mapInArrow(run, schema).collect()
     return sorted(found, key=lambda r: (r.doc_id, r.label, r.rows))
 
@@ -99,9 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
         .groupBy("doc_id")
         .agg(F.min("label").cast("int").alias("label"))
     )
-    share = min(1.0, train_docs / max(1, clean.count()))
-    draw = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 20))
-    sample = _sample(docs, clean.filter(draw < int(share * (1 << 20))))
+    sample = _sample(docs, stratified(clean, "label", train_docs, 13, "doc_id"))
     rng = np.random.default_rng(seed)
     target = np.array([r.label for r in sample])
     if len(set(target.tolist())) < 2:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from homeward.llm.common import fresh, sample_share
+from homeward.llm.common import drawn, fresh
 from homeward.llm.quality_rules import literal
 
 # Fixed patterns. Runs shorter than the least length cannot be part of a longer one for access and
@@ -76,7 +76,7 @@ def markov_ratios(docs: DataFrame, bound: int | None = None) -> list[float] | No
     All documents are counted unless the caller asks for a sample of about ``bound``.
     """
     if bound is not None:
-        docs = docs.filter(F.col("doc_id").isNotNull() & sample_share(bound, docs.count()))
+        docs = docs.filter(F.col("doc_id").isNotNull() & drawn(bound / max(1, docs.count()), 7, "doc_id"))
     text = F.coalesce(F.col("text"), F.lit(""))
     blank = F.regexp_replace(text, "|".join([ASSIGN, ACCESS, HEX]), " ")
     labelled = docs.select(
