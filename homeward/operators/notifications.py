@@ -67,8 +67,11 @@ def _shown(name: str, optional: bool) -> Column:
     return F.concat(text, F.lit(_SUFFIX.get(name, "")))
 
 
-def outbox(records: DataFrame, side: str) -> DataFrame:
-    """Recipient, subject and ordered (label, value) fields; records without e-mail drop out."""
+def outbox(records: DataFrame, side: str, *keep: str) -> DataFrame:
+    """Recipient, subject and ordered (label, value) fields; records without e-mail drop out.
+
+    Columns to ``keep`` of the records come last.
+    """
     key = "case_id" if side == "missing" else "found_id"
     contact = "contact" if side == "missing" else "finder_contact"
     fields = []
@@ -87,5 +90,6 @@ def outbox(records: DataFrame, side: str) -> DataFrame:
             F.format_string(SUBJECTS[side], F.col(key)).alias("subject"),
             F.array_compact(F.array(*fields)).alias("fields"),
             image.alias("image_url"),
+            *keep,
         )
     )

@@ -587,6 +587,7 @@ def build() -> dict[str, str]:
         "match_found_to_missing": M.match("found"),
         "match_bilateral": _match_bilateral(),
         "match_arrivals": _arrivals(),
+        "match_streams": _arrivals(),
         "match_prefiltered": _prefiltered(),
         "search_by_case": _lookup("missing"),
         "search_by_found": _lookup("found"),
@@ -715,6 +716,7 @@ from listed""",
         "as clean from documents",
         "extract_email": _extract_email(),
         "notify_outbox": _outbox(),
+        "notify_stream": f"select distinct * from ({_outbox()})",
         "make_ids": f"""{cte("arrivals_log")}
 select event_id, 'MISS_' || strftime(ts, '%Y%m%d%H%M%S') || '_' ||
   upper(substr(sha256(cast(event_id as varchar)), 1, 6)) as dated_id,
@@ -744,6 +746,9 @@ u as (select case_id, unnest(range(len(e))) as pos,
   unnest(list_transform(e, lambda v: cast(v / sqrt(list_dot_product(e, e)) as float))) as v from raw)
 select case_id, count(*) as dim, round(sum(cast(v as double) * (pos + 1)), 3) as weighted_sum
 from u group by case_id""",
+        "embed_status": f"""{cte("missing_uploads")}
+select upload_key, case when len(embedding) = {VECTOR_DIM} then 'embedded' else 'unreadable' end as embedding_status,
+  case when len(embedding) = {VECTOR_DIM} then {VECTOR_DIM} else 0 end as dim from missing_uploads""",
         "detections": f"""{cte("detections")}, {_FACES}
 select image_id, face_id, x1, y1, x2, y2, round(confidence, 6) as confidence, area from faces""",
         "best_face": _best_face("confidence desc, area desc"),

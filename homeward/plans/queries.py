@@ -29,7 +29,7 @@ from homeward.plans import casework as cw
 from homeward.session import checkpointed, run_dir
 from homeward.sources import tables
 from homeward.sources.files import list_images, read_pairs, write_pairs
-from homeward.streaming.arrivals import match_arrivals
+from homeward.streaming.arrivals import match_arrivals, notify_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,19 +259,27 @@ def match_stream(spark, sf):
     root = run_dir(spark, "arrivals")
     tables.initialize_tables(spark, root)
     for side in ("missing", "found"):
-        match_arrivals(
-            _raw_forms(spark, sf, side),
-            side,
-            root,
-            output=f"{root}/{side}_out",
-            checkpoint=f"{root}/{side}_checkpoint",
-            config=CONFIG,
-            row_key=F.col("form_key"),
-            arrived_at=F.lit(cw.UPLOADED_AT),
-            availableNow=True,
-        ).awaitTermination()
-    matches = spark.read.parquet(f"{root}/found_out/matches")
-    return _six(matches.select(*matching.COMMON), *SCORES)
+        _arrive(_raw_forms(spark, sf, side), side, root, "all")
+    return _six(tables.read_arrivals(spark, root, "found", "matches"), *SCORES)
+
+
+def _arrive(forms: DataFrame, side: str, root: str, checkpoint: str) -> None:
+    match_arrivals(
+        forms, side, root, f"{root}/{side}_{checkpoint}", CONFIG, F.col("form_key"),
+        F.lit(cw.UPLOADED_AT), availableNow=True,
+    ).awaitTermination()
+
+
+def match_streams(spark, sf):
+    """Found forms on two streams of different forms, one of which loses its checkpoint and starts anew."""
+    root = run_dir(spark, "streams")
+    tables.initialize_tables(spark, root)
+    _arrive(_raw_forms(spark, sf, "missing"), "missing", root, "all")
+    even = F.pmod(F.crc32(F.col("form_key").cast("binary")), F.lit(2)) == 0
+    found = _raw_forms(spark, sf, "found")
+    for forms, checkpoint in ((found.filter(even), "a"), (found.filter(~even), "b"), (found.filter(even), "c")):
+        _arrive(forms, "found", root, checkpoint)
+    return _six(tables.read_arrivals(spark, root, "found", "matches"), *SCORES)
 
 
 # Tables
@@ -533,6 +541,29 @@ def notify_outbox(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def notify_stream(spark, sf):
+    """The outbox of a stream on which every record arrives twice."""
+    root, line = run_dir(spark, "outbox"), lambda f: F.concat(f["label"], F.lit(": "), f["value"])
+    parts = []
+    for side, marks in (("missing", "birthmarks"), ("found", "visible_marks")):
+        source = cw.TABLES[f"{side}_forms"][0]
+        stream = (
+            spark.readStream.schema(spark.read.parquet(f"{sf}/{source}.parquet").schema)
+            .option("pathGlobFilter", f"{source}.parquet")
+            .parquet(sf)
+        )
+        forms = _with_marks(cw.derive(stream, f"{side}_forms"), marks)
+        twice = forms.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+        notify_arrivals(
+            twice, side, f"{root}/{side}", f"{root}/{side}_checkpoint", F.col("upload_timestamp"),
+            availableNow=True,
+        ).awaitTermination()
+        parts.append(spark.read.parquet(f"{root}/{side}").select(
+            "recipient", "subject", F.array_join(F.transform("fields", line), "\n").alias("body"), "image_url",
+        ))
+    return parts[0].unionByName(parts[1])
+
+
 def make_ids(spark, sf):
     log = cw.table(spark, sf, "arrivals_log")
     return log.select(
@@ -610,6 +641,13 @@ def embed_batch(spark, sf):
     )
 
 
+def embed_status(spark, sf):
+    """Every item, whether it could be embedded or not."""
+    items = cw.table(spark, sf, "missing_uploads").select("upload_key", "embedding")
+    out = embedding.embed(items, "embedding", [cw.VECTOR_DIM], doubled_model, output="unit")
+    return out.select("upload_key", "embedding_status", F.coalesce(F.size("unit"), F.lit(0)).alias("dim"))
+
+
 # Images and age-labelled files
 
 
@@ -740,6 +778,7 @@ QUERIES: dict[str, Query] = {
     "match_found_to_missing": match_found_to_missing,
     "match_bilateral": match_bilateral,
     "match_arrivals": match_stream,
+    "match_streams": match_streams,
     "match_prefiltered": prefiltered_match,
     "search_by_case": _lookup("missing"),
     "search_by_found": _lookup("found"),
@@ -802,6 +841,7 @@ QUERIES: dict[str, Query] = {
     "sanitize_text": sanitize_text,
     "extract_email": extract_email,
     "notify_outbox": notify_outbox,
+    "notify_stream": notify_stream,
     "make_ids": make_ids,
     # Vectors
     "vec_normalize": vec_normalize,
@@ -810,6 +850,7 @@ QUERIES: dict[str, Query] = {
     "sim_dist": sim_dist,
     "verify_pairs": verify_pairs,
     "embed_batch": embed_batch,
+    "embed_status": embed_status,
     # Images and age-labelled files
     "detections": detections,
     "best_face": _best_face("confidence"),

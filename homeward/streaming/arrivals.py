@@ -1,29 +1,40 @@
-"""Matching forms as they arrive.
+"""Matching forms as they arrive, and the notifications about them.
 
 Each micro-batch of raw forms goes through what an upload does: the form rules, the checks, the
-system columns. What can be stored becomes a part of the side's table, named after the batch, and
-is matched against the current table of the other side, which may be fed by a stream of its own.
-All outputs of a batch replace those of an earlier attempt, and identifiers derive from the
-form's key and arrival time, so a repeated batch changes nothing.
+system columns. What can be stored is committed as a part of the side's table, and then matched
+against the current table of the other side, which may be fed by streams of its own. As records
+are committed before they look for matches, of two that arrive on both sides at the same time at
+least one finds the other.
+
+Every output of a batch is committed under the names of stream and batch (``sources.tables``), and
+identifiers derive from the form's key and arrival time. A repeated batch therefore changes nothing,
+forms that an earlier stream has stored are not stored again, and records whose matches were not
+committed, because their stream died in between, are matched when a stream of the side starts.
+Streams of one side that run at the same time must read different forms.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from homeward.config import ConfidenceConfig, MatchConfig
+from homeward.functions.identifiers import point_id
 from homeward.operators.matching import COMMON, match, other_side
+from homeward.operators.notifications import outbox
 from homeward.operators.records import prepare_form
 from homeward.operators.uploads import upload
-from homeward.sources.tables import read_table, write_batch
+from homeward.schemas import BUSINESS_ID, TABLES
+from homeward.sources.tables import (
+    commit_part, conform, entries, not_stored, read_table, stream_name,
+)
 
 
 def match_arrivals(
     forms: DataFrame,
     side: str,
     root: str,
-    output: str,
     checkpoint: str,
     config: MatchConfig,
     row_key: Column,
@@ -33,26 +44,63 @@ def match_arrivals(
 ) -> StreamingQuery:
     """Start storing and matching a stream of raw forms of ``side``.
 
-    ``root`` holds the two person tables. ``row_key`` is unique per form and ``arrived_at`` is its
-    arrival time. ``output/rejects`` receives the forms with ``errors``, ``output/matches`` the
-    matches. ``trigger`` is passed on, e.g. ``availableNow=True``.
+    ``root`` holds the two person tables, and receives the rejected forms with ``form_id`` and
+    ``errors`` and the matches, which ``tables.read_arrivals`` reads. ``row_key`` is unique per form
+    and ``arrived_at`` is its arrival time. ``trigger`` is passed on, e.g. ``availableNow=True``.
     """
+    spark = forms.sparkSession
+    stream = stream_name(spark, checkpoint)
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        def target(name: str) -> str:
-            return f"{output}/{name}/batch_id={batch_id}"
+    def commit_matches(stored: DataFrame, of_stream: str, batch_id: int) -> None:
+        base = read_table(spark, root, other_side(side))
+        matches = match(stored, base, side, config, confidence, explain=False)
+        commit_part(matches.select(*COMMON), root, side, "matches", of_stream, batch_id)
 
+    def process(batch: DataFrame, batch_id: int) -> None:
         prepared = prepare_form(batch, side, arrived_at, row_key).persist()
         done = upload(prepared, side, config, arrived_at, row_key)
-        done.rejected.write.mode("overwrite").parquet(target("rejects"))
+        rejected = done.rejected.withColumn("form_id", point_id(side, row_key, arrived_at))
+        commit_part(rejected, root, side, "rejects", stream, batch_id)
+        new = conform(not_stored(done.stored, root, side), side)
         # Match what was stored: the batch is not computed again.
-        stored = write_batch(done.stored, root, side, batch_id)
+        stored = commit_part(new, root, side, "stored", stream, batch_id)
         prepared.unpersist()
-        base = read_table(batch.sparkSession, root, other_side(side))
-        matches = match(stored, base, side, config, confidence, explain=False)
-        matches.select(*COMMON).write.mode("overwrite").parquet(target("matches"))
+        commit_matches(stored, stream, batch_id)
 
+    stored, matched = (entries(spark, root, side, kind) for kind in ("stored", "matches"))
+    for name, number in stored.keys() - matched.keys():
+        part = stored[name, number]["path"]
+        commit_matches(spark.read.schema(TABLES[side]).parquet(part), name, number)
     writer = forms.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
+
+
+def notify_arrivals(
+    records: DataFrame,
+    side: str,
+    output: str,
+    checkpoint: str,
+    arrived_at: Column,
+    within: str = "1 day",
+    **trigger,
+) -> StreamingQuery:
+    """Start writing the outbox of a stream of records to ``output``, each notification once.
+
+    A record that arrives again, at most ``within`` after its first arrival by ``arrived_at``, is not
+    notified again: what has been sent is kept in the stream's state for that long. The recipient and
+    the record's business id make a notification.
+    """
+    key = BUSINESS_ID[side]
+    timed = records.withColumn("arrived_at", arrived_at.cast("timestamp"))
+    sent = (
+        outbox(timed, side, "arrived_at", key)
+        .withWatermark("arrived_at", within)
+        .dropDuplicatesWithinWatermark(["recipient", key])
+    )
+    writer = sent.writeStream.format("parquet").option("path", output)
+    writer = writer.option("checkpointLocation", checkpoint)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()

@@ -7,7 +7,7 @@ from homeward.operators.uploads import upload
 from homeward.plans import casework as cw
 from homeward.schemas import FOUND_TABLE, MISSING_TABLE
 from homeward.sources import tables
-from homeward.streaming.arrivals import match_arrivals
+from homeward.streaming.arrivals import match_arrivals, notify_arrivals
 
 CONFIG = MatchConfig(as_of_year=2024, dim=4)
 
@@ -46,44 +46,137 @@ def raw(df):
 def start(spark, side, folder, root, checkpoint, schema):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
     return match_arrivals(
-        stream, side, root, f"{root}/{side}_out", checkpoint, CONFIG, F.col("form_key"),
-        F.lit("2024-06-01T00:00:00"), availableNow=True,
+        stream, side, root, checkpoint, CONFIG, F.col("form_key"), F.lit("2024-06-01T00:00:00"), availableNow=True,
     )
 
 
-def test_streams_of_raw_forms_equal_batch(spark, sf_dir, tmp_path):
-    root = str(tmp_path / "db")
-    tables.initialize_tables(spark, root)
-    forms = {side: raw(cw.table(spark, sf_dir, side)) for side in ("missing", "found")}
-
-    def run_both(attempt):
-        for side, df in forms.items():
-            folder = str(tmp_path / f"incoming_{side}")
-            if attempt == 1:
-                df.repartition(5).write.parquet(folder)
-            checkpoint = str(tmp_path / f"checkpoint_{side}_{attempt}")
-            start(spark, side, folder, root, checkpoint, df.schema).awaitTermination()
-
-    def results():
-        stored = {s: tables.read_table(spark, root, s) for s in forms}
-        return {s: sorted(map(str, df.collect())) for s, df in stored.items()}, sorted(
-            map(tuple, spark.read.parquet(f"{root}/found_out/matches").select(*columns).collect())
-        )
-
-    columns = ["query_id", "candidate_id", "match_rank", "combined_score"]
-    run_both(1)
-    stored, matches = results()
-    assert spark.read.parquet(f"{root}/found_out/matches").select("batch_id").distinct().count() > 1
-    missing, found = (tables.read_table(spark, root, s) for s in forms)
+COLUMNS = ["query_id", "candidate_id", "match_rank", "combined_score"]
+
+
+@pytest.fixture
+def arrivals(spark, sf_dir, tmp_path):
+    """Forms of both sides in several files each, and helpers to run streams over them."""
+
+    class Arrivals:
+        root = str(tmp_path / "db")
+        forms = {side: raw(cw.table(spark, sf_dir, side)) for side in ("missing", "found")}
+
+        def write(self, side, name, condition="true", files=5):
+            folder = str(tmp_path / f"incoming_{side}_{name}")
+            self.forms[side].filter(condition).repartition(files).write.parquet(folder)
+
+        def run(self, side, name, checkpoint=None):
+            folder = str(tmp_path / f"incoming_{side}_{name}")
+            where = str(tmp_path / f"checkpoint_{side}_{checkpoint or name}")
+            start(spark, side, folder, self.root, where, self.forms[side].schema).awaitTermination()
+
+        def stored(self, side):
+            return tables.read_table(spark, self.root, side)
+
+        def matches(self, side="found"):
+            found = tables.read_arrivals(spark, self.root, side, "matches")
+            return sorted(map(tuple, found.select(*COLUMNS).collect()))
+
+        def expected(self):
+            found, missing = self.stored("found"), self.stored("missing")
+            batch = matching.match_found_to_missing(missing, found, CONFIG, explain=False)
+            return sorted(map(tuple, batch.select(*COLUMNS).collect()))
+
+        def check(self):
+            """Everything is stored or rejected once, and matched as a batch would."""
+            found = self.stored("found")
+            assert found.count() == found.select("point_id").distinct().count()
+            rejects = tables.read_arrivals(spark, self.root, "found", "rejects")
+            assert found.count() + rejects.count() == self.forms["found"].count()
+            assert self.matches() == self.expected() != []
+
+    tables.initialize_tables(spark, Arrivals.root)
+    made = Arrivals()
+    made.write("missing", "all")
+    made.run("missing", "all")
+    return made
+
+
+def test_a_stream_of_raw_forms_equals_a_batch(spark, arrivals):
+    arrivals.write("found", "all")
+    arrivals.run("found", "all")
+    arrivals.check()
+    assert len(tables.entries(spark, arrivals.root, "found", "stored")) > 1  # several batches
+    found = arrivals.stored("found")
     assert found.filter("collection_type = 'found' and upload_timestamp is not null").count() == found.count()
-    batch = matching.match_found_to_missing(missing, found, CONFIG, explain=False)
-    assert matches == sorted(map(tuple, batch.select(*columns).collect())) and matches
-    rejects = spark.read.parquet(f"{root}/found_out/rejects")
-    assert found.count() + rejects.count() == forms["found"].count()
-    # The same batches again, as after lost checkpoints, change nothing but matches of the first
-    # side, which now meets the second.
-    run_both(2)
-    assert results() == (stored, matches)
+    # The same forms again on a new stream, as after a lost checkpoint, change nothing.
+    before = sorted(map(str, found.collect())), arrivals.matches()
+    arrivals.run("found", "all", checkpoint="again")
+    assert (sorted(map(str, arrivals.stored("found").collect())), arrivals.matches()) == before
+    arrivals.check()
+    tables.reset_tables(spark, arrivals.root)
+    assert arrivals.stored("found").count() == arrivals.stored("missing").count() == 0
+
+
+def test_two_streams_of_one_side_store_the_sum(arrivals):
+    for name, condition in (("odd", "form_key % 4 = 1"), ("other", "form_key % 4 <> 1")):
+        arrivals.write("found", name, condition)
+        arrivals.run("found", name)
+    arrivals.check()
+
+
+@pytest.mark.parametrize("dies", ["before the entry", "before the matches"])
+def test_a_batch_that_dies_half_way_is_made_up_for(spark, arrivals, monkeypatch, dies):
+    arrivals.write("found", "all")
+    calls = []
+
+    def failing(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+        return original(*args, **kwargs)
+
+    if dies == "before the matches":
+        original = matching.match
+        monkeypatch.setattr("homeward.streaming.arrivals.match", failing)
+    else:
+        written = tables.commit_part
+
+        def commit(rows, root, side, kind, *names):
+            if kind == "stored" and len(calls) < 2:
+                calls.append(1)
+                if len(calls) == 2:
+                    rows.write.parquet(f"{root}/{side}_parts/{kind}/half")
+                    raise RuntimeError("executor lost")
+            return written(rows, root, side, kind, *names)
+
+        monkeypatch.setattr("homeward.streaming.arrivals.commit_part", commit)
+    with pytest.raises(Exception, match="executor lost"):
+        arrivals.run("found", "all")
+    monkeypatch.undo()
+    # A new stream without the old one's checkpoint makes up for what was left undone.
+    arrivals.run("found", "all", checkpoint="new")
+    arrivals.check()
+    stored, matched = (tables.entries(spark, arrivals.root, "found", k) for k in ("stored", "matches"))
+    assert stored.keys() == matched.keys()
+
+
+def test_names_of_streams_live_in_their_checkpoints(spark, tmp_path):
+    a, b = (tables.stream_name(spark, str(tmp_path / n)) for n in "ab")
+    assert a != b and tables.stream_name(spark, str(tmp_path / "a")) == a
+
+
+def test_notifications_go_out_once(spark, tmp_path):
+    schema = "found_id string, finder_contact string, moment string"
+    rows = [
+        ("F1", "a@example.com", "2024-01-01 00:00:00"), ("F1", "a@example.com", "2024-01-01 01:00:00"),
+        ("F2", "a@example.com", "2024-01-01 02:00:00"), ("F3", "no mail", "2024-01-01 03:00:00"),
+    ]
+    folder = str(tmp_path / "in")
+    for _ in range(2):  # every record in two files, read one after the other
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "out")
+    notify_arrivals(
+        stream, "found", out, str(tmp_path / "checkpoint"), F.col("moment"), availableNow=True
+    ).awaitTermination()
+    sent = spark.read.parquet(out).collect()
+    assert sorted((r.recipient, r.found_id) for r in sent) == [("a@example.com", "F1"), ("a@example.com", "F2")]
 
 
 def test_upload_splits_whole_tables(spark, sf_dir):

@@ -142,6 +142,14 @@ def test_embedding_hook(spark):
     def make_model():
         return lambda batch: batch[:, ::-1] * 3.0
 
-    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [1.0])], "id int, t array<float>")
-    (row,) = embed(df, "t", [2], make_model).collect()
-    assert row.id == 1 and row.embedding == pytest.approx([0.8, 0.6])
+    rows = [(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [6.0, 8.0])]
+    df = spark.createDataFrame(rows, "id int, t array<float>")
+    got = {r.id: r for r in embed(df, "t", [2], make_model, batch_size=2).collect()}
+    assert {i: r.embedding_status for i, r in got.items()} == {
+        1: "embedded", 2: "unreadable", 3: "unreadable", 4: "zero vector", 5: "unreadable", 6: "embedded",
+    }
+    assert got[1].embedding == got[6].embedding == pytest.approx([0.8, 0.6])
+    assert all(r.embedding is None for r in got.values() if r.embedding_status != "embedded")
+    assert got[3].t == [1.0]
+    with pytest.raises(ValueError):
+        embed(df, "t", [2], make_model, output="T")
