@@ -1,8 +1,9 @@
 """Mixing sources to target weights by fitting a budget of words from document lengths.
 
 Per source, documents are counted by their exact length. The target is met by whole rounds over
-the source, then by the same share of every length, then by dynamic programming over the lengths
-that are left (bounded knapsack, as many items of a length as documents remain). A source too
+the source, then by the same share of every length, rounded so that less than one document is over,
+then by dynamic programming over all of the rest and the lengths that are left (bounded knapsack, as
+many items of a length as documents remain). A source too
 small for that to fit may have documents taken more or less often than the others. Which documents
 of a length are taken is decided by a seeded hash.
 
@@ -11,7 +12,9 @@ whole size of the corpus by weight, stop at ``max_rounds`` times the source, and
 to the others by weight. A document is taken ``max_rounds`` times at most, empty documents as
 often as the whole rounds have it. An empty table gives an empty result. Repeated rows count as
 rows of their own; rows that agree in hash and id are taken in any order, which cannot be told
-apart. Null ids take part like any other. A size is the number of words, zero for a null text.
+apart. Null ids take part like any other. A size is the number of words, zero for a null text; a text
+of any length is counted whole. The struct that is added is the last column, under the next free name
+with underscores in front if a column has its name in any case.
 """
 
 from __future__ import annotations
@@ -27,48 +30,66 @@ from homeward.llm.common import fresh, n_words, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_ROUNDS = 3
-# Words that dynamic programming fits; what exceeds it is filled from the longest lengths.
+# Words that are left to dynamic programming, beside what sharing cannot give.
 DP_WORDS = 1 << 16
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def _shared(lengths: np.ndarray, counts: np.ndarray, budget: int, start: float) -> np.ndarray:
+    """The same share of every length, words in all at most ``budget`` and less by under one document.
+
+    Fractions of documents are carried on to the next longer length in words, from a drawn start on,
+    so every stretch of lengths gives its share.
+    """
+    total = int((lengths * counts).sum())
+    take, carried = np.zeros(len(counts), np.int64), start
+    for i, (length, n) in enumerate(zip(lengths.tolist(), counts.tolist())):
+        carried += length * n * budget / total
+        take[i] = min(n, int(carried // length))
+        carried -= int(take[i]) * length
+    while int((lengths * take).sum()) > budget:  # the drawn start may have been a document too many
+        take[np.flatnonzero(take)[0]] -= 1
+    return take
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
     """Documents to take of each length (ascending, positive) so that their words come to ``budget``.
 
-    The same share of every length is taken first, and the rest fitted exactly. Where no choice
-    fits, less is taken first and more left to fit, in the end everything; the closest sum below
-    the budget wins.
+    The same share of every length is taken, and all of the rest fitted by programming. Where that
+    does not come out even, ``DP_WORDS`` more are left to the programme; a budget of no more words
+    is fitted by it as a whole. The closest sum below the budget wins.
     """
     total = int((lengths * counts).sum())
     budget = max(0, min(budget, total))
     best, best_sum = np.zeros(len(counts), np.int64), 0
-    for parts in (4, 3, 2, 1, 0):
+    rng = np.random.default_rng(seed)
+    for left in (0, DP_WORDS):
         if best_sum == budget:
             break
-        first = np.array([int(c) * budget * parts // (4 * total) for c in counts], np.int64)
-        take = _fit_rest(lengths, counts, first, budget - int((lengths * first).sum()))
+        share = max(0, budget - left)
+        first = np.zeros(len(counts), np.int64)
+        if share:
+            first = _shared(lengths, counts, share, rng.random() * float(lengths[0]))
+        take = _fit_rest(lengths, counts, first, budget - int((lengths * first).sum()), rng)
         if int((lengths * take).sum()) > best_sum:
             best, best_sum = take, int((lengths * take).sum())
     return best
 
 
-def _fit_rest(lengths: np.ndarray, counts: np.ndarray, first: np.ndarray, rest: int) -> np.ndarray:
-    """``first`` and what else comes closest to ``rest`` words, by bounded-knapsack programming."""
+def _fit_rest(
+    lengths: np.ndarray, counts: np.ndarray, first: np.ndarray, goal: int, rng: np.random.Generator
+) -> np.ndarray:
+    """``first`` and what else comes closest to ``goal`` words, by bounded-knapsack programming.
+
+    Lengths are tried in drawn order, so that neither short nor long documents fill up the rest.
+    """
     take, left = first.copy(), counts - first
-    for i in range(len(lengths) - 1, -1, -1):
-        if rest <= DP_WORDS:
-            break
-        more = min(int(left[i]), (rest - DP_WORDS) // int(lengths[i]))
-        take[i] += more
-        left[i] -= more
-        rest -= more * int(lengths[i])
-    goal = min(rest, DP_WORDS)
     # Sums that can be reached, with the item that reached each first; items are powers of two
     # of a length's documents, so that any number of them can be put together.
     reached = np.zeros(goal + 1, bool)
     reached[0] = True
     by = np.zeros(goal + 1, np.int64)
     items: list[tuple[int, int]] = []
-    for i in np.flatnonzero((left > 0) & (lengths <= goal)).tolist():
+    for i in rng.permutation(np.flatnonzero((left > 0) & (lengths <= goal))).tolist():
         remaining = min(int(left[i]), goal // int(lengths[i]))
         chunk = 1
         while remaining and not reached[goal]:
@@ -104,18 +125,17 @@ def targets(totals: DataFrame, weights: tuple[int, ...], max_rounds: int) -> Dat
     )
     part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     sizes = {r[0]: r[1] for r in ordered.groupBy(part.alias("p")).count().collect()}
-    before, so_far = {}, 0
+    before, so_far = [], 0
     for p in sorted(sizes):  # as many entries as the sort has partitions
-        before[p] = so_far
+        before.append((p, so_far))
         so_far += sizes[p]
-    first = F.lit(0).cast("long")
-    for p, n in before.items():
-        first = F.when(part == p, F.lit(n)).otherwise(first)
+    earlier = totals.sparkSession.createDataFrame(before, "part long, earlier long")
     weight = F.element_at(
         F.array(*[F.lit(float(w)) for w in weights]),
-        (F.pmod(first + row, F.lit(len(weights))) + 1).cast("int"),
+        (F.pmod(F.col("earlier") + row, F.lit(len(weights))) + 1).cast("int"),
     )
-    weighed = ordered.withColumn("weight", weight).drop("place")
+    numbered = ordered.join(F.broadcast(earlier), part == F.col("part"))
+    weighed = stored(numbered.withColumn("weight", weight).drop("place", "part", "earlier"), "mix-weights")
     level, capped = 0.0, None
     while True:
         over = F.col("source_size") * max_rounds < F.col("weight") * F.lit(level)
@@ -147,7 +167,9 @@ def mix(
     Documents of a length are ranked within slices of a seeded hash, the square root of the
     table's rows in number, so that a length which a third of all documents share is no hot group.
     """
-    no, name, size, cut, draw, rank = fresh(docs, "no_source", "source_name", "size", "cut", "draw", "rank")
+    out, no, name, size, cut, draw, rank = fresh(
+        docs, out, "no_source", "source_name", "size", "cut", "draw", "rank"
+    )
     keys = [no, name, size, cut]
     sized = docs.withColumns({
         no: F.col("source").isNull(),
@@ -191,7 +213,7 @@ def mix(
         best, best_gap = (rounds, np.zeros(len(lengths), np.int64)), None
         for base, more in choices if total else ():
             budget = round(target) - base * total
-            take = fit_budget(lengths, counts * more, budget)
+            take = fit_budget(lengths, counts * more, budget, seed)
             gap = budget - int((take * lengths).sum())
             if best_gap is None or gap < best_gap:
                 best, best_gap = (base, take), gap
@@ -218,7 +240,7 @@ def mix(
         )
     )
     ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy(draw, "doc_id"))
-    placed = sized.drop(out).withColumn(
+    placed = sized.withColumn(
         cut, F.floor(F.shiftrightunsigned(draw, 44) / to_slice)
     ).join(allowed, keys).withColumn(rank, ordinal)
     copies = F.col(f"{out}.rounds") + (
@@ -233,15 +255,14 @@ def mix(
             copies.alias("copies"),
             (copies * F.col(size)).alias("taken"),
         ),
-    ).select(*[c for c in docs.columns if c != out], out)
+    ).select(*docs.columns, out)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    (out,) = fresh(docs, "mix")
-    (one,) = fresh(docs, "copy")
+    mixed = mix(docs, **options)
+    (one,) = fresh(mixed, "copy")
     return (
-        mix(docs, out, **options)
-        .withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(f"{out}.copies").cast("int"))))
+        mixed.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(f"{mixed.columns[-1]}.copies").cast("int"))))
         .select(*docs.columns)
     )

@@ -90,7 +90,34 @@ def test_fit_is_best_below_the_budget():
         assert int((take * lengths).sum()) == max(s for s in reach if s <= budget)
 
 
-def test_large_budget_is_filled_from_long_lengths():
+def test_few_long_lengths_come_close_to_a_large_budget():
     lengths = np.array([3, 50_000, 70_001])
     take = mixing.fit_budget(lengths, np.array([5, 40, 40]), 1_000_000)
     assert 0 <= 1_000_000 - int((take * lengths).sum()) < 70_001
+
+
+@pytest.mark.parametrize("part", [0.1, 0.37, 0.6, 0.93])
+def test_every_stretch_of_lengths_gives_its_share(part):
+    """Real lengths, hardly two documents alike: the budget is met, and not by the longest."""
+    rng = np.random.default_rng(4)
+    lengths, counts = np.unique(rng.lognormal(5.5, 1.2, 4_000).astype(np.int64) + 1, return_counts=True)
+    total = int((lengths * counts).sum())
+    budget = int(part * total)
+    take = mixing.fit_budget(lengths, counts, budget, 5)
+    assert (take >= 0).all() and (take <= counts).all()
+    assert int((take * lengths).sum()) == budget
+    for stretch in np.array_split(np.arange(len(lengths)), 8):
+        words = (lengths * counts)[stretch].sum()
+        off = (lengths * take)[stretch].sum() - part * words
+        # A document at either end of the stretch, and what programming adds to it.
+        assert abs(off) <= 4 * lengths[stretch].max() + 0.02 * words
+    again = mixing.fit_budget(lengths, counts, budget, 5)
+    assert (take == again).all()
+
+
+def test_a_column_with_the_name_of_the_result(edge):
+    clashing = edge.withColumnsRenamed({"mix": "Mix", "size": "no_source"})
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == [*clashing.columns, "_mix"]
+    assert {r.Mix for r in mixed.collect()} == {"x"}
+    assert mixing.mixed_documents(clashing).columns == clashing.columns
