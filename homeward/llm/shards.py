@@ -1,13 +1,21 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters rows by seeded hashes into buckets that fit in memory, several per shard. Pass
-two does a Fisher-Yates shuffle of each bucket (the built-in ``shuffle`` of an array) and numbers
-its rows behind those of the shard's earlier buckets.
+Pass one scatters rows by seeded hashes into buckets that fit in memory, as many per shard as its own
+size asks for. Pass two does a Fisher-Yates shuffle of each bucket (the built-in ``shuffle`` of an
+array) and numbers its rows behind those of the shard's earlier buckets. How many tasks there are
+follows from the data alone, so slots do not depend on the session's settings.
 
 Law ``key``: id and number of shards decide. Each shard's seeded hash of the id competes and the
 highest wins, so that one more shard takes rows only into itself. Rows without an id take the
-place that a null has; they and rows of equal texts are rows like others, spread over the buckets
-of a shard by text. A null text has no bytes. An empty table gives an empty result.
+place that a null has. A null text has no bytes; a text of any length is one row of a bucket. An empty
+table gives an empty result.
+
+Within a shard, rows are spread over the buckets by id and text. Rows that agree in both are counted
+first; where there are more than ``REPEATS`` of them, equal rows are counted into one before they are
+moved, and each copy goes to a bucket of its own drawing, so that no bucket fills with copies.
+
+The struct that is added is the last column, under the next free name with underscores in front if a
+column has its name in any case.
 """
 
 from __future__ import annotations
@@ -17,10 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import fresh
+from homeward.llm.common import fresh, stored
 
 BUCKET_BYTES = 32 << 20
-TASK_BYTES = 256 << 20
+TASK_BYTES = 64 << 20
+REPEATS = 1_000
+# Repeated keys are sent to all tasks up to this many; more are joined by a shuffle.
+SHIPPED_KEYS = 1_000_000
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -35,6 +46,33 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def _apart(docs: DataFrame, copy: str, crc: Column) -> DataFrame:
+    """Add ``copy``: zero, or the number of a row among its equals where those are very many."""
+    key, text, n = fresh(docs, "key", "text_key", "n")
+    often = stored(
+        docs.groupBy(F.col("doc_id").alias(key), crc.alias(text))
+        .agg(F.count("*").alias(n))
+        .filter(F.col(n) > REPEATS)
+        .select(key, text),
+        "shards-repeated",
+    )
+    n_often = often.count()
+    if not n_often:
+        return docs.withColumn(copy, F.lit(0).cast("long"))
+    if n_often <= SHIPPED_KEYS:
+        often = F.broadcast(often)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (crc == F.col(text))
+    # Equal rows become one with a count before any shuffle, and many again behind it.
+    copies = (
+        docs.join(often, same, "left_semi")
+        .groupBy(*docs.columns)
+        .agg(F.count("*").alias(n))
+        .withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+        .drop(n)
+    )
+    return docs.join(often, same, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(copies)
+
+
 def shuffled(
     docs: DataFrame,
     n_shards: int,
@@ -43,19 +81,19 @@ def shuffled(
     out: str = "place",
 ) -> DataFrame:
     """Add struct ``out`` (shard, slot, grown_shard, law); slots of a shard run from 0, gapless."""
-    shard, bucket, order, rows = fresh(docs, "shard", "bucket", "order", "rows")
-    total = docs.agg(F.sum(n_bytes(F.col("text")))).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / n_shards / bucket_bytes))
-    # A task shuffles its buckets one after the other.
-    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(n_shards * n_buckets, max(usual, math.ceil(total / TASK_BYTES)))
+    out, shard, bucket, order, rows, copy = fresh(docs, out, "shard", "bucket", "order", "rows", "copy")
     crc = F.coalesce(F.crc32("text"), F.lit(0))
-    scattered = docs.drop(out).withColumns({
-        shard: shard_of(F.col("doc_id"), n_shards, seed),
-        bucket: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc), F.lit(n_buckets)),
-        order: F.xxhash64(F.lit(seed + 2), "doc_id", crc),
+    own = shard_of(F.col("doc_id"), n_shards, seed)
+    found = docs.select(own.alias(shard), n_bytes(F.col("text")).alias(rows))
+    sizes = {r[0]: r[1] for r in found.groupBy(shard).agg(F.sum(rows)).collect()}  # one per shard
+    total = sum(sizes.values())
+    n_buckets = [max(1, math.ceil(sizes.get(s, 0) / bucket_bytes)) for s in range(n_shards)]
+    parts = max(1, min(sum(n_buckets), max(n_shards, math.ceil(total / TASK_BYTES))))
+    many = F.get(F.split(F.lit(",".join(map(str, n_buckets))), ",").cast("array<int>"), F.col(shard))
+    scattered = _apart(docs, copy, crc).withColumn(shard, own).withColumns({
+        bucket: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc, copy), many),
+        order: F.xxhash64(F.lit(seed + 2), "doc_id", crc, copy),
     })
-    kept = [c for c in docs.columns if c != out]
     counts = scattered.groupBy(shard, bucket).agg(F.count("*").alias(rows))
     offset = F.coalesce(
         F.sum(rows).over(
@@ -64,18 +102,20 @@ def shuffled(
         F.lit(0),
     )
     offsets = counts.select(shard, bucket, offset.alias(order))
+    # Whether rows agree in order and id is told by the rest of the row, as far as it can be sorted.
+    told = F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t and "variant" not in t])
     buckets = (
         scattered.repartition(parts, shard, bucket)
-        .sortWithinPartitions(shard, bucket, order, "doc_id")
+        .sortWithinPartitions(shard, bucket, order, "doc_id", told)
         .groupBy(shard, bucket)
-        .agg(F.collect_list(F.struct(*kept)).alias(rows))
+        .agg(F.collect_list(F.struct(*docs.columns)).alias(rows))
         # Before the join: the seed goes with the partition, which must not depend on its plan.
         .withColumn(rows, F.shuffle(rows, seed))
         .join(offsets, [shard, bucket])
     )
     dealt = buckets.select(shard, order, F.posexplode(rows).alias(bucket, rows))
     return dealt.select(
-        *[F.col(rows)[c].alias(c) for c in kept],
+        *[F.col(rows)[c].alias(c) for c in docs.columns],
         F.struct(
             F.col(shard).alias("shard"),
             (F.col(order) + F.col(bucket)).alias("slot"),
@@ -85,8 +125,9 @@ def shuffled(
     )
 
 
-def write_shards(placed: DataFrame, path: str, out: str = "place") -> None:
-    """Write one folder per shard, rows with their slot."""
+def write_shards(placed: DataFrame, path: str, out: str | None = None) -> None:
+    """Write one folder per shard, rows with their slot; ``out`` is the last column if not given."""
+    out = out or placed.columns[-1]
     shard, slot = f"{out}.shard", f"{out}.slot"
     placed.select(
         *[c for c in placed.columns if c not in (out, "shard", "slot")],
