@@ -11,13 +11,16 @@ task all but the lowest document of a window are decided at once, so a window th
 of all documents reaches the exact grouping as one document per task; there the smallest
 document id of each window is found. Pass three takes the covered words out.
 
-The marked cells go to every task: one bit a cell, twice, with ``CELLS_PER_KEY`` cells for each
-expected key up to ``MAX_CELLS`` (64 MB in all, enough for about 8 GB of text at full precision).
-Beyond, estimates get coarser and more windows are grouped exactly; none is lost at any size.
+The sketch has ``CELLS_PER_KEY`` cells for each expected key, twice, whatever the size of the corpus, so
+the share of unrepeated windows that pass it stays the same. Up to ``SHIPPED_CELLS`` (64 MB in all,
+about 8 GB of text) the marked cells go to every task as one bit each. Larger sketches stay where
+they are merged: their marked cells are rows, spread by hash, and the stretches' cells are joined to
+them, with one row per stretch instead of one per window; a cell that very many stretches share is a
+hot key of a plain semi join, which adaptive execution splits.
 
 Windows of one and the same document, or of rows with the same id, do not remove each other. Ids
 are expected to name a text: rows repeated with id and text are treated alike. Null ids neither
-remove nor lose words; null texts have no words. Windows are compared by 64-bit hashes.
+remove nor lose words; null texts have no words. Windows are compared by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import fresh, mixed, span_hashes, text_slices, windows, word_spans
+from homeward.llm.common import fresh, mixed, span_hashes, stored, text_slices, windows, word_spans
 
 N = 50
 GRAM = 10
 DEPTH = 2
 CELLS_PER_KEY = 8
-MAX_CELLS = 1 << 28
+SHIPPED_CELLS = 1 << 28
 CHUNK = 1 << 20
 _SLICE = 1 << 20
 _FLUSH = 1_000_000
@@ -130,7 +133,7 @@ def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
         .repartition("row", "chunk")
         .sortWithinPartitions("row", "chunk")
         .mapInArrow(merge, "row int, chunk int, bits binary")
-        .collect()  # the marked cells: at most two bits for each of MAX_CELLS
+        .collect()  # the marked cells: at most two bits for each of SHIPPED_CELLS
     )
     marked = np.zeros((DEPTH, cells // 8 if cells >= 8 else 1), np.uint8)
     for part in merged:
@@ -139,11 +142,37 @@ def sketch(docs: DataFrame, n: int, cells: int) -> np.ndarray:
     return marked
 
 
-def _settle(text_ids: np.ndarray, places: np.ndarray, hashes: np.ndarray):
+def _likely_apart(known: DataFrame, n: int, cells: int) -> DataFrame:
+    """(doc_id, likely): stretches whose cells are marked, by joins with a sketch that stays apart."""
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, data, offsets in text_slices(batch, limit=_SLICE):
+                _, owner, keys = _keys(*_hashed(data, offsets), n)
+                begins = _stretches(owner, keys)
+                ids = batch.column("doc_id").slice(start, end - start).to_numpy()
+                number = np.arange(len(begins)) - np.searchsorted(owner[begins], owner[begins])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[owner[begins]]), pa.array(number.astype(np.int64)),
+                     *[pa.array(_cells(keys[begins], row, cells)) for row in range(DEPTH)]],
+                    names=["doc_id", "stretch", *[f"cell{row}" for row in range(DEPTH)]],
+                )
+
+    schema = "doc_id long, stretch long, " + ", ".join(f"cell{row} long" for row in range(DEPTH))
+    found = stored(known.mapInArrow(stretches, schema), "repeats-stretches")
+    likely = found
+    for row in range(DEPTH):
+        # One row per task for a cell that is everywhere: counted before the exchange.
+        marked = found.groupBy(f"cell{row}").count().filter("count > 1").select(f"cell{row}")
+        likely = likely.join(marked, f"cell{row}", "left_semi")
+    return likely.groupBy("doc_id").agg(F.collect_set("stretch").alias("likely"))
+
+
+def _settle(text_ids: np.ndarray, places: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]):
     """Split windows into open ones (of the lowest text of each hash) and runs already decided."""
-    order = np.lexsort((text_ids, hashes))
-    text_ids, places, hashes = text_ids[order], places[order], hashes[order]
-    head = np.append(True, hashes[1:] != hashes[:-1])
+    order = np.lexsort((text_ids, hashes[1], hashes[0]))
+    text_ids, places, a, b = text_ids[order], places[order], hashes[0][order], hashes[1][order]
+    head = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     lowest = text_ids[head][np.cumsum(head) - 1]
     lost = text_ids > lowest
     again = np.lexsort((places[lost], text_ids[lost]))
@@ -152,7 +181,7 @@ def _settle(text_ids: np.ndarray, places: np.ndarray, hashes: np.ndarray):
         np.append(True, (ids[1:] != ids[:-1]) | (at[1:] != at[:-1] + 1))
     ) if len(ids) else np.zeros(0, np.int64)
     lengths = np.diff(np.append(begins, len(ids)))
-    return (hashes[~lost], text_ids[~lost], places[~lost]), (ids[begins], at[begins], lengths)
+    return (a[~lost], b[~lost], text_ids[~lost], places[~lost]), (ids[begins], at[begins], lengths)
 
 
 def repeats(docs: DataFrame, n: int = N) -> DataFrame:
@@ -163,26 +192,45 @@ def repeats(docs: DataFrame, n: int = N) -> DataFrame:
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Words are some six bytes long; a key lasts for about half of the grams in a window.
     expected = max(1, size // 6 * 2 // (n - GRAM + 2))
-    cells = min(MAX_CELLS, 1 << max(10, math.ceil(math.log2(expected * CELLS_PER_KEY))))
-    marked = known.sparkSession.sparkContext.broadcast(sketch(known, n, cells))
+    cells = 1 << max(10, math.ceil(math.log2(expected * CELLS_PER_KEY)))
+    if cells <= SHIPPED_CELLS:
+        marked = known.sparkSession.sparkContext.broadcast(sketch(known, n, cells))
+    else:
+        marked = None
+        known = known.join(_likely_apart(known, n, cells), "doc_id")
+
+    def estimated(batch: pa.RecordBatch, owner: np.ndarray, keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Whether each stretch may stand twice."""
+        if marked is None:
+            owners = owner[begins]
+            number = np.arange(len(begins)) - np.searchsorted(owners, owners)
+            listed = batch.column("likely")
+            counts = np.bincount(owners, minlength=batch.num_rows)
+            ends = np.cumsum(counts)
+            likely = np.zeros(len(begins), bool)
+            for i in np.flatnonzero(counts).tolist():
+                own = slice(int(ends[i] - counts[i]), int(ends[i]))
+                likely[own] = np.isin(number[own], listed[i].values.to_numpy())
+            return likely
+        likely, bits = np.ones(len(begins), bool), marked.value
+        for row in range(DEPTH):
+            at = _cells(keys[begins], row, cells)
+            likely &= (bits[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return likely
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = marked.value
         waiting, held = [], 0
         for batch in batches:
             for start, end, data, offsets in text_slices(batch, limit=_SLICE):
                 hashes, first = _hashed(data, offsets)
                 places, owner, keys = _keys(hashes, first, n)
                 begins = _stretches(owner, keys)
-                likely = np.ones(len(begins), bool)
-                for row in range(DEPTH):
-                    at = _cells(keys[begins], row, cells)
-                    likely &= (bits[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                likely = estimated(batch.slice(start, end - start), owner, keys, begins)
                 likely = np.repeat(likely, np.diff(np.append(begins, len(keys))))
                 places, owner = places[likely], owner[likely]
                 ids = batch.column("doc_id").slice(start, end - start).to_numpy()
-                exact = span_hashes(hashes, places, places + n, seed=1).view(np.int64)
-                waiting.append((ids[owner], places - first[:-1][owner], exact))
+                exact = [span_hashes(hashes, places, places + n, seed=s).view(np.int64) for s in (1, 2)]
+                waiting.append((ids[owner], places - first[:-1][owner], *exact))
                 held += len(places)
                 if held >= _FLUSH:
                     yield from _rows(*map(np.concatenate, zip(*waiting)))
@@ -191,9 +239,9 @@ def repeats(docs: DataFrame, n: int = N) -> DataFrame:
             yield from _rows(*map(np.concatenate, zip(*waiting)))
 
     found = known.mapInArrow(
-        candidates, "hash long, doc_id long, place int, number int, decided boolean"
+        candidates, "hash long, more long, doc_id long, place int, number int, decided boolean"
     )
-    earliest = F.min(F.when(~F.col("decided"), F.col("doc_id"))).over(Window.partitionBy("hash"))
+    earliest = F.min(F.when(~F.col("decided"), F.col("doc_id"))).over(Window.partitionBy("hash", "more"))
     return (
         found.withColumn("earliest", earliest)
         .filter(F.col("decided") | (F.col("earliest") < F.col("doc_id")))
@@ -202,18 +250,21 @@ def repeats(docs: DataFrame, n: int = N) -> DataFrame:
     )
 
 
-def _rows(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(
+    ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, more: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     """Open windows by hash; decided runs under a hash of their own, which spreads them."""
-    (open_hash, open_id, open_at), (done_id, done_at, number) = _settle(ids, places, hashes)
+    (open_hash, open_more, open_id, open_at), (done_id, done_at, number) = _settle(ids, places, (hashes, more))
     own = mixed(done_id.astype(np.uint64) * np.uint64(1 << 20) + done_at.astype(np.uint64))
     columns = [
         np.concatenate([open_hash, own.view(np.int64)]),
+        np.concatenate([open_more, np.zeros(len(done_id), np.int64)]),
         np.concatenate([open_id, done_id]),
         np.concatenate([open_at, done_at]).astype(np.int32),
         np.concatenate([np.ones(len(open_id), np.int64), number]).astype(np.int32),
         np.concatenate([np.zeros(len(open_id), bool), np.ones(len(done_id), bool)]),
     ]
-    names = ["hash", "doc_id", "place", "number", "decided"]
+    names = ["hash", "more", "doc_id", "place", "number", "decided"]
     whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
     for first in range(0, whole.num_rows, 20_000):
         yield whole.slice(first, 20_000)

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from homeward.llm import substrings
 
@@ -65,9 +66,31 @@ def test_small_flushes_and_other_lengths(spark, documents, monkeypatch):
     compare(documents.repartition(3), 20)
 
 
-def test_full_sketch_loses_nothing(documents, monkeypatch):
-    monkeypatch.setattr(substrings, "MAX_CELLS", 64)
-    compare(documents, 50)
+@pytest.mark.parametrize("n", [50, 20])
+def test_a_sketch_that_stays_apart_finds_the_same(documents, monkeypatch, n):
+    monkeypatch.setattr(substrings, "SHIPPED_CELLS", 64)
+    compare(documents.repartition(3), n)
+
+
+def test_few_unrepeated_windows_pass_a_sketch_that_stays_apart(spark):
+    """The share that passes does not grow with the keys, however few cells could be shipped."""
+    for size in (2_000, 40_000):
+        docs = spark.range(size // 100).selectExpr(
+            "id as doc_id", "array_join(transform(sequence(1, 400), x -> concat('w', id * 1000 + x)), ' ') as text"
+        )
+        n = 50
+        keys = size // 100 * 400 // 20
+        cells = 1 << (keys * substrings.CELLS_PER_KEY - 1).bit_length()
+        likely = substrings._likely_apart(docs, n, cells)
+        passing = likely.selectExpr("sum(size(likely))").first()[0] or 0
+        assert passing <= 0.05 * keys
+
+
+def test_windows_that_agree_in_one_hash_are_told_apart():
+    ids, places = np.array([1, 2, 3]), np.array([0, 0, 0])
+    same, more = np.array([7, 7, 7]), np.array([1, 2, 1])
+    (_, _, open_ids, _), (lost_ids, _, _) = substrings._settle(ids, places, (same, more))
+    assert sorted(open_ids.tolist()) == [1, 2] and lost_ids.tolist() == [3]
 
 
 def test_sketch_never_underestimates(documents):
