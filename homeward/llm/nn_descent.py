@@ -12,9 +12,11 @@ pairs at the threshold, so none that was seen is lost to a full list. These edge
 components, and within a component all vectors are compared in pairs of blocks and their links
 counted. So nothing is cut off in a dense group and no list of pairs is written.
 
-The result is audited: about ``AUDIT`` vectors drawn by a seeded hash are compared with all others,
-and as long as less than ``RECALL`` of a vector's links lie within its component, on average over
-those with few links or those with many, another set of tables is added.
+The result is audited: vectors drawn by a seeded hash are compared with all others, ``AUDIT`` at first
+and twice as many again until ``LINKED`` of them have links, all vectors are drawn, or ``AUDIT_MOST``.
+As long as less than ``RECALL`` of a vector's links lie within its component, on average over
+those with few links or those with many, another set of tables is added. The recall and the number of
+linked vectors that it rests on are columns of the result; the recall is null if that is none.
 
 Only vectors of equal label and length are compared, by cosine in double precision. A vector that
 is null, zero, or has null or non-finite components, or a null label, links with nothing: it has
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import stored
+from homeward.llm.common import drawn, stored
 from homeward.llm.graph import by_group, components, forest, in_blocks
 
 SIMILARITY = 0.98
@@ -45,7 +47,7 @@ PLANES = 30
 PART = 512
 BLOCK = 1024
 SETTLED = 0.002
-AUDIT = 256
+AUDIT, AUDIT_MOST, LINKED = 256, 1 << 16, 64
 RECALL = 0.99
 # Links this close to the threshold are not audited: rounding alone decides whether they are there.
 ROUNDING = 1e-9
@@ -262,20 +264,37 @@ def _counted(members: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def audited(nodes: DataFrame, roots: DataFrame, n: int, similarity: float) -> float:
+def audited(nodes: DataFrame, roots: DataFrame, n: int, similarity: float) -> tuple[float | None, int]:
     """Recall of a sample of vectors, whose links are found by comparing it with all vectors.
 
     Of each sampled vector with links, the part of them that lies within its component; the mean of
-    those with few links or of those with many, whichever is less.
+    those with few links or of those with many, whichever is less. Null if none has links. Also the
+    number of vectors with links.
     """
-    share = min(1.0, AUDIT / max(1, n))
-    draw = F.pmod(F.xxhash64(F.lit(31), "node"), F.lit(1 << 30))
     rooted = nodes.join(roots, "node", "left").select(
         "node", "space", "vector", F.coalesce("root", "node").alias("root")
     )
-    sample = rooted.filter(draw < int(share * (1 << 30))).collect()  # about AUDIT rows
+    few, many = [0, 0.0], [0, 0.0]
+    low, high = 0.0, AUDIT / max(1, n)
+    while True:
+        for links, count, total in _links_of(rooted, low, high, similarity):
+            kept = few if links else many
+            kept[0] += count
+            kept[1] += total
+        linked = few[0] + many[0]
+        if linked >= LINKED or high >= min(1.0, AUDIT_MOST / max(1, n)):
+            break
+        low, high = high, 2 * high
+    means = [total / count for count, total in (few, many) if count]
+    return min(means, default=None), linked
+
+
+def _links_of(rooted: DataFrame, low: float, high: float, similarity: float) -> list[tuple[bool, int, float]]:
+    """(whether their links are few, vectors with links, sum of their recalls) of a range of the draw."""
+    drawn_before = drawn(low, 31, "node") if low else F.lit(False)
+    sample = rooted.filter(drawn(high, 31, "node") & ~drawn_before).collect()  # AUDIT_MOST at most, in about
     if not sample:
-        return 1.0
+        return []
     by_space = {}
     for r in sample:
         by_space.setdefault(r.space, []).append(r)
@@ -303,16 +322,16 @@ def audited(nodes: DataFrame, roots: DataFrame, n: int, similarity: float) -> fl
                 columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)]
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "there", "within"])
 
-    means = (
+    sums = (
         rooted.mapInArrow(look, "node long, there long, within long")
         .groupBy("node")
         .agg(F.sum("there").alias("there"), F.sum("within").alias("within"))
         .filter("there > 0")
-        .groupBy(F.col("there") <= LIST)
-        .agg(F.avg(F.col("within") / F.col("there")).alias("recall"))
+        .groupBy((F.col("there") <= LIST).alias("few"))
+        .agg(F.count("*"), F.sum(F.col("within") / F.col("there")))
         .collect()  # two rows at most
     )
-    return min((r.recall for r in means), default=1.0)
+    return [tuple(r) for r in sums]
 
 
 def near_duplicates(
@@ -322,7 +341,7 @@ def near_duplicates(
     vector_column: str = "embedding",
     label_column: str = "label",
 ) -> DataFrame:
-    """(id, n_links, component_id, kept, audit_recall) of every row."""
+    """(id, n_links, component_id, kept, audit_recall, audit_linked) of every row."""
     kind = vectors.schema[id_column].dataType
     vector = F.col(vector_column)
     sound = (
@@ -346,15 +365,15 @@ def near_duplicates(
     )
     n = nodes.count()
     sizes = stored(nodes.groupBy("space").agg(F.count("*").alias("of")), "spaces")
-    start, recall, joined, tables = None, 0.0, [], 0
-    while tables == 0 or recall < RECALL:
+    start, recall, joined, tables = None, None, [], 0
+    while tables == 0 or (recall is not None and recall < RECALL):
         more = _start(nodes, sizes, tables * TABLES, similarity)
         start = more if start is None else lists.unionByName(more)
         lists = _descend(nodes, start, similarity, joined)
         near = lists.filter(F.col("sim") >= similarity).select("x", "y")
         edges = reduce(DataFrame.unionByName, joined, near)
         likely = stored(components(edges.toDF("a", "b"), "near"), "near")
-        recall = audited(nodes, likely, n, similarity)
+        recall, linked = audited(nodes, likely, n, similarity)
         tables += 1
     sizes = likely.groupBy("root").agg(F.count("*").alias("n"))
     members = likely.join(sizes, "root").join(nodes.select("node", "vector", "copies"), "node")
@@ -380,5 +399,6 @@ def near_duplicates(
         F.when(named, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
         component.cast("long").alias("component_id"),
         (F.col("id") == component).alias("kept"),
-        F.lit(recall).alias("audit_recall"),
+        F.lit(recall).cast("double").alias("audit_recall"),
+        F.lit(linked).cast("long").alias("audit_linked"),
     )

@@ -148,8 +148,21 @@ def test_audit_finds_what_components_miss(spark):
     )
     none = spark.createDataFrame([], "node long, root long")
     all_one = nodes.selectExpr("node", "cast(0 as bigint) as root")
-    assert nn_descent.audited(nodes, none, 10, 0.98) == 0.0
-    assert nn_descent.audited(nodes, all_one, 10, 0.98) == pytest.approx(1.0)
+    assert nn_descent.audited(nodes, none, 10, 0.98) == (0.0, 10)
+    assert nn_descent.audited(nodes, all_one, 10, 0.98) == (pytest.approx(1.0), 10)
+    assert nn_descent.audited(nodes.limit(1), none, 1, 0.98) == (None, 0)
+
+
+def test_audit_draws_until_it_sees_linked_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3_010, 24)))]
+    for i in range(10):  # ten linked pairs among three thousand others
+        rows[300 * i] = (300 * i, rows[300 * i + 7][1], 0)
+    nodes = frame(spark, rows).selectExpr(
+        "vec_id as node", "cast(0 as bigint) as space", "embedding as vector"
+    )
+    none = spark.createDataFrame([], "node long, root long")
+    assert nn_descent.audited(nodes, none, 3_010, 0.98) == (0.0, 20)
 
 
 def test_audit_counts_each_vector_not_each_link(spark):
@@ -159,7 +172,7 @@ def test_audit_counts_each_vector_not_each_link(spark):
         "vec_id as node", "cast(0 as bigint) as space", "embedding as vector"
     )
     group = nodes.filter("node < 60").selectExpr("node", "cast(0 as bigint) as root")
-    assert nn_descent.audited(nodes, group, 62, 0.98) == 0.0
+    assert nn_descent.audited(nodes, group, 62, 0.98) == (0.0, 62)
 
 
 def test_descent_goes_on_for_few_new_pairs_beside_a_dense_group(spark):
