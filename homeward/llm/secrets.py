@@ -9,7 +9,9 @@ elsewhere are ordinary; both are counted over all documents. Without any of eith
 no added spans.
 
 Only DataFrame functions. Places are code points, ends exclusive. Null texts count as empty and
-have no spans. Every text is searched whole. Repeated rows are rows like others.
+have no spans. Every text is searched whole. Repeated rows are rows like others. The struct that is
+added is the last column, under the next free name with underscores in front if a column has its name
+in any case.
 """
 
 from __future__ import annotations
@@ -125,9 +127,9 @@ def scan(
     docs: DataFrame, out: str = "secrets", threshold: float = THRESHOLD, train_docs: int | None = None
 ) -> DataFrame:
     """Add struct ``out`` (base, spans): sorted spans (start, rank of the kind, end)."""
-    source, base, runs = fresh(docs, "source_text", "base", "runs")
+    out, source, base, runs = fresh(docs, out, "source_text", "base", "runs")
     ratios = markov_ratios(docs, train_docs)
-    found = docs.drop(out).withColumn(source, F.coalesce(F.col("text"), F.lit(""))).withColumn(
+    found = docs.withColumn(source, F.coalesce(F.col("text"), F.lit(""))).withColumn(
         base, F.array_sort(base_spans(F.col(source)))
     )
     if ratios is None:
@@ -186,10 +188,9 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with their secrets replaced; ``n_chars`` follows where there is one."""
-    (out,) = fresh(docs, "secrets")
-    cleaned = scan(docs, out, **options).withColumn(
-        "text", redacted(F.col("text"), F.col(f"{out}.spans"), mark)
-    )
+    scanned = scan(docs, **options)
+    out = scanned.columns[-1]
+    cleaned = scanned.withColumn("text", redacted(F.col("text"), F.col(f"{out}.spans"), mark))
     if "n_chars" in docs.columns:
         changed = F.size(f"{out}.spans") > 0
         cleaned = cleaned.withColumn(

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -103,3 +105,50 @@ def test_edge_rows_and_columns(edge, empty):
     assert sorted(map(str, redacted.collect())) == sorted(map(str, edge.collect()))
     assert secrets.redact(empty).count() == 0
     assert edge.filter(F.col("text").isNull()).count() == 2
+
+
+def test_a_column_with_the_name_of_the_result(edge):
+    clashing = edge.withColumnsRenamed({"size": "Secrets", "node": "BASE"})
+    scanned = secrets.scan(clashing)
+    assert scanned.columns == [*clashing.columns, "_secrets"]
+    assert {(r.Secrets, r.BASE) for r in scanned.collect()} == {("x", "x")}
+    assert secrets.redact(clashing).columns == clashing.columns
+
+
+def test_added_spans_follow_from_the_counted_chains(run, texts):
+    """Both chains counted and every run scored one by one."""
+    key = re.compile(secrets.RUN)
+    random_steps, ordinary_steps = Counter(), Counter()
+
+    def count(steps, run):
+        steps.update((a, b) for a, b in zip(run, run[1:]) if ord(a) < 128 and ord(b) < 128)
+
+    for text in texts.values():
+        for m in ASSIGN.finditer(text or ""):
+            if len(m[2]) >= 8:
+                count(random_steps, m[2])
+        for pattern in (secrets.ACCESS, secrets.HEX):
+            for m in re.finditer(pattern, text or ""):
+                count(random_steps, m[0])
+        blank = re.sub("|".join([ASSIGN.pattern, secrets.ACCESS, secrets.HEX]), " ", text or "")
+        for m in re.finditer(secrets.ORDINARY, blank):
+            count(ordinary_steps, m[0])
+    used = {c for steps in (random_steps, ordinary_steps) for pair in steps for c in pair}
+
+    def ratio(a, b):
+        value = 0.0
+        for sign, steps in ((1, random_steps), (-1, ordinary_steps)):
+            total = sum(n for (x, _), n in steps.items() if x == a) + len(used)
+            value += sign * math.log((steps[a, b] + 1) / total)
+        return value
+
+    table = {(a, b): ratio(a, b) for a in used for b in used}
+    got = run("op6_markov_secrets")
+    for i, text in texts.items():
+        spans = base(text)
+        for m in key.finditer(text or ""):
+            a, b = m.span()
+            score = sum(table.get(pair, 0.0) for pair in zip(m[0], m[0][1:]))
+            if score >= secrets.THRESHOLD * (b - a - 1) and not any(x < b and a < y for x, _, y in spans):
+                spans = sorted([*spans, (a, 3, b)])
+        assert got[i].spans == listed(spans)
