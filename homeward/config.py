@@ -20,7 +20,7 @@ class KnnConfig:
     merge_fan_in: int = 64  # base partitions whose results are merged at a time
     block_rows: int | None = None  # rows of either block, instead of the above
     max_pivots: int = 1024
-    rows_per_pivot: int = 500_000
+    rows_per_pivot: int = 50_000
     tile: tuple[int, int] = (256, 4096)  # rows of both sides scored in one matrix product
 
 

@@ -11,12 +11,15 @@ Three physical strategies give the same rows:
     task are shuffled, and cut in stages of ``merge_fan_in`` tasks each.
 ``blocked``
     Neither side is small. Base rows are put into the cell of their nearest
-    pivot. A query meets only the cells that the triangle inequality on angles
-    cannot rule out, given the score threshold and an upper bound on the
-    distance of its k-th neighbour (compare the Voronoi-partitioned kNN join of
-    Lu et al., PVLDB 2012). Cells are cut into blocks of bounded size, so a cell
-    that holds a third of all rows becomes many tasks. A task keeps one query
-    block in memory and streams one base block past it.
+    pivot. A query first meets the nearest cells that hold k rows. The k-th score
+    found there and the triangle inequality on angles rule out most of the other
+    cells (compare the Voronoi-partitioned kNN join of Lu et al., PVLDB 2012);
+    it meets the rest in a second pass. Cells are cut into blocks of bounded
+    size, so a cell that holds a third of all rows becomes many tasks. A task keeps
+    one query block in memory and streams one base block past it.
+
+``knn_both`` finds the neighbours of either side in the other from one matrix product per pair of
+blocks. An index that is kept beside a table is searched in the same way (``knn_index``).
 
 Scores are cosines rounded to nine decimals, ties go to the smaller id. Rounding
 makes the order independent of how a matrix product was blocked. Ids must be
@@ -42,6 +45,61 @@ from homeward.operators import knn_kernels as kernels
 from homeward.session import checkpointed
 
 _KEYS = ["cell", "base_block", "query_block"]
+_BOTH = "reverse boolean, face_similarity double, query_id string, candidate_id string"
+
+# What a result of a query weighs on its way to the final cut.
+_RESULT_BYTES = 64
+_TASKS_PER_CORE = 3
+_FEWEST_ROWS = 256
+
+
+class Cells(NamedTuple):
+    """Cells of base rows: unit pivots, number of rows, least and largest angle of a row to its pivot."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+
+    @property
+    def number(self) -> int:
+        return len(self.pivots)
+
+
+def in_cells(base: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the ``cell`` of the nearest pivot and the ``angle`` to it."""
+
+    @F.arrow_udf("struct<cell:int,angle:double>")
+    def nearest_pivot(vectors: pa.Array) -> pa.Array:
+        angles = kernels.angles_to(kernels.unit_rows(vectors), pivots)
+        cell = angles.argmin(axis=1)
+        angle = angles[np.arange(len(cell)), cell]
+        return pa.StructArray.from_arrays(
+            [pa.array(cell, pa.int32()), pa.array(angle)], ["cell", "angle"]
+        )
+
+    # Declared nondeterministic so that inferred filters do not evaluate it a second time.
+    placed = base.withColumn("_place", nearest_pivot.asNondeterministic()("vector"))
+    return placed.select(
+        "*", F.col("_place.cell").alias("cell"), F.col("_place.angle").alias("angle")
+    ).drop("_place")
+
+
+def cell_sums(placed: DataFrame) -> DataFrame:
+    """(cell, n, lo, hi) of the cells that hold rows."""
+    return placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")
+    )
+
+
+def cells_of(placed: DataFrame, pivots: np.ndarray, sums: DataFrame | None = None) -> Cells:
+    """The cells of ``placed`` rows, or of sums that are known already."""
+    cells = Cells(
+        pivots, np.zeros(len(pivots)), np.full(len(pivots), np.pi), np.zeros(len(pivots))
+    )
+    for c in (cell_sums(placed) if sums is None else sums).collect():  # one row per pivot
+        cells.rows[c.cell], cells.near[c.cell], cells.far[c.cell] = c.n, c.lo, c.hi
+    return cells
 
 
 class Prefilter(NamedTuple):
@@ -91,6 +149,25 @@ def knn_join(
     return job.plan()
 
 
+def knn_both(
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    threshold: float,
+    dim: int,
+    config: KnnConfig = KnnConfig(),
+    id_column: str = "point_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """Candidates of both sides in one go: (reverse, query_id, candidate_id, face_similarity).
+
+    Rows with ``reverse`` are the candidates of the right side's rows among the left side's. The
+    scores of a pair of blocks are computed once, and the best are kept by row and by column.
+    """
+    sides = [_side(df, id_column, vector, [], dim, "", None) for df in (left, right)]
+    return _Job(*sides, (left, right), k, threshold, dim, False, config).both()
+
+
 def _only_id(side: DataFrame) -> DataFrame:
     """The side with ``row`` cut down to the id."""
     return side.withColumn("row", F.struct(F.col("id")))
@@ -234,86 +311,173 @@ class _Job(NamedTuple):
         picked = self.base.select("vector", F.xxhash64("id").alias("h")).orderBy("h", "vector")
         return kernels.unit_rows(picked.limit(wanted).select("vector").toArrow()["vector"])
 
-    def _block_rows(self, n_queries: float, n_base: float) -> tuple[int, int]:
+    def _grid(self, n_queries: float, n_base: float) -> tuple[int, int]:
         """Rows per query block and per base block.
 
-        A task holds one query block and streams base blocks past it, so base blocks may be large;
-        they are, since a query returns up to k pairs per base block. Query blocks are as large as
-        memory allows, or smaller where that is needed to keep all cores busy.
+        A task holds one query block and streams a base block past it. Every base row is copied once
+        per query block, and every query once per base block, each time with up to k results, so of
+        all grids that keep the cores busy and fit the memory of a task the one that moves the
+        fewest bytes is taken.
         """
         if self.config.block_rows is not None:
             return self.config.block_rows, self.config.block_rows
-        base_rows = max(1, self.config.task_bytes // (4 * self.dim))
-        most = min(self.config.block_bytes // (8 * self.dim), self.config.task_results // self.k)
-        cores = self.base.sparkSession.sparkContext.defaultParallelism
-        even = math.ceil(n_queries * math.ceil(n_base / base_rows) / (4 * cores))
-        return max(1, min(most, max(256, even))), base_rows
+        vector, results = 4 * self.dim, _RESULT_BYTES * self.k
+        most_queries = max(1, self.config.block_bytes // (2 * vector + results))
+        most_base = max(1, self.config.task_bytes // vector)
+        tasks = _TASKS_PER_CORE * self.base.sparkSession.sparkContext.defaultParallelism
+        least_q = max(1, math.ceil(n_queries / most_queries))
+        least_b = max(1, math.ceil(n_base / most_base))
+        # No block of less than a few hundred rows is worth a task.
+        most_q = max(least_q, math.ceil(n_queries / _FEWEST_ROWS))
+        most_b = max(least_b, math.ceil(n_base / _FEWEST_ROWS))
+
+        def moved(grid: tuple[int, int]) -> float:
+            q, b = grid
+            return n_base * q * vector + n_queries * b * (vector + results)
+
+        grids = []
+        b = least_b
+        while b <= most_b:
+            grids.append((min(most_q, max(least_q, math.ceil(tasks / b))), b))
+            b = max(b + 1, int(b * 1.2))
+        q, b = min(grids, key=moved)
+        return max(1, math.ceil(n_queries / q)), max(1, math.ceil(n_base / b))
 
     def blocked(self, n_base: int) -> DataFrame:
         spark = self.base.sparkSession
         pivots = self._pivots(n_base)
-        n_cells = len(pivots)
-        if not n_cells:
+        if not len(pivots):
             return spark.createDataFrame([], self._schema())
+        # Written once: the cells are counted first and joined afterwards.
+        placed = checkpointed(in_cells(self.base, pivots))
+        return self.search(placed, cells_of(placed, pivots))
 
-        @F.arrow_udf("struct<cell:int,angle:double>")
-        def nearest_pivot(vectors: pa.Array) -> pa.Array:
-            angles = kernels.angles_to(kernels.unit_rows(vectors), pivots)
-            cell = angles.argmin(axis=1)
-            angle = angles[np.arange(len(cell)), cell]
-            return pa.StructArray.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(angle)], ["cell", "angle"]
+    def search(self, placed: DataFrame, cells: Cells) -> DataFrame:
+        """The k best of every query among ``placed`` base rows, in two passes where that helps.
+
+        The first pass scores each query in the nearest cells that hold k rows. The k-th score that
+        it finds is what a row of another cell has to reach, which keeps most cells out of reach.
+        """
+        if cells.number <= 2:
+            routed = self._routed(self.queries, cells, None)
+            if self._prunes(routed, cells):
+                return self._final_cut(self._within(routed, placed, cells))
+            return self._final_cut(self._everywhere(self.queries, placed, cells))
+        k = self.k
+
+        @F.arrow_udf("array<int>")
+        def nearest_cells(vectors: pa.Array) -> pa.Array:
+            angles = kernels.angles_to(kernels.unit_rows(vectors), cells.pivots)
+            return kernels.cell_lists(kernels.nearest_cells(angles, cells.rows, k))
+
+        nearest_cells = nearest_cells.asNondeterministic()
+        queries = checkpointed(self.queries.withColumn("first", nearest_cells("vector")))
+        asked = queries.withColumn("cell", F.explode("first")).drop("first")
+        near = checkpointed(self._within(asked, placed, cells))
+        floors = (
+            near.groupBy(F.col("query_id").alias("id"))
+            .agg(F.sort_array(F.collect_list("face_similarity"), asc=False).alias("best"))
+            .select("id", F.get("best", F.lit(k - 1)).alias("floor"))
+        )  # a few times k scores a query
+        known = queries.join(floors, "id", "left").withColumn(
+            "floor", F.coalesce("floor", F.lit(float(self.threshold)))
+        )
+        routed = self._routed(known, cells, "first")
+        if self._prunes(routed, cells):
+            return self._final_cut(near.unionByName(self._within(routed, placed, cells)))
+        return self._final_cut(self._everywhere(known.drop("first"), placed, cells))
+
+    def _prunes(self, routed: DataFrame, cells: Cells) -> bool:
+        """Whether going by cells moves fewer bytes than comparing everything in one grid of blocks."""
+        asked = {c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()}  # a row per cell
+        if not asked:
+            return True
+        rows, n_queries = cells.rows, routed.select("id").distinct().count()
+        vector = 4 * self.dim
+        with_results = vector + _RESULT_BYTES * self.k
+
+        def moved(query_rows: int, base_rows: int, cells_asked: dict) -> float:
+            return sum(
+                n_base * math.ceil(n / query_rows) * vector + n * math.ceil(n_base / base_rows) * with_results
+                for n, n_base in cells_asked.values()
             )
 
-        # Declared nondeterministic so that inferred filters do not evaluate it a second time.
-        nearest_pivot = nearest_pivot.asNondeterministic()
-        # Written once: the cells are counted first and joined afterwards.
-        placed = checkpointed(
-            self.base.withColumn("_place", nearest_pivot("vector")).select(
-                "*", F.col("_place.cell").alias("cell"), F.col("_place.angle").alias("angle")
-            ).drop("_place")
+        by_cell = self._grid(sum(asked.values()), sum(rows[c] for c in asked))
+        in_one = self._grid(n_queries, rows.sum())
+        return moved(*by_cell, {c: (n, rows[c]) for c, n in asked.items()}) <= moved(
+            *in_one, {0: (n_queries, rows.sum())}
         )
-        rows, near, far = np.zeros(n_cells), np.full(n_cells, np.pi), np.zeros(n_cells)
-        for c in (  # one row per pivot
-            placed.groupBy("cell")
-            .agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-            .collect()
-        ):
-            rows[c.cell], near[c.cell], far[c.cell] = c.n, c.lo, c.hi
 
+    def _everywhere(self, queries: DataFrame, placed: DataFrame, cells: Cells) -> DataFrame:
+        """All queries against all base rows, as one cell."""
+        one = F.lit(0).cast("int")
+        whole = Cells(cells.pivots[:1], np.array([cells.rows.sum()]), np.zeros(1), np.full(1, np.pi))
+        return self._within(queries.withColumn("cell", one), placed.withColumn("cell", one), whole)
+
+    def _routed(self, queries: DataFrame, cells: Cells, done: str | None) -> DataFrame:
+        """One row per query and cell in its reach, but for the cells listed in ``done``."""
         threshold, bound_k = self.threshold, None if self.prefiltered else self.k
 
+        def reach(vectors: pa.Array, cut: np.ndarray | float) -> pa.Array:
+            angles = kernels.angles_to(kernels.unit_rows(vectors), cells.pivots)
+            found = kernels.reachable_cells(angles, cells.rows, cells.near, cells.far, cut, bound_k)
+            return kernels.cell_lists(found)
+
         @F.arrow_udf("array<int>")
         def cells_in_reach(vectors: pa.Array) -> pa.Array:
-            angles = kernels.angles_to(kernels.unit_rows(vectors), pivots)
-            reach = kernels.reachable_cells(angles, rows, near, far, threshold, bound_k)
-            offsets = np.r_[0, np.cumsum(reach.sum(axis=1))]
-            return pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.nonzero(reach)[1], pa.int32())
-            )
+            return reach(vectors, threshold)
 
-        cells_in_reach = cells_in_reach.asNondeterministic()
-        reached = checkpointed(self.queries.withColumn("cells", cells_in_reach("vector")))
-        routed = reached.withColumn("cell", F.explode("cells")).drop("cells")
-        asked = {
-            c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()
-        }  # one row per pivot
+        @F.arrow_udf("array<int>")
+        def cells_above(vectors: pa.Array, floors: pa.Array) -> pa.Array:
+            return reach(vectors, floors.to_numpy(zero_copy_only=False))
+
+        # Declared nondeterministic so that inferred filters do not evaluate them a second time.
+        if done is None:
+            listed = cells_in_reach.asNondeterministic()("vector")
+            reached = checkpointed(queries.withColumn("cells", listed))
+        else:
+            listed = cells_above.asNondeterministic()("vector", "floor")
+            reached = checkpointed(
+                queries.withColumn("cells", listed)
+                .withColumn("cells", F.array_except("cells", done))
+                .drop(done)
+            )
+        return reached.withColumn("cell", F.explode("cells")).drop("cells")
 
-        query_rows, base_rows = self._block_rows(sum(asked.values()), sum(rows[c] for c in asked))
+    def _blocks(self, routed: DataFrame, cells: Cells) -> tuple[DataFrame, int] | None:
+        """(cell, base_blocks, query_blocks) of the cells asked for, and the number of tasks."""
+        spark = self.base.sparkSession
+        asked = {c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()}  # a row per cell
+        if not asked:
+            return None
+        rows = cells.rows
+        query_rows, base_rows = self._grid(sum(asked.values()), sum(rows[c] for c in asked))
         plan = [
             (cell, math.ceil(rows[cell] / base_rows), math.ceil(n / query_rows))
             for cell, n in asked.items()
         ]
-        blocks = F.broadcast(
-            spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int")
-        )
-
         # Enough tasks that none has to read much more than task_bytes of replicated vectors.
         copied = sum(rows[cell] * q + asked[cell] * b for cell, b, q in plan)
         tasks = max(
             int(spark.conf.get("spark.sql.shuffle.partitions")),
             math.ceil(copied * 4 * self.dim / self.config.task_bytes),
         )
+        return spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int"), tasks
+
+    def _within(
+        self, routed: DataFrame, placed: DataFrame, cells: Cells, both: bool = False
+    ) -> DataFrame:
+        """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all.
+
+        ``both`` adds the best queries of every base row, told apart by ``reverse``.
+        """
+        schema = self._schema()
+        if both:
+            schema = T.StructType([*schema.fields, T.StructField("reverse", T.BooleanType())])
+        made = self._blocks(routed, cells)
+        if made is None:
+            return self.base.sparkSession.createDataFrame([], schema)
+        blocks, tasks = F.broadcast(made[0]), made[1]
 
         def share(count: str) -> Column:
             return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
@@ -334,7 +498,7 @@ class _Job(NamedTuple):
             .withColumn("query_block", copies("query_blocks"))
             .withColumnRenamed("row", "candidate")
         )
-        both = left.withColumn("is_base", F.lit(False)).unionByName(
+        rows = left.withColumn("is_base", F.lit(False)).unionByName(
             right.withColumn("is_base", F.lit(True)), allowMissingColumns=True
         )
         search, stream_rows = self._search(), self._stream_rows()
@@ -344,7 +508,7 @@ class _Job(NamedTuple):
             mine, first = kernels.leading_queries(batches)
             if mine is None or first is None:
                 return
-            best = kernels.RunningBest(mine, search)
+            best = kernels.BestOfBoth(mine, search) if both else kernels.RunningBest(mine, search)
 
             def base_rows_only() -> Iterator[pa.Table]:
                 for batch in batches:
@@ -354,14 +518,64 @@ class _Job(NamedTuple):
 
             rest = base_rows_only()
             for table in kernels.gathered(itertools.chain([first], rest), stream_rows):
-                best.add(table)
+                yield from best.add(table) or ()
             yield from best.batches()
 
-        pairs = (
-            both.drop("base_blocks", "query_blocks")
+        return (
+            rows.drop("base_blocks", "query_blocks")
             .repartition(tasks, *_KEYS)
             .sortWithinPartitions(*_KEYS, "is_base")
             .groupBy(*_KEYS)
-            .applyInArrow(block_pair, self._schema())
+            .applyInArrow(block_pair, schema)
+        )
+
+    # Both directions at once
+
+    def both(self) -> DataFrame:
+        """Ids and scores of the best pairs of either side, told apart by ``reverse``."""
+        small = max(1, self.config.broadcast_bytes // (8 * self.dim))
+        slim = self._slim()
+        n_queries, n_base = self._counts()
+        if self.config.strategy in ("auto", "broadcast_base") and n_base <= small:
+            pairs = slim._both_shipped(slim.base.toArrow(), n_queries)
+        else:
+            pivots = slim._pivots(n_base)
+            if not len(pivots):
+                return self.base.sparkSession.createDataFrame([], _BOTH)
+            placed = checkpointed(in_cells(slim.base, pivots))
+            cells = cells_of(placed, pivots)
+            # A pair counts for both of its rows, so only the threshold may keep it out of reach.
+            routed = slim._replace(prefiltered=True)._routed(slim.queries, cells, None)
+            pairs = slim._within(routed, placed, cells, both=True)
+        first = Window.partitionBy("reverse", "query_id").orderBy(
+            F.desc("face_similarity"), F.asc("candidate_id")
         )
-        return self._final_cut(pairs)
+        return (
+            pairs.select(
+                "reverse", "face_similarity",
+                F.when(F.col("reverse"), F.col("candidate_id")).otherwise(F.col("query_id")).alias("query_id"),
+                F.when(F.col("reverse"), F.col("query_id")).otherwise(F.col("candidate_id")).alias("candidate_id"),
+            )
+            .withColumn("_rank", F.row_number().over(first))
+            .filter(F.col("_rank") <= self.k)
+            .drop("_rank")
+        )
+
+    def _both_shipped(self, table: pa.Table, n_queries: int) -> DataFrame:
+        """The base side is small: it goes to every task, which keeps the best of its rows, too."""
+        context = self.base.sparkSession.sparkContext
+        shipped, search, stream_rows = context.broadcast(table), self._search(), self._stream_rows()
+        queries = self.queries
+        if n_queries <= self.config.spread_below:
+            queries = queries.repartition(context.defaultParallelism, "id")
+
+        def each_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # The shipped side is held, the scanned one streams past it: their roles are exchanged.
+            best = kernels.BestOfBoth(shipped.value, search, swapped=True)
+            tables = (pa.Table.from_batches([batch]) for batch in batches)
+            for some in kernels.gathered(tables, stream_rows):
+                yield from best.add(some)
+            yield from best.batches()
+
+        schema = T.StructType([*self._schema().fields, T.StructField("reverse", T.BooleanType())])
+        return queries.mapInArrow(each_partition, schema)

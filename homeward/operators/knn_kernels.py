@@ -284,13 +284,19 @@ class RunningBest:
     def __init__(self, queries: pa.Table, search: Search):
         self.queries, self.search = Side.of(queries), search
         self.floor = np.full(len(self.queries.unit), search.threshold)
+        if "floor" in queries.column_names:  # what an earlier pass has found already
+            known = _array(queries["floor"]).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            self.floor = np.maximum(self.floor, known)
         self.query, self.row = np.empty(0, np.int64), np.empty(0, np.int64)
         self.score = np.empty(0)
         self.rows: pa.Table | None = None
 
     def add(self, batch: pa.Table) -> None:
         base = self.search.base_side(batch)
-        q, b, score = self.search.best(self.queries, base, self.floor)
+        self.take(base, *self.search.best(self.queries, base, self.floor))
+
+    def take(self, base: Side, q: np.ndarray, b: np.ndarray, score: np.ndarray) -> None:
+        """Add pairs of the queries and of rows of ``base``."""
         if not len(q):
             return
         used, position = np.unique(b, return_inverse=True)
@@ -327,6 +333,106 @@ class RunningBest:
             yield from pairs.combine_chunks().to_batches()
 
 
+class BestOfBoth:
+    """The best pairs of held rows and of rows that stream past them, from one product per tile.
+
+    The best of a streamed row are complete, as far as the held rows go, once it has passed; those
+    of the held rows once the stream ends. The held rows are queries and the others base rows, or
+    the other way round where ``swapped``.
+    """
+
+    def __init__(self, held: pa.Table, search: Search, swapped: bool = False):
+        self.best, self.search, self.swapped = RunningBest(held, search), search, swapped
+
+    def _flat(self, pairs: pa.Table, of_held: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs as (held, streamed) or exchanged; ``reverse`` if they are a base row's best."""
+        if self.swapped:
+            names = ["candidate_id", "query_id", "face_similarity", "candidate", "query"]
+            pairs = pairs.rename_columns(names).select(
+                ["query_id", "candidate_id", "face_similarity", "query", "candidate"]
+            )
+        reverse = pa.array(np.full(len(pairs), of_held == self.swapped))
+        yield from pairs.append_column("reverse", reverse).combine_chunks().to_batches()
+
+    def add(self, batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        held, stream, k = self.best.queries, Side.of(batch), self.search.k
+        of_stream = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        low = self.best.floor.copy()
+        for first in range(0, len(stream.unit), self.search.tile[1]):
+            part = slice(first, first + self.search.tile[1])
+            column_low = np.full(len(stream.unit[part]), self.search.threshold)
+            b, q, score = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            for start in range(0, len(held.unit), self.search.tile[0]):
+                rows = slice(start, start + self.search.tile[0])
+                new = _tile_pairs_of_both(held, stream, rows, part, k, low[rows], column_low)
+                if not len(new[0]):
+                    continue
+                for_rows = new[2] >= low[rows][new[0]]
+                keep = best_of_group(new[0][for_rows], new[2][for_rows], stream.order[new[1][for_rows]], k)
+                chosen = tuple(x[for_rows][keep] for x in new)
+                found.append((chosen[0] + start, chosen[1], chosen[2]))
+                b, q, score = (
+                    np.r_[b, new[1] - first], np.r_[q, new[0] + start], np.r_[score, new[2]],
+                )
+                keep = best_of_group(b, score, held.order[q], k)
+                b, q, score = b[keep], q[keep], score[keep]
+                raise_to_kth(column_low, b, score, k)
+            of_stream.append((b + first, q, score))
+        self.best.take(stream, *(np.concatenate(x) for x in zip(*found)))
+        b, q, score = (np.concatenate(x) for x in zip(*of_stream))
+        for start in range(0, len(b), _OUTPUT_ROWS):
+            some = slice(start, start + _OUTPUT_ROWS)
+            pairs = pair_table(held.table, stream.table, q[some], b[some], score[some])
+            yield from self._flat(pairs, of_held=False)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for batch in self.best.batches():
+            yield from self._flat(pa.Table.from_batches([batch]), of_held=True)
+
+
+def _tile_pairs_of_both(
+    queries: Side, base: Side, rows: slice, part: slice, k: int, row_low: np.ndarray, column_low: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one tile that can be among the k best of their row or of their column."""
+    rough = queries.rough[rows] @ base.rough[part].T
+    margin = np.float32(queries.unit.shape[1] * 1.2e-7 + 1e-6)
+
+    def passing(scores: np.ndarray, low: np.ndarray) -> np.ndarray:
+        cut = low.astype(np.float32) - margin
+        found = scores >= cut[:, None]
+        width = scores.shape[1]
+        crowded = np.flatnonzero(np.count_nonzero(found, axis=1) > k)
+        if len(crowded):
+            some = scores[crowded]
+            kth = np.partition(some, width - k, axis=1)[:, width - k] - 2 * margin
+            found[crowded] = some >= np.maximum(cut[crowded], kth)[:, None]
+        return found
+
+    q, b = np.nonzero(passing(rough, row_low) | passing(rough.T, column_low).T)
+    score = exact_scores(queries.unit[rows], base.unit[part], q, b)
+    enough = score >= np.minimum(row_low[q], column_low[b])
+    return q[enough], b[enough] + part.start, score[enough]
+
+
+def cell_lists(chosen: np.ndarray) -> pa.Array:
+    """The cells of each row of a boolean matrix as lists."""
+    offsets = np.r_[0, np.cumsum(chosen.sum(axis=1))]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(np.nonzero(chosen)[1], pa.int32())
+    )
+
+
+def nearest_cells(angles: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Boolean (query, cell) matrix of the nearest cells that together hold ``k`` rows."""
+    filled = np.where(rows > 0, angles, np.inf)
+    order = np.argsort(filled, axis=1, kind="stable")
+    before = np.cumsum(rows[order], axis=1) - rows[order]
+    chosen = np.zeros(angles.shape, bool)
+    np.put_along_axis(chosen, order, before < k, axis=1)
+    return chosen & (rows > 0)
+
+
 def angles_to(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
@@ -336,11 +442,13 @@ def reachable_cells(
     rows: np.ndarray,
     nearest: np.ndarray,
     farthest: np.ndarray,
-    threshold: float,
+    threshold: float | np.ndarray,
     k: int | None,
 ) -> np.ndarray:
     """Boolean (query, cell) matrix of the cells that may hold one of a query's k best rows.
 
+    ``threshold`` is one for all queries or one for each.
+
     ``rows``, ``nearest`` and ``farthest`` describe the cells: number of base rows, smallest and
     largest angle between a row and the pivot. For a query at angle ``a`` from the pivot every
     row of the cell lies between ``max(a - farthest, nearest - a, 0)`` and ``a + farthest``.
@@ -348,7 +456,7 @@ def reachable_cells(
     k-th neighbour. ``k=None`` leaves only the threshold.
     """
     lower = np.maximum(0.0, np.maximum(angles - farthest, nearest - angles))
-    cut = np.full(len(angles), threshold)
+    cut = np.broadcast_to(np.asarray(threshold, float), len(angles)).copy()
     if k is not None and rows.sum() >= k:
         upper = np.minimum(angles + farthest, np.pi)
         order = np.argsort(upper, axis=1)

@@ -6,8 +6,6 @@ implausibility rules, the acceptance test, the final limit, and the confidence.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from homeward.functions import confidence as C
 from homeward.functions import similarity as S
 from homeward.functions.contacts import contact_of
 from homeward.functions.explanation import explanation
-from homeward.operators.knn import Prefilter, knn_join
+from homeward.operators.knn import Prefilter, knn_both, knn_join
 from homeward.schemas import AGE_COLUMN, BUSINESS_ID
 from homeward.session import checkpointed
 
@@ -110,6 +108,37 @@ def candidates(
     ).withColumn("search_type", F.lit(other_side(side)))
 
 
+def candidates_of_both(
+    missing: DataFrame, found: DataFrame, config: MatchConfig, carry: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Vector candidates of the missing and of the found records, every pair scored once.
+
+    Ids and scores are written once for both directions; the records are joined to them.
+    """
+    wanted = CARRIED if carry is None else carry
+    sides = {MISSING: missing, FOUND: found}
+    pairs = checkpointed(
+        knn_both(missing, found, config.pool_size, config.candidate_threshold, config.dim, config.knn)
+    )
+
+    def rows(side: str, key: str, name: str) -> DataFrame:
+        df = with_features(sides[side], side, config.as_of_year)
+        columns = ["point_id", *[c for c in wanted if c in df.columns], *_FEATURES]
+        return df.select(
+            F.col("point_id").cast("string").alias(key), F.struct(*dict.fromkeys(columns)).alias(name)
+        )
+
+    def direction(side: str, reverse: bool) -> DataFrame:
+        mine = pairs.filter(F.col("reverse") == reverse).drop("reverse")
+        return (
+            mine.join(rows(side, "query_id", "query"), "query_id")
+            .join(rows(other_side(side), "candidate_id", "candidate"), "candidate_id")
+            .withColumn("search_type", F.lit(other_side(side)))
+        )
+
+    return direction(MISSING, False), direction(FOUND, True)
+
+
 def score(pairs: DataFrame, config: MatchConfig) -> DataFrame:
     """Add the agreement components, the metadata similarity and the combined score."""
     q, c = F.col("query"), F.col("candidate")
@@ -231,8 +260,20 @@ def match(
     explain: bool = True,
 ) -> DataFrame:
     """Ranked, accepted matches of ``queries`` (records of ``side``) among the other side."""
-    judged = judge(score(candidates(queries, base, side, config, carry), config), config)
-    limited = keep_best(judged, config.limit)
+    return match_candidates(
+        candidates(queries, base, side, config, carry), side, config, confidence, explain
+    )
+
+
+def match_candidates(
+    pairs: DataFrame,
+    side: str,
+    config: MatchConfig,
+    confidence: ConfidenceConfig = ConfidenceConfig(),
+    explain: bool = True,
+) -> DataFrame:
+    """Ranked, accepted matches of the vector candidates of records of ``side``."""
+    limited = keep_best(judge(score(pairs, config), config), config.limit)
     c = F.col("candidate")
     contact = contact_of(c["contact"], F.lit(None)) if side == FOUND else contact_of(
         F.lit(None), c["finder_contact"]
@@ -271,17 +312,27 @@ COMMON = [
 ]
 
 
-def match_bilateral(missing, found, config, **options) -> DataFrame:
+def match_bilateral(
+    missing: DataFrame,
+    found: DataFrame,
+    config: MatchConfig,
+    confidence: ConfidenceConfig = ConfidenceConfig(),
+    carry: list[str] | None = None,
+    explain: bool = True,
+) -> DataFrame:
     """Both directions in one table, told apart by ``search_type``.
 
-    The directions are planned side by side: planning counts and ships sides, small jobs that leave
-    most of a cluster idle.
+    Every pair of records is scored once for both. Filters that differ by direction need a search
+    for each.
     """
-    with ThreadPoolExecutor(2) as pool:
-        to_found, to_missing = pool.map(
-            lambda direction: direction(missing, found, config, **options),
-            (match_missing_to_found, match_found_to_missing),
-        )
+    if config.prefilter:
+        pools = candidates(missing, found, MISSING, config, carry), candidates(found, missing, FOUND, config, carry)
+    else:
+        pools = candidates_of_both(missing, found, config, carry)
+    to_found, to_missing = (
+        match_candidates(pool, side, config, confidence, explain)
+        for pool, side in zip(pools, (MISSING, FOUND))
+    )
     shared = [c for c in [*COMMON, "explanation"] if c in to_found.columns]
     return to_found.select(*shared).unionByName(to_missing.select(*shared))
 

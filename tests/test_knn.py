@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from homeward.config import KnnConfig
-from homeward.operators.knn import Prefilter, knn_join
+from homeward.operators import knn, knn_kernels
+from homeward.operators.knn import Prefilter, knn_both, knn_join
 
 SCHEMA = "point_id string, embedding array<float>, gender string, age int"
 STRATEGIES = {
@@ -169,3 +170,91 @@ def test_block_pairs_refuse_a_wrong_order():
         kernels.leading_queries(iter([batch([True, False])]))
     with pytest.raises(ValueError, match="precede"):
         kernels.leading_queries(iter([batch([False]), batch([True, False])]))
+
+
+@pytest.mark.parametrize("prunes", [True, False])
+@pytest.mark.parametrize("name", ["blocked", "blocked_small_tiles"])
+def test_by_cells_and_in_one_grid_are_the_same(spark, monkeypatch, name, prunes):
+    monkeypatch.setattr(knn._Job, "_prunes", lambda *_: prunes)
+    queries, base = people(1, 60, 8, copies=9), people(2, 150, 8, copies=30)
+    for threshold in (0.45, -1.0):
+        want = brute_force(queries, base, 5, threshold)
+        assert run(spark, queries, base, 5, threshold, 8, STRATEGIES[name]) == want
+
+
+def test_scores_found_first_keep_cells_out_of_reach():
+    """In two passes a query meets fewer cells than the bound on distances alone allows."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    base = centres[rng.integers(0, 40, 4000)] + 0.15 * rng.normal(size=(4000, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pivots = base[:60]
+    angles = knn_kernels.angles_to(base, pivots)
+    cell = angles.argmin(axis=1)
+    rows = np.bincount(cell, minlength=60).astype(float)
+    own = angles[np.arange(4000), cell]
+    near = np.array([own[cell == c].min(initial=np.pi) for c in range(60)])
+    far = np.array([own[cell == c].max(initial=0) for c in range(60)])
+    queries, k = base[100:200], 10
+    at = knn_kernels.angles_to(queries, pivots)
+    scores = np.round(queries @ base.T, 9)
+    first = knn_kernels.nearest_cells(at, rows, k)
+    assert (rows[None, :] * first).sum(axis=1).min() >= k
+    floors = np.array([np.sort(s[f[cell]])[-k] for s, f in zip(scores, first)])
+    one = knn_kernels.reachable_cells(at, rows, near, far, 0.1, k)
+    two = knn_kernels.reachable_cells(at, rows, near, far, floors, k) | first
+    assert two.sum() < 0.7 * one.sum()
+    for s, reach in zip(scores, two):  # and none of the best is out of reach
+        best = np.argsort(-s, kind="stable")[:k]
+        assert reach[cell[best]].all()
+
+
+BOTH = {n: c for n, c in STRATEGIES.items() if "queries" not in n}
+
+
+@pytest.mark.parametrize("name", BOTH)
+@pytest.mark.parametrize("copies", [0, 20])
+def test_both_directions_from_one_product(spark, monkeypatch, name, copies):
+    left, right = people(1, 60, 8, copies), people(2, 110, 8, 2 * copies)
+    for k, threshold in ((5, 0.45), (3, -1.0)):
+        frames = [spark.createDataFrame(r, SCHEMA).repartition(3) for r in (left, right)]
+        rows = knn_both(*frames, k, threshold, 8, config=BOTH[name]).collect()
+        got = {d: {(r.query_id, r.candidate_id, round(r.face_similarity, 6)) for r in rows if r.reverse == d}
+               for d in (False, True)}
+        assert got == {False: brute_force(left, right, k, threshold), True: brute_force(right, left, k, threshold)}
+        assert len(rows) == sum(map(len, got.values()))
+
+
+def test_both_directions_score_a_pair_once(monkeypatch):
+    import pyarrow as pa
+
+    def side(seed, n):
+        rows = people(seed, n, 6)
+        ids = pa.array([r[0] for r in rows])
+        return pa.table({"id": ids, "vector": pa.array([r[1] for r in rows]), "row": ids})
+
+    seen = []
+    original = knn_kernels._tile_pairs_of_both
+    monkeypatch.setattr(
+        knn_kernels, "_tile_pairs_of_both",
+        lambda q, b, rows, part, *rest: (seen.append(len(q.unit[rows]) * len(b.unit[part])), original(q, b, rows, part, *rest))[1],
+    )
+    best = knn_kernels.BestOfBoth(side(1, 50), knn_kernels.Search(3, 0.2, (16, 8), False))
+    batches = [b for seed in (2, 3) for b in best.add(side(seed, 30))] + list(best.batches())
+    assert sum(seen) == 50 * 60
+    assert {b.column("reverse")[0].as_py() for b in batches} == {True, False}
+
+
+def test_grid_moves_the_fewest_bytes_that_keep_cores_busy(spark):
+    base = spark.createDataFrame(people(1, 4, 6), SCHEMA)
+    job = knn._Job(base, base, (base, base), 50, 0.45, 512, False, KnnConfig())
+    sizes = {}
+    for n in (20_000, 100_000, 10_000_000, 1_000_000_000):
+        query_rows, base_rows = job._grid(n, n)
+        q, b = -(-n // query_rows), -(-n // base_rows)
+        assert q * b >= knn._TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        sizes[n] = (n * q * 2048 + n * b * (2048 + 50 * 64)) / (2 * n)
+        # What a task holds stays within its limits.
+        assert query_rows * (2 * 2048 + 50 * 64) <= KnnConfig().block_bytes + 8192
+        assert base_rows * 2048 <= KnnConfig().task_bytes + 2048
+    assert sizes[100_000] <= 1.1 * sizes[20_000]
