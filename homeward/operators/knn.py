@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -66,6 +66,10 @@ class Cells(NamedTuple):
         return len(self.pivots)
 
 
+# Base rows with their cell, or a function from cells to the rows of those.
+Placed = DataFrame | Callable[[list[int]], DataFrame]
+
+
 def in_cells(base: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add the ``cell`` of the nearest pivot and the ``angle`` to it."""
 
@@ -352,7 +356,7 @@ class _Job(NamedTuple):
         placed = checkpointed(in_cells(self.base, pivots))
         return self.search(placed, cells_of(placed, pivots))
 
-    def search(self, placed: DataFrame, cells: Cells) -> DataFrame:
+    def search(self, placed: Placed, cells: Cells) -> DataFrame:
         """The k best of every query among ``placed`` base rows, in two passes where that helps.
 
         The first pass scores each query in the nearest cells that hold k rows. The k-th score that
@@ -408,10 +412,12 @@ class _Job(NamedTuple):
             *in_one, {0: (n_queries, rows.sum())}
         )
 
-    def _everywhere(self, queries: DataFrame, placed: DataFrame, cells: Cells) -> DataFrame:
+    def _everywhere(self, queries: DataFrame, placed: Placed, cells: Cells) -> DataFrame:
         """All queries against all base rows, as one cell."""
         one = F.lit(0).cast("int")
         whole = Cells(cells.pivots[:1], np.array([cells.rows.sum()]), np.zeros(1), np.full(1, np.pi))
+        if callable(placed):
+            placed = placed(np.flatnonzero(cells.rows).tolist())
         return self._within(queries.withColumn("cell", one), placed.withColumn("cell", one), whole)
 
     def _routed(self, queries: DataFrame, cells: Cells, done: str | None) -> DataFrame:
@@ -444,8 +450,8 @@ class _Job(NamedTuple):
             )
         return reached.withColumn("cell", F.explode("cells")).drop("cells")
 
-    def _blocks(self, routed: DataFrame, cells: Cells) -> tuple[DataFrame, int] | None:
-        """(cell, base_blocks, query_blocks) of the cells asked for, and the number of tasks."""
+    def _blocks(self, routed: DataFrame, cells: Cells) -> tuple[DataFrame, int, list[int]] | None:
+        """(cell, base_blocks, query_blocks) of the cells asked for, the number of tasks, the cells."""
         spark = self.base.sparkSession
         asked = {c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()}  # a row per cell
         if not asked:
@@ -462,10 +468,11 @@ class _Job(NamedTuple):
             int(spark.conf.get("spark.sql.shuffle.partitions")),
             math.ceil(copied * 4 * self.dim / self.config.task_bytes),
         )
-        return spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int"), tasks
+        blocks = spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int")
+        return blocks, tasks, sorted(asked)
 
     def _within(
-        self, routed: DataFrame, placed: DataFrame, cells: Cells, both: bool = False
+        self, routed: DataFrame, placed: Placed, cells: Cells, both: bool = False
     ) -> DataFrame:
         """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all.
 
@@ -478,6 +485,8 @@ class _Job(NamedTuple):
         if made is None:
             return self.base.sparkSession.createDataFrame([], schema)
         blocks, tasks = F.broadcast(made[0]), made[1]
+        if callable(placed):
+            placed = placed(made[2])
 
         def share(count: str) -> Column:
             return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")

@@ -604,6 +604,7 @@ qualify row_number() over (partition by query_id order by s desc, candidate_id)
         "knn_topk": _knn(),
         "knn_broadcast_queries": _knn(),
         "knn_blocked": _knn(),
+        "knn_indexed": _knn(),
         "rerank": judged(
             "row_number() over (partition by qid order by comb desc, face desc, cid) as match_rank, "
             "round(face, 6) as face_similarity, round(meta, 6) as metadata_similarity, "

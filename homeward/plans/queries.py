@@ -25,6 +25,7 @@ from homeward.operators import (
     vision,
 )
 from homeward.operators.knn import knn_join
+from homeward.operators.knn_index import build_index, extend_index, knn_indexed, open_index
 from homeward.plans import casework as cw
 from homeward.session import checkpointed, run_dir
 from homeward.sources import tables
@@ -116,6 +117,22 @@ def _knn(strategy: str, **options) -> Query:
     return query
 
 
+def knn_index_query(spark, sf):
+    """The found side indexed in two batches, then searched for the missing side's neighbours."""
+    whole = cw.table(spark, sf, "vectors")
+    missing, found = [
+        df.select("point_id").join(whole, F.col("point_id") == F.col("image_id")).drop("image_id")
+        for df in _sides(spark, sf)
+    ]
+    path = run_dir(spark, "index")
+    late = F.pmod(F.xxhash64("point_id"), F.lit(4)) == 0
+    build_index(found.filter(~late), path, cw.VECTOR_DIM, rows_per_cell=20)
+    extend_index(found.filter(late), path, "late")
+    extend_index(found.filter(late), path, "late")  # a repeated batch
+    pairs = knn_indexed(missing, open_index(spark, path), k=10, threshold=0.1)
+    return _six(pairs.select("query_id", "candidate_id", "face_similarity"), *SCORES)
+
+
 def knn_filtered(spark, sf):
     """Nearest neighbours among the base records that meet metadata filters."""
     missing, found = _sides(spark, sf)
@@ -787,6 +804,7 @@ QUERIES: dict[str, Query] = {
     "knn_blocked": _knn("blocked", rows_per_pivot=100, block_rows=64),
     "knn_merged": _knn("broadcast_queries", merge_fan_in=2),
     "knn_filtered": knn_filtered,
+    "knn_indexed": knn_index_query,
     "match_other_weights": match_other_weights,
     "rerank": rerank,
     "accept": accept,
