@@ -141,10 +141,15 @@ def candidates_of_both(
 
 def score(pairs: DataFrame, config: MatchConfig) -> DataFrame:
     """Add the agreement components, the metadata similarity and the combined score."""
+    return blend(agreement(pairs, config), config)
+
+
+def agreement(pairs: DataFrame, config: MatchConfig) -> DataFrame:
+    """Add the agreement components, which no weight enters."""
     q, c = F.col("query"), F.col("candidate")
     age_missing = F.when(F.col("search_type") == FOUND, q["_age"]).otherwise(c["_age"])
     age_found = F.when(F.col("search_type") == FOUND, c["_age"]).otherwise(q["_age"])
-    components = pairs.withColumns({
+    return pairs.withColumns({
         "gender_match": S.gender_match(q["_gender"], c["_gender"]),
         "age_consistency": S.age_consistency(age_found, age_missing, config.age_tolerance),
         "marks_similarity": S.marks_similarity(q["_marks"], c["_marks"]),
@@ -152,6 +157,10 @@ def score(pairs: DataFrame, config: MatchConfig) -> DataFrame:
             q["_place"], q["_place_words"], c["_place"], c["_place_words"]
         ),
     })
+
+
+def blend(components: DataFrame, config) -> DataFrame:
+    """Add the metadata similarity and the combined score; weights are numbers or columns."""
     blended = components.withColumn(
         "metadata_similarity",
         S.metadata_similarity(
@@ -337,6 +346,66 @@ def match_bilateral(
     return to_found.select(*shared).unionByName(to_missing.select(*shared))
 
 
+# What configurations of a grid may differ in.
+VARIED = [
+    "gender_weight", "age_weight", "marks_weight", "location_weight", "gender_conflict_factor",
+    "metadata_weight", "face_weight", "face_threshold", "accept_combined", "accept_face",
+    "accept_metadata", "limit",
+]
+
+
+class _Varied:
+    """A configuration whose weights are columns of the row."""
+
+    def __init__(self, column: str, validate_both: bool):
+        self._column, self.validate_both = column, validate_both
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(self._column)[name]
+
+
+def match_grid(
+    missing: DataFrame,
+    found: DataFrame,
+    grid: dict[str, MatchConfig],
+    confidence: ConfidenceConfig = ConfidenceConfig(),
+) -> DataFrame:
+    """Matches of the missing records under many configurations, told apart by ``configuration``.
+
+    Neighbours are searched and compared once; the rows are then repeated for each configuration,
+    with its weights beside them. Configurations may differ in ``VARIED``; the pool of candidates is
+    that of the first, and must be the same for all.
+    """
+    first = next(iter(grid.values()))
+    fixed = ("as_of_year", "dim", "candidate_threshold", "pool_size", "age_tolerance", "validate_both", "prefilter")
+    for name, config in grid.items():
+        for field in fixed:
+            if getattr(config, field) != getattr(first, field):
+                raise ValueError(f"{name} differs in {field}, which a grid has in common")
+    weights = [
+        F.struct(F.lit(name).alias("configuration"), *[F.lit(getattr(config, f)).alias(f) for f in VARIED])
+        for name, config in grid.items()
+    ]
+    compared = agreement(candidates(missing, found, MISSING, first), first)
+    varied = compared.withColumn("_w", F.explode(F.array(*weights)))
+    config = _Varied("_w", first.validate_both)
+    judged = judge(blend(varied, config), config)
+    passed = F.col("reject_rule").isNull() & F.col("accepted")
+    best_first = Window.partitionBy("_w.configuration", "query_id").orderBy(
+        F.desc("_kept"), F.desc("combined_score"), F.desc("face_similarity"), F.asc("candidate_id")
+    )
+    kept = (
+        judged.withColumn("_kept", passed)
+        .withColumn("match_rank", F.row_number().over(best_first))
+        .filter((F.col("match_rank") <= F.col("_w.limit")) & F.col("_kept"))
+    )
+    return with_confidence(kept, confidence).select(
+        F.col("_w.configuration").alias("configuration"), "search_type", "query_id", "candidate_id",
+        "match_rank", "face_similarity", "metadata_similarity", "combined_score", "confidence_score",
+        "confidence_level",
+    )
+
+
 def records_by_business_id(df: DataFrame, side: str, ids: list[str] | DataFrame) -> DataFrame:
     """Records with the given business ids; of several with one id the lowest point id."""
     key = BUSINESS_ID[side]

@@ -13,13 +13,18 @@ from homeward.schemas import AGE_COLUMN, BUSINESS_ID
 
 
 def condition(side: str, key: str, value: Any) -> Column | None:
-    """One filter: ``age_range`` is inclusive bounds, a list is any-of, a scalar is equality."""
+    """One filter: ``age_range`` is inclusive bounds, a list is any-of, a scalar is equality.
+
+    ``None`` restricts nothing; a value of any other kind is an error.
+    """
     if key == "age_range" and isinstance(value, (list, tuple)) and len(value) == 2:
         return F.col(AGE_COLUMN[side]).between(value[0], value[1])
     if isinstance(value, (list, tuple)):
         return F.col(key).isin(list(value))
     if isinstance(value, (str, int, float, bool)):
         return F.col(key) == F.lit(value)
+    if value is not None:
+        raise ValueError(f"cannot filter {key} by a {type(value).__name__}")
     return None
 
 

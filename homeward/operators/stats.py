@@ -75,9 +75,9 @@ def data_health(missing: DataFrame, found: DataFrame, dim: int) -> DataFrame:
     return both.withColumn("status", F.when(healthy, "healthy").otherwise("unhealthy"))
 
 
-def confidence_histogram(matches: DataFrame) -> DataFrame:
-    """Matches per direction and confidence level."""
-    return matches.groupBy("search_type", "confidence_level").agg(
+def confidence_histogram(matches: DataFrame, *within: str) -> DataFrame:
+    """Matches per direction and confidence level, for each value of the columns ``within``."""
+    return matches.groupBy(*within, "search_type", "confidence_level").agg(
         F.count("*").alias("matches"),
         F.avg("confidence_score").alias("avg_confidence"),
         F.avg("face_similarity").alias("avg_face_similarity"),

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from homeward.functions.vectors import NORM_EPSILON
 from homeward.operators.skew import HOT_ROWS, hot_keys, lookup_join
+from homeward.session import checkpointed
 
 # Thresholds of the gates.
 MIN_CONFIDENCE = 0.70
@@ -108,6 +109,78 @@ def duplicate_members(images: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return lookup_join(images, duplicate_groups(images), "hash", spread="image_id", hot=hot)
 
 
+HASH_BITS = 64
+# Different hashes of one band value that are compared in one piece.
+BAND_BLOCK = 2_048
+
+
+def near_duplicates(
+    images: DataFrame, radius: int, block: int = BAND_BLOCK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Every image with ``n_near``, the others whose hash differs in at most ``radius`` bits.
+
+    ``first_near`` is the least of them and itself. Images (image_id, hash) of equal hash are one
+    value with a count. Of ``radius + 1`` bands of bits, two values within the radius agree in at
+    least one; they are compared in the first of those. A band value that very many hashes share is
+    cut into blocks, and every pair of blocks is a key of its own, so it is no hot key; pairs only
+    enter counts. Exact. ``images`` is read more than once; pass a stored table. An image without a
+    hash has none near it.
+    """
+    if not 0 <= radius < HASH_BITS:
+        raise ValueError(f"radius must be between 0 and {HASH_BITS - 1}")
+    values = checkpointed(
+        images.filter(F.col("hash").isNotNull())
+        .groupBy("hash")
+        .agg(F.count("*").alias("n"), F.min("image_id").alias("least"))
+        .withColumn("bits", F.conv("hash", 16, -10).cast("bigint"))
+    )
+    cuts = [HASH_BITS * i // (radius + 1) for i in range(radius + 2)]
+    masks = [(1 << (high - low)) - 1 for low, high in zip(cuts, cuts[1:])]
+
+    def band(bits: Column, i: int) -> Column:
+        shifted = F.shiftrightunsigned(bits, cuts[i])
+        return shifted if masks[i].bit_length() == HASH_BITS else shifted.bitwiseAND(masks[i])
+
+    banded = values.select(
+        "bits", "n", "least",
+        F.explode(F.array(*[
+            F.struct(F.lit(i).alias("band"), band(F.col("bits"), i).alias("value")) for i in range(radius + 1)
+        ])).alias("at"),
+    ).select("bits", "n", "least", "at.*")
+    blocks = banded.groupBy("band", "value").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    placed = banded.join(blocks, ["band", "value"]).withColumn(
+        "own", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int")
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    keys = ["band", "value", "row", "column"]
+    left = placed.withColumn("row", F.col("own")).withColumn("column", each)
+    right = placed.withColumn("column", F.col("own")).withColumn("row", each)
+    right = right.select(*keys, F.col("bits").alias("other"), F.col("n").alias("n_other"), F.col("least").alias("least_other"))
+    differ = F.col("bits").bitwiseXOR(F.col("other"))
+    # The first band in which the two agree: the bits of every earlier one differ.
+    earlier = [F.when(F.col("band") > i, band(differ, i) != 0).otherwise(True) for i in range(radius)]
+    meets = F.lit(True)
+    for e in earlier:
+        meets = meets & e
+    near = (
+        left.join(right, keys)
+        .filter((F.col("bits") != F.col("other")) & (F.bit_count(differ) <= radius) & meets)
+        .groupBy("bits")
+        .agg(F.sum("n_other").alias("others"), F.min("least_other").alias("least_other"))
+    )
+    counted = values.join(near, "bits", "left").select(
+        "hash",
+        (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"),
+        F.least("least", "least_other").alias("first_near"),
+    )
+    hot = hot_keys(images, "hash", hot_rows)
+    joined = lookup_join(images, counted, "hash", spread="image_id", hot=hot, how="left")
+    return joined.withColumns({
+        "n_near": F.coalesce("n_near", F.lit(0)).cast("long"),
+        "first_near": F.coalesce("first_near", "image_id"),
+    })
+
+
 _COMPARED = T.StructType([
     T.StructField("cosine", T.DoubleType()),
     T.StructField("distance", T.DoubleType()),

@@ -81,6 +81,31 @@ def _other_weights() -> str:
     return text
 
 
+def _grid() -> str:
+    """Histograms of three weightings, each of a search of its own."""
+    weights = {
+        "g_m * 0.3::double + a_c * 0.3::double + m_s * 0.25::double + l_p * 0.15::double":
+        "g_m * 0.4::double + a_c * 0.2::double + m_s * 0.1::double + l_p * 0.3::double",
+        "0.7::double * face + 0.3::double * meta": "0.6::double * face + 0.4::double * meta",
+    }
+    strict = {
+        "face >= 0.80 or comb >= 0.55 or (face >= 0.50 and meta >= 0.60)":
+        "face >= 0.9 or comb >= 0.7 or (face >= 0.50 and meta >= 0.8)",
+    }
+    parts = []
+    for name, changes in (("plain", {}), ("other", weights), ("strict", strict)):
+        text = f"{M.ranked('missing')},{M.confidence('final')}"
+        for old, new in changes.items():
+            assert old in text
+            text = text.replace(old, new)
+        parts.append(
+            f"select * from ({text} select '{name}' as configuration, 'found' as search_type, "
+            "level as confidence_level, count(*) as matches, round(avg(conf), 6) as avg_confidence, "
+            "round(avg(face), 6) as avg_face_similarity from confident group by level)"
+        )
+    return " union all ".join(parts)
+
+
 def _reset() -> str:
     counts = [
         f"select 'stored' as moment, '{side}' as side, count(distinct upload_key) as records "
@@ -592,6 +617,7 @@ def build() -> dict[str, str]:
         "search_by_case": _lookup("missing"),
         "search_by_found": _lookup("found"),
         "match_other_weights": _other_weights(),
+        "match_grid": _grid(),
         "knn_merged": _knn(),
         "knn_filtered": f"""{cte("missing", "found")},
 pairs as (
@@ -665,6 +691,9 @@ from missing_forms b left join last l using (point_id)""",
         "get_points": f"""{cte("missing_forms", "withdrawn")}
 select point_id, case_id, name, contact from missing_forms
 where point_id in (select point_id from withdrawn)""",
+        "search_zoned": f"""{cte("found_forms")}
+select point_id, gender, current_age_estimate from found_forms
+where gender = 'female' and current_age_estimate between 18 and 40""",
         "person_record": f"""{cte("missing_forms", "found_forms")}
 select point_id as id, coalesce(nullif(contact, ''), 'No contact available') as contact,
   image_url, gender from missing_forms
@@ -782,6 +811,18 @@ select image_id, null, null, null, null, null, null, null, null, null,
         "dup_hash": f"{_DOC_HASH} select * from groups",
         "dup_members": f"{_DOC_HASH} select image_id, hash, n_copies, first_image "
         "from hashed join groups using (hash)",
+        "dup_near": f"""{cte("face_thumbs")},
+thumbs as (select image_id, {_GRAY} as pixels from face_thumbs),
+hashed as (select image_id, {_HASH} as hash from thumbs),
+digits as (select image_id, hash, list_transform(range(1, 17),
+  lambda i: strpos('0123456789abcdef', lpad(hash, 16, '0')[i]) - 1) as d from hashed),
+near as (
+  select a.image_id, count(*) as n, min(b.image_id) as least from digits a join digits b
+    on a.image_id <> b.image_id
+  where list_sum(list_transform(range(1, 17), lambda i: bit_count(xor(a.d[i], b.d[i])))) <= 7
+  group by a.image_id)
+select image_id, hash, coalesce(n, 0) as n_near, least(image_id, coalesce(least, image_id)) as first_near
+from hashed left join near using (image_id)""",
         "list_images": f"{cte('age_files')} select extension, count(*) as rows from age_files, "
         "(values ('JPG'), ('jpg')) as kinds(extension) group by extension",
         "fg_parse": f"{_FILES} select * from parsed",
@@ -805,3 +846,10 @@ select image_id, null, null, null, null, null, null, null, null, null,
 
 
 ORACLE = build()
+# Other layouts of a table give the same rows.
+ORACLE |= {
+    "update_bucketed": ORACLE["update_metadata"],
+    "delete_bucketed": ORACLE["delete_points"],
+    "points_zoned": ORACLE["get_points"],
+    "page_zoned": ORACLE["list_page"],
+}

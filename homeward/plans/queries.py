@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from homeward.operators.knn import knn_join
 from homeward.operators.knn_index import build_index, extend_index, knn_indexed, open_index
 from homeward.plans import casework as cw
 from homeward.session import checkpointed, run_dir
-from homeward.sources import tables
+from homeward.sources import layout, tables
 from homeward.sources.files import list_images, read_pairs, write_pairs
 from homeward.streaming.arrivals import match_arrivals, notify_arrivals
 
@@ -152,6 +153,20 @@ def match_other_weights(spark, sf):
     return _flat(matching.match_missing_to_found(missing, found, OTHER_WEIGHTS, explain=False))
 
 
+def match_grid(spark, sf):
+    """Histogram of the matches under three weightings, from one search."""
+    grid = {
+        "plain": CONFIG,
+        "other": OTHER_WEIGHTS,
+        "strict": replace(CONFIG, face_threshold=0.9, accept_combined=0.7, accept_metadata=0.8),
+    }
+    missing, found = _sides(spark, sf)
+    matches = matching.match_grid(missing, found, grid)
+    return _six(
+        stats.confidence_histogram(matches, "configuration"), "avg_confidence", "avg_face_similarity"
+    )
+
+
 def _judged(spark, sf) -> DataFrame:
     missing, found = _sides(spark, sf)
     pairs = matching.candidates(missing, found, "missing", CONFIG)
@@ -421,6 +436,46 @@ def get_points(spark, sf):
     return found.select("point_id", "case_id", "name", "contact")
 
 
+def _bucketed(spark, sf) -> DataFrame:
+    root = run_dir(spark, "buckets")
+    layout.write_bucketed(_stored(spark, sf)[0], root, "missing", buckets=8)
+    return layout.open_bucketed(spark, root, "missing")
+
+
+def update_bucketed(spark, sf):
+    """Patches joined to a table in buckets, which stays where it is."""
+    changed = records.update_metadata(_bucketed(spark, sf), cw.table(spark, sf, "metadata_patches"))
+    return changed.select("point_id", "case_id", "contact", "height_cm", "estimated_current_age")
+
+
+def delete_bucketed(spark, sf):
+    left = records.delete_points(_bucketed(spark, sf), cw.table(spark, sf, "withdrawn"))
+    return left.select("point_id", "case_id", "name")
+
+
+def points_zoned(spark, sf):
+    root = run_dir(spark, "zones")
+    layout.write_zoned(_stored(spark, sf)[0], root, "missing", rows_per_file=100)
+    found = layout.points_zoned(spark, root, "missing", cw.table(spark, sf, "withdrawn"))
+    return found.select("point_id", "case_id", "name", "contact")
+
+
+def page_zoned(spark, sf):
+    root = run_dir(spark, "zones")
+    layout.write_zoned(_stored(spark, sf)[1], root, "found", rows_per_file=500)
+    return layout.page_zoned(spark, root, "found", limit=100, offset="f2").select(
+        "point_id", "found_id", "current_age_estimate", "gender", "next_offset"
+    )
+
+
+def search_zoned(spark, sf):
+    """A search by gender and age over files sorted by them."""
+    root, by = run_dir(spark, "zones"), ("gender", "current_age_estimate")
+    layout.write_zoned(_stored(spark, sf)[1], root, "found", by, rows_per_file=500)
+    hits = layout.search_zoned(spark, root, "found", {"gender": "female", "age_range": [18, 40]}, by)
+    return hits.select("point_id", "gender", "current_age_estimate")
+
+
 def person_record(spark, sf):
     missing, found = _stored(spark, sf)
     parts = [
@@ -747,6 +802,11 @@ def dup_hash(spark, sf):
     return vision.duplicate_groups(_document_hashes(spark, sf))
 
 
+def dup_near(spark, sf):
+    """Face thumbnails whose hashes differ in at most seven bits."""
+    return vision.near_duplicates(_face_hashes(spark, sf), 7)
+
+
 def dup_members(spark, sf):
     return vision.duplicate_members(checkpointed(_document_hashes(spark, sf)))
 
@@ -806,6 +866,7 @@ QUERIES: dict[str, Query] = {
     "knn_filtered": knn_filtered,
     "knn_indexed": knn_index_query,
     "match_other_weights": match_other_weights,
+    "match_grid": match_grid,
     "rerank": rerank,
     "accept": accept,
     "reject_rules": reject_rules,
@@ -832,6 +893,11 @@ QUERIES: dict[str, Query] = {
     "delete_points": delete_points,
     "update_metadata": update_metadata,
     "get_points": get_points,
+    "update_bucketed": update_bucketed,
+    "delete_bucketed": delete_bucketed,
+    "points_zoned": points_zoned,
+    "page_zoned": page_zoned,
+    "search_zoned": search_zoned,
     "person_record": person_record,
     "filter_eq": _filtered("missing", {"gender": "male"}),
     "filter_in": _filtered("missing", {"gender": ["male", "Female", "unknown"]}),
@@ -879,6 +945,7 @@ QUERIES: dict[str, Query] = {
     "image_audit": image_audit,
     "dup_hash": dup_hash,
     "dup_members": dup_members,
+    "dup_near": dup_near,
     "list_images": listed_images,
     "fg_parse": _of_files(agepairs.parse_files),
     "fg_by_person": _of_files(agepairs.files_by_person),

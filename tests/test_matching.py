@@ -162,3 +162,26 @@ def test_derived_filters(spark):
     found = spark.createDataFrame([("male", 30), ("other", 118)], "gender string, current_age_estimate int")
     got = M.derive_filters(found, "found", CONFIG)
     assert [tuple(r)[2:] for r in got.collect()] == [("male", 0, 35), (None, 68, 120)]
+
+
+def test_a_grid_of_weightings_equals_single_searches(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
+    missing, found = cw.table(spark, sf_dir, "missing"), cw.table(spark, sf_dir, "found")
+    plain = MatchConfig(as_of_year=2024, dim=4)
+    grid = {
+        "plain": plain, "weights": replace(plain, metadata_weight=0.4, gender_weight=0.4, age_weight=0.2),
+        "strict": replace(plain, face_threshold=0.9, accept_combined=0.7), "few": replace(plain, limit=5, pool_factor=10),
+    }
+    searches = []
+    original = M.knn_join
+    monkeypatch.setattr(M, "knn_join", lambda *a, **k: (searches.append(1), original(*a, **k))[1])
+    rows = M.match_grid(missing, found, grid).collect()
+    assert len(searches) == 1
+    columns = ["query_id", "candidate_id", "match_rank", "confidence_level"]
+    for name, config in grid.items():
+        want = M.match_missing_to_found(missing, found, config, explain=False)
+        got = sorted(tuple(r[c] for c in columns) for r in rows if r.configuration == name)
+        assert got == sorted(map(tuple, want.select(*columns).collect())) != []
+    with pytest.raises(ValueError):
+        M.match_grid(missing, found, {"a": plain, "b": replace(plain, age_tolerance=9)})

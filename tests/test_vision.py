@@ -153,3 +153,30 @@ def test_embedding_hook(spark):
     assert got[3].t == [1.0]
     with pytest.raises(ValueError):
         embed(df, "t", [2], make_model, output="T")
+
+
+@pytest.mark.parametrize("radius", [0, 3, 7])
+def test_near_hashes_equal_brute_force(spark, radius):
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2)
+    rows = [("no", None)]
+    for i in range(300):
+        bits = int(centres[i % 12])
+        for at in rng.integers(0, 64, rng.integers(0, 6)):
+            bits ^= 1 << int(at)
+        # A third of all rows share the lowest twenty bits.
+        rows.append((f"i{i:03d}", f"{bits >> 20 << 20 if i % 3 == 0 else bits:x}"))
+    images = spark.createDataFrame(rows, "image_id string, hash string")
+    for block in (vision.BAND_BLOCK, 5):
+        got = {r.image_id: r for r in vision.near_duplicates(images, radius, block, hot_rows=5).collect()}
+        assert len(got) == len(rows)
+        for i, h in rows:
+            near = [j for j, g in rows if j != i and h and g and bin(int(h, 16) ^ int(g, 16)).count("1") <= radius]
+            assert (got[i].n_near, got[i].first_near) == (len(near), min([*near, i]))
+
+
+def test_blocks_cut_a_hot_band(spark):
+    rows = [(str(i), f"{i << 32:x}") for i in range(400)]  # the lower bands are the same for all
+    images = spark.createDataFrame(rows, "image_id string, hash string")
+    got = {r.image_id: r.n_near for r in vision.near_duplicates(images, 2, block=16).collect()}
+    assert got == {i: sum(0 < bin(int(h, 16) ^ int(g, 16)).count("1") <= 2 for _, g in rows) for i, h in rows}
