@@ -63,6 +63,19 @@ def build_index(
 
     Rows whose vector is NULL or not of length ``dim`` are left out.
     """
+    pick_pivots(table, path, dim, id_column, vector, rows_per_cell)
+    extend_index(table, path, "first")
+
+
+def pick_pivots(
+    table: DataFrame,
+    path: str,
+    dim: int,
+    id_column: str = "point_id",
+    vector: str = "embedding",
+    rows_per_cell: int = ROWS_PER_CELL,
+) -> None:
+    """Make an index without rows, its cells taken from vectors like those that will come."""
     spark = table.sparkSession
     usable = table.filter(F.size(vector) == dim)
     wanted = max(1, min(MAX_CELLS, math.ceil(usable.count() / rows_per_cell)))
@@ -80,7 +93,6 @@ def build_index(
     ]
     schema = "cell int, group int, leads boolean, dim int, id_column string, vector_column string, pivot array<double>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/pivots")
-    extend_index(table, path, "first")
 
 
 def _pivots(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray, int, str, str] | None:

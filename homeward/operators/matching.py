@@ -15,6 +15,7 @@ from homeward.functions import similarity as S
 from homeward.functions.contacts import contact_of
 from homeward.functions.explanation import explanation
 from homeward.operators.knn import Prefilter, knn_both, knn_join
+from homeward.operators.knn_index import Index, knn_indexed
 from homeward.schemas import AGE_COLUMN, BUSINESS_ID
 from homeward.session import checkpointed
 
@@ -108,6 +109,26 @@ def candidates(
     ).withColumn("search_type", F.lit(other_side(side)))
 
 
+def candidates_in_index(
+    queries: DataFrame, index: Index, side: str, config: MatchConfig, carry: list[str] | None = None
+) -> DataFrame:
+    """Vector candidates of ``queries`` (records of ``side``) in an index of the other side's table."""
+    if config.prefilter:
+        raise ValueError("an index is searched without derived filters")
+    wanted = CARRIED if carry is None else carry
+    left = with_features(queries, side, config.as_of_year)
+    return knn_indexed(
+        left,
+        index,
+        k=config.pool_size,
+        threshold=config.candidate_threshold,
+        query_columns=[c for c in wanted if c in left.columns] + _FEATURES,
+        base_columns=[c for c in wanted if c in index.rows.columns] + _FEATURES,
+        prepare=lambda rows: with_features(rows, other_side(side), config.as_of_year),
+        config=config.knn,
+    ).withColumn("search_type", F.lit(other_side(side)))
+
+
 def candidates_of_both(
     missing: DataFrame, found: DataFrame, config: MatchConfig, carry: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -613,6 +613,7 @@ def build() -> dict[str, str]:
         "match_bilateral": _match_bilateral(),
         "match_arrivals": _arrivals(),
         "match_streams": _arrivals(),
+        "match_arrivals_indexed": _arrivals(),
         "match_prefiltered": _prefiltered(),
         "search_by_case": _lookup("missing"),
         "search_by_found": _lookup("found"),

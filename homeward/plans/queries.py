@@ -295,13 +295,26 @@ def match_stream(spark, sf):
     return _six(tables.read_arrivals(spark, root, "found", "matches"), *SCORES)
 
 
-def _arrive(forms: DataFrame, side: str, root: str, checkpoint: str) -> None:
+def _arrive(forms: DataFrame, side: str, root: str, checkpoint: str, **options) -> None:
     match_arrivals(
         forms, side, root, f"{root}/{side}_{checkpoint}", CONFIG, F.col("form_key"),
-        F.lit(cw.UPLOADED_AT), availableNow=True,
+        F.lit(cw.UPLOADED_AT), availableNow=True, **options,
     ).awaitTermination()
 
 
+def match_arrivals_indexed(spark, sf):
+    """Found forms on a stream, matched from an index of the missing table."""
+    root = run_dir(spark, "indexed")
+    tables.initialize_tables(spark, root)
+    _arrive(_raw_forms(spark, sf, "missing"), "missing", root, "all")
+    indexes = {"missing": f"{root}/missing_index"}
+    build_index(
+        tables.read_table(spark, root, "missing"), indexes["missing"], cw.FOLDED_DIM, rows_per_cell=20
+    )
+    _arrive(_raw_forms(spark, sf, "found"), "found", root, "all", indexes=indexes)
+    return _six(tables.read_arrivals(spark, root, "found", "matches"), *SCORES)
+
+
 def match_streams(spark, sf):
     """Found forms on two streams of different forms, one of which loses its checkpoint and starts anew."""
     root = run_dir(spark, "streams")
@@ -856,6 +869,7 @@ QUERIES: dict[str, Query] = {
     "match_bilateral": match_bilateral,
     "match_arrivals": match_stream,
     "match_streams": match_streams,
+    "match_arrivals_indexed": match_arrivals_indexed,
     "match_prefiltered": prefiltered_match,
     "search_by_case": _lookup("missing"),
     "search_by_found": _lookup("found"),

@@ -21,7 +21,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from homeward.config import ConfidenceConfig, MatchConfig
 from homeward.functions.identifiers import point_id
-from homeward.operators.matching import COMMON, match, other_side
+from homeward.operators.knn_index import extend_index, open_index
+from homeward.operators.matching import (
+    COMMON, candidates_in_index, match, match_candidates, other_side,
+)
 from homeward.operators.notifications import outbox
 from homeward.operators.records import prepare_form
 from homeward.operators.uploads import upload
@@ -40,20 +43,33 @@ def match_arrivals(
     row_key: Column,
     arrived_at: Column,
     confidence: ConfidenceConfig = ConfidenceConfig(),
+    indexes: dict[str, str] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start storing and matching a stream of raw forms of ``side``.
 
     ``root`` holds the two person tables, and receives the rejected forms with ``form_id`` and
     ``errors`` and the matches, which ``tables.read_arrivals`` reads. ``row_key`` is unique per form
-    and ``arrived_at`` is its arrival time. ``trigger`` is passed on, e.g. ``availableNow=True``.
+    and ``arrived_at`` is its arrival time. ``indexes`` are folders of neighbour indexes (``knn_index``)
+    by side: what is stored extends the own side's, and matches are looked for in the other side's,
+    of which a batch reads the cells in reach. Without one the whole other table is searched.
+    ``trigger`` is passed on, e.g. ``availableNow=True``.
     """
     spark = forms.sparkSession
     stream = stream_name(spark, checkpoint)
+    folders = indexes or {}
 
     def commit_matches(stored: DataFrame, of_stream: str, batch_id: int) -> None:
-        base = read_table(spark, root, other_side(side))
-        matches = match(stored, base, side, config, confidence, explain=False)
+        if side in folders:
+            extend_index(stored, folders[side], f"{of_stream}-{batch_id}")
+        other = folders.get(other_side(side))
+        index = open_index(spark, other) if other else None
+        if index is not None:
+            pairs = candidates_in_index(stored, index, side, config)
+            matches = match_candidates(pairs, side, config, confidence, explain=False)
+        else:
+            base = read_table(spark, root, other_side(side))
+            matches = match(stored, base, side, config, confidence, explain=False)
         commit_part(matches.select(*COMMON), root, side, "matches", of_stream, batch_id)
 
     def process(batch: DataFrame, batch_id: int) -> None:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from homeward.config import MatchConfig
 from homeward.operators import matching, records, stats
+from homeward.operators.knn_index import build_index, open_index, pick_pivots
 from homeward.operators.uploads import upload
 from homeward.plans import casework as cw
 from homeward.schemas import FOUND_TABLE, MISSING_TABLE
@@ -43,10 +44,11 @@ def raw(df):
     return forms.drop("case_id", "found_id", "estimated_current_age")
 
 
-def start(spark, side, folder, root, checkpoint, schema):
+def start(spark, side, folder, root, checkpoint, schema, **options):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
     return match_arrivals(
         stream, side, root, checkpoint, CONFIG, F.col("form_key"), F.lit("2024-06-01T00:00:00"), availableNow=True,
+        **options,
     )
 
 
@@ -65,10 +67,10 @@ def arrivals(spark, sf_dir, tmp_path):
             folder = str(tmp_path / f"incoming_{side}_{name}")
             self.forms[side].filter(condition).repartition(files).write.parquet(folder)
 
-        def run(self, side, name, checkpoint=None):
+        def run(self, side, name, checkpoint=None, **options):
             folder = str(tmp_path / f"incoming_{side}_{name}")
             where = str(tmp_path / f"checkpoint_{side}_{checkpoint or name}")
-            start(spark, side, folder, self.root, where, self.forms[side].schema).awaitTermination()
+            start(spark, side, folder, self.root, where, self.forms[side].schema, **options).awaitTermination()
 
         def stored(self, side):
             return tables.read_table(spark, self.root, side)
@@ -156,6 +158,28 @@ def test_a_batch_that_dies_half_way_is_made_up_for(spark, arrivals, monkeypatch,
     assert stored.keys() == matched.keys()
 
 
+def test_streams_extend_and_search_indexes(spark, arrivals, tmp_path):
+    indexes = {side: str(tmp_path / f"{side}_index") for side in ("missing", "found")}
+    for side in indexes:
+        make = build_index if side == "missing" else pick_pivots  # no found record yet
+        make(arrivals.stored("missing"), indexes[side], CONFIG.dim, rows_per_cell=20)
+        assert (open_index(spark, indexes[side]) is None) == (side == "found")
+    arrivals.write("found", "all")
+    arrivals.run("found", "all", indexes=indexes)
+    arrivals.check()
+    index = open_index(spark, indexes["found"])
+    assert index.rows.count() == arrivals.stored("found").count()
+    # And the other way round: what has been stored is found through its index.
+    late = arrivals.forms["missing"].limit(20).withColumn("form_key", F.concat(F.lit("late"), "form_key"))
+    late.coalesce(1).write.parquet(str(tmp_path / "incoming_missing_late"))
+    arrivals.run("missing", "late", indexes=indexes)
+    stored = arrivals.stored("missing").filter(F.col("point_id").isin(
+        [r.point_id for r in tables.read_arrivals(spark, arrivals.root, "missing", "matches").selectExpr("query_id as point_id").distinct().collect()]
+    ))
+    want = matching.match_missing_to_found(stored, arrivals.stored("found"), CONFIG, explain=False)
+    assert arrivals.matches("missing") == sorted(map(tuple, want.select(*COLUMNS).collect())) != []
+
+
 def test_names_of_streams_live_in_their_checkpoints(spark, tmp_path):
     a, b = (tables.stream_name(spark, str(tmp_path / n)) for n in "ab")
     assert a != b and tables.stream_name(spark, str(tmp_path / "a")) == a
