@@ -98,6 +98,40 @@ def stratified(df: DataFrame, group: str, bound: int, seed: int, *keys: str) ->
     )
 
 
+REPEATS = 1_000
+# Keys of repeated rows are sent to all tasks up to this many; more are joined by a shuffle.
+SHIPPED_KEYS = 1_000_000
+
+
+def repeats_merged(docs: DataFrame, n: str) -> DataFrame:
+    """Add ``n``: one, or how many rows one stands for where very many are equal.
+
+    Rows that agree in id and checksum of the text are counted; where they are more than ``REPEATS``, equal
+    ones are merged before any shuffle of whole rows, so that no key holds more than a few rows. Rows
+    with columns that cannot be compared (maps) are left as they are.
+    """
+    one = F.lit(1).cast("long")
+    if any("map<" in t or "variant" in t for _, t in docs.dtypes):
+        return docs.withColumn(n, one)
+    crc = F.coalesce(F.crc32("text"), F.lit(0))
+    key, check = fresh(docs, "key", "check")
+    often = stored(
+        docs.groupBy(F.col("doc_id").alias(key), crc.alias(check))
+        .agg(F.count("*").alias(n))
+        .filter(F.col(n) > REPEATS)
+        .select(key, check),
+        "repeated",
+    )
+    n_often = often.count()
+    if not n_often:
+        return docs.withColumn(n, one)
+    if n_often <= SHIPPED_KEYS:
+        often = F.broadcast(often)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (crc == F.col(check))
+    merged = docs.join(often, same, "left_semi").groupBy(*docs.columns).agg(F.count("*").alias(n))
+    return docs.join(often, same, "left_anti").withColumn(n, one).unionByName(merged)
+
+
 # ---- arrays inside tasks ----------------------------------------------------------------------
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import fresh, n_words, stored
+from homeward.llm.common import fresh, n_words, repeats_merged, stored
 
 WEIGHTS = (1, 2, 3)
 MAX_ROUNDS = 3
@@ -166,17 +166,19 @@ def mix(
 
     Documents of a length are ranked within slices of a seeded hash, the square root of the
     table's rows in number, so that a length which a third of all documents share is no hot group.
+    Equal rows that are very many are ranked as one.
     """
-    out, no, name, size, cut, draw, rank = fresh(
-        docs, out, "no_source", "source_name", "size", "cut", "draw", "rank"
+    out, no, name, size, cut, draw, rank, n = fresh(
+        docs, out, "no_source", "source_name", "size", "cut", "draw", "rank", "n"
     )
     keys = [no, name, size, cut]
-    sized = docs.withColumns({
+    measures = {
         no: F.col("source").isNull(),
         name: F.coalesce(F.col("source").cast("string"), F.lit("")),
         size: n_words(F.col("text")),
         draw: F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
-    })
+    }
+    sized = docs.withColumns(measures)
     lengths = stored(
         sized.groupBy(F.col(no).alias("no_source"), F.col(name).alias("source_name"),
                       F.col(size).alias("size"), F.shiftrightunsigned(draw, 44).alias("part"))
@@ -239,12 +241,20 @@ def mix(
             F.struct("source_size", "target", "rounds", "earlier", "extra").alias(out),
         )
     )
-    ordinal = F.row_number().over(Window.partitionBy(*keys).orderBy(draw, "doc_id"))
-    placed = sized.withColumn(
-        cut, F.floor(F.shiftrightunsigned(draw, 44) / to_slice)
-    ).join(allowed, keys).withColumn(rank, ordinal)
+    # Rows that stand for many equal ones are ranked once, by the rows before them.
+    before = F.sum(n).over(
+        Window.partitionBy(*keys).orderBy(draw, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    placed = (
+        repeats_merged(docs, n)
+        .withColumns(measures)
+        .withColumn(cut, F.floor(F.shiftrightunsigned(draw, 44) / to_slice))
+        .join(allowed, keys)
+        .withColumn(rank, F.coalesce(before, F.lit(0)))
+        .withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    )
     copies = F.col(f"{out}.rounds") + (
-        F.col(rank) + F.col(f"{out}.earlier") <= F.col(f"{out}.extra")
+        F.col(rank) + F.col(n) + F.col(f"{out}.earlier") <= F.col(f"{out}.extra")
     ).cast("long")
     return placed.withColumn(
         out,

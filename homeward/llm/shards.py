@@ -11,7 +11,7 @@ place that a null has. A null text has no bytes; a text of any length is one row
 table gives an empty result.
 
 Within a shard, rows are spread over the buckets by id and text. Rows that agree in both are counted
-first; where there are more than ``REPEATS`` of them, equal rows are counted into one before they are
+first; where they are very many, equal rows are counted into one before they are
 moved, and each copy goes to a bucket of its own drawing, so that no bucket fills with copies.
 
 The struct that is added is the last column, under the next free name with underscores in front if a
@@ -20,18 +20,18 @@ column has its name in any case.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeward.llm.common import fresh, stored
+from homeward.llm.common import fresh, repeats_merged
 
 BUCKET_BYTES = 32 << 20
 TASK_BYTES = 64 << 20
-REPEATS = 1_000
-# Repeated keys are sent to all tasks up to this many; more are joined by a shuffle.
-SHIPPED_KEYS = 1_000_000
+# The first slots of buckets are sent to all tasks up to this many; more are joined by a shuffle.
+SHIPPED_BUCKETS = 1_000_000
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -46,33 +46,6 @@ def n_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
-def _apart(docs: DataFrame, copy: str, crc: Column) -> DataFrame:
-    """Add ``copy``: zero, or the number of a row among its equals where those are very many."""
-    key, text, n = fresh(docs, "key", "text_key", "n")
-    often = stored(
-        docs.groupBy(F.col("doc_id").alias(key), crc.alias(text))
-        .agg(F.count("*").alias(n))
-        .filter(F.col(n) > REPEATS)
-        .select(key, text),
-        "shards-repeated",
-    )
-    n_often = often.count()
-    if not n_often:
-        return docs.withColumn(copy, F.lit(0).cast("long"))
-    if n_often <= SHIPPED_KEYS:
-        often = F.broadcast(often)
-    same = F.col("doc_id").eqNullSafe(F.col(key)) & (crc == F.col(text))
-    # Equal rows become one with a count before any shuffle, and many again behind it.
-    copies = (
-        docs.join(often, same, "left_semi")
-        .groupBy(*docs.columns)
-        .agg(F.count("*").alias(n))
-        .withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
-        .drop(n)
-    )
-    return docs.join(often, same, "left_anti").withColumn(copy, F.lit(0).cast("long")).unionByName(copies)
-
-
 def shuffled(
     docs: DataFrame,
     n_shards: int,
@@ -81,17 +54,26 @@ def shuffled(
     out: str = "place",
 ) -> DataFrame:
     """Add struct ``out`` (shard, slot, grown_shard, law); slots of a shard run from 0, gapless."""
-    out, shard, bucket, order, rows, copy = fresh(docs, out, "shard", "bucket", "order", "rows", "copy")
+    out, shard, bucket, order, rows, copy, task = fresh(
+        docs, out, "shard", "bucket", "order", "rows", "copy", "task"
+    )
     crc = F.coalesce(F.crc32("text"), F.lit(0))
     own = shard_of(F.col("doc_id"), n_shards, seed)
     found = docs.select(own.alias(shard), n_bytes(F.col("text")).alias(rows))
     sizes = {r[0]: r[1] for r in found.groupBy(shard).agg(F.sum(rows)).collect()}  # one per shard
     total = sum(sizes.values())
     n_buckets = [max(1, math.ceil(sizes.get(s, 0) / bucket_bytes)) for s in range(n_shards)]
+    first = [0, *itertools.accumulate(n_buckets)][:-1]
     parts = max(1, min(sum(n_buckets), max(n_shards, math.ceil(total / TASK_BYTES))))
-    many = F.get(F.split(F.lit(",".join(map(str, n_buckets))), ",").cast("array<int>"), F.col(shard))
-    scattered = _apart(docs, copy, crc).withColumn(shard, own).withColumns({
-        bucket: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc, copy), many),
+
+    def of_shard(numbers: list[int]) -> Column:
+        return F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), F.col(shard))
+
+    many = of_shard(n_buckets)
+    # Merged rows become many again, each copy with a number of its own.
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copy) - 1))
+    scattered = repeats_merged(docs, copy).withColumn(copy, each).withColumn(shard, own).withColumns({
+        bucket: F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", crc, copy), many).cast("int"),
         order: F.xxhash64(F.lit(seed + 2), "doc_id", crc, copy),
     })
     counts = scattered.groupBy(shard, bucket).agg(F.count("*").alias(rows))
@@ -102,12 +84,16 @@ def shuffled(
         F.lit(0),
     )
     offsets = counts.select(shard, bucket, offset.alias(order))
+    if sum(n_buckets) <= SHIPPED_BUCKETS:
+        offsets = F.broadcast(offsets)
     # Whether rows agree in order and id is told by the rest of the row, as far as it can be sorted.
     told = F.xxhash64(*[c for c, t in docs.dtypes if "map" not in t and "variant" not in t])
     buckets = (
-        scattered.repartition(parts, shard, bucket)
-        .sortWithinPartitions(shard, bucket, order, "doc_id", told)
-        .groupBy(shard, bucket)
+        # Buckets are dealt to the tasks in turn; a hash of so few keys would leave some with several.
+        scattered.withColumn(task, F.pmod(of_shard(first) + F.col(bucket), F.lit(parts)).cast("int"))
+        .repartitionById(parts, F.col(task))
+        .sortWithinPartitions(task, shard, bucket, order, "doc_id", told)
+        .groupBy(task, shard, bucket)
         .agg(F.collect_list(F.struct(*docs.columns)).alias(rows))
         # Before the join: the seed goes with the partition, which must not depend on its plan.
         .withColumn(rows, F.shuffle(rows, seed))

@@ -115,6 +115,20 @@ def test_every_stretch_of_lengths_gives_its_share(part):
     assert (take == again).all()
 
 
+def test_very_many_equal_rows_are_ranked_as_one(spark):
+    rows = spark.range(5_000).selectExpr("cast(null as long) as doc_id", "'w w w' as text", "'a' as source")
+    rows = rows.unionByName(
+        spark.range(3_000).selectExpr("id as doc_id", "concat('x ', id, ' y z ', id % 7) as text", "'b' as source")
+    )
+    found = flat(rows)
+    assert len(found) == 8_000
+    want, taken = check(found)
+    for s in want:
+        assert abs(taken[s] - want[s]) <= 5
+    copies = Counter(r.copies for r in found if r.doc_id is None)
+    assert sum(copies.values()) == 5_000 and max(copies) - min(copies) <= 1
+
+
 def test_a_column_with_the_name_of_the_result(edge):
     clashing = edge.withColumnsRenamed({"mix": "Mix", "size": "no_source"})
     mixed = mixing.mix(clashing)
