@@ -77,4 +77,4 @@ def test_registered():
 
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and set(QUERIES) <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
