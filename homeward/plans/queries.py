@@ -273,14 +273,21 @@ def confidence_hist(spark, sf):
     )
 
 
+def _stream(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """The rows of a table, one file or a folder of files, as a stream.
+
+    A stream of a plain path must be given a folder; a pattern, which matches the table alone, may
+    stand for either.
+    """
+    path = f"{sf}/{source}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(
+        f"{sf}/[{source[0]}]{source[1:]}.parquet"
+    )
+
+
 def _raw_forms(spark: SparkSession, sf: str, side: str) -> DataFrame:
     """A stream of the side's records as their senders would give them: no ids, any case."""
-    stream = (
-        spark.readStream.schema(spark.read.parquet(f"{sf}/embeddings.parquet").schema)
-        .option("pathGlobFilter", "embeddings.parquet")
-        .parquet(sf)
-    )
-    forms = cw.derive(stream, side).withColumn("gender", F.upper("gender"))
+    forms = cw.derive(_stream(spark, sf, "embeddings"), side).withColumn("gender", F.upper("gender"))
     return forms.withColumnRenamed("point_id", "form_key").drop(
         "case_id", "found_id", "estimated_current_age"
     )
@@ -631,12 +638,7 @@ def notify_stream(spark, sf):
     root, line = run_dir(spark, "outbox"), lambda f: F.concat(f["label"], F.lit(": "), f["value"])
     parts = []
     for side, marks in (("missing", "birthmarks"), ("found", "visible_marks")):
-        source = cw.TABLES[f"{side}_forms"][0]
-        stream = (
-            spark.readStream.schema(spark.read.parquet(f"{sf}/{source}.parquet").schema)
-            .option("pathGlobFilter", f"{source}.parquet")
-            .parquet(sf)
-        )
+        stream = _stream(spark, sf, cw.TABLES[f"{side}_forms"][0])
         forms = _with_marks(cw.derive(stream, f"{side}_forms"), marks)
         twice = forms.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
         notify_arrivals(

@@ -229,3 +229,19 @@ def test_search_statistics(spark):
     row = stats.search_statistics(side, side.limit(1), CONFIG).first()
     assert (row.missing_persons_count, row.found_persons_count, row.total_records) == (3, 1, 4)
     assert (row.face_threshold, row.metadata_weight, row.age_tolerance) == (0.8, 0.3, 5)
+
+
+@pytest.mark.parametrize("name", ["match_arrivals", "match_arrivals_indexed", "match_streams"])
+def test_a_table_streams_from_a_file_and_from_a_folder_of_files(spark, tmp_path, name):
+    from homeward.plans.queries import QUERIES
+
+    rows = [(i, [float((i * j * 7 + i) % 11 - 5) for j in range(1, 65)], i % 3) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "embeddings.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "file" / "embeddings.parquet")
+    folder, file = (
+        sorted(map(str, QUERIES[name](spark, str(tmp_path / kind)).collect())) for kind in ("folder", "file")
+    )
+    assert folder == file != []
