@@ -90,15 +90,22 @@ def zone_columns(side: str) -> list[str]:
 def write_zoned(
     records: DataFrame, root: str, side: str, by: tuple[str, ...] = ("point_id",), rows_per_file: int = ROWS_PER_FILE
 ) -> None:
-    """Write a table of ``side`` sorted by the columns ``by``, with the span of values of each file."""
+    """Write a table of ``side`` sorted by the columns ``by``, with the span of values of each file.
+
+    A task writes many small files or a large one. Bloom filters are as large as the rows of a file
+    need; Parquet otherwise gives each a whole megabyte.
+    """
     path = _path(root, side, "zones_by_" + "_".join(by))
     rows = conform(records, side)
-    files = max(1, math.ceil(rows.count() / rows_per_file))
+    n, cores = rows.count(), records.sparkSession.sparkContext.defaultParallelism
+    files = max(1, math.ceil(n / rows_per_file))
+    tasks = min(files, max(cores, math.ceil(n / ROWS_PER_FILE)))
     order = [*by, *([] if "point_id" in by else ["point_id"])]
-    writer = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write
+    writer = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).write
     for column in ("point_id", BUSINESS_ID[side]):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(f"{path}/rows")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(rows_per_file))
+    writer.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/rows")
     written = records.sparkSession.read.schema(TABLES[side]).parquet(f"{path}/rows")
     spans = [
         value
@@ -158,12 +165,12 @@ def points_zoned(spark: SparkSession, root: str, side: str, ids: list[str] | Dat
 def page_zoned(
     spark: SparkSession, root: str, side: str, limit: int = 100, offset: str | None = None
 ) -> DataFrame:
-    """``search.list_page`` from the files that hold the page: sorted files do not overlap."""
+    """``search.list_page`` from the files that hold the page: sorted files share a value at most."""
     files = zones(spark, root, side).select("file", "n", "low_point_id", "high_point_id")
     if offset is not None:
         files = files.filter(F.col("high_point_id") >= offset)
     needed, rows = [], 0
-    for r in files.orderBy("low_point_id").collect():  # a row per file
+    for r in files.orderBy("low_point_id", "high_point_id").collect():  # a row per file
         if rows > limit:
             break
         needed.append((r.file,))

@@ -84,3 +84,25 @@ def test_searches_skip_files_by_gender_and_age(spark, sf_dir, tmp_path):
             assert 0 < len(found.inputFiles()) <= files // 4
     with pytest.raises(ValueError):
         layout.search_zoned(spark, root, "found", {"gender": {"a": 1}}, by)
+
+
+def test_small_files_have_small_filters_and_few_tasks(spark, tmp_path):
+    """Also where one id fills several files."""
+    rows = [(f"m{i:05}", f"MISS_{i}", i % 90) for i in range(3000)] + [("m01000", "MISS_1000", 7)] * 250
+    table = spark.createDataFrame(rows, "point_id string, case_id string, age_at_disappearance int")
+    root = str(tmp_path / "db")
+    layout.write_zoned(table, root, "missing", rows_per_file=50)
+    sizes = [f.stat().st_size for f in (tmp_path / "db").rglob("rows/*.parquet")]
+    assert len(sizes) >= 65 and max(sizes) < 50_000
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "db").rglob("rows/*.parquet")}
+    assert len(tasks) <= spark.sparkContext.defaultParallelism
+    found = layout.points_zoned(spark, root, "missing", ["m00007", "m01000", "none"])
+    assert rows_of_page(found) == ["m00007"] + ["m01000"] * 251
+    for offset in (None, "m00990", "m01000", "m01001", "m02999"):
+        page = layout.page_zoned(spark, root, "missing", 270, offset)
+        assert rows_of_page(page) == rows_of_page(search.list_page(table, 270, offset))
+        assert len(page.inputFiles()) <= 20
+
+
+def rows_of_page(df):
+    return sorted(r.point_id for r in df.select("point_id").collect())
