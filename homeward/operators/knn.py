@@ -18,8 +18,8 @@ Three physical strategies give the same rows:
     size, so a cell that holds a third of all rows becomes many tasks. A task keeps
     one query block in memory and streams one base block past it.
 
-``knn_both`` finds the neighbours of either side in the other from one matrix product per pair of
-blocks. An index that is kept beside a table is searched in the same way (``knn_index``).
+``knn_both`` finds the neighbours of either side in the other, from one matrix product where a task
+can hold the best of all rows of a side. An index that is kept beside a table is searched in the same way (``knn_index``).
 
 Scores are cosines rounded to nine decimals, ties go to the smaller id. Rounding
 makes the order independent of how a matrix product was blocked. Ids must be
@@ -45,7 +45,6 @@ from homeward.operators import knn_kernels as kernels
 from homeward.session import checkpointed
 
 _KEYS = ["cell", "base_block", "query_block"]
-_BOTH = "reverse boolean, face_similarity double, query_id string, candidate_id string"
 
 # What a result of a query weighs on its way to the final cut.
 _RESULT_BYTES = 64
@@ -66,6 +65,14 @@ class Cells(NamedTuple):
         return len(self.pivots)
 
 
+class Routed(NamedTuple):
+    """One row per query and cell, the number of queries of each cell, and of all that have one."""
+
+    rows: DataFrame
+    asked: dict[int, int]
+    queries: int
+
+
 # Base rows with their cell, or a function from cells to the rows of those.
 Placed = DataFrame | Callable[[list[int]], DataFrame]
 
@@ -75,9 +82,7 @@ def in_cells(base: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<cell:int,angle:double>")
     def nearest_pivot(vectors: pa.Array) -> pa.Array:
-        angles = kernels.angles_to(kernels.unit_rows(vectors), pivots)
-        cell = angles.argmin(axis=1)
-        angle = angles[np.arange(len(cell)), cell]
+        cell, angle = kernels.nearest_of(kernels.unit_rows(vectors), pivots)
         return pa.StructArray.from_arrays(
             [pa.array(cell, pa.int32()), pa.array(angle)], ["cell", "angle"]
         )
@@ -165,8 +170,9 @@ def knn_both(
 ) -> DataFrame:
     """Candidates of both sides in one go: (reverse, query_id, candidate_id, face_similarity).
 
-    Rows with ``reverse`` are the candidates of the right side's rows among the left side's. The
-    scores of a pair of blocks are computed once, and the best are kept by row and by column.
+    Rows with ``reverse`` are the candidates of the right side's rows among the left side's. Where a
+    task can hold the best of all right rows, every score is computed once, and the best are kept by
+    row and by column. Larger sides are searched once in each direction.
     """
     sides = [_side(df, id_column, vector, [], dim, "", None) for df in (left, right)]
     return _Job(*sides, (left, right), k, threshold, dim, False, config).both()
@@ -199,18 +205,28 @@ class _Job(NamedTuple):
     config: KnnConfig
 
     def plan(self) -> DataFrame:
-        strategy = self.config.strategy
-        small = max(1, self.config.broadcast_bytes // (8 * self.dim))
-        few = max(1, min(small, self.config.task_results // self.k))
         n_queries, n_base = self._counts()
-        if strategy in ("auto", "broadcast_base") and n_base <= small:
-            if self._is_narrow(self.base):
-                return self.broadcast_base(self.base.toArrow(), n_queries)
-        if strategy in ("auto", "broadcast_queries") and n_queries <= few:
-            if self._is_narrow(self.queries):
-                slim = self._slim()
-                return self._with_rows(slim.broadcast_queries(slim.queries.toArrow()))
-        return self._with_rows(self._slim().blocked(n_base))
+        if self._ships_base(n_base):
+            return self.broadcast_base(self.base.toArrow(), n_queries)
+        return self._with_rows(self._slim()._unshipped(n_queries, n_base, self._is_narrow(self.queries)))
+
+    def _small(self) -> int:
+        """Most rows of vectors that are shipped to every worker."""
+        return max(1, self.config.broadcast_bytes // (8 * self.dim))
+
+    def _few(self) -> int:
+        """Most rows that a task holds with the best k of each."""
+        return max(1, min(self._small(), self.config.task_results // self.k))
+
+    def _ships_base(self, n_base: int) -> bool:
+        fits = self.config.strategy in ("auto", "broadcast_base") and n_base <= self._small()
+        return fits and self._is_narrow(self.base)
+
+    def _unshipped(self, n_queries: int, n_base: int, narrow: bool = True) -> DataFrame:
+        """Pairs of a base side that is not shipped whole."""
+        if self.config.strategy in ("auto", "broadcast_queries") and n_queries <= self._few() and narrow:
+            return self.broadcast_queries(self.queries.toArrow())
+        return self.blocked(n_base)
 
     def _slim(self) -> _Job:
         return self._replace(queries=_only_id(self.queries), base=_only_id(self.base))
@@ -371,32 +387,39 @@ class _Job(NamedTuple):
 
         @F.arrow_udf("array<int>")
         def nearest_cells(vectors: pa.Array) -> pa.Array:
-            angles = kernels.angles_to(kernels.unit_rows(vectors), cells.pivots)
-            return kernels.cell_lists(kernels.nearest_cells(angles, cells.rows, k))
+            unit = kernels.unit_rows(vectors)
+            return kernels.cell_lists(
+                kernels.nearest_cells(kernels.angles_to(unit[some], cells.pivots), cells.rows, k)
+                for some in kernels.some_rows(len(unit), cells.number)
+            )
 
         nearest_cells = nearest_cells.asNondeterministic()
         queries = checkpointed(self.queries.withColumn("first", nearest_cells("vector")))
         asked = queries.withColumn("cell", F.explode("first")).drop("first")
-        near = checkpointed(self._within(asked, placed, cells))
+        counts = {c["cell"]: c["count"] for c in asked.groupBy("cell").count().collect()}  # a row per cell
+        near = checkpointed(self._within(Routed(asked, counts, sum(counts.values())), placed, cells))
         floors = (
             near.groupBy(F.col("query_id").alias("id"))
             .agg(F.sort_array(F.collect_list("face_similarity"), asc=False).alias("best"))
             .select("id", F.get("best", F.lit(k - 1)).alias("floor"))
         )  # a few times k scores a query
-        known = queries.join(floors, "id", "left").withColumn(
-            "floor", F.coalesce("floor", F.lit(float(self.threshold)))
+        # Written once: cells in reach are counted first and gone through afterwards.
+        known = checkpointed(
+            queries.join(floors, "id", "left").withColumn(
+                "floor", F.coalesce("floor", F.lit(float(self.threshold)))
+            )
         )
         routed = self._routed(known, cells, "first")
         if self._prunes(routed, cells):
             return self._final_cut(near.unionByName(self._within(routed, placed, cells)))
         return self._final_cut(self._everywhere(known.drop("first"), placed, cells))
 
-    def _prunes(self, routed: DataFrame, cells: Cells) -> bool:
+    def _prunes(self, routed: Routed, cells: Cells) -> bool:
         """Whether going by cells moves fewer bytes than comparing everything in one grid of blocks."""
-        asked = {c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()}  # a row per cell
+        asked, n_queries = routed.asked, routed.queries
         if not asked:
             return True
-        rows, n_queries = cells.rows, routed.select("id").distinct().count()
+        rows = cells.rows
         vector = 4 * self.dim
         with_results = vector + _RESULT_BYTES * self.k
 
@@ -414,46 +437,70 @@ class _Job(NamedTuple):
 
     def _everywhere(self, queries: DataFrame, placed: Placed, cells: Cells) -> DataFrame:
         """All queries against all base rows, as one cell."""
-        one = F.lit(0).cast("int")
+        one, n = F.lit(0).cast("int"), queries.count()
         whole = Cells(cells.pivots[:1], np.array([cells.rows.sum()]), np.zeros(1), np.full(1, np.pi))
         if callable(placed):
             placed = placed(np.flatnonzero(cells.rows).tolist())
-        return self._within(queries.withColumn("cell", one), placed.withColumn("cell", one), whole)
+        routed = Routed(queries.withColumn("cell", one), {0: n} if n else {}, n)
+        return self._within(routed, placed.withColumn("cell", one), whole)
 
-    def _routed(self, queries: DataFrame, cells: Cells, done: str | None) -> DataFrame:
-        """One row per query and cell in its reach, but for the cells listed in ``done``."""
-        threshold, bound_k = self.threshold, None if self.prefiltered else self.k
-
-        def reach(vectors: pa.Array, cut: np.ndarray | float) -> pa.Array:
-            angles = kernels.angles_to(kernels.unit_rows(vectors), cells.pivots)
-            found = kernels.reachable_cells(angles, cells.rows, cells.near, cells.far, cut, bound_k)
-            return kernels.cell_lists(found)
-
-        @F.arrow_udf("array<int>")
-        def cells_in_reach(vectors: pa.Array) -> pa.Array:
-            return reach(vectors, threshold)
+    def _routed(self, queries: DataFrame, cells: Cells, done: str | None) -> Routed:
+        """The cells in reach of each query, but for those listed in ``done``.
 
-        @F.arrow_udf("array<int>")
-        def cells_above(vectors: pa.Array, floors: pa.Array) -> pa.Array:
-            return reach(vectors, floors.to_numpy(zero_copy_only=False))
-
-        # Declared nondeterministic so that inferred filters do not evaluate them a second time.
-        if done is None:
-            listed = cells_in_reach.asNondeterministic()("vector")
-            reached = checkpointed(queries.withColumn("cells", listed))
-        else:
-            listed = cells_above.asNondeterministic()("vector", "floor")
-            reached = checkpointed(
-                queries.withColumn("cells", listed)
-                .withColumn("cells", F.array_except("cells", done))
-                .drop(done)
+        A query may reach every cell. So a task lists the cells of some queries at a time, and they
+        are counted before any list is made.
+        """
+        threshold, bound_k = self.threshold, None if self.prefiltered else self.k
+        floors = "floor" in queries.columns
+
+        def reach(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            unit = kernels.unit_rows(batch["vector"])
+            cut = batch["floor"].to_numpy(zero_copy_only=False) if floors else None
+            for some in kernels.some_rows(len(unit), cells.number):
+                angles = kernels.angles_to(unit[some], cells.pivots)
+                found = kernels.reachable_cells(
+                    angles, cells.rows, cells.near, cells.far, threshold if cut is None else cut[some], bound_k
+                )
+                if done is not None:
+                    found = kernels.without_listed(found, batch[done].slice(some.start, len(angles)))
+                yield found
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Queries of each cell; under -1 those that have any."""
+            n, routed = np.zeros(cells.number, np.int64), 0
+            for batch in batches:
+                for found in reach(batch):
+                    n += found.sum(axis=0)
+                    routed += int(found.any(axis=1).sum())
+            used = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[-1, used], pa.int32()), pa.array(np.r_[routed, n[used]])], ["cell", "n"]
             )
-        return reached.withColumn("cell", F.explode("cells")).drop("cells")
 
-    def _blocks(self, routed: DataFrame, cells: Cells) -> tuple[DataFrame, int, list[int]] | None:
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                start = 0
+                for found in reach(batch):
+                    some = batch.slice(start, len(found))
+                    columns = [c for name, c in zip(some.schema.names, some.columns) if name != done]
+                    names = [name for name in some.schema.names if name != done]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, kernels.cell_lists([found])], [*names, "cells"]
+                    )
+                    start += len(found)
+
+        used = ["vector", *(["floor"] if floors else []), *([done] if done else [])]
+        sums = queries.select(*used).mapInArrow(counted, "cell int, n bigint").groupBy("cell")
+        asked = {c["cell"]: c["n"] for c in sums.agg(F.sum("n").alias("n")).collect()}  # a row per cell
+        n = asked.pop(-1, 0)
+        kept = queries.drop(done) if done else queries
+        schema = T.StructType([*kept.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+        rows = queries.mapInArrow(listed, schema).withColumn("cell", F.explode("cells")).drop("cells")
+        return Routed(rows, asked, n)
+
+    def _blocks(self, routed: Routed, cells: Cells) -> tuple[DataFrame, int, list[int]] | None:
         """(cell, base_blocks, query_blocks) of the cells asked for, the number of tasks, the cells."""
-        spark = self.base.sparkSession
-        asked = {c["cell"]: c["count"] for c in routed.groupBy("cell").count().collect()}  # a row per cell
+        spark, asked = self.base.sparkSession, routed.asked
         if not asked:
             return None
         rows = cells.rows
@@ -471,16 +518,9 @@ class _Job(NamedTuple):
         blocks = spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int")
         return blocks, tasks, sorted(asked)
 
-    def _within(
-        self, routed: DataFrame, placed: Placed, cells: Cells, both: bool = False
-    ) -> DataFrame:
-        """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all.
-
-        ``both`` adds the best queries of every base row, told apart by ``reverse``.
-        """
+    def _within(self, routed: Routed, placed: Placed, cells: Cells) -> DataFrame:
+        """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all."""
         schema = self._schema()
-        if both:
-            schema = T.StructType([*schema.fields, T.StructField("reverse", T.BooleanType())])
         made = self._blocks(routed, cells)
         if made is None:
             return self.base.sparkSession.createDataFrame([], schema)
@@ -495,7 +535,7 @@ class _Job(NamedTuple):
             return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
         left = (
-            routed.join(blocks, "cell")
+            routed.rows.join(blocks, "cell")
             .withColumn("query_block", share("query_blocks"))
             .withColumn("base_block", copies("base_blocks"))
             .withColumnRenamed("row", "query")
@@ -517,7 +557,7 @@ class _Job(NamedTuple):
             mine, first = kernels.leading_queries(batches)
             if mine is None or first is None:
                 return
-            best = kernels.BestOfBoth(mine, search) if both else kernels.RunningBest(mine, search)
+            best = kernels.RunningBest(mine, search)
 
             def base_rows_only() -> Iterator[pa.Table]:
                 for batch in batches:
@@ -527,7 +567,7 @@ class _Job(NamedTuple):
 
             rest = base_rows_only()
             for table in kernels.gathered(itertools.chain([first], rest), stream_rows):
-                yield from best.add(table) or ()
+                best.add(table)
             yield from best.batches()
 
         return (
@@ -542,20 +582,14 @@ class _Job(NamedTuple):
 
     def both(self) -> DataFrame:
         """Ids and scores of the best pairs of either side, told apart by ``reverse``."""
-        small = max(1, self.config.broadcast_bytes // (8 * self.dim))
         slim = self._slim()
         n_queries, n_base = self._counts()
-        if self.config.strategy in ("auto", "broadcast_base") and n_base <= small:
+        if self.config.strategy in ("auto", "broadcast_base") and n_base <= self._few():
             pairs = slim._both_shipped(slim.base.toArrow(), n_queries)
         else:
-            pivots = slim._pivots(n_base)
-            if not len(pivots):
-                return self.base.sparkSession.createDataFrame([], _BOTH)
-            placed = checkpointed(in_cells(slim.base, pivots))
-            cells = cells_of(placed, pivots)
-            # A pair counts for both of its rows, so only the threshold may keep it out of reach.
-            routed = slim._replace(prefiltered=True)._routed(slim.queries, cells, None)
-            pairs = slim._within(routed, placed, cells, both=True)
+            # No task can hold the best of all base rows: a search for each direction.
+            back = slim._replace(queries=slim.base, base=slim.queries, counted=self.counted[::-1])
+            return slim._searched(n_queries, n_base, False).unionByName(back._searched(n_base, n_queries, True))
         first = Window.partitionBy("reverse", "query_id").orderBy(
             F.desc("face_similarity"), F.asc("candidate_id")
         )
@@ -570,6 +604,13 @@ class _Job(NamedTuple):
             .drop("_rank")
         )
 
+    def _searched(self, n_queries: int, n_base: int, reverse: bool) -> DataFrame:
+        if self._ships_base(n_base):
+            pairs = self.broadcast_base(self.base.toArrow(), n_queries)
+        else:
+            pairs = self._unshipped(n_queries, n_base)
+        return pairs.select(F.lit(reverse).alias("reverse"), "face_similarity", "query_id", "candidate_id")
+
     def _both_shipped(self, table: pa.Table, n_queries: int) -> DataFrame:
         """The base side is small: it goes to every task, which keeps the best of its rows, too."""
         context = self.base.sparkSession.sparkContext

@@ -133,14 +133,12 @@ def extend_index(batch: DataFrame, path: str, part: str | None = None) -> None:
     @F.arrow_udf("struct<group:int,cell:int,angle:double>")
     def place(vectors: pa.Array) -> pa.Array:
         rows = kernels.unit_rows(vectors)
-        own = kernels.angles_to(rows, leaders).argmin(axis=1)
+        own, _ = kernels.nearest_of(rows, leaders)
         cell, angle = np.zeros(len(rows), np.int64), np.zeros(len(rows))
         for g in np.unique(own):
             mine = np.flatnonzero(own == g)
-            angles = kernels.angles_to(rows[mine], unit[members[g]])
-            nearest = angles.argmin(axis=1)
+            nearest, angle[mine] = kernels.nearest_of(rows[mine], unit[members[g]])
             cell[mine] = members[g][nearest]
-            angle[mine] = angles[np.arange(len(mine)), nearest]
         columns = [pa.array(own, pa.int32()), pa.array(cell, pa.int32()), pa.array(angle)]
         return pa.StructArray.from_arrays(columns, ["group", "cell", "angle"])
 

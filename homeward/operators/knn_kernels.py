@@ -21,6 +21,9 @@ SLACK = 1e-6
 _EXACT_ROWS = 16_384
 _OUTPUT_ROWS = 20_000
 
+# Elements of a matrix of rows and cells at a time.
+_MATRIX = 1 << 20
+
 
 def _array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -415,14 +418,41 @@ def _tile_pairs_of_both(
     return q[enough], b[enough] + part.start, score[enough]
 
 
-def cell_lists(chosen: np.ndarray) -> pa.Array:
-    """The cells of each row of a boolean matrix as lists."""
-    offsets = np.r_[0, np.cumsum(chosen.sum(axis=1))]
+def cell_lists(chosen: Iterable[np.ndarray]) -> pa.Array:
+    """The cells of each row of boolean matrices, which follow each other, as lists."""
+    sizes, cells = [np.zeros(1, np.int64)], [np.empty(0, np.int32)]
+    for some in chosen:
+        sizes.append(some.sum(axis=1))
+        cells.append(np.nonzero(some)[1].astype(np.int32))
+    offsets = np.cumsum(np.concatenate(sizes))
     return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.array(np.nonzero(chosen)[1], pa.int32())
+        pa.array(offsets, pa.int32()), pa.array(np.concatenate(cells), pa.int32())
     )
 
 
+def some_rows(rows: int, cells: int) -> Iterator[slice]:
+    """Slices of rows whose matrix with all cells is of bounded size."""
+    step = max(1, _MATRIX // max(1, cells))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
+def nearest_of(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of every vector, and the angle to it."""
+    cell, angle = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for rows in some_rows(len(vectors), len(pivots)):
+        angles = angles_to(vectors[rows], pivots)
+        cell[rows] = angles.argmin(axis=1)
+        angle[rows] = angles[np.arange(len(angles)), cell[rows]]
+    return cell, angle
+
+
+def without_listed(chosen: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """A boolean (row, cell) matrix without the cells that are listed for each row."""
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    chosen[row, lists.flatten().to_numpy(zero_copy_only=False)] = False
+    return chosen
+
+
 def nearest_cells(angles: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     """Boolean (query, cell) matrix of the nearest cells that together hold ``k`` rows."""
     filled = np.where(rows > 0, angles, np.inf)

@@ -258,3 +258,39 @@ def test_grid_moves_the_fewest_bytes_that_keep_cores_busy(spark):
         assert query_rows * (2 * 2048 + 50 * 64) <= KnnConfig().block_bytes + 8192
         assert base_rows * 2048 <= KnnConfig().task_bytes + 2048
     assert sizes[100_000] <= 1.1 * sizes[20_000]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 64])
+def test_both_directions_of_more_rows_than_a_task_holds(spark, broadcast_bytes):
+    """No task keeps the best of all base rows: a search for each direction."""
+    config = KnnConfig(task_results=50, broadcast_bytes=broadcast_bytes, rows_per_pivot=20)
+    left, right = people(1, 60, 8, 9), people(2, 110, 8, 20)
+    frames = [spark.createDataFrame(r, SCHEMA) for r in (left, right)]
+    pairs = knn_both(*frames, 5, 0.45, 8, config=config)
+    rows = pairs.collect()
+    got = {d: {(r.query_id, r.candidate_id, round(r.face_similarity, 6)) for r in rows if r.reverse == d}
+           for d in (False, True)}
+    assert got == {False: brute_force(left, right, 5, 0.45), True: brute_force(right, left, 5, 0.45)}
+    job = knn._Job(*[knn._side(f, "point_id", "embedding", [], 8, "", None) for f in frames],
+                   frames, 5, 0.45, 8, False, config)
+    assert job._few() < 110 and len(rows) == sum(map(len, got.values()))
+
+
+def test_angles_to_many_cells_are_held_for_few_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vectors, pivots = rng.normal(size=(3000, 4)), rng.normal(size=(8000, 4))
+    tracemalloc.start()
+    cell, angle = knn_kernels.nearest_of(vectors, pivots)
+    lists = knn_kernels.cell_lists(
+        knn_kernels.angles_to(vectors[some], pivots) < 0.01 for some in knn_kernels.some_rows(3000, 8000)
+    )
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # one matrix of all angles has 192 MB
+    whole = knn_kernels.angles_to(vectors, pivots)
+    assert (cell == whole.argmin(axis=1)).all() and np.allclose(angle, whole.min(axis=1))
+    assert lists.to_pylist() == [np.flatnonzero(row < 0.01).tolist() for row in whole]
+    left = knn_kernels.without_listed(np.ones((3, 4), bool), lists.from_pandas([[1], None, [0, 3]]))
+    assert left.tolist() == [[True, False, True, True], [True] * 4, [False, True, True, False]]
