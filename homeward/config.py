@@ -18,7 +18,8 @@ class KnnConfig:
     task_bytes: int = 1 << 30  # vectors of one base block, streamed through a task
     stream_bytes: int = 32 << 20  # vectors of base rows scored at a time while streaming
     merge_fan_in: int = 64  # base partitions whose results are merged at a time
-    block_rows: int | None = None  # rows of either block, instead of the above
+    # Rows of either block, instead of the above, where that makes 64 blocks of a side at most.
+    block_rows: int | None = None
     max_pivots: int = 1024
     rows_per_pivot: int = 50_000
     tile: tuple[int, int] = (256, 4096)  # rows of both sides scored in one matrix product

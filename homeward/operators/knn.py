@@ -50,6 +50,8 @@ _KEYS = ["cell", "base_block", "query_block"]
 _RESULT_BYTES = 64
 _TASKS_PER_CORE = 3
 _FEWEST_ROWS = 256
+# Blocks of a side up to which their size may be given: every row of the other is copied to each.
+_MOST_BLOCKS = 64
 
 
 class Cells(NamedTuple):
@@ -339,8 +341,9 @@ class _Job(NamedTuple):
         all grids that keep the cores busy and fit the memory of a task the one that moves the
         fewest bytes is taken.
         """
-        if self.config.block_rows is not None:
-            return self.config.block_rows, self.config.block_rows
+        own = self.config.block_rows
+        if own is not None and max(n_queries, n_base) <= _MOST_BLOCKS * own:
+            return own, own
         vector, results = 4 * self.dim, _RESULT_BYTES * self.k
         most_queries = max(1, self.config.block_bytes // (2 * vector + results))
         most_base = max(1, self.config.task_bytes // vector)

@@ -294,3 +294,12 @@ def test_angles_to_many_cells_are_held_for_few_rows():
     assert lists.to_pylist() == [np.flatnonzero(row < 0.01).tolist() for row in whole]
     left = knn_kernels.without_listed(np.ones((3, 4), bool), lists.from_pandas([[1], None, [0, 3]]))
     assert left.tolist() == [[True, False, True, True], [True] * 4, [False, True, True, False]]
+
+
+def test_given_blocks_are_copied_a_bounded_number_of_times(spark):
+    base = spark.createDataFrame(people(1, 4, 6), SCHEMA)
+    job = knn._Job(base, base, (base, base), 10, 0.1, 64, False, KnnConfig(block_rows=64))
+    assert job._grid(4000, 1000) == (64, 64)
+    for n in (50_000, 300_000, 1_000_000):
+        query_rows, base_rows = job._grid(n, n)
+        assert -(-n // query_rows) <= knn._MOST_BLOCKS and -(-n // base_rows) <= knn._MOST_BLOCKS
