@@ -521,9 +521,16 @@ class _Job(NamedTuple):
         blocks = spark.createDataFrame(plan, "cell int, base_blocks int, query_blocks int")
         return blocks, tasks, sorted(asked)
 
-    def _within(self, routed: Routed, placed: Placed, cells: Cells) -> DataFrame:
-        """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all."""
+    def _within(
+        self, routed: Routed, placed: Placed, cells: Cells, both: bool = False
+    ) -> DataFrame:
+        """The best pairs of routed queries and base rows of the same cell, not yet cut to k in all.
+
+        ``both`` adds the best queries of every base row, told apart by ``reverse``.
+        """
         schema = self._schema()
+        if both:
+            schema = T.StructType([*schema.fields, T.StructField("reverse", T.BooleanType())])
         made = self._blocks(routed, cells)
         if made is None:
             return self.base.sparkSession.createDataFrame([], schema)
@@ -560,7 +567,7 @@ class _Job(NamedTuple):
             mine, first = kernels.leading_queries(batches)
             if mine is None or first is None:
                 return
-            best = kernels.RunningBest(mine, search)
+            best = kernels.BestOfBoth(mine, search) if both else kernels.RunningBest(mine, search)
 
             def base_rows_only() -> Iterator[pa.Table]:
                 for batch in batches:
@@ -570,7 +577,7 @@ class _Job(NamedTuple):
 
             rest = base_rows_only()
             for table in kernels.gathered(itertools.chain([first], rest), stream_rows):
-                best.add(table)
+                yield from best.add(table) or ()
             yield from best.batches()
 
         return (
