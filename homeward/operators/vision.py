@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from math import ceil, sqrt
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,25 +218,40 @@ NO_VECTOR = ("no vector for img1", "no vector for img2", "no vectors")
 OTHER_LENGTH = "vectors differ in length"
 
 
+# Pairs whose vectors one task looks up, and tasks per core where there are fewer pairs.
+PART_PAIRS = 1_000_000
+TASKS_PER_CORE = 3
+# Images are hashed into this many buckets; the blocks of a grid are runs of buckets.
+BUCKETS = 64
+MOST_BLOCKS = 32
+
+
 def with_vectors(
     pairs: DataFrame,
     vectors: DataFrame,
     pair_id: str,
     names: tuple[str, str] = ("left", "right"),
     hot_rows: int = HOT_ROWS,
+    part_pairs: int = PART_PAIRS,
 ) -> DataFrame:
     """Every listed pair (img1, img2) with the vectors of both images and a ``status``.
 
     An image without a stored vector, or with an empty one, leaves its vector NULL. Only a pair of
-    status ``compared`` has two vectors of one length. Hot images are salted, since one image may
-    be in very many pairs.
+    status ``compared`` has two vectors of one length. Pairs move once, to the cell of a grid of
+    both images' blocks, and vectors to every cell of their block. Where that would copy more
+    vectors than there are pairs, the sides are joined one after the other instead. Either way an
+    image may be in very many pairs.
     """
     usable = vectors.filter(F.size("embedding") > 0)
-    joined = pairs
-    for key, name in zip(("img1", "img2"), names):
-        side = usable.select(F.col("image_id").alias(key), F.col("embedding").alias(name))
-        hot = hot_keys(pairs.select("img1", "img2"), key, hot_rows)
-        joined = lookup_join(joined, side, key, spread=pair_id, hot=hot, how="left")
+    grid = _Grid(pairs, pair_id, part_pairs)
+    if grid.copies * usable.count() <= grid.n_pairs:
+        joined = grid.with_vectors(usable, names)
+    else:
+        joined = pairs
+        for key, name in zip(("img1", "img2"), names):
+            side = usable.select(F.col("image_id").alias(key), F.col("embedding").alias(name))
+            hot = hot_keys(pairs.select("img1", "img2"), key, hot_rows)
+            joined = lookup_join(joined, side, key, spread=pair_id, hot=hot, how="left")
     first, second = (F.col(n).isNull() for n in names)
     status = (
         F.when(first & second, NO_VECTOR[2])
@@ -245,6 +263,89 @@ def with_vectors(
     return joined.withColumn("status", status)
 
 
+class _Grid:
+    """Pairs dealt to parts by the blocks of both images; a cell with many pairs is many parts.
+
+    Pairs are counted by the buckets of both images, so the driver gets at most ``BUCKETS`` squared
+    numbers.
+    """
+
+    def __init__(self, pairs: DataFrame, pair_id: str, part_pairs: int):
+        self.pairs, self.pair_id = pairs, pair_id
+        # A pair that names no image finds no vector in any bucket.
+        row, column = self.buckets = [
+            F.when(F.col(k).isNull(), self._bucket(F.col(pair_id))).otherwise(self._bucket(F.col(k)))
+            for k in ("img1", "img2")
+        ]
+        counts = pairs.groupBy(row.alias("row"), column.alias("column")).count().collect()
+        self.n_pairs = sum(n for _, _, n in counts)
+        tasks = TASKS_PER_CORE * pairs.sparkSession.sparkContext.defaultParallelism
+        self.blocks = min(ceil(sqrt(max(tasks, self.n_pairs / part_pairs))), MOST_BLOCKS)
+        cells: dict[tuple[int, int], int] = defaultdict(int)
+        for r, c, n in counts:
+            cells[r * self.blocks // BUCKETS, c * self.blocks // BUCKETS] += n
+        # Cells differ a little without any hot image; what has more than twice the mean is cut.
+        most = 2 * ceil(self.n_pairs / self.blocks**2)
+        self.parts: dict[tuple[int, int], range] = {}
+        self.n_parts = 0
+        for cell, n in sorted(cells.items()):
+            self.parts[cell] = range(self.n_parts, self.n_parts + ceil(n / most))
+            self.n_parts = self.parts[cell].stop
+        # Vectors on the move, as a multiple of the stored ones.
+        self.copies = 2 * self.n_parts / self.blocks
+
+    @staticmethod
+    def _bucket(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(BUCKETS))
+
+    def _block(self, bucket: Column) -> Column:
+        return F.floor(bucket * self.blocks / BUCKETS).cast("int")
+
+    def _part_of_pair(self) -> Column:
+        parts = [
+            self.parts.get((r, c), range(1)) for r in range(self.blocks) for c in range(self.blocks)
+        ]
+        row, column = map(self._block, self.buckets)
+        first, salts = (
+            F.element_at(F.lit(of), row * self.blocks + column + 1)
+            for of in ([p.start for p in parts], [len(p) for p in parts])
+        )
+        # Another hash than the bucket's, which may be one of the pair's id as well.
+        salt = F.pmod(F.xxhash64(F.lit("salt"), self.pair_id), salts)
+        return (first + salt).cast("int")
+
+    def _parts_of_block(self, axis: int) -> Column:
+        """Each block's parts, as a list of lists."""
+        parts = [
+            [part for cell, some in self.parts.items() if cell[axis] == block for part in some]
+            for block in range(self.blocks)
+        ]
+        return F.array(*[F.array(*map(F.lit, some)).cast("array<int>") for some in parts])
+
+    def with_vectors(self, vectors: DataFrame, names: tuple[str, str]) -> DataFrame:
+        """All pairs with the vectors of both images, looked up within each part."""
+        sides = list(enumerate(zip(("img1", "img2"), names)))
+        rows = self.pairs.withColumns({"_part": self._part_of_pair(), "_side": F.lit(-1)})
+        for axis, (key, name) in sides:
+            image = F.col("image_id").cast(self.pairs.schema[key].dataType)
+            parts = F.element_at(self._parts_of_block(axis), self._block(self._bucket(image)) + 1)
+            side = vectors.filter(image.isNotNull()).select(
+                image.alias(key),
+                F.col("embedding").alias(name),
+                F.explode(parts).alias("_part"),
+                F.lit(axis).alias("_side"),
+            )
+            rows = rows.unionByName(side, allowMissingColumns=True)
+        # One exchange: the windows sort within the parts.
+        rows = rows.repartitionById(max(1, self.n_parts), F.col("_part"))
+        for axis, (key, name) in sides:
+            stored = F.collect_list(name).over(Window.partitionBy("_part", key))
+            rows = rows.withColumn(name, stored).filter(F.col("_side") != axis)
+        for name in names:
+            rows = rows.withColumn(name, F.explode_outer(name))
+        return rows.select(*self.pairs.columns, *names)
+
+
 def verify_pairs(
     pairs: DataFrame,
     vectors: DataFrame,

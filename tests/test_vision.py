@@ -97,6 +97,67 @@ def test_vectors_of_other_length_or_none(spark):
     assert got["0"].cosine_similarity is None and got["0"].is_match is None
 
 
+def stored_vectors(spark, rows):
+    return spark.createDataFrame(rows, "image_id string, embedding array<float>")
+
+
+def test_pairs_move_once_to_their_vectors(spark):
+    whole = stored_vectors(spark, [(str(i), [float(i), 1.0]) for i in range(20)])
+    rows = [(str(i), str(i % 30), str(i % 7)) for i in range(2000)]
+    pairs = spark.createDataFrame(rows, "pair_id string, img1 string, img2 string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        verified = vision.verify_pairs(pairs, whole, "pair_id")
+        plan = verified._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
+        assert verified.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_listed_pairs_of_hot_absent_and_repeated_images(spark):
+    """One pair very often, images that are not named, and an image with two vectors."""
+    stored = [(str(i), [float(i), 1.0]) for i in range(12)] + [("3", [9.0, 9.0]), (None, [5.0, 5.0])]
+    whole = stored_vectors(spark, stored)
+    listed = [("1", "2")] * 3000 + [(None, "3")] * 3000 + [("3", "3"), (None, None), ("x", "4")]
+    listed += [(str(i % 13), str(i % 11)) for i in range(500)]
+    rows = [(str(n), *p, n) for n, p in enumerate(listed)]
+    pairs = spark.createDataFrame(rows, "pair_id string, img1 string, img2 string, n int")
+    of = {}
+    for image, vector in stored:
+        of.setdefault(image, []).append(vector)
+    of[None] = []
+    want = sorted(
+        (pair, str(left), str(right))
+        for pair, img1, img2, _ in rows
+        for left in of.get(img1) or [None]
+        for right in of.get(img2) or [None]
+    )
+    both = vision.with_vectors(pairs, whole, "pair_id", part_pairs=100)
+    got = both.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.pair_id, str(r.left), str(r.right)) for r in got) == want
+    assert all(r.n == int(r.pair_id) for r in got)
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.task, set()).add(r.pair_id)
+    assert max(map(len, tasks.values())) < 400
+
+
+def test_few_pairs_of_many_vectors(spark):
+    whole = stored_vectors(spark, [(str(i), [float(i), 1.0]) for i in range(2000)])
+    pairs = spark.createDataFrame(
+        [(str(i), str(i), str(i + 1995)) for i in range(10)],
+        "pair_id string, img1 string, img2 string",
+    )
+    got = vision.with_vectors(pairs, whole, "pair_id").collect()
+    assert len(got) == 10
+    assert all(r.left == [float(r.img1), 1.0] for r in got)
+    assert sum(r.status == vision.COMPARED for r in got) == 5
+    none = vision.with_vectors(pairs.limit(0), whole, "pair_id")
+    assert none.count() == 0
+
+
 def bitmap(pixels: np.ndarray) -> bytes:
     """24-bit BMP of a (height, width, 3) BGR array."""
     height, width, _ = pixels.shape
